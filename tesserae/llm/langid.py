@@ -1,6 +1,7 @@
 """Language identification by compression.
 
-A language's model is a raw-content zstandard dictionary: sampled text of that language, put end to end.
+A language's model is a raw-content zstandard dictionary: sampled text of that language, put end to end, but
+for lines that the samples of two languages share. Texts count in lower case, with all but letters as spaces.
 A text is cut into blocks, every block is compressed with every dictionary, and the dictionary with the
 smallest total names the language. A narrow margin between the two smallest totals is a rejection.
 """
@@ -8,6 +9,8 @@ smallest total names the language. A narrow margin between the two smallest tota
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -18,10 +21,11 @@ from tesserae.llm.common import id_crc, small_batches
 
 UNKNOWN = "und"
 #: Bounds of the fitted sample: languages, texts of each, characters of each text, bytes of a dictionary.
-MAX_LANGS, TEXTS, CHARS, DICT_BYTES = 256, 96, 4096, 112 << 10
-BLOCK, LEVEL = 8192, 1
+MAX_LANGS, TEXTS, CHARS, DICT_BYTES = 128, 256, 4096, 256 << 10
+BLOCK, LEVEL = 4096, 3
 #: Below this share of the second smallest total the margin is too narrow to decide.
 MIN_MARGIN = 0.002
+_OTHER = re.compile(r"[\W\d_]+")
 SCHEMA = "doc_id bigint, lang_pred string, score double, margin double, rejected boolean"
 
 
@@ -42,7 +46,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     texts: dict[str, list[tuple[int, str]]] = {}
     for r in sample.toLocalIterator():
         texts.setdefault(r["lang"], []).append((r["h"], r["text"]))
-    return {k: "\n".join(t for _, t in sorted(v)[:TEXTS]).encode()[-DICT_BYTES:] for k, v in sorted(texts.items())}
+    lines = Counter(line for v in texts.values() for line in {line for _, t in v for line in t.split("\n")})
+    own = {k: [[line for line in t.split("\n") if lines[line] == 1] for _, t in sorted(v)[:TEXTS]] for k, v in texts.items()}
+    return {k: " ".join(plain(" ".join(t)) for t in v).encode()[-DICT_BYTES:] for k, v in sorted(own.items())}
+
+
+def plain(text: str) -> str:
+    """Lower case, with runs of anything but letters as one space."""
+    return _OTHER.sub(" ", text.lower())
 
 
 class Compressors:
@@ -62,7 +73,7 @@ class Compressors:
         """(language, score from 0 to 1, margin, rejected). Ties go to the first name in code-point order."""
         if not text or not self.langs or not (text.isalpha() or any(map(str.isalpha, text))):
             return UNKNOWN, 0.0, 0.0, True
-        data = text.encode()
+        data = plain(text).encode()
         blocks = [data] if len(data) <= BLOCK else [data[i : i + BLOCK] for i in range(0, len(data), BLOCK)]
         sizes = [sum(len(f(b)) for b in blocks) for f in self.by]
         best = min(sizes)
