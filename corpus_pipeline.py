@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import langid, mixing, pieces, simhash
@@ -18,32 +18,44 @@ from tesserae.llm.exact_dedup import exact_dedup
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids (distinct), as they were."""
-    return docs.join(ids.select(F.col("doc_id").alias("kept_id")), docs["doc_id"] == F.col("kept_id"), "left_semi")
+def _key(digest: Column) -> Column:
+    """Names a row by its id (null as no digits) and a digest of its text."""
+    return F.concat(digest, F.lit("|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+
+
+def _keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is among ids; rows that share an id, or have none, share their fate."""
+    wanted = ids.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"))
+    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(wanted, "_key", "left_semi").select(docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and those whose language no dictionary tells from the next one."""
     found = langid.identify(docs, langid.fit(langid.train_fold(docs)))
-    return _keep(docs, cut(found.filter(~F.col("rejected")).select("doc_id"), "language-kept"))
+    return _keep_ids(docs, cut(found.filter(~F.col("rejected")).select("doc_id"), "language-kept"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of equal texts the row with the largest doc_id."""
-    return _keep(docs, exact_dedup(docs).filter("kept"))
+    """Keeps of equal texts the row with the largest doc_id, and of wholly repeated rows one."""
+    kept = exact_dedup(docs).filter("kept").select(_key(F.col("text_sha256")).alias("_key"))
+    keyed = docs.withColumn("_key", _key(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates the document with the smallest doc_id."""
-    return _keep(docs, simhash.near_duplicates(docs).filter(F.col("doc_id") == F.col("component_id")))
+    return _keep_ids(docs, simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats each document as often as the mix takes it; documents without words stay as they are, once."""
-    mixed = mixing.mix_sources(docs).select(F.col("doc_id").alias("mixed_id"), F.when(F.col("size") == 0, 1).otherwise(F.col("copies")).alias("copies"))
-    taken = docs.join(mixed.filter(F.col("copies") > 0), docs["doc_id"] == F.col("mixed_id"))
-    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    """Repeats each document as often as the mix takes it; documents without words stay as they are, once.
+
+    Rows with the same id and text are one document here, taken as often as all of them together.
+    """
+    times = F.sum(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))).cast("int").alias("_times")
+    taken = mixing.mix_sources(docs).groupBy(_key(F.col("text_hash")).alias("_key")).agg(times).filter("_times > 0")
+    keyed = docs.withColumn("_key", _key(F.md5(F.coalesce("text", F.lit(""))))).dropDuplicates(["_key"])
+    return keyed.join(taken, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
