@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tesserae.functions.vectors import score_band
 
@@ -49,11 +52,15 @@ class Collections:
         return sorted(int(s.getPath().getName()) for s in fs.listStatus(top) if fs.exists(path(s.getPath(), "_SUCCESS"))) if fs.exists(top) else []
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}/{self._versions(name)[-1]}")
+        path = f"{self.root}/{name}/{self._versions(name)[-1]}"
+        schema = StructType.fromJson(json.loads(self.spark.read.text(f"{path}/_schema").first()[0]))
+        return self.spark.read.schema(schema).parquet(path)
 
     def write(self, name: str, rows: DataFrame) -> None:
         old = self._versions(name)
-        rows.write.partitionBy("domain").parquet(f"{self.root}/{name}/{(old or [0])[-1] + 1}")
+        path_new = f"{self.root}/{name}/{(old or [0])[-1] + 1}"
+        rows.write.partitionBy("domain").parquet(path_new)
+        self.spark.createDataFrame([(rows.schema.json(),)], "value string").coalesce(1).write.text(f"{path_new}/_schema")
         fs, path = self._fs()
         for v in old:
             fs.delete(path(f"{self.root}/{name}/{v}"), True)

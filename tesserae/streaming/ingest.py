@@ -13,7 +13,7 @@ def read(spark: SparkSession, path: str, schema, glob: str | None = None) -> Dat
 
 def unique(events: DataFrame, key: str = "event_id", ts: str = "ts", late: str = "1 hour") -> DataFrame:
     """Events once each, state kept for the watermark's length."""
-    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
+    return events.withColumn(ts, events[ts].cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
 def tumbling(events: DataFrame, size: str = "1 day", ts: str = "ts") -> DataFrame:
