@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions.keywords import STOPWORDS, SYNONYMS, category, difficulty, fit_for_qa, importance, rank_score, text_score
+from tesserae.functions.keywords import STOPWORDS, SYNONYMS, best_count, category, difficulty, fit_for_qa, importance, rank_score, text_score
 from tesserae.functions.text import CANDIDATE, candidates, kept
 
 
@@ -179,3 +179,25 @@ def by_difficulty(rows: DataFrame, target: int, quota: dict[str, float], id_col:
     ranked = rows.withColumn("own", F.row_number().over(Window.partitionBy(id_col, "difficulty").orderBy(*order))).withColumn("in_quota", F.col("own") <= limit)
     place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("in_quota"), *order))
     return ranked.withColumn("place", place.cast("bigint")).filter(F.col("place") <= target).drop("own")
+
+
+#: Keywords per document of the named extraction modes.
+MODES = {"tag": 3, "summary": 5, "standard": 10, "detailed": 15, "exhaustive": 20}
+
+
+def extract(docs: DataFrame, mode: str = "auto", id_col: str = "doc_id", text_col: str = "text", target: float = 0.8) -> DataFrame:
+    """id, word, rank by score: as many words as a mode, the text (auto), a coverage target or shrinking gains call for."""
+    if mode in MODES:
+        return top_by_score(docs, MODES[mode], id_col=id_col, text_col=text_col).select(id_col, "word", "rank")
+    ranked = top_by_score(docs, 30, id_col=id_col, text_col=text_col).select(id_col, "word", "rank")
+    if mode == "auto":
+        most = docs.select(id_col, best_count(F.col(text_col)).alias("most"))
+    elif mode == "coverage":
+        most = enough(ranked, docs, target, id_col, text_col).select(id_col, F.col("enough").alias("most"))
+    elif mode == "diminishing":
+        part = ranked.join(docs.select(id_col, F.col(text_col).alias("full")), id_col).withColumn("part", F.length("full") - F.length(F.replace("full", "word", F.lit(""))))
+        shares = part.withColumn("share", F.sum("part").over(Window.partitionBy(id_col).orderBy("rank")).cast("double"))
+        most = diminishing(shares, id_col=id_col).select(id_col, F.col("stop").alias("most"))
+    else:
+        raise ValueError(f"no such mode: {mode}")
+    return ranked.join(most, id_col).filter(F.col("rank") <= F.col("most")).drop("most")

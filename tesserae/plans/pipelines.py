@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import clean_text
-from tesserae.operators import chunking, qa, vectors
+from tesserae.operators import chunking, keywords, qa, vectors
 from tesserae.providers import Embedder, HashedNgrams, embedded
 
 # Chunk size, pairs per chunk and title column of the known data sets.
@@ -83,3 +83,19 @@ def accuracy(questions: DataFrame, store: DataFrame, embedder: Embedder | None =
     found = q.join(hits.select(F.col("id").alias("qid"), F.col("other").alias("point_id"), F.col("score").alias("search_score")), "qid").join(store.select("point_id", F.col("answer").alias("retrieved_answer")), "point_id")
     a, b = embedded(found, e, "qid", "answer").withColumnRenamed("embedding", "u"), embedded(found, e, "qid", "retrieved_answer").withColumnRenamed("embedding", "v")
     return found.join(a, "qid").join(b, "qid").select("question", F.col("answer").alias("correct_answer"), "retrieved_answer", "search_score", F.round(vectors.cosine(F.col("u"), F.col("v")) * 100, 6).alias("similarity"))
+
+
+def progressive(docs: DataFrame, sizes: tuple[int, ...] = (5, 5, 10, 10, 10), least_gain: float = 0.05) -> DataFrame:
+    """Template questions for further batches of keywords until a batch lifts the average coverage by less than least_gain.
+
+    The loop is at most len(sizes) long and brings one number a round to the driver.
+    """
+    ranked = keywords.top_by_score(docs, sum(sizes)).select("doc_id", "word", "rank")
+    taken, before = 0, 0.0
+    for n in sizes:
+        taken += n
+        now = keywords.char_coverage(ranked.filter(F.col("rank") <= taken), docs).agg(F.avg("coverage")).first()[0] or 0.0
+        if now - before < least_gain:
+            break
+        before = now
+    return qa.template_questions(keywords.details(ranked.filter(F.col("rank") <= taken).select("doc_id", "word"), docs))

@@ -135,6 +135,16 @@ def test_readers_and_writers(spark, tmp_path):
     assert readers.newest_file(spark, str(tmp_path / "ja.txt")).first()["path"].endswith("ja.txt")
 
 
+def test_extraction_modes(spark):
+    docs = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta " * 30), (2, ""), (3, "tiny words")], "doc_id int, text string")
+    n = lambda mode: {r["doc_id"]: r["count"] for r in keywords.extract(docs, mode).groupBy("doc_id").count().collect()}
+    assert n("tag") == {1: 3, 3: 2} and n("auto")[3] == 2 and n("auto")[1] == 8
+    assert 0 < n("coverage")[1] <= 8 and 0 < n("diminishing")[1] <= 8
+    with pytest.raises(ValueError):
+        keywords.extract(docs, "?")
+    assert pipelines.progressive(docs).count() > 0
+
+
 class Echo:
     def write(self, prompt):
         return '{"qa_pairs": [{"question": "q", "answer": "' + prompt + '", "question_type": "fact"}]}' if prompt != "bad" else "?"
