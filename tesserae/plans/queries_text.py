@@ -338,7 +338,7 @@ def rule_pipeline_types(spark, sf):
 m AS (SELECT batch, unnest(range(0, 12)) AS ordinal FROM (SELECT DISTINCT batch FROM q)) SELECT m.batch, m.ordinal, r.place FROM m JOIN r ON m.batch = r.batch AND m.ordinal >= r.until - r.quota AND m.ordinal < r.until""")
 def qa_redistribution(spark, sf):
     d = docs_of(spark, sf).select(F.floor(F.col("doc_id") / 5).alias("batch"), F.col("doc_id").alias("place"), (1 + F.col("doc_id") % 3).alias("quota"))
-    made = d.select("batch").distinct().select("batch", F.explode(F.sequence(F.lit(0), F.lit(11))).cast("bigint").alias("ordinal"))
+    made = d.select("batch").distinct().select("batch", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(11).cast("bigint"))).alias("ordinal"))
     return qa.redistribute(d, made).select("batch", "ordinal", "place")
 
 
