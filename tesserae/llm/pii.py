@@ -51,12 +51,16 @@ def _folds() -> dict[int, str]:
 
 
 FOLDS = _folds()
-_ODD = re.compile("[" + "".join(map(re.escape, map(chr, FOLDS))) + ZERO_WIDTH + "]")
+_ODD_SET = frozenset(map(chr, FOLDS)) | frozenset(ZERO_WIDTH)
 _VALUE = {w: str(i) for i, words in enumerate(DIGITS) for w in words}
 _DIGIT = "(?:" + "|".join(sorted(_VALUE, key=lambda w: (-len(w), w))) + ")"
 _RUN = re.compile(rf"(?<!\w)(?:(?:plus|\+)[ ,-]*)?(?:{_DIGIT}|[0-9]+)(?:[ ,.\-]+(?:dot|point|{_DIGIT}|[0-9]+))+(?!\w)", re.I)
 _TOKEN = re.compile(rf"plus|dot|point|{_DIGIT}|[0-9]|\+", re.I)
 _SPELLED = re.compile(rf"(?<!\w){_DIGIT}[ ,.\-]+(?:(?:dot|point)[ ,.\-]+)?{_DIGIT}(?!\w)", re.I)
+_SPELLING = frozenset(_VALUE) | {"dot", "point"}
+_LETTERS = re.compile(r"[^\W\d_]+")
+_ANY_DIGIT = re.compile("[0-9]")
+_DISGUISED = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]", re.I)
 _BRACKETS = re.compile(r"\s*[\[({<]\s*(at|@|dot|\.)\s*[\])}>]\s*", re.I)
 _WORDS = re.compile(r"\s(?:dot|@)\s|\s@|@\s", re.I)
 _BARE = re.compile(r"(?<![\w.%+-])([A-Za-z0-9_%+-]+(?:(?:\.|\s+dot\s+)[A-Za-z0-9_%+-]+)*)(\s+at\s+|\s*@\s*)([A-Za-z0-9-]+(?:(?:\.|\s+dot\s+)[A-Za-z0-9-]+)+)", re.I)
@@ -81,6 +85,8 @@ def find(text: str) -> list[tuple[int, int, int]]:
         if m:
             out.append((s, 0, free := m.end()))
         at = text.find("@", max(at + 1, free))
+    if not _ANY_DIGIT.search(text):
+        return out
     for m in _IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
             out.append((m.start(), 1, m.end()))
@@ -118,7 +124,7 @@ class Aligned:
 
 
 def fold_glyphs(t: Aligned) -> None:
-    t.rewrite([(i := m.start(), i + 1, FOLDS.get(ord(m[0]), ""), t.starts[i], t.ends[i]) for m in _ODD.finditer(t.text)])
+    t.rewrite([(i, i + 1, FOLDS.get(ord(c), ""), t.starts[i], t.ends[i]) for i, c in enumerate(t.text) if c in _ODD_SET])
 
 
 def undo_brackets(t: Aligned) -> None:
@@ -162,8 +168,17 @@ def undo_slips(t: Aligned) -> None:
     t.rewrite([(i := m.start(), i + 1, "0" if m[0] in "Oo" else "1", t.starts[i], t.ends[i]) for m in _SLIPS.finditer(t.text)])
 
 
-#: A transducer runs on texts in which its trigger is found.
-TRANSDUCERS = ((_ODD, fold_glyphs), (_BRACKETS, undo_brackets), (_WORDS, undo_words), (_SPELLED, undo_digits), (_SLIPS, undo_slips))
+def _has_spelled(text: str) -> bool:
+    """Whether two digit words (or a spelled dot) follow each other; a cheap look before the pattern's."""
+    flags = bytes(map(_SPELLING.__contains__, _LETTERS.findall(text.lower())))
+    return b"\1\1" in flags and _SPELLED.search(text) is not None
+
+
+#: A transducer runs on texts in which its trigger is found; the cheapest part of each trigger stands first.
+TRANSDUCERS = (
+    (lambda t: not (t.isascii() or _ODD_SET.isdisjoint(t)), fold_glyphs), (_DISGUISED.search, undo_brackets), (lambda t: ("@" in t or "dot" in t.lower()) and _WORDS.search(t), undo_words),
+    (_has_spelled, undo_digits), (lambda t: _ANY_DIGIT.search(t) and _SLIPS.search(t), undo_slips),
+)
 
 
 def find_all(text: str, base: list[tuple[int, int, int]] | None = None) -> list[tuple[int, int, int]]:
@@ -171,7 +186,7 @@ def find_all(text: str, base: list[tuple[int, int, int]] | None = None) -> list[
     base = find(text) if base is None else base
     t = None
     for trigger, run in TRANSDUCERS:
-        if trigger.search(text if t is None else t.text):
+        if trigger(text if t is None else t.text):
             t = t or Aligned(text)
             run(t)
     if t is None or t.text == text:
