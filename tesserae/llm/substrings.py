@@ -29,6 +29,8 @@ SPAN, GRAM = 200, 40
 _W = SPAN - GRAM + 1
 #: Bytes of contexts that a shard should hold; distinct contexts of one anchor beyond which it is dealt out.
 SHARD_BYTES, HOT = 2 << 20, 2048
+#: Windows of dealt anchors that are merged at a time.
+WINDOWS = 4000
 #: Bytes hashed at a time.
 PIECE = 1 << 20
 _RNG = np.random.default_rng(20240229)
@@ -333,7 +335,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = found.filter(~F.col("digest")).select("a", "c", "lo", "hi")
     windows = found.filter("digest").agg(F.count("*")).first()[0]
     if windows:
-        runs = runs.unionAll(_merge_shards(found.filter("digest"), max(1, windows // 500_000)))
+        runs = runs.unionAll(_merge_shards(found.filter("digest"), max(1, windows // WINDOWS)))
     spans = met.join(runs, ["a", "c"]).select("doc_id", "tag", (F.col("s") + F.col("lo")).alias("start"), (F.col("s") + F.col("hi") + SPAN - 1).alias("end"))
     per_doc = spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     final = narrow.join(per_doc, [narrow["doc_id"].eqNullSafe(per_doc["doc_id"]), narrow["tag"] == per_doc["tag"]], "left").select(narrow["doc_id"], "text", "spans")
