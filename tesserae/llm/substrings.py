@@ -111,7 +111,7 @@ def _anchors(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, tags = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)
+            ids, tags = b.column(0), b.column(1)  # Arrow arrays: numpy would turn an id column with nulls into floats
             held: list[tuple[int, int, bytes]] = []  # row, offset of the piece in its text, bytes
             size = 0
             for i, t in enumerate(b.column(2)):
@@ -128,13 +128,13 @@ def _anchors(docs: DataFrame) -> DataFrame:
             if held:
                 yield out(ids, tags, held)
 
-    def out(ids: np.ndarray, tags: np.ndarray, held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    def out(ids: pa.Array, tags: pa.Array, held: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
         ends = np.cumsum([len(d) for _, _, d in held])
         a, c, first, n = contexts_of(np.frombuffer(b"".join(d for _, _, d in held), np.uint8), ends)
         which = np.searchsorted(ends, first, side="right")
-        row = np.array([r for r, _, _ in held])[which]
+        row = pa.array(np.array([r for r, _, _ in held])[which])
         begin = (np.array([o for _, o, _ in held]) - np.concatenate(([0], ends[:-1])))[which]
-        return pa.record_batch([pa.array(ids[row]), pa.array(tags[row]), pa.array(a), pa.array(c), pa.array((first + begin).astype(np.int32)), pa.array(n.astype(np.int16))], names=["doc_id", "tag", "a", "c", "s", "n"])
+        return pa.record_batch([ids.take(row), tags.take(row), pa.array(a), pa.array(c), pa.array((first + begin).astype(np.int32)), pa.array(n.astype(np.int16))], names=["doc_id", "tag", "a", "c", "s", "n"])
 
     return docs.mapInArrow(run, "doc_id bigint, tag bigint, a bigint, c bigint, s int, n smallint")
 

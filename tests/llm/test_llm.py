@@ -96,6 +96,11 @@ def test_substrings_with_dealt_anchors(spark, monkeypatch):
     check_substrings(spark, [(i, words(i, 40) + BASE[:230] + words(-i, 40), "en", "s") for i in range(30)] + [(99, words(5, 40) + BASE[100:310], "en", "s")])
 
 
+def test_substrings_of_long_texts_without_id(spark):
+    big = 2**53 + 1  # not a float64; it stands in one batch with the null id
+    check_substrings(spark, [(None, BASE, "en", "s"), (big, words(21, 40) + BASE[30:330] + words(22, 40), "en", "s"), (None, words(23, 90), "en", "s"), (5, None, "en", "s")])
+
+
 def test_suffix_array_and_prefixes():
     for seed in range(5):
         x = np.frombuffer(bytes(random.Random(seed).choices(b"ab", k=300)), np.uint8)
