@@ -9,8 +9,8 @@ before anything is shipped; the others travel, by anchor, to shards of bounded s
 In a shard the contexts are put end to end; Larsson-Sadakane refinement sorts the suffixes (each round sorts
 only the groups not yet told apart, by the rank of what follows, and doubles the depth), Kasai's walk gives
 the common prefixes, and neighbours in the array that share SPAN bytes are one repeated string. An anchor
-with very many different contexts is dealt over several shards; these are merged by binary search: each
-passes on the digests of its windows in sorted order, and a window found in another shard's run is a repeat.
+with very many different contexts is dealt over several shards; each passes on one row for each different window
+of such an anchor, named by its digest, and an aggregate over the digests finds what two or more shards hold.
 """
 
 from __future__ import annotations
@@ -29,8 +29,6 @@ SPAN, GRAM = 200, 40
 _W = SPAN - GRAM + 1
 #: Bytes of contexts that a shard should hold; distinct contexts of one anchor beyond which it is dealt out.
 SHARD_BYTES, HOT = 2 << 20, 2048
-#: Windows of dealt anchors that are merged at a time.
-WINDOWS = 4000
 #: Bytes hashed at a time.
 PIECE = 1 << 20
 _RNG = np.random.default_rng(20240229)
@@ -238,7 +236,7 @@ def _runs(which: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def _search_shards(rows: DataFrame) -> DataFrame:
     """rows: shard, a, c, m (times it occurs), hot, bytes. Runs of repeated windows: a, c, lo, hi; of hot anchors also
-    every window's digest (f, g), with lo its place and hi -1 where it is not repeated inside the shard."""
+    one row for each different window's digest (f, g), with lo its place and hi -1 where it is not repeated inside the shard."""
 
     def run(table: pa.Table) -> pa.Table:
         a, c = table.column("a").to_numpy(), table.column("c").to_numpy()
@@ -257,8 +255,12 @@ def _search_shards(rows: DataFrame) -> DataFrame:
             p = _prefix_sums(x := np.frombuffer(b"".join(data), np.uint8))
             q = _prefix_sums(x ^ 0x5A)
             i = begin[w] + at
-            for k, v in enumerate((a[w], c[w], at, np.where(known, 0, -1), _span_hash(p, i, i + SPAN).view(np.int64), _span_hash(q, i, i + SPAN).view(np.int64))):
-                cols[k].append(v)
+            f, g = _span_hash(p, i, i + SPAN).view(np.int64), _span_hash(q, i, i + SPAN).view(np.int64)
+            # equal windows are all known as repeated already, so the first of them speaks for the shard
+            order = np.lexsort((g, f))
+            one = order[np.concatenate(([True], (np.diff(f[order]) != 0) | (np.diff(g[order]) != 0)))]
+            for k, v in enumerate((a[w], c[w], at, np.where(known, 0, -1), f, g)):
+                cols[k].append(v[one])
         cat = [np.concatenate(v).astype(np.int64) for v in cols]
         digest = np.concatenate((np.zeros(len(none), bool), np.ones(len(cat[0]) - len(none), bool)))
         return pa.table([pa.array(np.repeat(shard, len(cat[0]))), *map(pa.array, cat), pa.array(digest)], names=["shard", "a", "c", "lo", "hi", "f", "g", "digest"])
@@ -266,20 +268,13 @@ def _search_shards(rows: DataFrame) -> DataFrame:
     return rows.groupBy("shard").applyInArrow(run, "shard bigint, a bigint, c bigint, lo bigint, hi bigint, f bigint, g bigint, digest boolean")
 
 
-def _merge_shards(windows: DataFrame, parts: int) -> DataFrame:
-    """Windows of hot anchors from all shards, dealt by digest. Those that another shard has too: a, c, lo, hi."""
+def _merge_shards(windows: DataFrame) -> DataFrame:
+    """Windows of hot anchors, each once a shard. Those that another shard has too and their own repeats not yet: a, c, lo, hi.
 
-    def run(table: pa.Table) -> pa.Table:
-        key = np.empty(table.num_rows, [("f", np.int64), ("g", np.int64)])
-        key["f"], key["g"] = table.column("f").to_numpy(), table.column("g").to_numpy()
-        shard, lo = table.column("shard").to_numpy(), table.column("lo").to_numpy()
-        order = np.lexsort((shard, key["g"], key["f"]))
-        merged, owner = key[order], shard[order]
-        first, last = np.searchsorted(merged, key, side="left"), np.searchsorted(merged, key, side="right") - 1
-        hit = owner[first] != owner[last]
-        return pa.table([table.column("a").filter(hit), table.column("c").filter(hit), pa.array(lo[hit]), pa.array(lo[hit] + 1)], names=["a", "c", "lo", "hi"])
-
-    return windows.withColumn("part", F.pmod("f", F.lit(parts))).groupBy("part").applyInArrow(run, "a bigint, c bigint, lo bigint, hi bigint")
+    A digest has at most one row for each shard, and the aggregate adds up before it ships.
+    """
+    shared = windows.groupBy("f", "g").agg(F.count("*").alias("k")).filter("k > 1").select("f", "g")
+    return windows.filter("hi < 0").join(shared, ["f", "g"], "left_semi").select("a", "c", "lo", (F.col("lo") + 1).alias("hi"))
 
 
 def _joined(pairs: np.ndarray) -> np.ndarray:
@@ -333,9 +328,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = fetched.mapInArrow(fetch, "shard bigint, a bigint, c bigint, m bigint, hot boolean, bytes binary").dropDuplicates(["shard", "a", "c"])
     found = cut(_search_shards(rows), "repeat-found")
     runs = found.filter(~F.col("digest")).select("a", "c", "lo", "hi")
-    windows = found.filter("digest").agg(F.count("*")).first()[0]
-    if windows:
-        runs = runs.unionAll(_merge_shards(found.filter("digest"), max(1, windows // WINDOWS)))
+    runs = runs.unionAll(_merge_shards(found.filter("digest")))
     spans = met.join(runs, ["a", "c"]).select("doc_id", "tag", (F.col("s") + F.col("lo")).alias("start"), (F.col("s") + F.col("hi") + SPAN - 1).alias("end"))
     per_doc = spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     final = narrow.join(per_doc, [narrow["doc_id"].eqNullSafe(per_doc["doc_id"]), narrow["tag"] == per_doc["tag"]], "left").select(narrow["doc_id"], "text", "spans")

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from tesserae.llm import components, exact_dedup, langid, licenses, lm, media, mixing, pieces, pii, simhash, substrings
 
@@ -96,6 +97,23 @@ def test_substrings_with_dealt_anchors(spark, monkeypatch):
     check_substrings(spark, [(i, words(i, 40) + BASE[:230] + words(-i, 40), "en", "s") for i in range(30)] + [(99, words(5, 40) + BASE[100:310], "en", "s")])
 
 
+def test_substrings_send_a_window_once_a_shard(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "HOT", 4)
+    monkeypatch.setattr(substrings, "SHARD_BYTES", 4000)
+    seen, merge = [], substrings._merge_shards
+
+    def spy(windows, *more):
+        seen.extend(windows.groupBy("f", "g").agg(F.count("*").alias("n"), F.count_distinct("shard").alias("shards")).collect())
+        out = merge(windows, *more)
+        assert "FlatMapGroups" not in out._jdf.queryExecution().executedPlan().toString()
+        return out
+
+    monkeypatch.setattr(substrings, "_merge_shards", spy)
+    # one passage between different neighbours: many contexts of one anchor hold the same windows
+    check_substrings(spark, [(i, words(100 + i, 40) + BASE[:230] + words(-100 - i, 40), "en", "s") for i in range(60)])
+    assert seen and all(r["n"] == r["shards"] for r in seen) and any(r["n"] > 1 for r in seen)
+
+
 def test_substrings_of_long_texts_without_id(spark):
     big = 2**53 + 1  # not a float64; it stands in one batch with the null id
     check_substrings(spark, [(None, BASE, "en", "s"), (big, words(21, 40) + BASE[30:330] + words(22, 40), "en", "s"), (None, words(23, 90), "en", "s"), (5, None, "en", "s")])
