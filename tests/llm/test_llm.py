@@ -146,6 +146,21 @@ def test_licenses(spark, empty):
         assert whole[r["doc_id"]] == ",".join(sorted(f for f, line in lines if line in r["text"].split("\n")))
 
 
+def test_licenses_among_other_words(spark):
+    model, level = licenses.train(spark.read.parquet(f"{SF}/documents.parquet"))
+    probe = [
+        ("Copyright (c) 2020 John Smith. Released under the MIT License.", "mit"), ("See the README for the build steps and usage notes. Licensed under the Apache License, Version 2.0.", "apache"),
+        ("SPDX-License-Identifier: MIT", "mit"), ("// SPDX-License-Identifier: GPL-3.0-or-later", "gpl"), ("The engine that they built last year was released under the MIT License and is used by many of them", "mit"),
+        ("First line\rReleased under the MIT License.\rLast line", "mit"), ("Notes\u2028This work is licensed under the GNU General Public License, version 3.\u2028End", "gpl"), ("Licensed under the Eclipse Public License 2.0.", "epl"),
+        ("Licensed under the Frobnicate Public License, version 7, with the permission of its owner.", "unknown"), ("They walked to the river. It was cold! Would they return?", "none"),
+    ]
+    out = {r["doc_id"]: r for r in got(licenses.license_scan(table(spark, [(i, t, "en", "s") for i, (t, _) in enumerate(probe)]), model, level))}
+    assert {t: out[i]["license"] for i, (t, _) in enumerate(probe)} == dict(probe)
+    assert [out[i]["n_paragraphs"] for i in (0, 5, 9)] == [1, 3, 1] and out[0]["n_licences"] == 1
+    twice = got(licenses.license_scan(table(spark, [(1, "Released under the MIT License.", "en", "s")] * 2), model, level))
+    assert [(r["n_paragraphs"], r["n_licences"]) for r in twice] == [(2, 2)]
+
+
 def test_pieces_equal_the_library(spark, docs, empty):
     import sentencepiece
 
