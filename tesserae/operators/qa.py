@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions.text import CONCEPT, TECHNICAL, candidates, kept, token_estimate
+from tesserae.functions.text import CONCEPT, TECHNICAL, candidates, is_english, kept, token_estimate
 
 QA = "array<struct<question:string,answer:string,type:string>>"
 
@@ -76,6 +76,12 @@ def rule_qa_ja(chunks: DataFrame, per_chunk: int = 4, chunk_col: str = "chunk")
     return rows.select("*", F.posexplode("qa").alias("qa_idx", "pair")).select(*chunks.columns, "qa_idx", "pair.*")
 
 
+def rule_qa_both(chunks: DataFrame, per_chunk: int = 4, chunk_col: str = "chunk") -> DataFrame:
+    """The English rules for chunks with more English than Japanese marker words, the Japanese rules for all others."""
+    english = is_english(F.col(chunk_col))
+    return rule_qa(chunks.filter(english), per_chunk, chunk_col).unionByName(rule_qa_ja(chunks.filter(~english), per_chunk, chunk_col))
+
+
 def strided(chunks: DataFrame, idx: str, most: int) -> DataFrame:
     """Every n-th chunk, so that at most about ``most`` are left. ``idx`` counts the chunks from 0."""
     total = chunks.count()

@@ -33,11 +33,11 @@ def rule_pipeline(docs: DataFrame, per_chunk: int = 4, max_chunks: int = 300, li
     chunks = numbered(chunks_of(docs, limit))
     total = chunks.count()
     taken = qa.strided(chunks, "global_idx", max_chunks)
-    pairs = qa.first_of_prefix(qa.rule_qa(taken, per_chunk), ["global_idx", "qa_idx"])
+    pairs = qa.first_of_prefix(qa.rule_qa_both(taken, per_chunk), ["global_idx", "qa_idx"])
     if total > max_chunks:
         step = total // max_chunks
         rest = chunks.filter((F.col("global_idx") % step != 0)).orderBy("global_idx").limit(50)
-        pairs = pairs.unionByName(qa.rule_qa(rest, 2))
+        pairs = pairs.unionByName(qa.rule_qa_both(rest, 2))
     return pairs.select("doc_id", "chunk_idx", "question", "answer", "type")
 
 

@@ -38,6 +38,12 @@ def chunk_length_profile(spark, sf):
     return s.groupBy(length_bucket(F.col("n")).alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg("n"), 6).alias("avg_tokens"))
 
 
+@query()
+def chunk_length_profile_all(spark, sf):
+    s = docs_of(spark, sf).select(F.explode(T.sentences(T.clean_text(F.col("text")))).alias("s")).select(T.token_estimate(F.col("s")).alias("n"))
+    return s.groupBy(length_bucket(F.col("n")).alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg("n"), 6).alias("avg_tokens"))
+
+
 # the packing of sentences, as a recursion over the sentences of each document
 _PACK = f"""
 WITH RECURSIVE s AS ({_S}), k AS (SELECT doc_id, i, s, {sql_tokens('s')} AS n FROM s),
@@ -257,6 +263,12 @@ def keyword_char_coverage(spark, sf):
     return keywords.char_coverage(keywords.top_by_frequency(d, 5), d)
 
 
+@query()
+def keyword_char_coverage_all(spark, sf):
+    d = docs_of(spark, sf)
+    return keywords.char_coverage(keywords.top_by_frequency(d, 5), d)
+
+
 _GAPW = " + ".join(f"contains(text, '{w}')::INT" for w in K.GAP_WORDS)
 
 
@@ -324,6 +336,25 @@ def qa_prefix_dedup(spark, sf):
     return qa.first_of_prefix(_rules(spark, sf), ["doc_id", "qa_idx"]).select("doc_id", "qa_idx", "question")
 
 
+def _rules_all(spark, sf):
+    return qa.rule_qa_both(docs_of(spark, sf).select("doc_id", F.col("text").alias("chunk")), 4)
+
+
+@query()
+def rule_qa_all(spark, sf):
+    return _rules_all(spark, sf).select("doc_id", "qa_idx", "question", F.md5("answer").alias("answer"), "type")
+
+
+@query()
+def rule_qa_types_all(spark, sf):
+    return _rules_all(spark, sf).groupBy("type").agg(F.count("*").alias("n"))
+
+
+@query()
+def qa_prefix_dedup_all(spark, sf):
+    return qa.first_of_prefix(_rules_all(spark, sf), ["doc_id", "qa_idx"]).select("doc_id", "qa_idx", "question")
+
+
 @query("WITH n AS (SELECT greatest(1, count(*) // 300) AS step, count(*) AS c FROM documents) SELECT doc_id FROM documents, n WHERE c <= 300 OR (doc_id % step = 0 AND doc_id < step * 300)")
 def stride_sample(spark, sf):
     return qa.strided(docs_of(spark, sf), "doc_id", 300).select("doc_id")
@@ -331,7 +362,7 @@ def stride_sample(spark, sf):
 
 @query()
 def rule_pipeline_types(spark, sf):
-    return pipelines.rule_pipeline(docs_of(spark, sf).filter("lang = 'en'")).groupBy("type").agg(F.count("*").alias("n"))
+    return pipelines.rule_pipeline(docs_of(spark, sf)).groupBy("type").agg(F.count("*").alias("n"))
 
 
 @query("""WITH q AS (SELECT doc_id // 5 AS batch, doc_id AS place, 1 + doc_id % 3 AS quota FROM documents), r AS (SELECT *, sum(quota) OVER (PARTITION BY batch ORDER BY place) AS until FROM q),

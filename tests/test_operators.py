@@ -180,3 +180,27 @@ def test_streaming_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("tumbled").columns == ["start", "event_type", "n", "total"]
+
+
+def test_rules_take_every_document(spark):
+    rows = [(1, "The river was long and it is known to all of them. It ran for many miles to the sea."), (2, "Der Fluss war lang und alle kannten ihn seit vielen Jahren."), (3, "機械学習は大量のデータからモデルを作る技術の総称である。短い。"), (4, None)]
+    out = qa.rule_qa_both(spark.createDataFrame(rows, "doc_id int, chunk string"), 4).collect()
+    assert {r["doc_id"] for r in out} == {1, 2, 3}
+    assert {r["doc_id"] for r in out if "「" in r["question"] or "この" in r["question"]} == {2, 3}
+
+
+def test_whole_table_queries(spark):
+    import tesserae.plans.queries_text  # noqa: F401
+    from tesserae.plans.registry import QUERIES
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    top = {}
+    for r in keywords.top_by_frequency(spark.read.parquet(f"{sf}/documents.parquet"), 5).collect():
+        top.setdefault(r["doc_id"], []).append(r["word"])
+    got = {r["doc_id"]: r["covered"] for r in QUERIES["keyword_char_coverage_all"](spark, sf).collect()}
+    want = {i: len({c for w in top.get(i, []) for a in range(len(t)) if t.startswith(w, a) for c in range(a, a + len(w))}) for i, t in texts.items()}
+    assert got == want
+    profile = {r["bucket"]: r["n"] for r in QUERIES["chunk_length_profile_all"](spark, sf).collect()}
+    assert sum(profile.values()) > sum(r["n"] for r in QUERIES["chunk_length_profile"](spark, sf).collect())
+    assert {r["doc_id"] for r in QUERIES["rule_qa_all"](spark, sf).collect()} > {r["doc_id"] for r in QUERIES["rule_qa"](spark, sf).collect()}
