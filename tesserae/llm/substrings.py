@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut, drop_table, small_batches
+from tesserae.llm.common import cut, drop_table, join_skewed, small_batches
 
 SPAN, GRAM = 200, 40
 _W = SPAN - GRAM + 1
@@ -298,17 +298,18 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     narrow = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.xxhash64(F.lit(7), F.col(f"`{id_col}`"), text).alias("tag"), text.alias("text"))
     places = cut(_anchors(narrow.filter(F.octet_length("text") >= SPAN)), "repeat-places")
-    twice = places.groupBy("a").agg(F.count("*").alias("k")).filter(F.col("k") > 1).select("a")
-    met = cut(places.join(twice, "a", "left_semi"), "repeat-met")
+    # anchors that very many contexts share meet their counts by broadcast, the others by shuffle
+    twice = places.groupBy("a").agg(F.count("*").alias("k")).filter(F.col("k") > 1)
+    met = cut(join_skewed(places, twice, ["a"], "k", places.count(), "c").filter("k IS NOT NULL").drop("k", "join_key"), "repeat-met")
     drop_table(places)
     distinct = met.groupBy("a", "c").agg(F.count("*").alias("m"), F.min(F.struct("doc_id", "tag", "s", "n")).alias("at"))
     heavy = F.count("*").alias("kinds")
     distinct = cut(distinct, "repeat-contexts")
     kinds = distinct.groupBy("a").agg(heavy).filter(F.col("kinds") > HOT)
-    size = distinct.agg(F.sum(F.col("at.n") + SPAN - 1)).first()[0] or 0
+    size, total = distinct.agg(F.coalesce(F.sum(F.col("at.n") + SPAN - 1), F.lit(0)), F.count("*")).first()
     shards = max(1, -(-size // SHARD_BYTES))
     spread = F.when(F.col("kinds").isNotNull(), F.pmod(F.xxhash64("c"), F.ceil(F.col("kinds") / HOT))).otherwise(F.lit(0))
-    dealt = distinct.join(kinds, "a", "left").select(
+    dealt = join_skewed(distinct, kinds, ["a"], "kinds", total, "c").select(
         "at.doc_id", "at.tag", F.struct("a", "c", "m", F.col("kinds").isNotNull().alias("hot"), F.pmod(F.xxhash64("a", spread), F.lit(shards)).alias("shard"), "at.s", "at.n").alias("w")
     )
     wanted = dealt.groupBy("doc_id", "tag").agg(F.collect_list("w").alias("w"))
@@ -330,7 +331,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = found.filter(~F.col("digest")).select("a", "c", "lo", "hi")
     runs = runs.unionAll(_merge_shards(found.filter("digest")))
     spans = met.join(runs, ["a", "c"]).select("doc_id", "tag", (F.col("s") + F.col("lo")).alias("start"), (F.col("s") + F.col("hi") + SPAN - 1).alias("end"))
-    per_doc = spans.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    # a set, so that rows that repeat whole, which share their name, do not multiply it
+    per_doc = spans.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     final = narrow.join(per_doc, [narrow["doc_id"].eqNullSafe(per_doc["doc_id"]), narrow["tag"] == per_doc["tag"]], "left").select(narrow["doc_id"], "text", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

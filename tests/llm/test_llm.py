@@ -119,6 +119,10 @@ def test_substrings_of_long_texts_without_id(spark):
     check_substrings(spark, [(None, BASE, "en", "s"), (big, words(21, 40) + BASE[30:330] + words(22, 40), "en", "s"), (None, words(23, 90), "en", "s"), (5, None, "en", "s")])
 
 
+def test_substrings_of_rows_repeated_whole(spark):
+    check_substrings(spark, [(7, words(31, 60) + BASE[:230], "en", "s")] * 400 + [(8, BASE, "en", "s"), (None, BASE[:220], "en", "s")])
+
+
 def test_suffix_array_and_prefixes():
     for seed in range(5):
         x = np.frombuffer(bytes(random.Random(seed).choices(b"ab", k=300)), np.uint8)
