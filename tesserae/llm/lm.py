@@ -1,93 +1,156 @@
 """Language-model scores by logistic context mixing, beside a smoothed unigram base.
 
-Three bit predictors look at a text's UTF-8 bytes: by the last byte, by a hash of the last three, and by a
-hash of the current word so far. A predictor keeps, for each context, how often each byte followed in the
-whole training fold; from these counts every node of the byte's binary tree (eight bits, first bit first) has a
-log-odds, the predictor's answer. The answers are summed with the weights that a gate, the bit's place in its
-byte, selects, and squashed to a probability. The weights start from common
-values and are refined online while a document is read, block by block, by the gradient of its own bits;
-each document starts anew, so scores do not depend on order or on neighbours.
-
-The counts are gathered from all training documents by ordinary aggregates. The tables have a fixed size
-(SLOTS contexts of 256 bytes each), whatever the corpus, which bounds what is broadcast.
+Five bit predictors look at a text's UTF-8 bytes. Three know how often each byte followed a context in the
+whole training fold: the last byte, a hash of the last three, and a hash of the current word so far. From the
+counts every node of the byte's binary tree (eight bits, first bit first) has a log-odds, the predictor's
+answer. The fourth remembers the text itself: which byte last followed a hash of the last five. The fifth
+remembers the corpus: at places that the text alone decides (about one in 257 bytes) it looks up, by a 64-bit
+hash of the 24 bytes before, how the training fold went on from there, and foretells that byte by byte until
+it is wrong once. Its table has a row for each such place, so it grows with the input.
+
+The answers are summed with the weights that a gate, the bit's place in its byte, selects, and squashed to a
+probability. The weights start from common values and are refined online while a text is read, block by block
+(32 bytes, then doubling), by the gradient of its own bits; the fourth predictor's memory is refined with them.
+Each text starts anew and is worked on in widths that follow from its own length, so that scores do not depend
+on order, neighbours or partitions. Before each byte, and at the end, the model also says whether the text ends.
+
+A training text does not foretell itself: the fifth predictor leaves one occurrence, its own, out of the count.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import cut, id_crc, small_batches
 
-#: Contexts of a hashed predictor; of the last byte there are 256.
+#: Contexts of a hashed predictor of fixed size; of the last byte there are 256.
 BITS = 15
 SLOTS = 1 << BITS
-#: Start of each predictor's rows in the common table: last byte, last three bytes, word so far.
+#: Start of each such predictor's rows in the common table: last byte, last three bytes, word so far.
 BASES = (0, 256, 256 + SLOTS)
 ROWS = 256 + 2 * SLOTS
+#: Letters of a word that its context tells apart; further on in a word, all share one context.
+WORD_BYTES = 64
+#: Bytes before a window of a long text that its contexts can depend on.
+LOOK = WORD_BYTES + 1
 #: Log-odds are kept in steps of 1/UNIT in one signed byte.
-UNIT = 14.0
-#: Each predictor's weight before a document is read, and the step of its refinement.
-START = np.array([0.1, 0.6, 0.5], np.float32)
-RATE = 0.7
+UNIT = 14
+#: Each predictor's weight before a text is read, and the step of its refinement; the weights' bounds.
+START = np.array([0.1, 0.6, 0.5, 0.3, 1.0], np.float32)
+RATE, CALM = 0.7, 64
+LEAST, MOST = -0.5, 2.0
 #: Bytes of a text's first block; each block is twice as long as the one before, up to the last figure.
-FIRST_BLOCK, LAST_BLOCK = 256, 16384
-#: Bytes that are worked on at a time in all documents together.
+FIRST_BLOCK, LAST_BLOCK = 32, 4096
+#: Blocks of a long text, and bytes of short texts together, that are held at a time.
+WINDOW_BLOCKS, GROUP = 32, 1 << 17
+#: Bytes that are worked on at a time in all texts together.
 AT_ONCE = 1 << 14
-#: A token over 1/HEAVY of all training tokens is looked up in a broadcast table, which has fewer than HEAVY rows.
-HEAVY = 20_000
-#: Tokens and slots a worker counts before it passes the counts on.
+#: Slots of the memory of the text itself.
+OWN_BITS = 12
+#: Bytes of context at a place of the corpus predictor, distance within which a place is the only one, and the
+#: bytes it foretells at most.
+ORDER, APART, AHEAD = 24, 128, 1024
+#: Log-odds of its answer by the bytes foretold rightly so far (below 8, below 32, more), and what two agreeing
+#: occurrences add.
+TRUST = (1.5, 3.0, 4.5)
+AGREED = 1.5
+#: A token over 1/HEAVY of all training tokens is looked up in a broadcast table, which so has fewer than HEAVY
+#: rows (about 150 MB at the very most); the others meet their counts in a shuffle.
+HEAVY = 1_000_000
+#: A place over 1/HOT of all places is looked up by broadcast, in a table of fewer than HOT rows.
+HOT = 1000
+#: Tokens a worker counts before it passes the counts on.
 FLUSH = 300_000
-_STEP = 1 << 20
+#: End costs are summed as whole numbers of 1/EXACT bits.
+EXACT = 1 << 32
+_APART = b"\0" * 5
 _GAP = np.zeros(256, bool)
 _GAP[[0, 9, 10, 11, 12, 13, 32]] = True
 _M1, _M2 = np.uint32(2654435761), np.uint32(0x9E3779B1)
+_K = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Contexts:
+    """For each byte of x (texts apart by five zero bytes) what the predictors look at; zeros stand before it."""
 
+    def __init__(self, x: np.ndarray):
+        n = len(x)
+        u = np.zeros(n + 5, np.uint32)
+        u[5:] = x
+        p1, p2, p3 = u[4 : n + 4], u[3 : n + 3], u[2 : n + 2]
+        three = p1 | (p2 << 8) | (p3 << 16)
+        #: the last four bytes, and a hash of the last five
+        self.tag = three | (u[1 : n + 1] << 24)
+        self.own = (((self.tag * _M1) ^ (u[:n] * _M2)) * _M2 >> (32 - OWN_BITS)).astype(np.int32)
+        three *= _M1
+        three >>= 32 - BITS
+        # the word so far: a sum of scrambled (letter, place in word), which restarts after white space
+        gap = _GAP.take(p1, mode="clip")
+        at = np.arange(n, dtype=np.uint32)
+        start = np.maximum.accumulate(at * gap)
+        at -= start
+        far = at > WORD_BYTES
+        at *= _M2
+        at ^= p1 * _M1
+        at *= _M2
+        at *= ~gap
+        run = np.cumsum(at, dtype=np.uint32)
+        run -= run.take(start, mode="clip")
+        run *= _M1
+        run >>= 32 - BITS
+        run[far] = 0
+        #: rows of the common table
+        self.rows = [p1.astype(np.int32), three.astype(np.int32) + BASES[1], run.astype(np.int32) + BASES[2]]
 
-def _contexts(x: np.ndarray) -> list[np.ndarray]:
-    """Row of the common table for each byte and predictor; texts are apart by zero bytes at their start."""
-    n = len(x)
-    u = np.zeros(n + 3, np.uint32)
-    u[3:] = x
-    p1, p2, p3 = u[2 : n + 2], u[1 : n + 1], u[:n]
-    three = ((p1 | (p2 << 8) | (p3 << 16)) * _M1) >> (32 - BITS)
-    # the word so far: a sum of scrambled (letter, place in word), which restarts after white space
-    gap = _GAP.take(p1, mode="clip")
-    at = np.arange(n, dtype=np.uint32)
-    start = np.maximum.accumulate(at * gap)
-    at -= start
-    at *= _M2
-    at ^= p1 * _M1
-    at *= _M2
-    at *= ~gap
-    run = np.cumsum(at, dtype=np.uint32)
-    run -= run.take(start, mode="clip")
-    run *= _M1
-    run >>= 32 - BITS
-    return [p1.astype(np.int64), three.astype(np.int64) + BASES[1], run.astype(np.int64) + BASES[2]]
-
-
-def _pieces(data: bytes) -> Iterator[np.ndarray]:
-    for a in range(0, len(data), _STEP):
-        yield np.frombuffer(data, np.uint8, min(_STEP, len(data) - a), a)
+
+def _joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Texts end to end with _APART after each, and where each begins."""
+    sizes = np.array([len(t) + len(_APART) for t in texts])
+    return np.frombuffer(_APART.join([*texts, b""]), np.uint8), np.cumsum(sizes) - sizes
+
+
+def _windows(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, whether a byte is only context) of all texts: short ones together, long ones in overlapping windows."""
+    group: list[bytes] = []
+    held = 0
+    for t in [*(t for t in texts if 0 < len(t) <= GROUP), None]:
+        if group and (t is None or held + len(t) > GROUP):
+            x, begin = _joined(group)
+            skip = np.zeros(len(x), bool)
+            ends = begin + [len(g) for g in group]
+            for k in range(len(_APART)):
+                skip[ends + k] = True
+            yield x, skip
+            group, held = [], 0
+        if t is not None:
+            group.append(t)
+            held += len(t)
+    for t in (t for t in texts if len(t) > GROUP):
+        for a in range(0, len(t), GROUP):
+            b = max(0, a - LOOK)
+            yield (x := np.frombuffer(t, np.uint8, min(GROUP, len(t) - a) + a - b, b)), np.arange(len(x)) < a - b
 
 
 def corpus_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """token, slot, c over the training fold: token rows (slot null) and byte counts (token null).
 
-    A document's tokens are its lower-cased words and one end, written as the empty string.
+    A document's tokens are its lower-cased words and one end, written as the empty string. A slot is a row of the
+    common table times 256 plus the byte; after all of these come the ends of texts, by the last byte.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[bytes] = Counter()
-        counts, one = np.zeros(ROWS * 256, np.uint32), np.uint32(1)
+        counts, one = np.zeros((ROWS + 1) * 256, np.uint32), np.uint32(1)
+        ends = np.zeros(256, np.int64)
 
         def tokens() -> pa.RecordBatch:
             k = [w.decode("utf-8", "replace") for w in words]
@@ -99,13 +162,16 @@ def corpus_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             texts = [(t.as_py() or "").encode() for t in b.column(0)]
             for t in texts:
                 words.update(t.lower().split())
+                ends[t[-1] if t else 0] += 1
+                if len(words) >= FLUSH:
+                    yield tokens()
             words[b""] += len(texts)
-            for x in _pieces(b"\0\0\0".join(texts)):
-                for rows in _contexts(x):
+            for x, skip in _windows(texts):
+                for rows in Contexts(x).rows:
+                    rows[skip] = ROWS
                     np.add.at(counts, (rows << 8) | x, one)
-            if len(words) >= FLUSH:
-                yield tokens()
         yield tokens()
+        counts[ROWS * 256 :] = ends
         for a in range(0, len(counts), 1 << 20):
             hit = np.flatnonzero(counts[a : a + (1 << 20)])
             yield pa.record_batch([pa.nulls(len(hit), pa.string()), pa.array(hit + a, pa.int64()), pa.array(counts[a + hit], pa.int64())], names=["token", "slot", "c"])
@@ -114,122 +180,313 @@ def corpus_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return cut(parts.groupBy("token", "slot").agg(F.sum("c").alias("c")), "lm-counts")
 
 
-def log_odds(slots: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Table (ROWS + 1, 256) of each tree node's log-odds in steps of 1/UNIT; 0 where nothing was seen."""
-    out = np.zeros((ROWS + 1, 256), np.int8)
-    order = np.argsort(slots)
-    slots, counts = slots[order], counts[order]
-    for a in range(0, ROWS, 2048):
-        lo, hi = np.searchsorted(slots, [a << 8, min(ROWS, a + 2048) << 8])
-        tree = np.zeros((min(2048, ROWS - a), 512), np.float32)
-        tree.reshape(-1)[((slots[lo:hi] >> 8) - a) * 512 + 256 + (slots[lo:hi] & 255)] = counts[lo:hi]
-        for node in range(255, 0, -1):
-            tree[:, node] = tree[:, 2 * node] + tree[:, 2 * node + 1]
-        zero, one = tree[:, 2::2], tree[:, 3::2]
-        odds = np.log((one + 0.2) / (zero + 0.2))
-        out[a : a + len(tree), 1:256] = np.clip(np.rint(odds * UNIT), -127, 127)
+def log_odds(counts: np.ndarray) -> np.ndarray:
+    """counts: (contexts, 256). Of each context and tree node the log-odds in steps of 1/UNIT; 0 where nothing was seen."""
+    tree = np.zeros((len(counts), 512), np.float32)
+    tree[:, 256:] = counts
+    for node in range(255, 0, -1):
+        tree[:, node] = tree[:, 2 * node] + tree[:, 2 * node + 1]
+    out = np.zeros((len(counts), 256), np.int8)
+    out[:, 1:] = np.clip(np.rint(np.log((tree[:, 3::2] + 0.2) / (tree[:, 2::2] + 0.2)) * UNIT), -127, 127)
     return out
 
 
-_SIGNS = [(1 - 2.0 * ((np.arange(256) >> (7 - b)) & 1)).astype(np.float32) for b in range(8)]
+def common_table(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log-odds by row and node, cost of going on and cost of ending in bits by last byte) from corpus_counts.
+
+    The log-odds are made in Spark; the driver gets ROWS rows of 256 bytes, whatever the corpus.
+    """
+    slots = counts.filter(F.col("slot").isNotNull()).select(F.shiftright("slot", 8).alias("row"), F.col("slot").bitwiseAND(255).cast("int").alias("byte"), "c")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = b.column(1)
+            seen, n = at.flatten().flatten()
+            table = np.zeros((len(at), 256))
+            table[np.repeat(np.arange(len(at)), at.value_lengths().to_numpy()), seen.to_numpy()] = n.to_numpy()
+            odds = log_odds(table)
+            yield pa.record_batch([b.column(0), pa.array([r.tobytes() for r in odds], pa.binary()), pa.array(table.sum(axis=1).astype(np.int64))], names=["row", "odds", "n"])
+
+    made = slots.filter(F.col("row") < ROWS).groupBy("row").agg(F.collect_list(F.struct("byte", "c")).alias("seen"))
+    got = made.mapInArrow(run, "row bigint, odds binary, n bigint").toArrow()
+    table, rows = np.zeros((ROWS + 1, 256), np.int8), got.column("row").to_numpy()
+    went, ended = np.zeros(256), np.zeros(256)
+    if len(rows):
+        table[rows] = np.frombuffer(b"".join(got.column("odds").to_pylist()), np.int8).reshape(-1, 256)
+        went[rows[rows < 256]] = got.column("n").to_numpy()[rows < 256]
+    for r in slots.filter(F.col("row") == ROWS).collect():
+        ended[r["byte"]] = r["c"]
+    p = (ended + 0.01) / (went + ended + 1)
+    return table, -np.log2(1 - p), -np.log2(p)
+
+
+_NODES = (1 << np.arange(8)) | (np.arange(256)[:, None] >> (8 - np.arange(8)))
+_BITS_OF = (np.arange(256)[:, None] >> (7 - np.arange(8))) & 1
+
+
+def paths(table: np.ndarray) -> np.ndarray:
+    """For each row and byte the eight answers on the way to the byte, positive where they speak for it, as one word."""
+    out = np.empty((len(table), 256, 8), np.int8)
+    sign = (2 * _BITS_OF - 1).astype(np.int8)
+    for a in range(0, len(table), 1024):
+        np.multiply(table[a : a + 1024, _NODES], sign, out=out[a : a + 1024])
+    return out.view(np.uint64).reshape(-1)
+
+
+def _guesses() -> np.ndarray:
+    """Words as in ``paths`` for a foretold byte: level (0: none; the last: the text's own memory), byte, byte that came."""
+    differs = _BITS_OF[:, None, :] != _BITS_OF[None, :, :]
+    before = np.cumsum(differs, axis=2) - differs
+    sure = np.where(before > 0, 0, np.where(differs, -1, 1))
+    levels = (0, *TRUST, *(t + AGREED for t in TRUST), 1)
+    return np.stack([np.rint(sure * v * UNIT) for v in levels]).astype(np.int8).view(np.uint64).reshape(-1)
+
+
+GUESSES = _guesses()
+OWN_LEVEL = 2 * len(TRUST) + 1
+#: Level of a foretold byte by the bytes foretold rightly before it, without and with agreement.
+_LEVELS = [(np.searchsorted((8, 32), np.arange(AHEAD), side="right") + 1 + more).astype(np.int32) << 8 for more in (0, len(TRUST))]
+
+
+def _eights(x: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number."""
+    w = x.astype(np.uint64)
+    for k in (1, 2, 4):
+        w = w[:-k] | (w[k:] << np.uint64(8 * k))
+    return w
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * _K
+    return h ^ (h >> np.uint64(29))
+
+
+def places_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes of the ORDER bytes before them) that the corpus predictor looks up in a text.
+
+    A place's eight bytes before it have the smallest hash of all places at most APART away; of equal hashes there is none.
+    """
+    places, hashes = [], []
+    for a in range(ORDER, len(data), GROUP):
+        lo, hi = max(ORDER, a - APART), min(len(data), a + GROUP + APART)
+        eights = _eights(np.frombuffer(data, np.uint8, hi - lo + ORDER - 1, lo - ORDER))
+        v = _mixed(eights[ORDER - 8 :] * _K)
+        n = len(v)  # places lo to hi - 1
+        least = np.full(n + 2 * APART, ~np.uint64(0))
+        least[APART : n + APART] = v
+        k = 1
+        while k < APART:  # least[i] becomes the minimum of APART values from i on
+            least[: len(least) - k] = np.minimum(least[: len(least) - k], least[k:])
+            k *= 2
+        at = np.flatnonzero((v < least[:n]) & (v < least[APART + 1 : n + APART + 1]))
+        at = at[(at + lo >= a) & (at + lo < a + GROUP)]
+        h = _mixed(_mixed(_mixed(eights[at]) + eights[at + 8]) + eights[at + 16])
+        places.append(at + lo)
+        hashes.append(h.view(np.int64))
+    return (np.concatenate(places), np.concatenate(hashes)) if places else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def total_bits(texts: list[bytes], table: np.ndarray) -> np.ndarray:
-    """Bits that the mixed model needs for each text. A text's result does not depend on its neighbours."""
+def _all_places(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, tag, held_out, text. One row for each place: doc_id, tag, held_out, place, h, next (bytes), c (their hash)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            which, at, hashes, tails = [], [], [], []
+            for i, t in enumerate(b.column(3)):
+                data = (t.as_py() or "").encode()
+                places, h = places_of(data)
+                ends = np.minimum(np.append(places[1:], len(data)), places + AHEAD)
+                which.append(np.full(len(places), i))
+                at.append(places)
+                hashes.append(h)
+                tails += [data[p:q] for p, q in zip(places.tolist(), ends.tolist())]
+            row = pa.array(np.concatenate(which) if which else np.empty(0, np.int64))
+            own = np.array([xxhash.xxh64_intdigest(t) for t in tails], np.uint64).view(np.int64)
+            yield pa.record_batch(
+                [*(b.column(k).take(row) for k in range(3)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(hashes)), pa.array(tails, pa.binary()), pa.array(own)],
+                names=["doc_id", "tag", "held_out", "place", "h", "next", "c"],
+            )
+
+    return docs.mapInArrow(run, "doc_id bigint, tag bigint, held_out boolean, place int, h bigint, next binary, c bigint")
+
+
+def foretold(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, tag, held_out, text. Per doc_id and tag a list of (place, agreed, bytes) that the training fold foretells.
+
+    Of all occurrences of a place's hash in the training fold the first and last continuation by byte order are
+    kept. A text is told the first; a training text whose own is the first is told the last, and nothing if there
+    is no other occurrence. They agree where two or more other occurrences go on alike.
+    """
+    found = _all_places(docs)
+    places = cut(found.drop("next"), "lm-places")
+    hot = places.groupBy("h").agg(F.count("*").alias("k")).filter(F.col("k") > places.count() / HOT).select("h")
+    hot = cut(hot, "lm-hot")
+    trained = found.filter(~F.col("held_out")).select("h", "next", "c")
+    table = trained.groupBy("h").agg(F.count("*").alias("k"), F.min(F.struct("next", "c")).alias("lo"), F.max(F.struct("next", "c")).alias("hi"))
+    # hot places: few rows on one side, so they are broadcast; for the others both sides are dealt by h once
+    by_h = lambda side, how: side.join(F.broadcast(hot), "h", how)
+    common = F.broadcast(cut(by_h(trained, "left_semi").groupBy("h").agg(F.count("*").alias("k"), F.min(F.struct("next", "c")).alias("lo"), F.max(F.struct("next", "c")).alias("hi")), "lm-common"))
+    met = by_h(places, "left_semi").join(common, "h").unionByName(by_h(places, "left_anti").join(table, "h"))
+    own = ~F.col("held_out")
+    k = F.col("k") - own.cast("int")
+    told = F.when(own & (F.col("c") == F.col("lo.c")), F.col("hi.next")).otherwise(F.col("lo.next"))
+    agreed = (k > 1) & (F.col("lo.c") == F.col("hi.c"))
+    return met.filter(k > 0).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("place", agreed.alias("agreed"), told.alias("next"))).alias("told"))
+
+
+def guess_of(data: bytes, told: list[tuple[int, bool, bytes]], out: np.ndarray) -> None:
+    """Write level and foretold byte (level << 8 | byte) into ``out``, as far as each continuation holds and one byte on."""
+    x = np.frombuffer(data, np.uint8)
+    for place, agreed, tail in told:
+        y = np.frombuffer(tail, np.uint8)[: len(x) - place]
+        wrong = np.flatnonzero(y != x[place : place + len(y)])
+        n = int(wrong[0]) + 1 if len(wrong) else len(y)
+        out[place : place + n] = _LEVELS[bool(agreed)][:n] | y[:n]
+
+
+class State:
+    """What is refined while texts are read: weights by bit, text and predictor, and each text's memory of itself."""
+
+    def __init__(self, n: int):
+        self.weights = np.repeat(np.repeat(START[None, None], n, 1), 8, 0)
+        self.tags, self.bytes = np.zeros(n << OWN_BITS, np.uint32), np.full(n << OWN_BITS, -1, np.int32)
+
+
+def block_size(k: int) -> int:
+    return min(FIRST_BLOCK << min(k, 30), LAST_BLOCK)
+
+
+def read(x: np.ndarray, begin: np.ndarray, lengths: np.ndarray, guess: np.ndarray, words: np.ndarray, state: State, block: int = 0) -> np.ndarray:
+    """Bits for ``lengths`` bytes from ``begin`` of each text in x, longest first, without ends; refines the state.
+
+    words is the result of ``paths``, whose last row answers nothing.
+    """
+    ctx, total, at = Contexts(x), np.zeros(len(lengths)), 0
+    while (live := int(np.searchsorted(-lengths, -at, side="left"))) > 0:
+        size = block_size(block)
+        left = np.minimum(lengths[:live] - at, size)
+        widths = -(-left // (size // 8)) * (size // 8)  # of eight kinds, so that neighbours do not matter
+        cuts = [0, *(np.flatnonzero(np.diff(widths)) + 1).tolist(), live]
+        for a, b, width in ((i, min(j, i + step), w) for s, j in zip(cuts, cuts[1:]) for w in (int(widths[s]),) for step in (max(1, AT_ONCE // w),) for i in range(s, j, step)):
+            _read_block(x, ctx, begin[a:b, None] + at, left[a:b, None], width, slice(a, b), guess, words, state, total)
+        at += size
+        block += 1
+    return total
+
+
+def _read_block(x: np.ndarray, ctx: Contexts, first: np.ndarray, left: np.ndarray, width: int, d: slice, guess: np.ndarray, words: np.ndarray, state: State, total: np.ndarray) -> None:
+    places = np.arange(width)
+    used = places < left
+    places = np.minimum(places + first, len(x) - 1)
+    byte = x.take(places)
+    word = np.empty((len(START), *places.shape), np.uint64)
+    for k in range(3):
+        words.take((ctx.rows[k].take(places) << 8) | byte, out=word[k], mode="clip")
+    tag, slot = ctx.tag.take(places), ctx.own.take(places) + (np.arange(d.start, d.stop)[:, None] << OWN_BITS)
+    held = np.where(state.tags.take(slot) == tag, state.bytes.take(slot), -1)
+    GUESSES.take(np.where(held < 0, 0, held << 8 | OWN_LEVEL << 16) | byte, out=word[3], mode="clip")
+    GUESSES.take((guess.take(places) << 8) | byte, out=word[4], mode="clip")
+    state.tags[slot], state.bytes[slot] = tag, byte
+    word *= used
+    answers = word.view(np.int8).reshape(*word.shape, 8)
+    came, mix, part = np.ones(places.shape, np.float32), np.empty(places.shape, np.float32), np.empty(places.shape, np.float32)
+    st = np.empty(word.shape, np.float32)
+    share = np.float32(RATE / UNIT) / (left[:, 0] + CALM).astype(np.float32)
+    for bit in range(8):
+        st[:] = answers[..., bit]
+        w = state.weights[bit, d, :, None] * np.float32(-1 / UNIT)
+        np.multiply(st[0], w[:, 0], out=mix)
+        for k in range(1, len(st)):
+            np.multiply(st[k], w[:, k], out=part)
+            mix += part
+        np.minimum(mix, 10, out=mix)
+        np.maximum(mix, -10, out=mix)
+        np.exp(mix, out=mix)
+        mix += 1
+        np.reciprocal(mix, out=mix)  # the probability of the bit that came
+        came *= mix
+        np.subtract(1, mix, out=mix)
+        for k in range(len(st)):
+            state.weights[bit, d, k] += share * np.einsum("ds,ds->d", mix, st[k])
+    total[d] -= np.where(used, np.log2(came), 0).sum(axis=1, dtype=np.float64)
+    np.clip(state.weights[:, d], LEAST, MOST, out=state.weights[:, d])
+
+
+def total_bits(texts: list[bytes], told: list[list[tuple[int, bool, bytes]]], words: np.ndarray, go: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Bits that the mixed model needs for each text and its end. A text's result does not depend on its neighbours."""
     out = np.zeros(len(texts))
+    steps = np.rint(go * EXACT).astype(np.int64)
+    for i, t in enumerate(texts):
+        last = np.bincount(np.frombuffer(t, np.uint8), minlength=256)
+        if t:
+            last[t[-1]] -= 1
+            last[0] += 1
+        out[i] = int(last @ steps) / EXACT * bool(t) + end[t[-1] if t else 0]
     group: list[int] = []
     held = 0
-    for i in [*sorted((i for i in range(len(texts)) if 0 < len(texts[i]) <= _STEP), key=lambda i: -len(texts[i])), -1]:
-        if group and (i < 0 or held + len(texts[i]) > 2 * _STEP):
-            out[group] = _read([texts[k] for k in group], table, None, FIRST_BLOCK)[0]
+    for i in [*sorted((i for i in range(len(texts)) if 0 < len(texts[i]) <= GROUP), key=lambda i: -len(texts[i])), -1]:
+        if group and (i < 0 or held + len(texts[i]) > GROUP):
+            x, begin = _joined([texts[k] for k in group])
+            guess = np.zeros(len(x), np.int32)
+            for b, k in zip(begin, group):
+                guess_of(texts[k], told[k], guess[b : b + len(texts[k])])
+            out[group] += read(x, begin, np.array([len(texts[k]) for k in group]), guess, words, State(len(group)))
             group, held = [], 0
         if i >= 0:
             group.append(i)
             held += len(texts[i])
-    for i in (i for i in range(len(texts)) if len(texts[i]) > _STEP):
-        weights, size = None, FIRST_BLOCK
-        for x in _pieces(texts[i]):
-            bits, weights = _read([x.tobytes()], table, weights, size)
-            out[i] += bits[0]
-            size = LAST_BLOCK
+    for i in (i for i in range(len(texts)) if len(texts[i]) > GROUP):
+        t, a, block, state = texts[i], 0, 0, State(1)
+        guess = np.zeros(len(t), np.int32)
+        guess_of(t, told[i], guess)
+        while a < len(t):
+            n = min(sum(map(block_size, range(block, block + WINDOW_BLOCKS))), len(t) - a)
+            b = max(0, a - LOOK)
+            out[i] += read(np.frombuffer(t, np.uint8, n + a - b, b), np.array([a - b]), np.array([n]), guess[b : a + n], words, state, block)[0]
+            a, block = a + n, block + WINDOW_BLOCKS
     return out
 
 
-def _read(texts: list[bytes], table: np.ndarray, weights: np.ndarray | None, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Read texts (longest first, none empty) side by side. The table's last row is the answer to nothing: zeros."""
-    lengths = np.array([len(t) for t in texts])
-    offsets = np.concatenate(([0], np.cumsum(lengths[:-1] + 3)))
-    x = np.frombuffer(b"\0\0\0".join(texts), np.uint8)
-    rows = [r << 8 for r in _contexts(x)]
-    if weights is None:
-        weights = np.repeat(np.repeat(START[None, None], len(texts), 1), 8, 0)  # bit, text, predictor
-    bits, flat, at = np.zeros(len(texts)), table.reshape(-1), 0
-    while (live := int(np.searchsorted(-lengths, -at, side="left"))) > 0:
-        a = 0
-        while a < live:
-            width = min(size, -(-int(lengths[a] - at) // 64) * 64)
-            d = slice(a, min(live, a + max(1, AT_ONCE // width)))
-            left, a = lengths[d, None] - at, d.stop
-            places = np.arange(width)
-            used = places < left
-            places = np.minimum(places + (at + offsets[d, None]), len(x) - 1)
-            byte = x.take(places).astype(np.int64)
-            base = [np.where(used, r.take(places), (len(table) - 1) << 8) for r in rows]
-            share = np.float32(RATE / UNIT) / np.minimum(left[:, 0], size).astype(np.float32)
-            came, mix, part, sign = (np.empty(byte.shape, np.float32) for _ in range(4))
-            st = [np.empty(byte.shape, np.float32) for _ in rows]
-            came.fill(1)
-            node, place = np.empty_like(byte), np.empty_like(byte)
-            for bit in range(8):
-                np.right_shift(byte, 8 - bit, out=node)
-                node |= 1 << bit
-                w = weights[bit, d, :, None] * np.float32(1 / UNIT)
-                for k in range(3):
-                    st[k][:] = flat.take(np.add(base[k], node, out=place), mode="clip")
-                    np.multiply(st[k], w[:, k], out=part if k else mix)
-                    if k:
-                        mix += part
-                np.take(_SIGNS[bit], byte, out=sign, mode="clip")
-                mix *= sign
-                np.clip(mix, -10, 10, out=mix)
-                np.exp(mix, out=mix)
-                mix += 1
-                np.reciprocal(mix, out=mix)  # the probability of the bit that came
-                came *= mix
-                mix -= 1
-                mix *= sign  # the bit minus its probability
-                for k in range(3):
-                    weights[bit, d, k] += share * np.einsum("ds,ds->d", mix, st[k])
-            bits[d] -= np.where(used, np.log(came), 0).sum(axis=1, dtype=np.float64)
-        np.clip(weights, -0.5, 2, out=weights)
-        at += size
-        size = min(2 * size, LAST_BLOCK)
-    return bits / np.log(2), weights
+_PATHS: dict[str, np.ndarray] = {}
+
+
+def _paths_once(key: str, table: np.ndarray) -> np.ndarray:
+    """``paths`` of a table, made once in a worker."""
+    if key not in _PATHS:
+        _PATHS.clear()
+        _PATHS[key] = paths(table)
+    return _PATHS[key]
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
-    Scores are log10 probabilities of the whole text. A null or empty text has the end token only and score 0.
-    With no training documents nothing is known: base_score is 0 and every bit of a text costs one bit.
+    Scores are log10 probabilities of the whole text and its end. A null or empty text has the end alone. With no
+    training documents nothing is known: base_score is 0 and, but for what a text tells of itself, a bit costs one bit.
     Repeated rows are answered one by one.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     counts = corpus_counts(docs, id_col, text_col)
     tokens = counts.filter(F.col("token").isNotNull()).select("token", "c")
     train, distinct = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     heavy = {r["token"].encode(): r["c"] for r in tokens.filter(F.col("c") > train / HEAVY).toLocalIterator()}
-    slots = counts.filter(F.col("slot").isNotNull()).select("slot", "c").toArrow()
-    table = log_odds(slots.column("slot").to_numpy(), slots.column("c").to_numpy())
-    del slots
-    shipped = spark.sparkContext.broadcast((heavy, table))
+    shipped = spark.sparkContext.broadcast((heavy, *common_table(counts), uuid.uuid4().hex))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    narrow = docs.select(
+        F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.xxhash64(F.lit(7), F.col(f"`{id_col}`"), text).alias("tag"), (id_crc(id_col) % 7 == 2).alias("held_out"), text.alias("text")
+    )
+    told = foretold(narrow)
+    same = [narrow["doc_id"].eqNullSafe(told["doc_id"]), narrow["tag"] == told["tag"]]
+    ready = narrow.join(told, same, "left").select(narrow["doc_id"], "held_out", "text", "told")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, model = shipped.value
-        row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
+        known, table, go, end, key = shipped.value
+        words = _paths_once(key, table)
         for b in batches:
-            texts = [(t.as_py() or "").encode() for t in b.column(1)]
-            bits = total_bits(texts, model)
+            texts = [t.as_py().encode() for t in b.column(2)]
+            guesses = [[(g["place"], g["agreed"], g["next"]) for g in v.as_py() or ()] for v in b.column(3)]
+            bits = total_bits(texts, guesses, words, go, end)
             n_tokens, n_known, logs, names, times, ends = [], [], [], [], [], [0]
             for t in texts:
                 c = Counter(t.lower().split())
@@ -246,16 +503,15 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             rare = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(times, pa.int32())], names=["token", "n"])
             yield pa.record_batch(
                 [
-                    pa.array(np.arange(row, row + len(texts)), pa.int64()), b.column(0), b.column(2), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()),
-                    pa.array(logs, pa.float64()), pa.array(bits, pa.float64()), pa.array(map(len, texts), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare),
+                    b.column(0), b.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(logs, pa.float64()), pa.array(bits, pa.float64()),
+                    pa.array(map(len, texts), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rare),
                 ],
-                names=["row", "doc_id", "held_out", "n_tokens", "known", "logs", "bits", "n_bytes", "rare"],
+                names=["doc_id", "held_out", "n_tokens", "known", "logs", "bits", "n_bytes", "rare"],
             )
-            row += len(texts)
 
-    schema = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, logs double, bits double, n_bytes bigint, rare array<struct<token:string,n:int>>"
-    narrow = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), (id_crc(id_col) % 7 == 2).alias("held_out"))
-    scored = cut(narrow.mapInArrow(run, schema), "lm-scored")
+    schema = "doc_id bigint, held_out boolean, n_tokens bigint, known bigint, logs double, bits double, n_bytes bigint, rare array<struct<token:string,n:int>>"
+    # written before it is numbered: the number then follows from the files, not from a run
+    scored = cut(ready.mapInArrow(run, schema), "lm-scored").withColumn("row", F.monotonically_increasing_id())
     # rare tokens meet their counts in a shuffle by token; only their sums come back to the rows
     light = tokens.filter(F.col("c") <= train / HEAVY)
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.token", "r.n").join(light, "token")
@@ -265,5 +521,5 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return scored.drop("rare").join(rare, "row", "left").select(
         F.col("doc_id").alias(id_col), "held_out", "n_tokens", n_known.cast("bigint").alias("n_known"), F.lit(int(train)).cast("bigint").alias("train_tokens"),
         base.alias("base_score"), (-F.col("bits") * float(np.log10(2))).alias("score"), "n_bytes",
-        F.when(F.col("n_bytes") > 0, F.col("bits") / F.col("n_bytes")).otherwise(0.0).alias("bits_per_byte"),
+        F.when(F.col("n_bytes") > 0, F.col("bits") / F.col("n_bytes")).otherwise(F.col("bits")).alias("bits_per_byte"),
     )

@@ -323,38 +323,151 @@ def test_lm_base_and_counts(docs, empty):
         k = toks(t or "")
         want.append((i, len(k), sum(c[x] > 0 for x in k), total, round(sum(np.log10((c[x] + 1) / (total + distinct + 1)) for x in k), 4)))
     assert sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in out), key=repr) == sorted(want, key=repr)
-    assert all(r["score"] <= 0 and (r["score"] < 0) == (r["n_bytes"] > 0) for r in out)
+    assert all(r["score"] < 0 for r in out)
     assert got(lm.lm_scores(empty)) == []
 
 
-def test_lm_mixing_against_a_plain_version():
-    texts = [words(7, 60).encode(), words(8, 400).encode(), b"x"]
-    x = np.frombuffer(b"\0\0\0".join(texts), np.uint8)
-    slots = np.concatenate([(r << 8) | x for r in lm._contexts(x)])
-    keys, n = np.unique(slots, return_counts=True)
-    model = lm.log_odds(keys, n)
-    got_bits = lm.total_bits(texts, model)
-    for text, bits in zip(texts, got_bits):
-        x = np.frombuffer(text, np.uint8)
-        rows = lm._contexts(x)
-        w = np.repeat(lm.START[None].astype(float), 8, 0)
-        total, at, size = 0.0, 0, lm.FIRST_BLOCK
-        while at < len(x):
-            grad = np.zeros((8, 3))
-            end = min(len(x), at + size)
-            for i in range(at, end):
-                node = 1
-                for b in range(8):
-                    st = np.array([model[r[i], node] for r in rows], float) / lm.UNIT
-                    y = int(x[i]) >> (7 - b) & 1
-                    p = 1 / (1 + np.exp(-np.clip(w[b] @ st, -10, 10)))
-                    total -= np.log2(p if y else 1 - p)
-                    grad[b] += (y - p) * st
-                    node = 2 * node + y
-            w = np.clip(w + lm.RATE * grad / (end - at), -0.5, 2)
-            at, size = end, min(2 * size, lm.LAST_BLOCK)
-        assert abs(total - bits) < 1e-3 * max(1, total)
-    assert abs(lm.total_bits(texts[1:2], model)[0] - got_bits[1]) < 1e-3
+def plain_contexts(data, i):
+    """(rows of the common table, tag, slot of the text's memory) before byte i, by whole numbers alone."""
+    m1, m2, low = 2654435761, 0x9E3779B1, 0xFFFFFFFF
+    p5, p4, p3, p2, p1 = data[max(0, i - 5) : i].rjust(5, b"\0")
+    three = p1 | p2 << 8 | p3 << 16
+    tag = three | p4 << 24
+    own = ((tag * m1 & low ^ p5 * m2 & low) * m2 & low) >> 20
+    start = i
+    while start and data[start - 1] not in b"\0\t\n\v\f\r ":
+        start -= 1
+    word = sum(((k - start) * m2 & low ^ data[k - 1] * m1 & low) * m2 for k in range(start + 1, i + 1))
+    word = 0 if i - start > 64 else (word * m1 & low) >> 17
+    return (p1, 256 + ((three * m1 & low) >> 17), 256 + 2**15 + word), tag, own
+
+
+def plain_places(data):
+    mask = 2**64 - 1
+
+    def mixed(h):
+        h = (h ^ h >> 31) * 0x9E3779B97F4A7C15 & mask
+        return h ^ h >> 29
+
+    eight = lambda i: int.from_bytes(data[i : i + 8], "little")
+    v = {i: mixed(eight(i - 8) * 0x9E3779B97F4A7C15 & mask) for i in range(24, len(data))}
+    at = [i for i in v if all(v[i] < v[j] for j in range(max(24, i - 128), min(len(data), i + 129)) if j != i)]
+    return [(i, mixed(mixed(mixed(eight(i - 24)) + eight(i - 16) & mask) + eight(i - 8) & mask), data[i : min(n, i + 1024)]) for i, n in zip(at, [*at[1:], len(data)])]
+
+
+def plain_told(rows):
+    """For each (text, held out) the continuations it is told."""
+    seen = {}
+    for t, held in rows:
+        for _, h, tail in plain_places(t) if not held else ():
+            seen.setdefault(h, []).append(tail)
+    out = []
+    for t, held in rows:
+        told = []
+        for i, h, tail in plain_places(t):
+            known = sorted(seen.get(h, []))
+            others = len(known) - (not held)
+            if others > 0:
+                told.append((i, others > 1 and known[0] == known[-1], known[-1] if not held and tail == known[0] else known[0]))
+        out.append(told)
+    return out
+
+
+def plain_model(train):
+    counts, ends = {}, Counter(t[-1] if t else 0 for t in train)
+    for t in train:
+        for i, byte in enumerate(t):
+            for row in plain_contexts(t, i)[0]:
+                counts.setdefault(row, Counter())[byte] += 1
+
+    def odds(row, node, bit):
+        n = [sum(c for b, c in counts.get(row, {}).items() if b >> (7 - bit) == 2 * node - (1 << (bit + 1)) + y) for y in (0, 1)]
+        return max(-127, min(127, round(float(np.log((n[1] + 0.2) / (n[0] + 0.2))) * 14)))
+
+    p_end = lambda last: (ends[last] + 0.01) / (sum(counts.get(last, {}).values()) + ends[last] + 1)
+    return odds, p_end
+
+
+def plain_bits(t, told, odds, p_end):
+    guess = {}
+    for i, agreed, tail in told:
+        for k, y in enumerate(tail[: len(t) - i]):
+            guess[i + k] = ((1.5, 3.0, 4.5)[(k >= 8) + (k >= 32)] + 1.5 * agreed, y)
+            if y != t[i + k]:
+                break
+    w = np.repeat(lm.START[None].astype(float), 8, 0)
+    total, at, size, memory = -np.log2(p_end(t[-1] if t else 0)), 0, 32, {}
+    while at < len(t):
+        grad, end, later = np.zeros((8, 5)), min(len(t), at + size), {}
+        for i in range(at, end):
+            rows, tag, slot = plain_contexts(t, i)
+            total -= np.log2(1 - p_end(rows[0]))
+            held = memory.get(slot)
+            told_bytes = [(1.0, held[1]) if held and held[0] == tag else None, guess.get(i)]
+            later[slot] = (tag, t[i])
+            node = 1
+            for b in range(8):
+                y = t[i] >> (7 - b) & 1
+                st = [odds(r, node, b) / 14 for r in rows]
+                for g in told_bytes:
+                    st.append(round(g[0] * 14) / 14 * (1 if g[1] >> (7 - b) & 1 else -1) if g and g[1] >> (8 - b) == t[i] >> (8 - b) else 0.0)
+                st = np.array(st)
+                p = 1 / (1 + np.exp(-np.clip(w[b] @ st, -10, 10)))
+                total -= np.log2(p if y else 1 - p)
+                grad[b] += (y - p) * st
+                node = 2 * node + y
+        w = np.clip(w + 0.7 * grad / (end - at + 64), -0.5, 2)
+        memory |= later
+        at, size = end, min(2 * size, 4096)
+    return total
+
+
+LM_ROWS = [
+    (1, words(41, 150), "en", "s"), (2, words(42, 60) + words(41, 150)[300:900], "en", "s"), (3, words(43, 100), "en", "s"), (4, words(41, 150)[:700] + "Zz " + words(44, 30), "en", "s"),
+    (5, "", "en", "s"), (6, None, "en", "s"), (7, words(43, 100), "en", "s"), (7, words(43, 100), "en", "s"), (None, "a" * 200 + " é日本\n", "en", "s"), (9, "x" * 150 + " end", "en", "s"),
+]
+
+
+def test_lm_scores_against_a_plain_version(spark):
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    assert {held(i) for i, *_ in LM_ROWS} == {True, False}
+    rows = [((t or "").encode(), held(i)) for i, t, *_ in LM_ROWS]
+    odds, p_end = plain_model([t for t, h in rows if not h])
+    told = plain_told(rows)
+    assert any(told) and any(agreed for v in told for _, agreed, _ in v)
+    want = [(i, -plain_bits(t, v, odds, p_end) * np.log10(2)) for (i, *_), (t, _), v in zip(LM_ROWS, rows, told)]
+    runs = [sorted(((r["doc_id"], r["score"]) for r in got(lm.lm_scores(table(spark, LM_ROWS).repartition(n)))), key=repr) for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2]
+    for (i, a), (k, b) in zip(runs[0], sorted(want, key=repr)):
+        assert i == k and abs(a - b) < 1e-3 * max(1, -b)
+
+
+def test_lm_long_texts_in_windows(monkeypatch):
+    r = random.Random(3)
+    texts = [words(s, 900).encode() for s in (51, 52)] + [b"y" * 3000 + bytes(r.randrange(256) for _ in range(9000)), b"short"]
+    table_ = r.choices(range(-127, 128), k=256 * (lm.ROWS + 1))
+    model = lm.paths(np.array(table_, np.int8).reshape(-1, 256))
+    told = [[(100, False, texts[0][100:400]), (400, True, texts[0][400:500] + b"?")], [], [(2990, True, texts[2][2990:4000])], []]
+    flat = np.full(256, 0.01)
+    results = []
+    for group, blocks in ((1 << 17, 32), (700, 3), (5000, 1)):
+        monkeypatch.setattr(lm, "GROUP", group)
+        monkeypatch.setattr(lm, "WINDOW_BLOCKS", blocks)
+        counts = Counter()
+        for x, skip in lm._windows(texts):
+            for k, rows in enumerate(lm.Contexts(x).rows):
+                counts.update(zip(rows[~skip].tolist(), x[~skip].tolist()))
+        results.append((lm.total_bits(texts, told, model, flat, flat).tolist(), counts, [(p.tolist(), h.tolist()) for p, h in map(lm.places_of, texts)]))
+    for bits, *rest in results[1:]:
+        assert np.allclose(bits, results[0][0], rtol=1e-12, atol=0) and rest == list(results[0][1:])
+    assert results[0][0][1] == lm.total_bits(texts[1:2], told[1:2], model, flat, flat)[0]
+    for t, (places, hashes) in zip(texts[1:], results[0][2][1:]):
+        assert [(i, h - (h >> 63 << 64)) for i, h, _ in plain_places(t)] == list(zip(places, hashes))
+
+
+def test_lm_held_out_texts_are_told_better_than_by_the_base(spark):
+    out = lm.lm_scores(spark.read.parquet(f"{SF}/documents.parquet")).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), (F.sum("score") / F.sum("n_bytes")).alias("each")).first()
+    assert out["s"] > out["b"] and -out["each"] / np.log10(2) < 3
 
 
 PLAIN = {
