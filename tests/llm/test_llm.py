@@ -466,7 +466,7 @@ def test_lm_long_texts_in_windows(monkeypatch):
 
 
 def test_lm_held_out_texts_are_told_better_than_by_the_base(spark):
-    out = lm.lm_scores(spark.read.parquet(f"{SF}/documents.parquet")).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), (F.sum("score") / F.sum("n_bytes")).alias("each")).first()
+    out = lm.lm_scores(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b"), (F.sum("score") / F.sum("n_bytes")).alias("each")).first()
     assert out["s"] > out["b"] and -out["each"] / np.log10(2) < 3
 
 
