@@ -48,9 +48,9 @@ START = np.array([0.1, 0.6, 0.5, 0.3, 1.0], np.float32)
 RATE, CALM = 0.7, 64
 LEAST, MOST = -0.5, 2.0
 #: Bytes of a text's first block; each block is twice as long as the one before, up to the last figure.
-FIRST_BLOCK, LAST_BLOCK = 32, 4096
+FIRST_BLOCK, LAST_BLOCK = 32, 1024
 #: Blocks of a long text, and bytes of short texts together, that are held at a time.
-WINDOW_BLOCKS, GROUP = 32, 1 << 17
+WINDOW_BLOCKS, GROUP = 128, 1 << 17
 #: Bytes that are worked on at a time in all texts together.
 AT_ONCE = 1 << 14
 #: Slots of the memory of the text itself.
@@ -323,10 +323,12 @@ def foretold(docs: DataFrame) -> DataFrame:
     hot = cut(hot, "lm-hot")
     trained = found.filter(~F.col("held_out")).select("h", "next", "c")
     table = trained.groupBy("h").agg(F.count("*").alias("k"), F.min(F.struct("next", "c")).alias("lo"), F.max(F.struct("next", "c")).alias("hi"))
-    # hot places: few rows on one side, so they are broadcast; for the others both sides are dealt by h once
-    by_h = lambda side, how: side.join(F.broadcast(hot), "h", how)
-    common = F.broadcast(cut(by_h(trained, "left_semi").groupBy("h").agg(F.count("*").alias("k"), F.min(F.struct("next", "c")).alias("lo"), F.max(F.struct("next", "c")).alias("hi")), "lm-common"))
-    met = by_h(places, "left_semi").join(common, "h").unionByName(by_h(places, "left_anti").join(table, "h"))
+    met = places.join(table, "h")
+    if hot.limit(1).count():
+        # few keys with very many rows: their table is broadcast, and both sides of the others are dealt by h
+        common = cut(table.join(F.broadcast(hot), "h", "left_semi"), "lm-common")
+        rest = places.join(F.broadcast(hot), "h", "left_anti").join(table, "h")
+        met = rest.unionByName(places.join(F.broadcast(common), "h"))
     own = ~F.col("held_out")
     k = F.col("k") - own.cast("int")
     told = F.when(own & (F.col("c") == F.col("lo.c")), F.col("hi.next")).otherwise(F.col("lo.next"))
@@ -388,17 +390,12 @@ def _read_block(x: np.ndarray, ctx: Contexts, first: np.ndarray, left: np.ndarra
     GUESSES.take((guess.take(places) << 8) | byte, out=word[4], mode="clip")
     state.tags[slot], state.bytes[slot] = tag, byte
     word *= used
-    answers = word.view(np.int8).reshape(*word.shape, 8)
-    came, mix, part = np.ones(places.shape, np.float32), np.empty(places.shape, np.float32), np.empty(places.shape, np.float32)
-    st = np.empty(word.shape, np.float32)
-    share = np.float32(RATE / UNIT) / (left[:, 0] + CALM).astype(np.float32)
+    answers = word.view(np.int8).reshape(*word.shape, 8).swapaxes(0, 1)  # text, predictor, byte, bit
+    came, st = np.ones(places.shape, np.float32), np.empty(answers.shape[:3], np.float32)
+    share = np.float32(RATE / UNIT) / (left + CALM).astype(np.float32)
     for bit in range(8):
         st[:] = answers[..., bit]
-        w = state.weights[bit, d, :, None] * np.float32(-1 / UNIT)
-        np.multiply(st[0], w[:, 0], out=mix)
-        for k in range(1, len(st)):
-            np.multiply(st[k], w[:, k], out=part)
-            mix += part
+        mix = np.matmul(state.weights[bit, d, None] * np.float32(-1 / UNIT), st)[:, 0]
         np.minimum(mix, 10, out=mix)
         np.maximum(mix, -10, out=mix)
         np.exp(mix, out=mix)
@@ -406,8 +403,7 @@ def _read_block(x: np.ndarray, ctx: Contexts, first: np.ndarray, left: np.ndarra
         np.reciprocal(mix, out=mix)  # the probability of the bit that came
         came *= mix
         np.subtract(1, mix, out=mix)
-        for k in range(len(st)):
-            state.weights[bit, d, k] += share * np.einsum("ds,ds->d", mix, st[k])
+        state.weights[bit, d] += share * np.matmul(st, mix[:, :, None])[:, :, 0]
     total[d] -= np.where(used, np.log2(came), 0).sum(axis=1, dtype=np.float64)
     np.clip(state.weights[:, d], LEAST, MOST, out=state.weights[:, d])
 
