@@ -286,12 +286,12 @@ def places_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(places), np.concatenate(hashes)) if places else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def _all_places(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, tag, held_out, text. One row for each place: doc_id, tag, held_out, place, h, next (bytes), c (their hash)."""
+def _all_places(docs: DataFrame, with_next: bool) -> DataFrame:
+    """docs: doc_id, tag, held_out, text. One row for each place: doc_id, tag, held_out, place, h, c (hash of what follows), and that if asked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            which, at, hashes, tails = [], [], [], []
+            which, at, hashes, own, tails = [], [], [], [], []
             for i, t in enumerate(b.column(3)):
                 data = (t.as_py() or "").encode()
                 places, h = places_of(data)
@@ -299,36 +299,50 @@ def _all_places(docs: DataFrame) -> DataFrame:
                 which.append(np.full(len(places), i))
                 at.append(places)
                 hashes.append(h)
-                tails += [data[p:q] for p, q in zip(places.tolist(), ends.tolist())]
+                parts = [data[p:q] for p, q in zip(places.tolist(), ends.tolist())]
+                own += map(xxhash.xxh64_intdigest, parts)
+                if with_next:
+                    tails += parts
             row = pa.array(np.concatenate(which) if which else np.empty(0, np.int64))
-            own = np.array([xxhash.xxh64_intdigest(t) for t in tails], np.uint64).view(np.int64)
-            yield pa.record_batch(
-                [*(b.column(k).take(row) for k in range(3)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(hashes)), pa.array(tails, pa.binary()), pa.array(own)],
-                names=["doc_id", "tag", "held_out", "place", "h", "next", "c"],
-            )
-
-    return docs.mapInArrow(run, "doc_id bigint, tag bigint, held_out boolean, place int, h bigint, next binary, c bigint")
+            cols = [*(b.column(k).take(row) for k in range(3)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(hashes)), pa.array(np.array(own, np.uint64).view(np.int64))]
+            names = ["doc_id", "tag", "held_out", "place", "h", "c", "next"]
+            yield pa.record_batch([*cols, pa.array(tails, pa.binary())] if with_next else cols, names=names[: 6 + with_next])
+
+    return docs.mapInArrow(run, "doc_id bigint, tag bigint, held_out boolean, place int, h bigint, c bigint" + ", next binary" * with_next)
+
+
+def _hot_table(docs: DataFrame, places: DataFrame, hot: DataFrame) -> DataFrame:
+    """h, k, lo, hi as in ``foretold`` for the few hot places: what follows is read from one text for each end."""
+    at = F.struct("c", "doc_id", "tag")
+    ends = places.join(F.broadcast(hot), "h", "left_semi").filter(~F.col("held_out")).groupBy("h").agg(F.count("*").alias("k"), F.min(at).alias("lo"), F.max(at).alias("hi"))
+    ends = cut(ends, "lm-hot-ends")
+    told = ends.select("h", F.explode(F.array("lo", "hi")).alias("at")).select("h", "at.*")
+    named = F.broadcast(told.select(F.col("doc_id").alias("told_id"), F.col("tag").alias("told_tag")).distinct())
+    texts = docs.join(named, docs["doc_id"].eqNullSafe(named["told_id"]) & (docs["tag"] == named["told_tag"]), "left_semi")
+    follows = _all_places(texts, True).join(F.broadcast(told.select("h", "c").distinct()), ["h", "c"], "left_semi").groupBy("h", "c").agg(F.min("next").alias("next"))
+    follows = cut(follows, "lm-hot-next")
+    for end in ("lo", "hi"):
+        one = follows.select("h", F.col("c").alias(f"c_{end}"), F.col("next").alias(f"next_{end}"))
+        ends = ends.withColumn(f"c_{end}", F.col(f"{end}.c")).join(F.broadcast(one), ["h", f"c_{end}"])
+    pair = lambda end: F.struct(F.col(f"c_{end}").alias("c"), F.col(f"next_{end}").alias("next")).alias(end)
+    return ends.select("h", "k", pair("lo"), pair("hi"))
 
 
 def foretold(docs: DataFrame) -> DataFrame:
     """docs: doc_id, tag, held_out, text. Per doc_id and tag a list of (place, agreed, bytes) that the training fold foretells.
 
-    Of all occurrences of a place's hash in the training fold the first and last continuation by byte order are
-    kept. A text is told the first; a training text whose own is the first is told the last, and nothing if there
-    is no other occurrence. They agree where two or more other occurrences go on alike.
+    Of all occurrences of a place's hash in the training fold two continuations are kept, those with the smallest
+    and the largest hash. A text is told the first; a training text whose own is the first is told the second, and
+    nothing if there is no other occurrence. They agree where two or more other occurrences go on alike.
     """
-    found = _all_places(docs)
-    places = cut(found.drop("next"), "lm-places")
+    places = cut(_all_places(docs, False), "lm-places")
     hot = places.groupBy("h").agg(F.count("*").alias("k")).filter(F.col("k") > places.count() / HOT).select("h")
     hot = cut(hot, "lm-hot")
-    trained = found.filter(~F.col("held_out")).select("h", "next", "c")
-    table = trained.groupBy("h").agg(F.count("*").alias("k"), F.min(F.struct("next", "c")).alias("lo"), F.max(F.struct("next", "c")).alias("hi"))
-    met = places.join(table, "h")
-    if hot.limit(1).count():
-        # few keys with very many rows: their table is broadcast, and both sides of the others are dealt by h
-        common = cut(table.join(F.broadcast(hot), "h", "left_semi"), "lm-common")
-        rest = places.join(F.broadcast(hot), "h", "left_anti").join(table, "h")
-        met = rest.unionByName(places.join(F.broadcast(common), "h"))
+    trained = _all_places(docs.filter(~F.col("held_out")), True)
+    table = trained.groupBy("h").agg(F.count("*").alias("k"), F.min(F.struct("c", "next")).alias("lo"), F.max(F.struct("c", "next")).alias("hi"))
+    # few keys with very many rows: their table is broadcast; of the others both sides are dealt by h once
+    rest = places.join(F.broadcast(hot), "h", "left_anti").join(table, "h")
+    met = rest.unionByName(places.join(F.broadcast(cut(_hot_table(docs, places, hot), "lm-hot-table")), "h"))
     own = ~F.col("held_out")
     k = F.col("k") - own.cast("int")
     told = F.when(own & (F.col("c") == F.col("lo.c")), F.col("hi.next")).otherwise(F.col("lo.next"))
@@ -396,15 +410,13 @@ def _read_block(x: np.ndarray, ctx: Contexts, first: np.ndarray, left: np.ndarra
     for bit in range(8):
         st[:] = answers[..., bit]
         mix = np.matmul(state.weights[bit, d, None] * np.float32(-1 / UNIT), st)[:, 0]
-        np.minimum(mix, 10, out=mix)
-        np.maximum(mix, -10, out=mix)
+        np.clip(mix, -10, 10, out=mix)
         np.exp(mix, out=mix)
-        mix += 1
-        np.reciprocal(mix, out=mix)  # the probability of the bit that came
-        came *= mix
-        np.subtract(1, mix, out=mix)
+        odds = mix + 1  # one over the probability of the bit that came
+        came *= odds
+        mix /= odds  # the probability of the other bit
         state.weights[bit, d] += share * np.matmul(st, mix[:, :, None])[:, :, 0]
-    total[d] -= np.where(used, np.log2(came), 0).sum(axis=1, dtype=np.float64)
+    total[d] += np.where(used, np.log2(came), 0).sum(axis=1, dtype=np.float64)
     np.clip(state.weights[:, d], LEAST, MOST, out=state.weights[:, d])
 
 
@@ -486,17 +498,21 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             n_tokens, n_known, logs, names, times, ends = [], [], [], [], [], [0]
             for t in texts:
                 c = Counter(t.lower().split())
-                total = sum(c.values())
                 c[b""] = 1
-                hit = [(known[w], n) for w, n in c.items() if w in known]
-                n_known.append(sum(n for _, n in hit))
-                logs.append(float(np.dot([n for _, n in hit], np.log10(np.array([k for k, _ in hit]) + 1.0))) if hit else 0.0)
-                rare = [w for w in c if w not in known]
-                names += [w.decode("utf-8", "replace") for w in rare]
-                times += [c[w] for w in rare]
+                hit, n_hit = [], []
+                for w, n in c.items():
+                    k = known.get(w)
+                    if k is None:
+                        names.append(w)
+                        times.append(n)
+                    else:
+                        hit.append(k)
+                        n_hit.append(n)
+                n_known.append(sum(n_hit))
+                logs.append(float(np.dot(n_hit, np.log10(np.array(hit) + 1.0))) if hit else 0.0)
                 ends.append(len(names))
-                n_tokens.append(total + 1)
-            rare = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(times, pa.int32())], names=["token", "n"])
+                n_tokens.append(c.total())
+            rare = pa.StructArray.from_arrays([pa.array(names, pa.binary()).cast(pa.string()), pa.array(times, pa.int32())], names=["token", "n"])
             yield pa.record_batch(
                 [
                     b.column(0), b.column(1), pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(logs, pa.float64()), pa.array(bits, pa.float64()),

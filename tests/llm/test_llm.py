@@ -365,7 +365,7 @@ def plain_told(rows):
     for t, held in rows:
         told = []
         for i, h, tail in plain_places(t):
-            known = sorted(seen.get(h, []))
+            known = sorted(seen.get(h, []), key=lambda b: (d := xxhash.xxh64_intdigest(b)) - (d >> 63 << 64))
             others = len(known) - (not held)
             if others > 0:
                 told.append((i, others > 1 and known[0] == known[-1], known[-1] if not held and tail == known[0] else known[0]))
