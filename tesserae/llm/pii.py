@@ -23,8 +23,9 @@ from tesserae.llm.common import small_batches
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
-_CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
+# Every match begins at the start of a run of digits; looking there alone reads no run more than a few times.
+_IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
+_CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 # Letters of other scripts that look like Latin ones, and the characters without width.
@@ -60,10 +61,11 @@ _SPELLED = re.compile(rf"(?<!\w){_DIGIT}[ ,.\-]+(?:(?:dot|point)[ ,.\-]+)?{_DIGI
 _SPELLING = frozenset(_VALUE) | {"dot", "point"}
 _LETTERS = re.compile(r"[^\W\d_]+")
 _ANY_DIGIT = re.compile("[0-9]")
-_DISGUISED = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]", re.I)
-_BRACKETS = re.compile(r"\s*[\[({<]\s*(at|@|dot|\.)\s*[\])}>]\s*", re.I)
+_DISGUISED = re.compile(r"[\[({<]\s*+(at|@|dot|\.)\s*+[\])}>]", re.I)
 _WORDS = re.compile(r"\s(?:dot|@)\s|\s@|@\s", re.I)
-_BARE = re.compile(r"(?<![\w.%+-])([A-Za-z0-9_%+-]+(?:(?:\.|\s+dot\s+)[A-Za-z0-9_%+-]+)*)(\s+at\s+|\s*@\s*)([A-Za-z0-9-]+(?:(?:\.|\s+dot\s+)[A-Za-z0-9-]+)+)", re.I)
+_AT = re.compile(r"(?<=\s)at(?=\s)|@", re.I)
+_NAME, _TIED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_%+-"), re.compile(r"[\w.%+-]")
+_HOST = re.compile(r"[A-Za-z0-9-]++(?:(?:\.|\s++dot\s++)[A-Za-z0-9-]++)++", re.I)
 _DOT = re.compile(r"\s+dot\s+", re.I)
 _SLIPS = re.compile(r"(?<=[0-9])[OolI](?=[0-9 ().-]|$)|(?<=[ ().+-])[OolI](?=[0-9])")
 
@@ -127,20 +129,63 @@ def fold_glyphs(t: Aligned) -> None:
     t.rewrite([(i, i + 1, FOLDS.get(ord(c), ""), t.starts[i], t.ends[i]) for i, c in enumerate(t.text) if c in _ODD_SET])
 
 
+def _spaced(text: str, s: int, e: int, least: int) -> tuple[int, int]:
+    """The span with the white space around it, from ``least`` on."""
+    while s > least and text[s - 1].isspace():
+        s -= 1
+    while e < len(text) and text[e].isspace():
+        e += 1
+    return s, e
+
+
 def undo_brackets(t: Aligned) -> None:
-    t.rewrite([(m.start(), m.end(), "@" if m[1].lower() in ("at", "@") else ".", t.starts[m.start(1)], t.ends[m.end(1) - 1]) for m in _BRACKETS.finditer(t.text)])
+    found, free = [], 0
+    for m in _DISGUISED.finditer(t.text):
+        s, free = _spaced(t.text, m.start(), m.end(), free)
+        found.append((s, free, "@" if m[1].lower() in ("at", "@") else ".", t.starts[m.start(1)], t.ends[m.end(1) - 1]))
+    t.rewrite(found)
+
+
+def _name_start(text: str, end: int, least: int) -> int:
+    """Where the name that ends at ``end`` begins, its parts joined by dots, spelled or not; -1 where there is none."""
+    best, at = -1, end
+    while True:
+        s = at
+        while s > least and text[s - 1] in _NAME:
+            s -= 1
+        if s == at:
+            return best
+        if s == 0 or not _TIED.match(text, s - 1):
+            best = s
+        if s > least and text[s - 1] == ".":
+            at = s - 1
+            continue
+        e, _ = _spaced(text, s, s, least)
+        if e == s or e - 3 < least or text[e - 3 : e].lower() != "dot":
+            return best
+        at, _ = _spaced(text, e - 3, e, least)
+        if at == e - 3:
+            return best
 
 
 def undo_words(t: Aligned) -> None:
     """``name at host dot org``: plain words count as disguise only where a spelled dot or a spaced @ shows intent."""
-    found = []
-    for m in _BARE.finditer(t.text):
-        spelled = bool(_DOT.search(m[3]))
-        top = re.split(r"\.|\s+dot\s+", m[3], flags=re.I)[-1]
-        if ("@" in m[2] or spelled) and (not spelled or (top.isalpha() and len(top) > 1)):
-            for d in (*_DOT.finditer(t.text, m.start(1), m.end(1)), None, *_DOT.finditer(t.text, m.start(3), m.end(3))):
-                s, e, new = (m.start(2), m.end(2), "@") if d is None else (d.start(), d.end(), ".")
-                found.append((s, e, new, t.starts[s], t.ends[e - 1]))
+    found, free = [], 0
+    for m in _AT.finditer(t.text):
+        if m.start() < free:
+            continue
+        s, e = _spaced(t.text, m.start(), m.end(), free)
+        host = _HOST.match(t.text, e)
+        begin = _name_start(t.text, s, free) if host else -1
+        if begin < 0:
+            continue
+        free = host.end()
+        spelled = bool(_DOT.search(host[0]))
+        top = re.split(r"\.|\s+dot\s+", host[0], flags=re.I)[-1]
+        if (m[0] == "@" or spelled) and (not spelled or (top.isalpha() and len(top) > 1)):
+            for d in (*_DOT.finditer(t.text, begin, s), None, *_DOT.finditer(t.text, e, free)):
+                a, b, new = (s, e, "@") if d is None else (d.start(), d.end(), ".")
+                found.append((a, b, new, t.starts[a], t.ends[b - 1]))
     t.rewrite(found)
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -509,6 +510,25 @@ def test_pii_disguises():
     assert pii.masked("to a@b.c now", pii.find_all("to a@b.c now")) == "to [email] now"
 
 
+@pytest.mark.parametrize("text", ["1234567890", "1.", " ", "dot ", "one two ", "x at y dot ", "a dot ", "a@", "+1 ", "a @ " + " " * 999, "one" + "," * 999, "a [at] b" + " " * 999])
+def test_pii_reads_long_texts_in_linear_time(text):
+    def took(n):
+        long, began = text * (n // len(text)), time.process_time()
+        pii.find_all(long, pii.find(long))
+        return time.process_time() - began
+
+    took(10_000)
+    assert took(1_000_000) < 8  # a square of the length would take minutes
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pii_plain_spans_of_digit_runs(seed):
+    r = random.Random(seed)
+    for _ in range(3000):
+        text = "".join(r.choices(["1", "25", "300", ".", ".", " ", "-", "+", "(", "a", "@", "4111 1111 1111 1111", "\n"], k=r.randint(1, 14)))
+        assert pii.find(text) == brute_pii(text), text
+
+
 def test_pii_rows(spark, docs, empty):
     out = got(pii.private_data(docs))
     assert len(out) == len(ROWS) and all(r["n_added"] == 0 for r in out)
