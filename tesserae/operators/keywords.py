@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,24 +127,44 @@ def details(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col:
     return out.select(id_col, "word", "difficulty", "category", "frequency", F.coalesce(F.trim("b.sentence"), F.lit("")).alias("best_context"), F.coalesce("b.importance", F.lit(0.0)).alias("context_importance"), F.coalesce("first_importance", F.lit(0.0)).alias("first_importance"))
 
 
-#: Patterns that relate two keywords of a sentence, with the relation's name, in order of preference.
+# What a line of a sentence must hold in this order, with other characters before, between and (last
+# figure) after, to relate two keywords; with the relation's name, in order of preference.
 RELATIONS = (
-    (r"(.+?)は(.+?)である", "is_a"), (r"(.+?)は(.+?)を(.+?)する", "uses"), (r"(.+?)により(.+?)が(.+?)", "enables"), (r"(.+?)のため(.+?)を", "for"),
-    (r"(.+?)を用いて(.+?)を", "uses"), (r"(.+?)から(.+?)へ", "transforms"), (r"(.+?)における(.+?)", "in_context"), (r"(.+?)による(.+?)", "by_means_of"),
+    (("は", "である"), 0, "is_a"), (("は", "を", "する"), 0, "uses"), (("により", "が"), 1, "enables"), (("のため", "を"), 0, "for"),
+    (("を用いて", "を"), 0, "uses"), (("から", "へ"), 0, "transforms"), (("における",), 1, "in_context"), (("による",), 1, "by_means_of"),
 )
 
 
+def _in_order(line: Column, words: tuple[str, ...], after: int) -> Column:
+    """Whether the words stand in the line in order, none at its start and no two side by side; one pass over the line."""
+    end, fits = F.lit(0), F.lit(True)  # of each word the first place that is free counts
+    for w in words:
+        at = F.position(F.lit(w), line, end + 2)
+        fits, end = fits & (at > 0), at + len(w) - 1
+    return fits & (end + after <= F.length(line))
+
+
+def _relation(sentence: Column) -> Column:
+    """The first fitting relation's name, looked for only where the sentence holds all of its words."""
+    lines = F.split(sentence, "[\n\r\u0085\u2028\u2029]")
+    out = F.lit("co_occurrence")
+    for words, after, name in reversed(RELATIONS):
+        held = reduce(lambda a, b: a & b, [F.contains(sentence, F.lit(w)) for w in words])
+        out = F.when(held & F.exists(lines, lambda line: _in_order(line, words, after)), F.lit(name)).otherwise(out)
+    return out
+
+
 def relations(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, source, target, relation_type, context: keywords that share a sentence, named by the first fitting pattern.
 
     rows: id, word, first. The first sentence of each relation is its context.
     """
-    parts = docs.select(id_col, F.posexplode(kept(F.split(text_col, "[。！？.!?]"))).alias("at", "sentence"))
-    kind = F.coalesce(*[F.when(F.col("sentence").rlike(p), F.lit(name)) for p, name in RELATIONS], F.lit("co_occurrence"))
+    parts = docs.select(id_col, F.posexplode(kept(F.split(text_col, "[。！？.!?]"))).alias("at", "sentence")).withColumn("relation_type", _relation(F.col("sentence")))
     met = rows.select(id_col, "word", "first").join(parts, id_col).filter(F.contains("sentence", "word"))
-    a = met.select(id_col, "at", "sentence", F.col("word").alias("source"), F.col("first").alias("p"))
-    b = met.select(id_col, "at", F.col("word").alias("target"), F.col("first").alias("q"))
-    pairs = a.join(b, [id_col, "at"]).filter(F.col("p") < F.col("q")).withColumn("relation_type", kind)
+    found = met.groupBy(id_col, "at", "sentence", "relation_type").agg(F.array_sort(F.collect_list(F.struct("first", "word"))).alias("words"))
+    # a document's keywords are few; each pair of one sentence, the earlier word first
+    pair = lambda x: F.transform(F.filter("words", lambda y: y["first"] > x["first"]), lambda y: F.struct(x["word"].alias("source"), y["word"].alias("target")))
+    pairs = found.select(id_col, "at", "sentence", "relation_type", F.inline(F.flatten(F.transform("words", pair))))
     return pairs.groupBy(id_col, "source", "target", "relation_type").agg(F.min_by("sentence", "at").alias("context"))
 
 

@@ -90,9 +90,8 @@ def strided(chunks: DataFrame, idx: str, most: int) -> DataFrame:
 
 def first_of_prefix(qa: DataFrame, order: list[str], length: int = 30) -> DataFrame:
     """The first pair of each question beginning. A beginning shared by very many pairs is reduced map-side."""
-    keyed = qa.withColumn("prefix", F.substring("question", 1, length)).withColumn("place", F.struct(*order))
-    best = keyed.groupBy("prefix").agg(F.min("place").alias("best"))
-    return keyed.join(best, (keyed["prefix"] == best["prefix"]) & (F.col("place") == F.col("best")), "left_semi").drop("prefix", "place")
+    keyed = qa.select(F.substring("question", 1, length).alias("prefix"), F.struct(*order).alias("place"), F.struct(*[F.col(f"`{c}`") for c in qa.columns]).alias("pair"))
+    return keyed.groupBy("prefix").agg(F.min_by("pair", "place").alias("pair")).select("pair.*")
 
 
 def chunk_quota(tokens: Column, place: Column, base: int = 5) -> Column:
@@ -188,14 +187,39 @@ def hint_pairs(asked: DataFrame, k: int = 5, id_col: str = "doc_id") -> DataFram
     return asked.withColumn("place", place).filter(F.col("place") <= k).select(id_col, "word", F.col("question_1").alias("question"), F.substring(F.col("answer_hint"), F.lit(1), cut).alias("answer"))
 
 
+# How Japanese texts define or list things (pattern, what may open the second part, what may end it).
+DEFINED = (r"([^。]+)とは([^。]+)(?:である|です)", ("とは",), ("である", "です"))
+CALLED = (r"([^。]+)は([^。]+)と呼ばれ", ("は",), ("と呼ばれ",))
+LISTED = (r"([^。]+)(?:には|に|では)、([^。]+(?:、[^。]+)+)が(?:ある|あります|含まれ|存在)", ("に、", "には、", "では、"), ("がある", "があります", "が含まれ", "が存在"))
+
+
+def _matches(text: Column, pattern: str, opens: tuple[str, ...], ends: tuple[str, ...], inside: str = "") -> Column:
+    """array<struct<a, b>>: the two groups of all matches, which lie within sentences.
+
+    A sentence is cut after the last ending; one that cannot match by the order of its parts is left out before the
+    pattern runs, so that no sentence is tried from each of its characters.
+    """
+    tail = lambda s: F.least(*[F.length(F.substring_index(s, e, -1)) for e in ends]) if len(ends) > 1 else F.length(F.substring_index(s, ends[0], -1))
+    heads = F.transform(F.split(text, "。"), lambda s: F.substring(s, F.lit(1), F.length(s) - tail(s)))
+
+    def fits(s: Column) -> Column:
+        at = [F.when((p := F.position(F.lit(o), s, F.lit(2))) > 0, p + len(o)) for o in opens]
+        begin = F.least(*at) if len(at) > 1 else at[0]  # of what follows the first opening
+        stop = F.greatest(*[F.when(s.endswith(e), F.length(s) - len(e)).otherwise(-1) for e in ends], F.lit(-1))  # the last place before the ending
+        if not inside:
+            return begin <= stop
+        mark = F.position(F.lit(inside), s, begin + 1)
+        return (mark > 0) & (mark < stop)
+
+    zipped = lambda s: F.arrays_zip(F.regexp_extract_all(s, F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(s, F.lit(pattern), F.lit(2)).alias("b"))
+    return F.flatten(F.transform(F.filter(heads, lambda s: F.coalesce(fits(s), F.lit(False))), zipped))
+
+
 def definitions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs from the two definition patterns of Japanese texts."""
     out = []
-    for pattern, ask, tell, kind, sure in (
-        (r"([^。]+)とは([^。]+)(?:である|です)", ("{a}とは何ですか？"), ("{a}とは{b}です。"), "definition", 0.9), (r"([^。]+)は([^。]+)と呼ばれ", ("{a}は何と呼ばれますか？"), ("{b}と呼ばれます。"), "terminology", 0.85),
-    ):
-        both = F.arrays_zip(F.regexp_extract_all(text_col, F.lit(pattern), F.lit(1)).alias("a"), F.regexp_extract_all(text_col, F.lit(pattern), F.lit(2)).alias("b"))
-        rows = docs.select(id_col, F.explode(both).alias("m")).select(id_col, F.trim(F.col("m")["a"]).alias("a"), F.trim(F.col("m")["b"]).alias("b"))
+    for known, ask, tell, kind, sure in ((DEFINED, "{a}とは何ですか？", "{a}とは{b}です。", "definition", 0.9), (CALLED, "{a}は何と呼ばれますか？", "{b}と呼ばれます。", "terminology", 0.85)):
+        rows = docs.select(id_col, F.inline(_matches(F.col(text_col), *known))).select(id_col, F.trim("a").alias("a"), F.trim("b").alias("b"))
         put = lambda s: F.replace(F.replace(F.lit(s), F.lit("{a}"), F.col("a")), F.lit("{b}"), F.col("b"))
         out.append(rows.select(id_col, put(ask).alias("question"), put(tell).alias("answer"), F.lit(kind).alias("type"), F.lit(sure).alias("confidence")))
     return reduce(DataFrame.unionAll, out)
@@ -203,9 +227,7 @@ def definitions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def enumerations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pairs from lists of Japanese texts, with their items."""
-    p = r"([^。]+)(?:には|に|では)、([^。]+(?:、[^。]+)+)が(?:ある|あります|含まれ|存在)"
-    both = F.arrays_zip(F.regexp_extract_all(text_col, F.lit(p), F.lit(1)).alias("a"), F.regexp_extract_all(text_col, F.lit(p), F.lit(2)).alias("b"))
-    rows = docs.select(id_col, F.explode(both).alias("m")).select(id_col, F.trim(F.col("m")["a"]).alias("a"), F.transform(F.split(F.col("m")["b"], "、"), F.trim).alias("items"))
+    rows = docs.select(id_col, F.inline(_matches(F.col(text_col), *LISTED, inside="、"))).select(id_col, F.trim("a").alias("a"), F.transform(F.split("b", "、"), F.trim).alias("items"))
     return rows.select(id_col, F.concat("a", F.lit("には何がありますか？")).alias("question"), F.concat("a", F.lit("には、"), F.array_join("items", "、"), F.lit("があります。")).alias("answer"), "items")
 
 

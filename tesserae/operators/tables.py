@@ -43,9 +43,8 @@ def nonblank(df: DataFrame, col: str) -> DataFrame:
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Of rows equal in the keys (nulls equal), the one first in order."""
-    best = df.groupBy(*keys).agg(F.min(order).alias("first_place"))
-    same = [df[k].eqNullSafe(best[k]) for k in keys] + [df[order] == best["first_place"]]
-    return df.join(best, same, "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    return df.select(*[F.col(f"`{k}`").alias(f"key_{i}") for i, k in enumerate(keys)], F.col(f"`{order}`").alias("place"), row).groupBy(*[f"key_{i}" for i in range(len(keys))]).agg(F.min_by("row", "place").alias("row")).select("row.*")
 
 
 def qa_table(df: DataFrame, order: str, limit: int | None = None) -> DataFrame:

@@ -1,6 +1,9 @@
 """Operators on small tables with nulls, ties and empties, and independence of partitioning."""
 
 import math
+import random
+import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,3 +207,37 @@ def test_whole_table_queries(spark):
     profile = {r["bucket"]: r["n"] for r in QUERIES["chunk_length_profile_all"](spark, sf).collect()}
     assert sum(profile.values()) > sum(r["n"] for r in QUERIES["chunk_length_profile"](spark, sf).collect())
     assert {r["doc_id"] for r in QUERIES["rule_qa_all"](spark, sf).collect()} > {r["doc_id"] for r in QUERIES["rule_qa"](spark, sf).collect()}
+
+
+PATTERNS = (
+    (r"(.+?)は(.+?)である", "is_a"), (r"(.+?)は(.+?)を(.+?)する", "uses"), (r"(.+?)により(.+?)が(.+?)", "enables"), (r"(.+?)のため(.+?)を", "for"),
+    (r"(.+?)を用いて(.+?)を", "uses"), (r"(.+?)から(.+?)へ", "transforms"), (r"(.+?)における(.+?)", "in_context"), (r"(.+?)による(.+?)", "by_means_of"),
+)
+
+
+def test_relation_names_follow_the_patterns(spark):
+    r = random.Random(2)
+    parts = ["は", "である", "を", "する", "により", "が", "のため", "を用いて", "から", "へ", "における", "による", "a", "b", "\n"]
+    texts = ["".join(r.choices(parts, k=r.randint(1, 9))) for _ in range(800)]
+    named = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", keywords._relation(F.col("s")).alias("k")).collect()
+    assert {x["i"]: x["k"] for x in named} == {i: next((k for p, k in PATTERNS if re.search(p, t)), "co_occurrence") for i, t in enumerate(texts)}
+
+
+def test_definitions_follow_the_patterns(spark):
+    r = random.Random(4)
+    parts = ["とは", "である", "です", "は", "と呼ばれ", "。", "には、", "に、", "では、", "、", "がある", "があります", "が含まれ", "a", "b", " "]
+    texts = ["".join(r.choices(parts, k=r.randint(1, 14))) for _ in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    for known, inside in ((qa.DEFINED, ""), (qa.CALLED, ""), (qa.LISTED, "、")):
+        out = docs.select("doc_id", qa._matches(F.col("text"), *known, inside=inside).alias("m")).collect()
+        assert {x["doc_id"]: [tuple(m) for m in x["m"]] for x in out} == {i: re.findall(known[0], t) for i, t in enumerate(texts)}
+
+
+def test_long_texts_without_sentence_ends(spark):
+    long = ["x" * 100_000, "xは" * 50_000, "とは" * 50_000, "xとはyです" + "z" * 100_000, "には、" * 30_000, "xには、y、z" * 10_000]
+    docs = spark.createDataFrame(list(enumerate(long)), "doc_id int, text string")
+    began = time.time()
+    assert qa.definitions(docs).count() >= 1 and qa.enumerations(docs).count() == 0
+    words = spark.createDataFrame([(i, w, p) for i in range(6) for p, w in enumerate(("x", "は"))], "doc_id int, word string, first int")
+    assert keywords.relations(words, docs).count() == 3
+    assert time.time() - began < 60
