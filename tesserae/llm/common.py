@@ -52,6 +52,11 @@ def id_crc(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
 
 
+def row_tag(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """A 64-bit name of a row by its id and text (null: empty), to tell rows apart that share an id or have none."""
+    return F.xxhash64(F.lit(7), F.col(f"`{id_col}`"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+
+
 def pick(df: DataFrame, *cols: str) -> DataFrame:
     """Only the named columns, whatever else the table has."""
     return df.select(*[F.col(f"`{c}`") for c in cols])

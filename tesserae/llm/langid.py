@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import id_crc, small_batches
+from tesserae.llm.common import id_crc, row_tag, small_batches
 
 UNKNOWN = "und"
 #: Bounds of the fitted sample: languages, texts of each, characters of each text, bytes of a dictionary.
@@ -26,22 +26,23 @@ BLOCK, LEVEL = 4096, 3
 #: Below this share of the second smallest total the margin is too narrow to decide.
 MIN_MARGIN = 0.002
 _OTHER = re.compile(r"[\W\d_]+")
-SCHEMA = "doc_id bigint, lang_pred string, score double, margin double, rejected boolean"
+SCHEMA = "doc_id bigint, tag bigint, lang_pred string, score double, margin double, rejected boolean"
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Dictionaries from a bounded sample: of each language the TEXTS rows with the smallest hash of the id.
 
-    The ids are chosen from the two narrow columns; texts are read for the chosen ids only. Rows without
+    Rows are chosen by id, language and tag; texts travel for the chosen rows only. Rows without
     text or language, and languages beyond the MAX_LANGS most frequent, teach nothing.
     """
     named = docs.filter(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(
-        F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text")
+        F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), row_tag(id_col, text_col).alias("tag")
     )
     langs = [r["lang"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
-    ids = named.select("id", "lang").filter(F.col("lang").isin(langs)).withColumn("rank", rank).filter(F.col("rank") <= TEXTS)
-    rows = named.join(F.broadcast(ids.select("id", "lang").distinct()), ["id", "lang"], "left_semi")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "tag"))
+    ids = named.select("lang", "tag", "id").filter(F.col("lang").isin(langs)).withColumn("rank", rank).filter(F.col("rank") <= TEXTS)
+    # rows, not ids, are chosen, and of rows that repeat whole one teaches: at most TEXTS of each language reach the driver
+    rows = named.join(F.broadcast(ids.select("lang", "tag").distinct()), ["lang", "tag"], "left_semi").dropDuplicates(["lang", "tag"])
     sample = rows.select("lang", F.substring("text", 1, CHARS).alias("text"), F.xxhash64("id").alias("h"))
     texts: dict[str, list[tuple[int, str]]] = {}
     for r in sample.toLocalIterator():
@@ -86,7 +87,7 @@ class Compressors:
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score, margin, rejected for every row.
+    """doc_id, tag (see ``row_tag``), lang_pred, score, margin, rejected for every row.
 
     A null or empty text, or one without any letter, is ``und`` with score 0 and rejected. With one learned
     language the margin is against twice its size. Repeated rows are answered one by one.
@@ -100,11 +101,11 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc
             found = [model.predict(t.as_py()) for t in b.column(1)]
             cols = list(zip(*found)) or [[]] * 4
             yield pa.record_batch(
-                [b.column(0), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.bool_())],
-                names=["doc_id", "lang_pred", "score", "margin", "rejected"],
+                [b.column(0), b.column(2), pa.array(cols[0], pa.string()), pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.bool_())],
+                names=["doc_id", "tag", "lang_pred", "score", "margin", "rejected"],
             )
 
-    narrow = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    narrow = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), row_tag(id_col, text_col).alias("tag"))
     return narrow.mapInArrow(run, SCHEMA)
 
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut, join_skewed, small_batches
+from tesserae.llm.common import cut, join_skewed, row_tag, small_batches
 from tesserae.llm.components import connected_components
 
 SHINGLE, MAX_BITS, SEGMENTS, WIDTH = 3, 2, 4, 16
@@ -83,16 +83,16 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every row."""
+    """doc_id, tag (see ``row_tag``), fp (the fingerprint as a signed long) of every row."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t.as_py()) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.record_batch([b.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.record_batch([b.column(0), b.column(2), pa.array(fps)], names=["doc_id", "tag", "fp"])
 
-    narrow = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    return narrow.mapInArrow(run, "doc_id bigint, fp bigint")
+    narrow = docs.select(F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), row_tag(id_col, text_col).alias("tag"))
+    return narrow.mapInArrow(run, "doc_id bigint, tag bigint, fp bigint")
 
 
 def _segment(i: int) -> Column:
@@ -202,8 +202,8 @@ def links(nodes: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links) of every row.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_tag: bool = False) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links) of every row; its tag too if asked.
 
     A null text counts as empty; texts without words have fingerprint zero and link like any other. Rows with
     the same fingerprint are one node, so repeated rows and large groups of copies cost nothing further. A null
@@ -218,4 +218,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = join_skewed(fps, labels, ["fp"], "n", total, "doc_id")
     digits = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     lowest = F.when(F.col("component_id") < 2**63 - 1, F.col("component_id"))
-    return named.select(F.col("doc_id").alias(id_col), digits.alias("fingerprint"), lowest.alias("component_id"))
+    return named.select(F.col("doc_id").alias(id_col), digits.alias("fingerprint"), lowest.alias("component_id"), *["tag"] * with_tag)
