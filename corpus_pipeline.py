@@ -12,39 +12,58 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import langid, mixing, pieces, simhash
-from tesserae.llm.common import cut, documents
+from tesserae.llm.common import cut, documents, row_tag
 from tesserae.llm.exact_dedup import exact_dedup
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the documents do not have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
+def _own(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
 def _key(digest: Column) -> Column:
     """Names a row by its id (null as no digits) and a digest of its text."""
     return F.concat(digest, F.lit("|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
 
 
-def _keep_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose doc_id is among ids; rows that share an id, or have none, share their fate."""
-    wanted = ids.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_key"))
-    return docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).join(wanted, "_key", "left_semi").select(docs.columns)
+def _keep_tagged(docs: DataFrame, tags: DataFrame) -> DataFrame:
+    """The rows whose tag (id and text) is among ``tags``."""
+    tag = _free(docs, "row_tag")
+    return docs.withColumn(tag, row_tag()).join(tags.select(F.col("tag").alias(tag)), tag, "left_semi").select(_own(docs))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and those whose language no dictionary tells from the next one."""
     found = langid.identify(docs, langid.fit(langid.train_fold(docs)))
-    return _keep_ids(docs, cut(found.filter(~F.col("rejected")).select("doc_id"), "language-kept"))
+    return _keep_tagged(docs, cut(found.filter(~F.col("rejected")).select("tag"), "language-kept"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of equal texts the row with the largest doc_id, and of wholly repeated rows one."""
-    kept = exact_dedup(docs).filter("kept").select(_key(F.col("text_sha256")).alias("_key"))
-    keyed = docs.withColumn("_key", _key(F.sha2(F.coalesce("text", F.lit("")), 256)))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    key = _free(docs, "row_key")
+    kept = exact_dedup(docs).filter("kept").select(_key(F.col("text_sha256")).alias(key))
+    keyed = docs.withColumn(key, _key(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    return keyed.join(kept, key, "left_semi").dropDuplicates([key]).select(_own(docs))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document with the smallest doc_id."""
-    return _keep_ids(docs, simhash.near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Keeps of each group of near duplicates one document: the smallest doc_id, of texts with that id the smallest tag.
+
+    Documents without an id come after all others; a group of such alone is taken by its fingerprints. Rows that
+    repeat whole, of which the stage before leaves one, share their fate.
+    """
+    group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag"))
+    found = simhash.near_duplicates(docs, with_tag=True)
+    return _keep_tagged(docs, found.groupBy(group.alias("group")).agg(first.alias("first")).select("first.tag"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +71,11 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows with the same id and text are one document here, taken as often as all of them together.
     """
-    times = F.sum(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))).cast("int").alias("_times")
-    taken = mixing.mix_sources(docs).groupBy(_key(F.col("text_hash")).alias("_key")).agg(times).filter("_times > 0")
-    keyed = docs.withColumn("_key", _key(F.md5(F.coalesce("text", F.lit(""))))).dropDuplicates(["_key"])
-    return keyed.join(taken, "_key").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(docs.columns)
+    key, copy, n = (_free(docs, c) for c in ("row_key", "row_copy", "row_times"))
+    times = F.sum(F.when(F.col("size") == 0, 1).otherwise(F.col("copies"))).cast("int").alias(n)
+    taken = mixing.mix_sources(docs).groupBy(_key(F.col("text_hash")).alias(key)).agg(times).filter(F.col(n) > 0)
+    keyed = docs.withColumn(key, _key(F.md5(F.coalesce("text", F.lit(""))))).dropDuplicates([key])
+    return keyed.join(taken, key).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(n)))).select(_own(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
