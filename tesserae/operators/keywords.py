@@ -223,3 +223,32 @@ def extract(docs: DataFrame, mode: str = "auto", id_col: str = "doc_id", text_co
     else:
         raise ValueError(f"no such mode: {mode}")
     return ranked.join(most, id_col).filter(F.col("rank") <= F.col("most")).drop("most")
+
+
+def frequent_or_first(docs: DataFrame, k: int = 5, least: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, place, word: the k most frequent words; texts with fewer than ``least`` of them take their first other words too.
+
+    The words that fill up may be stop words, single letters or repeats, in text order. Texts without a word have no row.
+    """
+    wide = r"[ァ-ヴー]+|[一-龥]{2,}|[A-Za-z]+[A-Za-z0-9]*"
+    best = top(words(docs, wide, id_col, text_col), F.col("n").cast("double"), k, id_col)
+    best = best.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("best")).select(id_col, F.transform("best", lambda b: b["word"]).alias("best"))
+    rows = docs.select(id_col, candidates(F.col(text_col), wide).alias("every")).join(best, id_col, "left").withColumn("best", F.coalesce("best", F.array().cast("array<string>")))
+    more = F.slice(F.filter("every", lambda w: ~F.array_contains("best", w)), F.lit(1), F.greatest(least - F.size("best"), F.lit(0)))
+    return rows.select(id_col, F.posexplode(F.concat("best", more)).alias("place", "word"))
+
+
+# Fixed value: what counts as a technical word.
+TECHNICAL_WORD = r"^([ァ-ヴー]{3,}|[A-Z]{2,}|[一-龥]{4,})$"
+
+
+def coverage_potential(rows: DataFrame, uncovered: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """rows: id, word. Shares of each keyword set that stand in the uncovered text, have four letters or more, are technical.
+
+    How near the set is to the text in meaning is ``vectors.cosine`` of their embeddings, joined by the same id.
+    """
+    met = rows.join(uncovered.select(id_col, F.col(text_col).alias("full")), id_col)
+    share = lambda c: F.round(F.avg(c.cast("double")), 6)
+    return met.groupBy(id_col).agg(
+        share(F.coalesce(F.contains("full", "word"), F.lit(False))).alias("coverage"), share(F.length("word") >= 4).alias("compound"), share(F.col("word").rlike(TECHNICAL_WORD)).alias("technical")
+    )

@@ -255,6 +255,19 @@ def keyword_by_difficulty(spark, sf):
     return keywords.by_difficulty(keywords.details(keywords.top_by_frequency(d, 10).select("doc_id", "word"), d), 5, {"basic": 0.3, "intermediate": 0.5, "advanced": 0.2}).select("doc_id", "word", "place")
 
 
+@query(f"""WITH {_T} SELECT t.doc_id, round(avg(contains(d.text, t.word)::INT::DOUBLE), 6) AS coverage, round(avg((length(t.word) >= 4)::INT::DOUBLE), 6) AS compound,
+ round(avg(regexp_matches(t.word, '{keywords.TECHNICAL_WORD}')::INT::DOUBLE), 6) AS technical FROM t JOIN documents d ON d.doc_id = t.doc_id + 1 GROUP BY t.doc_id""")
+def keyword_coverage_potential(spark, sf):
+    """The next document stands in for the text that a document's keywords do not cover yet."""
+    d = docs_of(spark, sf)
+    return keywords.coverage_potential(keywords.top_by_frequency(d, 5).select("doc_id", "word"), d.select((F.col("doc_id") - 1).alias("doc_id"), "text"))
+
+
+@query()
+def keyword_frequent_or_first(spark, sf):
+    return keywords.frequent_or_first(docs_of(spark, sf))
+
+
 @query(f"""WITH {_T}, c AS (SELECT t.doc_id, t.word, unnest(range(1, length(d.text) + 1)) AS i, d.text FROM t JOIN documents d USING (doc_id) WHERE d.lang = 'es'),
 h AS (SELECT doc_id, unnest(range(i, i + length(word))) AS cell FROM c WHERE substr(text, i, length(word)) = word), n AS (SELECT doc_id, count(DISTINCT cell) AS covered FROM h GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n.covered, 0) AS covered, round(coalesce(n.covered, 0)::DOUBLE / length(d.text), 6) AS coverage FROM documents d LEFT JOIN n USING (doc_id) WHERE d.lang = 'es'""")

@@ -63,7 +63,11 @@ def coverage_by_length(spark, sf):
 def coverage_by_position(spark, sf):
     b = _best(spark, sf)
     total = b.count()
-    ranked = b.withColumn("i", F.row_number().over(Window.orderBy("id")) - 1)
+    # numbered in two steps: rows within blocks of ids, and blocks by a sum over their sizes alone
+    blocks = b.groupBy(F.floor(F.col("id") / 1000).alias("block")).agg(F.count("*").alias("size"))
+    before = blocks.withColumn("before", F.sum("size").over(Window.orderBy("block")) - F.col("size")).select("block", "before")
+    within = F.row_number().over(Window.partitionBy("block").orderBy("id")) - 1
+    ranked = b.withColumn("block", F.floor(F.col("id") / 1000)).withColumn("within", within).join(before, "block").withColumn("i", F.col("before") + F.col("within"))
     return vectors.coverage_by(ranked, vectors.position_bucket(F.col("i"), F.lit(total)))
 
 

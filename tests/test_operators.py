@@ -8,6 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from tesserae.functions.keywords import STOPWORDS
 from tesserae.operators import keywords, qa, store, tables, vectors
 from tesserae.operators.costs import cost
 from tesserae.plans import pipelines
@@ -241,3 +242,17 @@ def test_long_texts_without_sentence_ends(spark):
     words = spark.createDataFrame([(i, w, p) for i in range(6) for p, w in enumerate(("x", "は"))], "doc_id int, word string, first int")
     assert keywords.relations(words, docs).count() == 3
     assert time.time() - began < 60
+
+
+def test_few_frequent_words_are_filled_up(spark):
+    texts = ["a b a データ", "猫 a x1 x1 は 学習", "", None, "AB CD AB EF GH IJ KL", "する こと"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    wide, stop = r"[ァ-ヴー]+|[一-龥]{2,}|[A-Za-z]+[A-Za-z0-9]*", set(STOPWORDS)
+    want = set()
+    for i, t in enumerate(texts):
+        every = re.findall(wide, t or "")
+        good = [w for w in every if w not in stop and len(w) > 1]
+        best = sorted(dict.fromkeys(good), key=lambda w: (-good.count(w), good.index(w)))[:5]
+        best += [w for w in every if w not in best][: max(0, 3 - len(best))]
+        want |= {(i, k, w) for k, w in enumerate(best)}
+    assert set(rows(keywords.frequent_or_first(docs))) == want
