@@ -319,3 +319,34 @@ def example_questions(words: DataFrame, word: str = "word") -> DataFrame:
     two = F.array(F.struct(F.concat(F.col(word), F.lit(EXAMPLES[0])).alias("question"), F.lit("definition").alias("type")), F.struct(F.concat(F.col(word), F.lit(EXAMPLES[1])).alias("question"), F.lit("feature").alias("type")))
     return words.select(*words.columns, F.explode(two).alias("q")).select(*words.columns, "q.*")
 
+
+# What an answer made by rules holds, and the coverage thresholds with and without one.
+RULE_MARKS = ("文書内で", "文書では", "重要な概念")
+RULE_THRESHOLD, WRITTEN_THRESHOLD = 0.4, 0.7
+
+
+def coverage_threshold(pairs: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id, threshold: the lower one for documents of which any answer was made by rules."""
+    by_rule = F.coalesce(F.max(reduce(Column.__or__, [F.contains("answer", F.lit(m)) for m in RULE_MARKS])), F.lit(False))
+    return pairs.groupBy(id_col).agg(F.when(by_rule, RULE_THRESHOLD).otherwise(WRITTEN_THRESHOLD).alias("threshold"))
+
+
+def validated(pairs: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order_col: str = "ordinal") -> DataFrame:
+    """Adds four checks, ``valid`` (all hold) and ``quality_score`` (their share) to pairs: id, order, question, answer.
+
+    answer_found: at least half of the answer's different words stand in the document's text. question_clear: at least
+    five characters, and a question mark or a question word. no_contradiction: no earlier pair of the document asks
+    the same with another answer. appropriate_length: an answer of 10 to 1000 characters. Nulls count as empty.
+    """
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[\s.,;:!?。、！？]+"), lambda w: w != ""))
+    q, a = F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit(""))
+    texts = docs.select(F.col(id_col), words(F.coalesce(F.col(text_col), F.lit(""))).alias("text_words")).dropDuplicates([id_col])
+    first = F.first(a).over(Window.partitionBy(id_col, q).orderBy(F.col(order_col), a))
+    known = F.size(F.array_intersect(words(a), F.coalesce("text_words", F.array().cast("array<string>"))))
+    checks = {
+        "answer_found": (F.size(words(a)) > 0) & (known * 2 >= F.size(words(a))),
+        "question_clear": (F.length(q) >= 5) & (q.rlike("[?？]") | q.rlike("|".join(QUESTION_WORDS))),
+        "no_contradiction": first == a, "appropriate_length": F.length(a).between(10, 1000),
+    }
+    held = reduce(Column.__add__, [F.col(c).cast("int") for c in checks])
+    return pairs.join(texts, id_col, "left").withColumns(checks).drop("text_words").withColumns({"valid": held == len(checks), "quality_score": held / len(checks)})

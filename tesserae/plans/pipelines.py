@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.text import clean_text
 from tesserae.operators import chunking, keywords, qa, vectors
-from tesserae.providers import Embedder, HashedNgrams, embedded
+from tesserae.providers import Embedder, HashedNgrams, Writer, embedded, written
 
 # Chunk size, pairs per chunk and title column of the known data sets.
 DATASETS = {"cc_news": (300, 5, "title"), "japanese_text": (200, 2, None), "wikipedia_ja": (250, 3, "title"), "livedoor": (200, 4, "title")}
@@ -72,6 +72,69 @@ def hybrid_summary(pairs: DataFrame, coverage: DataFrame) -> DataFrame:
     return both.agg(F.count("*").alias("n_docs"), F.sum(F.coalesce("n", F.lit(0))).alias("n_pairs"), F.round(F.avg(F.coalesce("n", F.lit(0))), 6).alias("avg_pairs"), F.round(F.avg("rate"), 6).alias("avg_coverage"), F.min("rate").alias("min_coverage"), F.max("rate").alias("max_coverage"))
 
 
+def batch_statistics(docs: DataFrame, per_call: int = 10, per_embedding: int = 150) -> DataFrame:
+    """Calls that batches of documents need, and the share they save of one writer and two embedding calls a document.
+
+    A batch of documents takes one writer call; chunks and pairs are embedded in two calls for each per_embedding documents.
+    """
+    n = docs.agg(F.count("*").alias("n_docs"))
+    up = lambda k: F.ceil(F.col("n_docs") / k)
+    calls = n.withColumns({"llm_calls": up(per_call), "embedding_calls": up(per_embedding) * 2})
+    saved = lambda used, plain: F.round(1 - F.col(used) / F.greatest(F.lit(1), plain), 6)
+    totals = calls.withColumn("total_calls", F.col("llm_calls") + F.col("embedding_calls"))
+    return totals.withColumns({"llm_saved": saved("llm_calls", F.col("n_docs")), "total_saved": saved("total_calls", F.col("n_docs") * 3)})
+
+
+def hybrid(docs: DataFrame, k: int = 5, writer: Writer | None = None, embedder: Embedder | None = None, per_document: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Pairs of all documents and their coverage: keywords and template pairs, or a writer's pairs from them.
+
+    Returns pairs (doc_id, question, answer, source) and coverage (doc_id, n_chunks, covered, rate, threshold). With a
+    writer each document is one request that names its keywords; what a reply does not give is not made up by rules.
+    Documents without keywords have no pairs; a document without pairs has coverage 0 at the higher threshold.
+    """
+    words = keywords.top_by_frequency(docs, k)
+    if writer is None:
+        asked = qa.template_questions(keywords.details(words.select("doc_id", "word"), docs))
+        made = qa.template_pairs(asked, keywords.relations(words.select("doc_id", "word", "first"), docs))
+        pairs = made.select("doc_id", "question", "answer", F.lit("rule-based").alias("source"))
+    else:
+        named = words.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]), ", ").alias("words"))
+        ask = F.concat(F.lit(f"Write {per_document} question and answer pairs as JSON with qa_pairs of question, answer, question_type, about: "), "words", F.lit("\n\n"), F.coalesce("text", F.lit("")))
+        prompts = docs.select("doc_id", "text").join(named, "doc_id").select("doc_id", ask.alias("prompt"))
+        pairs = written(prompts, writer, "doc_id", "prompt").select("doc_id", "question", "answer", F.lit("written").alias("source"))
+    e = embedder or HashedNgrams()
+    chunks = chunks_of(docs.select("doc_id", "text")).withColumn("vec_id", F.xxhash64("doc_id", "chunk_idx"))
+    texts = pairs.select("doc_id", F.concat_ws(" ", "question", "answer").alias("t")).distinct().withColumn("vec_id", F.xxhash64("doc_id", "t"))
+    a = chunks.select("doc_id", "vec_id").join(embedded(chunks, e, "vec_id", "chunk"), "vec_id")
+    b = texts.select("doc_id", "vec_id").join(embedded(texts, e, "vec_id", "t"), "vec_id")
+    limits = a.select("doc_id").distinct().join(qa.coverage_threshold(pairs), "doc_id", "left").select("doc_id", F.coalesce("threshold", F.lit(qa.WRITTEN_THRESHOLD)).alias("threshold"))
+    best = vectors.best_per_document(a, b, "doc_id").join(limits, "doc_id")
+    covered_n = F.count_if(F.col("max_sim") >= F.col("threshold"))
+    return pairs, best.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), covered_n.alias("covered"), F.round(covered_n / F.count("*"), 6).alias("rate"), F.max("threshold").alias("threshold"))
+
+
+def comprehensive(docs: DataFrame, target: int = 20, least_confidence: float = 0.7, writer: Writer | None = None) -> DataFrame:
+    """Validated pairs of each document, best first: definitions and lists, then template pairs, then a writer's up to the target.
+
+    A question that an earlier phase asked is not asked again. doc_id, ordinal, question, answer, phase, quality_score.
+    """
+    rules = qa.definitions(docs).filter(F.col("confidence") >= least_confidence).select("doc_id", "question", "answer").unionByName(qa.enumerations(docs).select("doc_id", "question", "answer"))
+    templates, _ = hybrid(docs)
+    phases = [rules.withColumn("phase", F.lit(1)), templates.select("doc_id", "question", "answer").withColumn("phase", F.lit(2))]
+    if writer is not None:
+        written_pairs, _ = hybrid(docs, writer=writer, per_document=target)
+        phases.append(written_pairs.select("doc_id", "question", "answer").withColumn("phase", F.lit(3)))
+    every = phases[0]
+    for p in phases[1:]:
+        every = every.unionByName(p)
+    once = every.groupBy("doc_id", "question").agg(F.min(F.struct("phase", "answer")).alias("first")).select("doc_id", "question", "first.*")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("phase", "question"))
+    numbered_pairs = once.withColumn("ordinal", place).filter((F.col("phase") < 3) | (F.col("ordinal") <= target))
+    good = qa.validated(numbered_pairs, docs).filter("valid")
+    best = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("quality_score"), "ordinal"))
+    return good.withColumn("place", best).select("doc_id", "place", "question", "answer", "phase", "quality_score")
+
+
 def accuracy(questions: DataFrame, store: DataFrame, embedder: Embedder | None = None) -> DataFrame:
     """question, correct_answer, retrieved_answer, search_score, similarity (percent): one nearest-neighbour join for all.
 

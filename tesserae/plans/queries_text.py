@@ -7,7 +7,7 @@ from pyspark.sql import Window
 
 from tesserae.functions import keywords as K
 from tesserae.functions import text as T
-from tesserae.operators import chunking, keywords, qa, tables
+from tesserae.operators import chunking, keywords, qa, replies, tables
 from tesserae.operators.vectors import length_bucket
 from tesserae.plans import pipelines
 from tesserae.plans.queries_tables import _QA, docs_of, qa_pairs
@@ -58,6 +58,10 @@ def greedy_pack(spark, sf):
     return out.select("doc_id", "chunk_idx", F.md5("chunk").alias("chunk"), F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last"))
 
 
+#: Where a window of 1000 characters from ``pos`` ends: after the first kind of mark that stands in its second half.
+_END = "CASE WHEN pos + 1000 < length(text) THEN coalesce(" + ", ".join(f"CASE WHEN instr(reverse(substr(text, pos + 1, 1000)), '{m}') BETWEEN 1 AND 499 THEN pos + 1001 - instr(reverse(substr(text, pos + 1, 1000)), '{m}') END" for m in "。！？.!?") + ", pos + 1000) ELSE pos + 1000 END"
+
+
 def _chunks(spark, sf):
     return pipelines.chunks_of(docs_of(spark, sf))
 
@@ -87,7 +91,10 @@ def packed_paragraphs_ja(spark, sf):
     return chunking.chunk_table(docs_of(spark, sf), chunking.as_chunks(chunking.packed_paragraphs, "ja", 500)).select("doc_id", "chunk_idx", "tokens")
 
 
-@query()
+@query(f"""WITH RECURSIVE w AS (SELECT doc_id, text, 0 AS pos FROM documents WHERE length(text) > 1000 UNION ALL
+ SELECT doc_id, text, greatest(pos + 1, e - 100) FROM (SELECT doc_id, text, pos, {{end}} AS e FROM w) WHERE greatest(pos + 1, e - 100) < length(text)),
+p AS (SELECT doc_id, pos, trim(substr(text, pos + 1, {{end}} - pos), {WS}) AS piece FROM w)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS chunk_idx, length(piece) AS n FROM p WHERE piece <> '' UNION ALL SELECT doc_id, 0, length(text) FROM documents WHERE length(text) <= 1000""".replace("{end}", _END))
 def sliding_window(spark, sf):
     return chunking.chunk_table(docs_of(spark, sf), chunking.as_chunks(chunking.sliding, 1000, 100)).select("doc_id", "chunk_idx", F.length("chunk").alias("n"))
 
@@ -137,7 +144,10 @@ def keyword_topn(spark, sf):
     return keywords.top_by_frequency(docs_of(spark, sf)).select("doc_id", "word", "rank")
 
 
-@query(f"WITH {_words_sql()} " + _top_sql(f"round(least(n / 3.0::DOUBLE, 1) * 0.3::DOUBLE + least(length(word) / 8.0::DOUBLE, 1) * 0.3::DOUBLE + CASE WHEN word IN ({_IMPORTANT}) THEN 0.5::DOUBLE ELSE 0 END + {_form_sql(.2, .3, .2)}, 9)"))
+_SCORE = f"round(least(n / 3.0::DOUBLE, 1) * 0.3::DOUBLE + least(length(word) / 8.0::DOUBLE, 1) * 0.3::DOUBLE + CASE WHEN word IN ({_IMPORTANT}) THEN 0.5::DOUBLE ELSE 0 END + {_form_sql(.2, .3, .2)}, 9)"
+
+
+@query(f"WITH {_words_sql()} " + _top_sql(_SCORE))
 def keyword_scored(spark, sf):
     return keywords.top_by_score(docs_of(spark, sf)).select("doc_id", "word", "rank")
 
@@ -172,7 +182,16 @@ def keyword_methods_compared(spark, sf):
     return keywords.methods_compared(docs_of(spark, sf))
 
 
-@query()
+_WEIGHT = "greatest(CASE WHEN regexp_full_match(word, '[ァ-ヴー]{3,}') THEN 1.0 ELSE 0 END::DOUBLE, CASE WHEN regexp_full_match(word, '[A-Z]{2,}[A-Z0-9]*') THEN 1.2 ELSE 0 END::DOUBLE, CASE WHEN regexp_full_match(word, '[一-龥]{4,}') THEN 0.9 ELSE 0 END::DOUBLE, CASE WHEN regexp_full_match(word, '[A-Za-z]+[A-Za-z0-9]*') THEN 0.8 ELSE 0 END::DOUBLE)"
+
+
+@query(f"""WITH {_words_sql()}, t AS ({_top_sql(_SCORE, 10)}),
+x AS (SELECT t.doc_id, t.word, t.rank, contains(d.text, t.word)::INT::DOUBLE AS inside, {_WEIGHT} AS weight, list_distinct(list_transform(range(1, length(t.word)), lambda i: substr(t.word, i, 2))) AS grams FROM t JOIN documents d USING (doc_id)),
+l AS (SELECT a.doc_id, count(*) FILTER (list_has_any(a.grams, b.grams)) AS linked FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.rank < b.rank GROUP BY a.doc_id),
+g AS (SELECT doc_id, count(*) AS n, avg(inside) AS coverage, stddev_samp(length(word)) AS sd, least(1, avg(weight)) AS technicality, avg((length(word) BETWEEN 2 AND 8)::INT::DOUBLE) AS length_balance FROM x GROUP BY doc_id),
+f AS (SELECT g.*, CASE WHEN n > 1 THEN least(1, CASE WHEN sd < 3 THEN sd / 3 ELSE (6 - sd) / 3 END) ELSE 0.5::DOUBLE END AS diversity, CASE WHEN n > 1 THEN coalesce(linked, 0) / (n * (n - 1) / 2.0::DOUBLE) ELSE 0 END AS coherence FROM g LEFT JOIN l USING (doc_id))
+SELECT doc_id, round(coverage, 6) AS coverage, round(diversity, 6) AS diversity, round(technicality, 6) AS technicality, round(coherence, 6) AS coherence, round(length_balance, 6) AS length_balance,
+ round(least(1, coverage * 0.25::DOUBLE + diversity * 0.15::DOUBLE + technicality * 0.25::DOUBLE + coherence * 0.2::DOUBLE + length_balance * 0.15::DOUBLE), 6) AS total FROM f""")
 def keyword_quality(spark, sf):
     return keywords.set_quality(keywords.top_by_score(docs_of(spark, sf), 10), docs_of(spark, sf))
 
@@ -204,7 +223,8 @@ def keyword_enough(spark, sf):
     return keywords.enough(keywords.top_by_frequency(d, 15), d, 0.2)
 
 
-@query()
+@query(f"""WITH {_words_sql()}, r AS (SELECT doc_id, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rank FROM w), s AS (SELECT doc_id, rank, sum(n) OVER (PARTITION BY doc_id ORDER BY rank)::DOUBLE AS share FROM r WHERE rank <= 15),
+g AS (SELECT doc_id, rank, share / lag(share) OVER (PARTITION BY doc_id ORDER BY rank) - 1 AS gain FROM s) SELECT doc_id, coalesce(min(rank) FILTER (gain < 0.05::DOUBLE) - 1, max(rank)) AS stop FROM g GROUP BY doc_id""")
 def keyword_diminishing(spark, sf):
     rows = keywords.top_by_frequency(docs_of(spark, sf), 15).withColumn("share", F.sum("n").over(Window.partitionBy("doc_id").orderBy("rank")).cast("double"))
     return keywords.diminishing(rows)
@@ -227,13 +247,18 @@ _IMP = (
 )
 
 
-@query(f"""WITH {_T}, x AS (SELECT doc_id, unnest(string_split_regex(text, '[。！？.!?]')) AS s, generate_subscripts(string_split_regex(text, '[。！？.!?]'), 1) AS place FROM documents),
+def _details_sql(k: int) -> str:
+    """The tables of details of each text's k most frequent words, the last named details."""
+    return f"""WITH {_words_sql()}, t AS ({_top_sql('n', k)}), x AS (SELECT doc_id, unnest(string_split_regex(text, '[。！？.!?]')) AS s, generate_subscripts(string_split_regex(text, '[。！？.!?]'), 1) AS place FROM documents),
 m AS (SELECT t.doc_id, t.word, x.place, x.s, round({_IMP}, 9) AS importance FROM t JOIN x ON t.doc_id = x.doc_id AND contains(x.s, t.word)),
-b AS (SELECT doc_id, word, first(trim(s) ORDER BY importance DESC, place) AS best_context, max(importance) AS context_importance FROM m GROUP BY doc_id, word)
-SELECT t.doc_id, t.word, {_OCC.replace('w.word', 't.word')} AS frequency, md5(b.best_context) AS best_context, b.context_importance,
+b AS (SELECT doc_id, word, first(trim(s) ORDER BY importance DESC, place) AS best_context, max(importance) AS context_importance, first(importance ORDER BY place) AS first_importance FROM m GROUP BY doc_id, word),
+details AS (SELECT t.doc_id, t.word, {_OCC.replace('w.word', 't.word')} AS frequency, md5(b.best_context) AS best_context, b.context_importance, b.first_importance,
  CASE WHEN regexp_matches(t.word, '^[A-Z]{{2,}}[A-Z0-9]*$') THEN 'advanced' WHEN length(t.word) >= 8 OR {_OCC.replace('w.word', 't.word')} = 1 THEN 'advanced' WHEN {_OCC.replace('w.word', 't.word')} >= 5 THEN 'basic' ELSE 'intermediate' END AS difficulty,
  CASE WHEN t.word IN ('BERT', 'GPT', 'CNN', 'RNN', 'LSTM') THEN 'specific_name' WHEN regexp_matches(t.word, '^[A-Z]{{2,}}[A-Z0-9]*$|^[ァ-ヴー]{{4,}}$') THEN 'technical_term' ELSE 'other' END AS category
-FROM t JOIN documents d USING (doc_id) JOIN b USING (doc_id, word)""")
+FROM t JOIN documents d USING (doc_id) JOIN b USING (doc_id, word))"""
+
+
+@query(_details_sql(5) + " SELECT doc_id, word, frequency, best_context, context_importance, difficulty, category FROM details")
 def keyword_details(spark, sf):
     d = docs_of(spark, sf)
     out = keywords.details(keywords.top_by_frequency(d, 5).select("doc_id", "word"), d)
@@ -249,7 +274,8 @@ def keyword_relations(spark, sf):
     return keywords.relations(keywords.top_by_frequency(d, 5).select("doc_id", "word", "first"), d).withColumn("context", F.md5("context"))
 
 
-@query()
+@query(_details_sql(10) + """, q AS (SELECT *, row_number() OVER (PARTITION BY doc_id, difficulty ORDER BY first_importance DESC, word) <= CASE difficulty WHEN 'intermediate' THEN 2 ELSE 1 END AS in_quota FROM details),
+p AS (SELECT doc_id, word, row_number() OVER (PARTITION BY doc_id ORDER BY in_quota DESC, first_importance DESC, word) AS place FROM q) SELECT * FROM p WHERE place <= 5""")
 def keyword_by_difficulty(spark, sf):
     d = docs_of(spark, sf)
     return keywords.by_difficulty(keywords.details(keywords.top_by_frequency(d, 10).select("doc_id", "word"), d), 5, {"basic": 0.3, "intermediate": 0.5, "advanced": 0.2}).select("doc_id", "word", "place")
@@ -429,15 +455,25 @@ def qa_template_pairs(spark, sf):
     return qa.template_pairs(asked, keywords.relations(top.select("doc_id", "word", "first"), d)).select("doc_id", "word", "question", F.md5("answer").alias("answer"), "difficulty")
 
 
-@query()
+@query(_details_sql(8) + """, p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY context_importance DESC, word) AS place FROM details)
+SELECT doc_id, word, word || CASE WHEN difficulty = 'basic' THEN 'とは何ですか？' WHEN difficulty = 'intermediate' THEN 'はどのように使われますか？' WHEN category = 'technical_term' THEN 'の技術的な詳細を説明してください。' ELSE 'の応用例を挙げてください。' END AS question FROM p WHERE place <= 5""")
 def qa_hint_pairs(spark, sf):
     d = docs_of(spark, sf)
     return qa.hint_pairs(qa.template_questions(keywords.details(keywords.top_by_frequency(d, 8).select("doc_id", "word"), d))).select("doc_id", "word", "question")
 
 
-@query()
+# a Latin letter beyond ASCII is no word border here, as it would be in DuckDB's patterns
+_GAP = "chr(10) || chr(10)"
+
+
+@query(rf"""WITH c AS (SELECT doc_id, CASE WHEN contains(text, {_GAP}) THEN string_split(text, {_GAP}) ELSE list_transform(range(0, length(text), 400), lambda i: substr(text, i + 1, 500)) END AS p, regexp_extract_all(regexp_replace(text, '[ªµºÀ-ÖØ-öø-ɏ]', '_', 'g'), '{_CON}|[A-Z]{{2,}}') AS n, string_split_regex(text, '[。.!?]') AS s FROM documents),
+d AS (SELECT doc_id, list_filter(p[1:4], lambda x: length(trim(x)) > 50) AS parts, list_filter(list_filter(n, lambda e, i: list_position(n, e) = i)[1:6], lambda e: len(list_filter(s, lambda x: contains(x, e))) > 0) AS names FROM c),
+q AS (SELECT doc_id, 0 AS o, 'What is the main content of this document?' AS question, 'comprehensive' AS type, 1 AS layer FROM d
+ UNION ALL SELECT doc_id, generate_subscripts(parts, 1), 'Explain the following: ''' || substr(unnest(parts), 1, 30) || '...''', 'paragraph_detail', 2 FROM d
+ UNION ALL SELECT doc_id, 10 + generate_subscripts(names, 1), 'What is mentioned about ' || unnest(names) || '?', 'entity_specific', 3 FROM d)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS qa_idx, question, type, layer FROM q""")
 def hierarchical_qa(spark, sf):
-    return qa.hierarchical(docs_of(spark, sf).filter("lang = 'en'")).select("doc_id", "qa_idx", "question", "type", "layer")
+    return qa.hierarchical(docs_of(spark, sf)).select("doc_id", "qa_idx", "question", "type", "layer")
 
 
 @query()
@@ -516,3 +552,48 @@ def qa_flattened(spark, sf):
 def qa_question_groups(spark, sf):
     pairs = qa_pairs(spark, sf)
     return tables.qa_table(pairs, "ordinal").select("question").distinct().join(pairs.groupBy("question").agg(F.min("ordinal").alias("first"), F.count("*").alias("n")), "question").select("first", "n")
+
+
+@query(_QA + f""", v AS (SELECT ordinal, question FROM qa UNION ALL SELECT ordinal + 500000, question || ' please' FROM qa WHERE conv_id % 2 = 0), t AS (SELECT min(ordinal) AS id, question, {_SET} AS s FROM v GROUP BY question)
+SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard FROM t a JOIN t b ON a.id < b.id WHERE len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))) > 0.7::DOUBLE""")
+def qa_jaccard_variants(spark, sf):
+    """Near copies made for the purpose: the questions of every second conversation again, with one word more."""
+    asked = qa_pairs(spark, sf)
+    again = asked.filter("conv_id % 2 = 0").select((F.col("ordinal") + 500000).alias("ordinal"), F.concat("question", F.lit(" please")).alias("question"))
+    return qa.similar_questions(asked.select("ordinal", "question").unionByName(again), "ordinal")
+
+
+@query(r"""WITH n AS (SELECT count(*) AS n_docs, ceil(count(*) / 10)::BIGINT AS llm_calls, 2 * ceil(count(*) / 150)::BIGINT AS embedding_calls FROM documents)
+SELECT *, llm_calls + embedding_calls AS total_calls, round(1 - llm_calls::DOUBLE / greatest(1, n_docs), 6) AS llm_saved, round(1 - (llm_calls + embedding_calls)::DOUBLE / greatest(1, n_docs * 3), 6) AS total_saved FROM n""")
+def batch_statistics(spark, sf):
+    return pipelines.batch_statistics(docs_of(spark, sf))
+
+
+_BAG = r"list_distinct(list_filter(string_split_regex(lower({}), '[\s.,;:!?。、！？]+'), lambda w: w <> ''))"
+
+
+@query(_QA + f""", c AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY conv_id), p AS (SELECT q.ordinal, q.conv_id, question, answer, {_BAG.format('answer')} AS w, {_BAG.format('text')} AS t, first(answer) OVER (PARTITION BY q.conv_id, question ORDER BY q.ordinal) AS earlier FROM qa q JOIN c USING (conv_id)),
+k AS (SELECT ordinal, len(w) > 0 AND len(list_intersect(w, t)) * 2 >= len(w) AS answer_found, length(question) >= 5 AND (contains(question, '?') OR regexp_matches(question, '？|何|なぜ|どのように|いつ|どこ|だれ|どちら')) AS question_clear, earlier = answer AS no_contradiction, length(answer) BETWEEN 10 AND 1000 AS appropriate_length FROM p)
+SELECT *, (answer_found::INT + question_clear::INT + no_contradiction::INT + appropriate_length::INT) / 4 AS quality_score, answer_found AND question_clear AND no_contradiction AND appropriate_length AS valid FROM k""")
+def qa_validated(spark, sf):
+    """Each pair held against the whole text of its conversation."""
+    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
+    texts = table(spark, sf, "conversations").groupBy("conv_id").agg(turns.alias("x")).select("conv_id", F.array_join(F.transform("x", lambda t: t["text"]), " ").alias("text"))
+    return qa.validated(qa_pairs(spark, sf), texts, "conv_id").select("ordinal", "answer_found", "question_clear", "no_contradiction", "appropriate_length", "quality_score", "valid")
+
+
+@query("""SELECT conv_id, turn, 'r' || conv_id AS reply_id, 'stand-in' AS model, CASE WHEN turn % 3 = 0 THEN [text] ELSE [text, role] END AS texts, length(text)::BIGINT AS prompt_tokens, turn AS completion_tokens, CASE WHEN turn % 3 <> 0 THEN 'f' || conv_id END AS file_id, CASE WHEN turn % 3 = 0 THEN NULL ELSE 'file_search_call' END AS call_type FROM conversations""")
+def reply_fields(spark, sf):
+    """Replies made of the turns, with their texts in messages or, in each third, as plain output text, read back."""
+    t = table(spark, sf, "conversations").withColumn("id", F.concat_ws("-", "conv_id", "turn"))
+    cite = F.array(F.struct(F.lit("file_citation").alias("type"), F.concat(F.lit("f"), "conv_id").alias("file_id"), F.lit("a.txt").alias("filename")))
+    none = F.array().cast("array<struct<type:string,file_id:string,filename:string>>")
+    said = lambda c, a: F.struct(F.lit("output_text").alias("type"), F.col(c).alias("text"), a.alias("annotations"))
+    message = F.struct(F.lit("m").alias("id"), F.lit("message").alias("type"), F.array(said("text", cite), said("role", none)).alias("content"))
+    call = F.struct(F.lit("c").alias("id"), F.lit("file_search_call").alias("type"), F.lit(None).cast("array<struct<type:string,text:string,annotations:array<struct<type:string,file_id:string,filename:string>>>>").alias("content"))
+    plain = F.col("turn") % 3 == 0
+    reply = F.struct(F.concat(F.lit("r"), "conv_id").alias("id"), F.lit("stand-in").alias("model"), F.when(~plain, F.array(call, message)).alias("output"), F.when(plain, F.col("text")).alias("output_text"), F.struct(F.length("text").alias("input_tokens"), F.col("turn").alias("output_tokens")).alias("usage"))
+    stored = t.select("conv_id", "turn", "id", F.to_json(reply).alias("reply"))
+    cited, calls = replies.citations(stored).select("id", "file_id"), replies.tool_calls(stored).select("id", F.col("type").alias("call_type"))
+    every = stored.select("conv_id", "turn", "id").join(replies.fields(stored), "id").join(cited, "id", "left").join(calls, "id", "left")
+    return every.select("conv_id", "turn", "reply_id", "model", "texts", "prompt_tokens", "completion_tokens", "file_id", "call_type")

@@ -1,15 +1,17 @@
 """Operators on small tables with nulls, ties and empties, and independence of partitioning."""
 
+import json
 import math
 import random
 import re
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tesserae.functions.keywords import STOPWORDS
-from tesserae.operators import keywords, qa, store, tables, vectors
+from tesserae.operators import keywords, qa, replies, store, tables, vectors
 from tesserae.operators.costs import cost
 from tesserae.plans import pipelines
 from tesserae.providers import HashedNgrams, budgeted, embedded, written
@@ -256,3 +258,58 @@ def test_few_frequent_words_are_filled_up(spark):
         best += [w for w in every if w not in best][: max(0, 3 - len(best))]
         want |= {(i, k, w) for k, w in enumerate(best)}
     assert set(rows(keywords.frequent_or_first(docs))) == want
+
+
+def test_per_document_coverage_with_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 7)
+    r = np.random.default_rng(3)
+    left, right = r.normal(size=(60, 4)), r.normal(size=(50, 4))
+    left[3] = 0
+    a = spark.createDataFrame([(i % 3, i, v.tolist()) for i, v in enumerate(left)] + [(0, 90, None), (None, 91, [1.0] * 4), (7, 92, [1.0] * 4)], "doc_id int, vec_id long, embedding array<double>")
+    b = spark.createDataFrame([(i % 3, i, v.tolist()) for i, v in enumerate(right)] + [(1, 99, None)], "doc_id int, vec_id long, embedding array<double>")
+    got = {x["chunk_id"]: x["max_sim"] for x in vectors.best_per_document(a, b, "doc_id").collect()}
+    unit = lambda m: m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) > 0, n, 1)
+    sims = np.round(unit(left) @ unit(right).T, 6)
+    want = {i: max(0.0, max(sims[i][j] for j in range(50) if j % 3 == i % 3)) for i in range(60)} | {90: 0.0, 91: 0.0, 92: 0.0}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-6 for k in want)
+
+
+class Told:
+    """A writer of one pair a request, or of none that can be read."""
+
+    def write(self, prompt: str) -> str:
+        return "no JSON" if "broken" in prompt else json.dumps({"qa_pairs": [{"question": "What is this?", "answer": prompt.rsplit("\n\n", 1)[1], "question_type": "fact"}]})
+
+
+def test_hybrid_pairs_and_coverage(spark):
+    docs = spark.createDataFrame([(1, "Alpha Beta Gamma are letters. Beta follows Alpha."), (2, "broken Words here. More broken Words."), (3, ""), (4, None)], "doc_id long, text string")
+    pairs, coverage = pipelines.hybrid(docs, 3)
+    asked = {}
+    for x in pairs.collect():
+        asked.setdefault(x["doc_id"], []).append(x["question"])
+    assert set(asked) == {1, 2} and all(len(v) == 6 for v in asked.values())
+    assert {x["doc_id"]: (x["n_chunks"], x["threshold"]) for x in coverage.collect()} == {1: (1, 0.7), 2: (1, 0.7)}
+    pairs, coverage = pipelines.hybrid(docs, 3, writer=Told())
+    assert [(x["doc_id"], x["source"]) for x in pairs.collect()] == [(1, "written")]
+    rate = {x["doc_id"]: x["rate"] for x in coverage.collect()}
+    assert rate == {1: 1.0, 2: 0.0}
+
+
+def test_thresholds_follow_the_marks(spark):
+    pairs = spark.createDataFrame([(1, "x"), (1, "文書内で述べられています"), (2, "x"), (3, None)], "doc_id int, answer string")
+    assert set(rows(qa.coverage_threshold(pairs))) == {(1, 0.4), (2, 0.7), (3, 0.7)}
+
+
+def test_comprehensive_pairs_are_valid_and_asked_once(spark):
+    docs = spark.createDataFrame([(1, "猫とは動物である。猫とは動物である。データ分析とは情報を読む技術です。"), (2, ""), (3, None)], "doc_id long, text string")
+    out = pipelines.comprehensive(docs, 5, writer=Told()).collect()
+    assert len({x["question"] for x in out}) == len(out) and {x["doc_id"] for x in out} <= {1}
+    assert all(x["quality_score"] == 1.0 for x in out) and [x["place"] for x in sorted(out, key=lambda x: x["place"])] == list(range(1, len(out) + 1))
+
+
+def test_replies_that_are_odd(spark):
+    odd = [(1, None), (2, "no JSON"), (3, "{}"), (4, '{"output": null, "output_text": "a"}'), (5, '{"output": [{"type": "message", "content": null}, {"type": "message"}], "extra": 1}'), (6, '{"output": [{"type": "message", "content": [{"type": "output_text", "text": "b", "annotations": null}, {"type": "refusal"}]}]}')]
+    d = spark.createDataFrame(odd, "id int, reply string")
+    assert {x["id"]: x["texts"] for x in replies.fields(d).collect()} == {1: [], 2: [], 3: [], 4: ["a"], 5: [], 6: ["b"]}
+    assert replies.citations(d).count() == replies.tool_calls(d).count() == 0
+    assert replies.fields(d.limit(0)).count() == 0
