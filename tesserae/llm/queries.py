@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import exact_dedup, langid, licenses, lm, media, mixing, pieces, pii, simhash, substrings
-from tesserae.llm.common import documents
+from tesserae.llm import chat, exact_dedup, filter_audit, langid, licenses, lm, media, mixing, pieces, pii, simhash, spelling, substrings
+from tesserae.llm.common import documents, pick
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,8 +55,22 @@ def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.private_data(documents(spark, sf_dir))
 
 
+def op11_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = pick(spark.read.parquet(f"{sf_dir}/conversations.parquet"), "conv_id", "turn", "role", "text")
+    turns = chat.turn_table(said.unionByName(chat.probe(said)))
+    return chat.read_back(turns, chat.prefix_examples(turns))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_language_id, op2_suffix_array_dedup, op3_license_scan, op4_sentencepiece, op5_exact_dedup, op6_mixing, op7_simhash, op8_media, op9_lm_scores, op10_private_data)
+    every = (op1_language_id, op2_suffix_array_dedup, op3_license_scan, op4_sentencepiece, op5_exact_dedup, op6_mixing, op7_simhash, op8_media, op9_lm_scores, op10_private_data, op11_chat_examples, op12_spelling_variants, op13_filter_audit)
     return {f.__name__: f for f in every}
 
 
@@ -68,4 +82,6 @@ def oracle_sql() -> dict[str, str]:
                    row_number() OVER (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
             FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
         "op6_mixing": mixing.ORACLE.replace("{docs}", "documents"),
+        "op11_chat_examples": chat.ORACLE,
+        "op13_filter_audit": filter_audit.ORACLE,
     }
