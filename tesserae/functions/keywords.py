@@ -90,6 +90,26 @@ def gap_priority(text: Column) -> Column:
     return F.least((raw + F.least(named / 3.0, F.lit(1.0)) * 0.3) * 100, F.lit(100.0))
 
 
+def covered_chars(text: Column, words: Column) -> Column:
+    """How many characters of a text lie in an occurrence of any of the words (occurrences may overlap, also their own).
+
+    One pass of one pattern puts before each place the longest word that begins there, between two NULs; a fold over
+    the parts then carries how many of the coming characters are still covered.
+    """
+    quoted = lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    by_length = F.reverse(F.array_sort(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))))
+    pattern = F.concat(F.lit("(?=("), F.array_join(F.transform(by_length, lambda x: quoted(x["w"])), "|"), F.lit("))"))
+    marked = F.regexp_replace(F.translate(text, "\0", "\1"), pattern, F.lit("\0$1\0"))
+    steps = F.transform(F.split(marked, "\0"), lambda p, i: F.when(i % 2 == 1, -F.length(p)).otherwise(F.length(p)))  # a word's length below zero
+    start = F.struct(F.lit(0).alias("covered"), F.lit(0).alias("left"))
+    step = lambda a, n: F.struct(
+        F.when(n > 0, a["covered"] + F.least(a["left"], n)).otherwise(a["covered"]).alias("covered"),
+        F.when(n < 0, F.greatest(a["left"], -n)).otherwise(F.greatest(F.lit(0), a["left"] - n)).alias("left"),
+    )
+    found = F.aggregate(steps, start, step, lambda a: a["covered"])
+    return F.when(F.size(by_length) > 0, found).otherwise(0).cast("bigint")
+
+
 def coverage_level(rate: Column) -> Column:
     return F.when(rate >= 0.8, "excellent").when(rate >= 0.6, "good").when(rate >= 0.4, "fair").otherwise("poor")
 

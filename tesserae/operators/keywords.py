@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.functions.keywords import STOPWORDS, SYNONYMS, best_count, category, difficulty, fit_for_qa, importance, rank_score, text_score
+from tesserae.functions.keywords import STOPWORDS, SYNONYMS, best_count, category, covered_chars, difficulty, fit_for_qa, importance, rank_score, text_score
 from tesserae.functions.text import CANDIDATE, candidates, kept
 
 
@@ -169,13 +169,14 @@ def relations(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col
 
 
 def char_coverage(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Share of a text's characters that lie in an occurrence of one of its keywords; overlaps count once."""
-    full = rows.select(id_col, "word").join(docs.select(id_col, F.col(text_col).alias("full")), id_col)
-    spots = F.filter(F.sequence(F.lit(1), F.length("full")), lambda i: F.substring(F.col("full"), i, F.length("word")) == F.col("word"))
-    cells = full.filter(F.length("full") > 0).select(id_col, "word", F.explode(spots).alias("i")).select(id_col, F.explode(F.sequence(F.col("i"), F.col("i") + F.length("word") - 1)).alias("cell"))
-    n = cells.distinct().groupBy(id_col).agg(F.count("*").alias("covered"))
-    size = docs.select(id_col, F.length(text_col).cast("bigint").alias("size"))
-    return size.join(n, id_col, "left").select(id_col, F.coalesce("covered", F.lit(0)).cast("bigint").alias("covered"), F.round(F.coalesce(F.try_divide(F.col("covered").cast("double"), F.col("size")), F.lit(0.0)), 6).alias("coverage"))
+    """id, covered, coverage: share of a text's characters that lie in an occurrence of one of its keywords; overlaps count once.
+
+    One row a document throughout: its keywords come to it as one array.
+    """
+    sets = rows.groupBy(id_col).agg(F.collect_set("word").alias("words"))
+    met = docs.select(id_col, F.col(text_col).alias("full")).join(sets, id_col, "left")
+    n = F.coalesce(covered_chars(F.col("full"), F.col("words")), F.lit(0).cast("bigint"))
+    return met.select(id_col, "full", n.alias("covered")).select(id_col, "covered", F.round(F.coalesce(F.try_divide(F.col("covered").cast("double"), F.length("full")), F.lit(0.0)), 6).alias("coverage"))
 
 
 def enough(rows: DataFrame, docs: DataFrame, target: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions import keywords as keyword_functions
 from tesserae.functions.text import clean_text
 from tesserae.operators import chunking, keywords, qa, vectors
 from tesserae.providers import Embedder, HashedNgrams, Writer, embedded, written
+from tesserae.staging import discard, staged
 
 # Chunk size, pairs per chunk and title column of the known data sets.
 DATASETS = {"cc_news": (300, 5, "title"), "japanese_text": (200, 2, None), "wikipedia_ja": (250, 3, "title"), "livedoor": (200, 4, "title")}
@@ -50,19 +55,49 @@ def covered(chunks: DataFrame, pairs: DataFrame, embedder: Embedder | None = Non
     return vectors.best_match(c, embedded(p, e, "vec_id", "t"), clamp)
 
 
-def feedback(docs: DataFrame, embedder: Embedder | None = None, threshold: float = 0.7, rounds: int = 3) -> DataFrame:
-    """Pairs by layers, then at most ``rounds`` times further ones for chunks not yet covered."""
-    chunks = chunks_of(docs)
-    pairs = qa.hierarchical(docs).select("doc_id", "question", "answer")
-    keyed = chunks.withColumn("id", F.xxhash64("doc_id", "chunk_idx"))
+def _unknown(rows: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys, nulls included, are not among the known ones."""
+    b = known.select(*[F.col(k).alias(f"known_{k}") for k in keys])
+    return rows.join(b, reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"known_{k}")) for k in keys]), "left_anti")
+
+
+def lifted(best: DataFrame | None, chunk_vectors: DataFrame, new_pairs: DataFrame, embedder: Embedder) -> DataFrame:
+    """id, max_sim (a written table): each chunk's best similarity, lifted by the new pairs, the only ones that are embedded and matched."""
+    p = new_pairs.select(F.xxhash64("question", "answer").alias("vec_id"), F.concat_ws(" ", "question", "answer", "answer").alias("t")).dropDuplicates(["vec_id"])
+    new_vectors = staged(embedded(p, embedder, "vec_id", "t"), "pair-vectors")
+    now = vectors.best_match(chunk_vectors, new_vectors, True).select("id", F.col("max_sim").alias("new_sim"))
+    old = chunk_vectors.select(F.col("vec_id").alias("id"), F.lit(0.0).alias("max_sim")) if best is None else best
+    out = staged(old.join(now, "id", "left").select("id", F.greatest("max_sim", F.coalesce("new_sim", F.lit(0.0))).alias("max_sim")), "best")
+    discard(new_vectors)
+    return out
+
+
+def feedback_state(docs: DataFrame, embedder: Embedder | None = None, threshold: float = 0.7, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Pairs by layers, then at most ``rounds`` times further ones for chunks not yet covered; and each chunk's best similarity.
+
+    Chunks and their vectors are written once. The state of a round is two written tables, pairs and best similarities;
+    a round embeds and matches the pairs that are new in it and no others.
+    """
+    e = embedder or HashedNgrams()
+    chunks = staged(chunks_of(docs).withColumn("id", F.xxhash64("doc_id", "chunk_idx")), "chunks")
+    chunk_vectors = staged(embedded(chunks.withColumnRenamed("id", "vec_id"), e, "vec_id", "chunk"), "chunk-vectors")
+    pairs = staged(qa.hierarchical(docs).select("doc_id", "question", "answer"), "pairs")
+    best = lifted(None, chunk_vectors, pairs, e)
     for _ in range(rounds):
-        gaps = vectors.uncovered(covered(chunks, pairs, embedder), threshold).select("id")
-        more = qa.targeted(keyed.join(gaps, "id", "left_semi")).select("doc_id", "question", "answer")
-        new = more.join(pairs, ["doc_id", "question", "answer"], "left_anti")
+        gaps = vectors.uncovered(best, threshold).select("id")
+        more = qa.targeted(chunks.join(gaps, "id", "left_semi")).select("doc_id", "question", "answer").distinct()
+        new = staged(_unknown(more, pairs, more.columns), "pairs")
         if new.isEmpty():
             break
-        pairs = pairs.unionByName(new).checkpoint() if docs.sparkSession.conf.get("spark.checkpoint.dir", None) else pairs.unionByName(new)
-    return pairs
+        lift = lifted(best, chunk_vectors, _unknown(new, pairs, ["question", "answer"]), e)
+        discard(best)
+        pairs, best = pairs.unionByName(new), lift
+    return pairs, best
+
+
+def feedback(docs: DataFrame, embedder: Embedder | None = None, threshold: float = 0.7, rounds: int = 3) -> DataFrame:
+    """The pairs of ``feedback_state``."""
+    return feedback_state(docs, embedder, threshold, rounds)[0]
 
 
 def hybrid_summary(pairs: DataFrame, coverage: DataFrame) -> DataFrame:
@@ -151,14 +186,18 @@ def accuracy(questions: DataFrame, store: DataFrame, embedder: Embedder | None =
 def progressive(docs: DataFrame, sizes: tuple[int, ...] = (5, 5, 10, 10, 10), least_gain: float = 0.05) -> DataFrame:
     """Template questions for further batches of keywords until a batch lifts the average coverage by less than least_gain.
 
-    The loop is at most len(sizes) long and brings one number a round to the driver.
+    The coverage after every batch is found in one pass; the driver gets one number for each.
     """
-    ranked = keywords.top_by_score(docs, sum(sizes)).select("doc_id", "word", "rank")
+    ranked = staged(keywords.top_by_score(docs, sum(sizes)).select("doc_id", "word", "rank"), "ranked")
+    sets = ranked.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("words"))
+    met = docs.select("doc_id", "text").join(sets, "doc_id", "left")
+    rate = lambda n: F.coalesce(F.try_divide(keyword_functions.covered_chars(F.col("text"), F.slice("words", 1, n)).cast("double"), F.length("text")), F.lit(0.0))
+    ends = list(accumulate(sizes))
+    averages = met.agg(*[F.avg(F.round(rate(n), 6)) for n in ends]).first()
     taken, before = 0, 0.0
-    for n in sizes:
-        taken += n
-        now = keywords.char_coverage(ranked.filter(F.col("rank") <= taken), docs).agg(F.avg("coverage")).first()[0] or 0.0
-        if now - before < least_gain:
+    for n, now in zip(ends, averages):
+        taken = n
+        if (now or 0.0) - before < least_gain:
             break
         before = now
     return qa.template_questions(keywords.details(ranked.filter(F.col("rank") <= taken).select("doc_id", "word"), docs))

@@ -294,18 +294,22 @@ def keyword_frequent_or_first(spark, sf):
     return keywords.frequent_or_first(docs_of(spark, sf))
 
 
-@query(f"""WITH {_T}, c AS (SELECT t.doc_id, t.word, unnest(range(1, length(d.text) + 1)) AS i, d.text FROM t JOIN documents d USING (doc_id) WHERE d.lang = 'es'),
-h AS (SELECT doc_id, unnest(range(i, i + length(word))) AS cell FROM c WHERE substr(text, i, length(word)) = word), n AS (SELECT doc_id, count(DISTINCT cell) AS covered FROM h GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n.covered, 0) AS covered, round(coalesce(n.covered, 0)::DOUBLE / length(d.text), 6) AS coverage FROM documents d LEFT JOIN n USING (doc_id) WHERE d.lang = 'es'""")
+_COVERED = f"""WITH RECURSIVE {_T}, f AS (SELECT t.doc_id, t.word, 0 AS p, d.text AS rest FROM t JOIN documents d USING (doc_id)
+ UNION ALL SELECT doc_id, word, p + instr(rest, word), substr(rest, instr(rest, word) + 1) FROM f WHERE instr(rest, word) > 0),
+o AS (SELECT doc_id, p AS s, p + length(word) AS e FROM f WHERE p > 0), m AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM o),
+n AS (SELECT doc_id, sum(greatest(0, e - greatest(s, coalesce(before, 0))))::BIGINT AS covered FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.covered, 0) AS covered, round(coalesce(n.covered, 0)::DOUBLE / length(d.text), 6) AS coverage FROM documents d LEFT JOIN n USING (doc_id)"""
+
+
+@query(_COVERED)
 def keyword_char_coverage(spark, sf):
-    d = docs_of(spark, sf).filter("lang = 'es'")
+    d = docs_of(spark, sf)
     return keywords.char_coverage(keywords.top_by_frequency(d, 5), d)
 
 
-@query()
+@query(_COVERED)
 def keyword_char_coverage_all(spark, sf):
-    d = docs_of(spark, sf)
-    return keywords.char_coverage(keywords.top_by_frequency(d, 5), d)
+    return keyword_char_coverage(spark, sf)
 
 
 _GAPW = " + ".join(f"contains(text, '{w}')::INT" for w in K.GAP_WORDS)
