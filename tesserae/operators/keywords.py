@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.keywords import STOPWORDS, SYNONYMS, best_count, category, covered_chars, difficulty, fit_for_qa, importance, rank_score, text_score
-from tesserae.functions.text import CANDIDATE, candidates, kept
+from tesserae.functions.text import CANDIDATE, candidates, kept, strip
 
 
 def words(docs: DataFrame, pattern: str = CANDIDATE, id_col: str = "doc_id", text_col: str = "text", least: int = 2, stop: tuple[str, ...] = STOPWORDS) -> DataFrame:
@@ -135,6 +135,10 @@ RELATIONS = (
 )
 
 
+#: Keywords that share a sentence without a pattern.
+CO_OCCURS = "co_occurs"
+
+
 def _in_order(line: Column, words: tuple[str, ...], after: int) -> Column:
     """Whether the words stand in the line in order, none at its start and no two side by side; one pass over the line."""
     end, fits = F.lit(0), F.lit(True)  # of each word the first place that is free counts
@@ -147,7 +151,7 @@ def _in_order(line: Column, words: tuple[str, ...], after: int) -> Column:
 def _relation(sentence: Column) -> Column:
     """The first fitting relation's name, looked for only where the sentence holds all of its words."""
     lines = F.split(sentence, "[\n\r\u0085\u2028\u2029]")
-    out = F.lit("co_occurrence")
+    out = F.lit(CO_OCCURS)
     for words, after, name in reversed(RELATIONS):
         held = reduce(lambda a, b: a & b, [F.contains(sentence, F.lit(w)) for w in words])
         out = F.when(held & F.exists(lines, lambda line: _in_order(line, words, after)), F.lit(name)).otherwise(out)
@@ -155,17 +159,25 @@ def _relation(sentence: Column) -> Column:
 
 
 def relations(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, source, target, relation_type, context: keywords that share a sentence, named by the first fitting pattern.
+    """id, source, target, relation_type, context, place: keywords that share a sentence.
 
-    rows: id, word, first. The first sentence of each relation is its context.
+    rows: id, word, first; a document's keywords are taken in the order of ``first``. In a sentence that a pattern fits,
+    each keyword is related to the next one of the sentence, the earlier in the sentence being the source; in all
+    other sentences each is related to every later one. A relation's context is its first sentence; ``place``
+    (sentence, number of the pair in it) orders a document's relations.
     """
-    parts = docs.select(id_col, F.posexplode(kept(F.split(text_col, "[。！？.!?]"))).alias("at", "sentence")).withColumn("relation_type", _relation(F.col("sentence")))
-    met = rows.select(id_col, "word", "first").join(parts, id_col).filter(F.contains("sentence", "word"))
-    found = met.groupBy(id_col, "at", "sentence", "relation_type").agg(F.array_sort(F.collect_list(F.struct("first", "word"))).alias("words"))
-    # a document's keywords are few; each pair of one sentence, the earlier word first
-    pair = lambda x: F.transform(F.filter("words", lambda y: y["first"] > x["first"]), lambda y: F.struct(x["word"].alias("source"), y["word"].alias("target")))
-    pairs = found.select(id_col, "at", "sentence", "relation_type", F.inline(F.flatten(F.transform("words", pair))))
-    return pairs.groupBy(id_col, "source", "target", "relation_type").agg(F.min_by("sentence", "at").alias("context"))
+    parts = docs.select(id_col, F.posexplode(F.split(text_col, "[。！？.!?]")).alias("at", "said")).filter(strip(F.col("said")) != "").withColumn("relation_type", _relation(F.col("said")))
+    met = rows.select(id_col, "word", "first").join(parts, id_col).filter(F.contains("said", "word"))
+    found = met.groupBy(id_col, "at", "said", "relation_type").agg(F.array_sort(F.collect_list(F.struct("first", "word"))).alias("w")).filter(F.size("w") > 1)
+    named = lambda x, y: F.struct(x["word"].alias("source"), y["word"].alias("target"))
+    place = lambda x: F.position(x["word"], F.col("said"))
+    both = F.transform(F.slice("w", F.lit(1), F.size("w") - 1), lambda x, i: F.struct(x.alias("x"), F.get("w", i + 1).alias("y")))
+    next_ones = F.transform(both, lambda p: F.when(place(p["x"]) < place(p["y"]), named(p["x"], p["y"])).otherwise(named(p["y"], p["x"])))
+    # a document's keywords are few, and the pairs of one sentence stay in one row until here
+    all_later = F.flatten(F.transform("w", lambda x, i: F.transform(F.slice("w", i + 2, F.size("w")), lambda y: named(x, y))))
+    pairs = found.select(id_col, "at", "said", "relation_type", F.posexplode(F.when(F.col("relation_type") == CO_OCCURS, all_later).otherwise(next_ones)).alias("no", "p"))
+    first = F.min(F.struct(F.struct("at", "no").alias("place"), "said")).alias("first")
+    return pairs.groupBy(id_col, "p.source", "p.target", "relation_type").agg(first).select(id_col, "source", "target", "relation_type", strip(F.col("first.said")).alias("context"), "first.place")
 
 
 def char_coverage(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -52,15 +52,32 @@ def rule_qa(chunks: DataFrame, per_chunk: int = 4, chunk_col: str = "chunk") ->
     return rows.select("*", F.posexplode("qa").alias("qa_idx", "pair")).select(*chunks.columns, "qa_idx", "pair.*")
 
 
+def most_frequent(words: Column, k: int) -> Column:
+    """The k words that an array holds most often, of equals the one that comes first.
+
+    The words are sorted once with their places; runs of equal ones are told by their heads.
+    """
+    once = lambda c, f: F.element_at(F.transform(F.array(c), f), 1)  # noqa: E731  the argument is evaluated once
+
+    def ranked(s: Column, heads: Column) -> Column:
+        runs = F.transform(heads, lambda h, j: F.struct((h - F.coalesce(F.get(heads, j + 1), F.size(s))).alias("less"), F.get(s, h)["at"].alias("at"), F.get(s, h)["word"].alias("word")))
+        return F.transform(F.slice(F.array_sort(runs), 1, k), lambda r: r["word"])
+
+    def counted(s: Column) -> Column:
+        heads = F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i - 1)["word"] != F.get(s, i)["word"]))
+        return once(heads, lambda h: ranked(s, h))
+
+    placed = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("word"), i.alias("at"))))
+    return F.when(F.size(words) > 0, once(placed, counted)).otherwise(F.array().cast("array<string>"))
+
+
 def rule_qa_ja(chunks: DataFrame, per_chunk: int = 4, chunk_col: str = "chunk") -> DataFrame:
     """The Japanese rules: per sentence one factual pair and one for each of its two most frequent keywords."""
     text = F.col(chunk_col)
     s = F.filter(kept(F.split(text, "。")), lambda x: F.length(x) > 20)
 
     def best(x: Column, k: int) -> Column:
-        found = F.filter(candidates(x), lambda w: F.length(w) > 1)
-        counted = F.transform(F.array_distinct(found), lambda w: F.struct((-F.size(F.filter(found, lambda v: v == w))).alias("n"), F.array_position(found, w).alias("at"), w.alias("word")))
-        return F.transform(F.slice(F.array_sort(counted), 1, k), lambda q: q["word"])
+        return most_frequent(F.filter(candidates(x), lambda w: F.length(w) > 1), k)
 
     def of_sentence(x: Column, i: Column) -> Column:
         after = F.get("parts", i + 1)
@@ -171,9 +188,13 @@ def template_questions(details: DataFrame) -> DataFrame:
 
 
 def template_pairs(asked: DataFrame, relations: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Pairs from template questions; the answer names up to two related keywords, in the relations' order."""
-    ends = relations.select(id_col, F.col("source").alias("word"), F.col("target").alias("other")).unionAll(relations.select(id_col, F.col("target").alias("word"), F.col("source").alias("other")))
-    near = ends.groupBy(id_col, "word").agg(F.slice(F.array_sort(F.collect_set("other")), 1, 2).alias("related"))
+    """Pairs from template questions; the answer names the other ends of a keyword's first two relations, in their order.
+
+    relations: id, source, target, place. Two relations with the same keyword name it twice.
+    """
+    end = lambda own, other: relations.select(id_col, F.col(own).alias("word"), F.struct("place", "relation_type", F.col(other).alias("other")).alias("r"))
+    near = end("source", "target").unionAll(end("target", "source")).groupBy(id_col, "word").agg(F.slice(F.array_sort(F.collect_list("r")), 1, 2).alias("r"))
+    near = near.select(id_col, "word", F.transform("r", lambda r: r["other"]).alias("related"))
     rows = asked.join(near, [id_col, "word"], "left").withColumn("related", F.coalesce("related", F.array().cast("array<string>")))
     more = F.when(F.col("difficulty") != "basic", F.concat(F.lit("関連する概念として、"), F.array_join("related", "、"), F.lit("があります。"))).otherwise("")
     answer = F.when((F.size("related") > 0) & (F.col("answer_hint") != ""), F.concat("answer_hint", F.lit(" "), more)).otherwise(F.when(F.col("answer_hint") != "", F.col("answer_hint")).otherwise(F.concat("word", F.lit("に関する説明"))))

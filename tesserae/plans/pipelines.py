@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tesserae.functions import keywords as keyword_functions
 from tesserae.functions.text import clean_text
 from tesserae.operators import chunking, keywords, qa, vectors
+from tesserae.operators.ordering import numbered_rows
 from tesserae.providers import Embedder, HashedNgrams, Writer, embedded, written
 from tesserae.staging import discard, staged
 
@@ -22,28 +23,24 @@ def chunks_of(docs: DataFrame, limit: int = 200, least: int = 50) -> DataFrame:
     return chunking.chunk_table(docs.withColumn("text", clean_text(F.col("text"))), lambda t: chunking.semantic_chunks(t, limit, least))
 
 
-def numbered(chunks: DataFrame) -> DataFrame:
-    """Adds ``global_idx``, a chunk's place in the corpus, by running counts over documents in two steps."""
-    per_doc = chunks.groupBy("doc_id").agg(F.count("*").alias("n")).withColumn("block", F.floor(F.col("doc_id") / 1000))
-    blocks = per_doc.groupBy("block").agg(F.sum("n").alias("total"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("block", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("block").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_doc.join(blocks, "block").select("doc_id", (F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0))).alias("start"))
-    return chunks.join(starts, "doc_id").withColumn("global_idx", F.col("start") + F.col("chunk_idx")).drop("start")
+def rule_pipeline(docs: DataFrame, per_chunk: int = 4, max_chunks: int = 300, limit: int = 200, further: int = 50) -> DataFrame:
+    """Pairs by rules: chunk, sample by stride, generate, keep the first of each question beginning, top up.
 
-
-def rule_pipeline(docs: DataFrame, per_chunk: int = 4, max_chunks: int = 300, limit: int = 200) -> DataFrame:
-    """Pairs by rules: chunk, sample by stride, generate, keep the first of each question beginning, top up if sampled."""
-    chunks = numbered(chunks_of(docs, limit))
+    Where chunks were left out and there are fewer pairs than twice all chunks, ``further`` chunks give two pairs more
+    each: those whose number follows the number of sampled ones. Chunks are cut and numbered once, and written.
+    """
+    chunks = staged(numbered_rows(chunks_of(docs, limit), ["doc_id", "chunk_idx"], "global_idx"), "numbered-chunks")
     total = chunks.count()
-    taken = qa.strided(chunks, "global_idx", max_chunks)
+    step = max(1, total // max_chunks) if total > max_chunks else 1
+    n_taken = min(max_chunks, -(-total // step)) if total > max_chunks else total
+    taken = chunks.filter((F.col("global_idx") % step == 0) & (F.col("global_idx") < step * n_taken))
     pairs = qa.first_of_prefix(qa.rule_qa_both(taken, per_chunk), ["global_idx", "qa_idx"])
-    if total > max_chunks:
-        step = total // max_chunks
-        rest = chunks.filter((F.col("global_idx") % step != 0)).orderBy("global_idx").limit(50)
-        pairs = pairs.unionByName(qa.rule_qa_both(rest, 2))
-    return pairs.select("doc_id", "chunk_idx", "question", "answer", "type")
+    if n_taken < total:
+        pairs = staged(pairs, "rule-pairs")
+        if pairs.count() < 2 * total:
+            rest = chunks.filter(F.col("global_idx").between(n_taken, n_taken + further - 1))
+            pairs = pairs.unionByName(qa.rule_qa_both(rest, 2))
+    return pairs.select("doc_id", "chunk_idx", "global_idx", "question", "answer", "type")
 
 
 def covered(chunks: DataFrame, pairs: DataFrame, embedder: Embedder | None = None, clamp: bool = True) -> DataFrame:

@@ -31,17 +31,19 @@ def sentence_split_marks(spark, sf):
     return docs_of(spark, sf).select("doc_id", F.size(T.sentences(F.col("text"), "。．？！?!")).cast("bigint").alias("n"))
 
 
-@query(f"""WITH s AS (SELECT unnest({sql_sentences('t')}) AS s FROM (SELECT {sql_clean('text')} AS t FROM documents WHERE lang = 'en')), k AS (SELECT {sql_tokens('s')} AS n FROM s)
-SELECT CASE WHEN n < 100 THEN 'short' WHEN n < 200 THEN 'medium' ELSE 'long' END AS bucket, count(*) AS n, round(avg(n), 6) AS avg_tokens FROM k GROUP BY 1""")
+_PROFILE = f"""WITH s AS (SELECT unnest({sql_sentences('t')}) AS s FROM (SELECT {sql_clean('text')} AS t FROM documents)), k AS (SELECT {sql_tokens('s')} AS n FROM s)
+SELECT CASE WHEN n < 100 THEN 'short' WHEN n < 200 THEN 'medium' ELSE 'long' END AS bucket, count(*) AS n, round(avg(n), 6) AS avg_tokens FROM k GROUP BY 1"""
+
+
+@query(_PROFILE)
 def chunk_length_profile(spark, sf):
-    s = docs_of(spark, sf).filter("lang = 'en'").select(F.explode(T.sentences(T.clean_text(F.col("text")))).alias("s")).select(T.token_estimate(F.col("s")).alias("n"))
+    s = docs_of(spark, sf).select(F.explode(T.sentences(T.clean_text(F.col("text")))).alias("s")).select(T.token_estimate(F.col("s")).alias("n"))
     return s.groupBy(length_bucket(F.col("n")).alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg("n"), 6).alias("avg_tokens"))
 
 
-@query()
+@query(_PROFILE)
 def chunk_length_profile_all(spark, sf):
-    s = docs_of(spark, sf).select(F.explode(T.sentences(T.clean_text(F.col("text")))).alias("s")).select(T.token_estimate(F.col("s")).alias("n"))
-    return s.groupBy(length_bucket(F.col("n")).alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg("n"), 6).alias("avg_tokens"))
+    return chunk_length_profile(spark, sf)
 
 
 # the packing of sentences, as a recursion over the sentences of each document
@@ -247,13 +249,16 @@ _IMP = (
 )
 
 
+_TOLD = "(contains(d.text, t.word || 'とは') OR (contains(d.text, t.word || 'は') AND contains(d.text, 'である')) OR contains(d.text, t.word || '（'))"
+
+
 def _details_sql(k: int) -> str:
     """The tables of details of each text's k most frequent words, the last named details."""
     return f"""WITH {_words_sql()}, t AS ({_top_sql('n', k)}), x AS (SELECT doc_id, unnest(string_split_regex(text, '[。！？.!?]')) AS s, generate_subscripts(string_split_regex(text, '[。！？.!?]'), 1) AS place FROM documents),
 m AS (SELECT t.doc_id, t.word, x.place, x.s, round({_IMP}, 9) AS importance FROM t JOIN x ON t.doc_id = x.doc_id AND contains(x.s, t.word)),
 b AS (SELECT doc_id, word, first(trim(s) ORDER BY importance DESC, place) AS best_context, max(importance) AS context_importance, first(importance ORDER BY place) AS first_importance FROM m GROUP BY doc_id, word),
 details AS (SELECT t.doc_id, t.word, {_OCC.replace('w.word', 't.word')} AS frequency, md5(b.best_context) AS best_context, b.context_importance, b.first_importance,
- CASE WHEN regexp_matches(t.word, '^[A-Z]{{2,}}[A-Z0-9]*$') THEN 'advanced' WHEN length(t.word) >= 8 OR {_OCC.replace('w.word', 't.word')} = 1 THEN 'advanced' WHEN {_OCC.replace('w.word', 't.word')} >= 5 THEN 'basic' ELSE 'intermediate' END AS difficulty,
+ CASE WHEN {_TOLD} AND {_OCC.replace('w.word', 't.word')} >= 3 THEN 'basic' WHEN regexp_matches(t.word, '^[A-Z]{{2,}}[A-Z0-9]*$') AND NOT {_TOLD} THEN 'advanced' WHEN length(t.word) >= 8 OR {_OCC.replace('w.word', 't.word')} = 1 THEN 'advanced' WHEN {_OCC.replace('w.word', 't.word')} >= 5 THEN 'basic' ELSE 'intermediate' END AS difficulty,
  CASE WHEN t.word IN ('BERT', 'GPT', 'CNN', 'RNN', 'LSTM') THEN 'specific_name' WHEN regexp_matches(t.word, '^[A-Z]{{2,}}[A-Z0-9]*$|^[ァ-ヴー]{{4,}}$') THEN 'technical_term' ELSE 'other' END AS category
 FROM t JOIN documents d USING (doc_id) JOIN b USING (doc_id, word))"""
 
@@ -265,13 +270,44 @@ def keyword_details(spark, sf):
     return out.select("doc_id", "word", "frequency", F.md5("best_context").alias("best_context"), "context_importance", "difficulty", "category")
 
 
-@query(f"""WITH {_words_sql()}, t AS (SELECT doc_id, word, first, rank FROM (SELECT doc_id, word, first, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS rank FROM w) WHERE rank <= 5),
-x AS (SELECT doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS at FROM (SELECT doc_id, list_filter(list_transform(string_split_regex(text, '[。！？.!?]'), lambda s: trim(s, {WS})), lambda s: s <> '') AS p FROM documents))
-SELECT a.doc_id, a.word AS source, b.word AS target, 'co_occurrence' AS relation_type, md5(first(x.s ORDER BY x.at)) AS context
-FROM t a JOIN t b ON a.doc_id = b.doc_id AND a.first < b.first JOIN x ON x.doc_id = a.doc_id AND contains(x.s, a.word) AND contains(x.s, b.word) GROUP BY a.doc_id, a.word, b.word""")
+#: The test tables have no Japanese; these words stand in for the particles, so that every relation's pattern fits somewhere.
+_PARTICLES = ((" of ", "は"), (" to ", "を"), (" in ", "により"), (" is ", "が"), (" that ", "のため"), (" with ", "を用いて"), (" was ", "から"), (" on ", "へ"), (" as ", "における"), (" by ", "による"), ("ing ", "である"), ("ed ", "する"))
+
+
+def _particles_sql() -> str:
+    out = "text"
+    for a, b in _PARTICLES:
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"documents AS (SELECT doc_id, {out} AS text FROM main.documents)"
+
+
+def _with_particles(spark, sf):
+    text = F.col("text")
+    for a, b in _PARTICLES:
+        text = F.replace(text, F.lit(a), F.lit(b))
+    return docs_of(spark, sf).select("doc_id", text.alias("text"))
+
+
+def _relation_case(s: str) -> str:
+    """The relation of a sentence by its patterns, as regular expressions, in their order."""
+    fits = [(".+?" + ".+?".join(words) + (".+?" if after else ""), name) for words, after, name in keywords.RELATIONS]
+    return "CASE " + " ".join(f"WHEN regexp_matches({s}, '{p}') THEN '{n}'" for p, n in fits) + f" ELSE '{keywords.CO_OCCURS}' END"
+
+
+#: From kw (doc_id, word, first): the relations of each document's keywords, with the place of their first sentence and pair.
+_RELATIONS = f"""said AS (SELECT doc_id, unnest(string_split_regex(text, '[。！？.!?]')) AS s, generate_subscripts(string_split_regex(text, '[。！？.!?]'), 1) AS place FROM documents),
+held AS (SELECT kw.doc_id, place, s, kw.word, row_number() OVER (PARTITION BY kw.doc_id, place ORDER BY kw.first) AS k, count(*) OVER (PARTITION BY kw.doc_id, place) AS n_held FROM kw JOIN said ON kw.doc_id = said.doc_id AND contains(said.s, kw.word)),
+kinds AS (SELECT doc_id, place, any_value({_relation_case('s')}) AS kind FROM held WHERE n_held > 1 GROUP BY doc_id, place),
+pairs AS (SELECT a.doc_id, a.place, a.s, kind, a.k AS i, b.k AS j, CASE WHEN kind = '{keywords.CO_OCCURS}' OR instr(a.s, a.word) < instr(a.s, b.word) THEN a.word ELSE b.word END AS source,
+ CASE WHEN kind = '{keywords.CO_OCCURS}' OR instr(a.s, a.word) < instr(a.s, b.word) THEN b.word ELSE a.word END AS target
+ FROM held a JOIN held b ON a.doc_id = b.doc_id AND a.place = b.place AND a.k < b.k JOIN kinds ON kinds.doc_id = a.doc_id AND kinds.place = a.place WHERE kind = '{keywords.CO_OCCURS}' OR b.k = a.k + 1),
+relations AS (SELECT doc_id, source, target, kind AS relation_type, first(trim(s, {WS}) ORDER BY place, i, j) AS context, min((place, i, j)) AS pos FROM pairs GROUP BY doc_id, source, target, kind)"""
+
+
+@query(f"WITH {_particles_sql()}, {_words_sql()}, t AS ({_top_sql('n', 5)}), kw AS (SELECT t.doc_id, t.word, w.first FROM t JOIN w USING (doc_id, word)), {_RELATIONS} SELECT doc_id, source, target, relation_type, md5(context) AS context FROM relations")
 def keyword_relations(spark, sf):
-    d = docs_of(spark, sf)
-    return keywords.relations(keywords.top_by_frequency(d, 5).select("doc_id", "word", "first"), d).withColumn("context", F.md5("context"))
+    d = _with_particles(spark, sf)
+    return keywords.relations(keywords.top_by_frequency(d, 5).select("doc_id", "word", "first"), d).withColumn("context", F.md5("context")).drop("place")
 
 
 @query(_details_sql(10) + """, q AS (SELECT *, row_number() OVER (PARTITION BY doc_id, difficulty ORDER BY first_importance DESC, word) <= CASE difficulty WHEN 'intermediate' THEN 2 ELSE 1 END AS in_quota FROM details),
@@ -347,8 +383,13 @@ def _con(x: str) -> str:
     return f"regexp_extract({x}, '{_CON}')"
 
 
+def _held(words: tuple[str, ...]) -> str:
+    return " + ".join(f"contains(substr(text, 1, 200), '{w}')::INT" for w in words)
+
+
+_EN = f"(({_held(T.EN_MARKERS)}) > ({_held(T.JA_MARKERS)}))"
 _RULE = rf"""
-WITH c AS (SELECT doc_id, text AS t, list_filter(list_transform(string_split(text, '. '), lambda s: trim(s, {WS})), lambda s: length(s) > 20) AS p FROM documents WHERE lang = 'en'),
+WITH c AS (SELECT doc_id, text AS t, list_filter(list_transform(string_split(text, '. '), lambda s: trim(s, {WS})), lambda s: length(s) > 20) AS p FROM documents WHERE {_EN}),
 s AS (SELECT doc_id, t, p, unnest(range(1, least(len(p), 3) + 1)) AS i FROM c WHERE len(p) > 0),
 q AS (
   SELECT doc_id, 0 AS o, 'What information is discussed in this section?' AS question, substr(t, 1, 500) AS answer, 'comprehensive' AS type FROM c WHERE len(p) > 0 AND length(t) > 50
@@ -356,46 +397,58 @@ q AS (
   UNION ALL SELECT doc_id, i * 10 + 2, CASE WHEN {_con('substr(p[i], 1, 30)')} <> '' AND {_con('substr(p[i - 1], 1, 30)')} <> '' THEN 'How does ' || {_con('substr(p[i], 1, 30)')} || ' relate to ' || {_con('substr(p[i - 1], 1, 30)')} || '?' ELSE 'How does the information ''' || substr(p[i], 1, 30) || '...'' connect to the previous context?' END, p[i - 1] || ' ' || p[i], 'contextual' FROM s WHERE i > 1
   UNION ALL SELECT doc_id, i * 10 + 3, 'What is mentioned about ' || {_con('p[i]')} || '?', p[i], 'keyword_based' FROM s WHERE {_con('p[i]')} <> ''
   UNION ALL SELECT doc_id, 1000, CASE WHEN {_con('substr(p[1], 1, 50)')} <> '' THEN 'What is the main theme related to ' || {_con('substr(p[1], 1, 50)')} || '?' ELSE 'What is the main theme discussed in this content?' END, substr(t, 1, 400), 'thematic' FROM c WHERE len(p) > 0 AND length(t) > 100),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS qa_idx FROM q), kept AS (SELECT * FROM r WHERE qa_idx < 4)
+cj AS (SELECT doc_id, text AS t, list_filter(list_transform(string_split(text, '。'), lambda s: trim(s, {WS})), lambda s: length(s) > 20) AS p FROM documents WHERE NOT {_EN}),
+sj AS (SELECT doc_id, p, unnest(range(1, least(len(p), 3) + 1)) AS i FROM cj WHERE len(p) > 0),
+found AS (SELECT doc_id, i, p[i] AS x, p[i] AS said FROM sj UNION ALL SELECT doc_id, 0, substr(t, 1, 200), '' FROM cj WHERE len(p) > 0),
+words AS (SELECT doc_id, i, said, unnest(regexp_extract_all(x, '{CANDIDATE_SQL}')) AS word, generate_subscripts(regexp_extract_all(x, '{CANDIDATE_SQL}'), 1) AS pos FROM found),
+best AS (SELECT doc_id, i, said, word, row_number() OVER (PARTITION BY doc_id, i ORDER BY count(*) DESC, min(pos)) AS k FROM words WHERE length(word) > 1 GROUP BY doc_id, i, said, word),
+j AS (
+  SELECT doc_id, 0 AS o, 'このセクションにはどのような情報が含まれていますか？' AS question, substr(t, 1, 500) AS answer, 'comprehensive' AS type FROM cj WHERE len(p) > 0 AND length(t) > 50
+  UNION ALL SELECT doc_id, i * 10 + 1, '「' || substr(p[i], 1, 30) || '」について詳しく説明してください。', p[i] || CASE WHEN i < len(p) THEN '。' || p[i + 1] ELSE '' END, 'factual_detailed' FROM sj
+  UNION ALL SELECT doc_id, i * 10 + 1 + k, '「' || word || '」について何が述べられていますか？', said, 'keyword_based' FROM best WHERE i > 0 AND k <= 2
+  UNION ALL SELECT cj.doc_id, 1000, CASE WHEN b.word IS NOT NULL THEN '「' || b.word || '」に関する主要テーマは何ですか？' ELSE 'この内容の主要テーマは何ですか？' END, substr(t, 1, 400), 'thematic'
+    FROM cj LEFT JOIN best b ON b.doc_id = cj.doc_id AND b.i = 0 AND b.k = 1 WHERE len(p) > 0 AND length(t) > 100),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS qa_idx FROM (SELECT * FROM q UNION ALL SELECT * FROM j)), kept AS (SELECT * FROM r WHERE qa_idx < 4)
 """
 
 
 def _rules(spark, sf):
-    return qa.rule_qa(docs_of(spark, sf).filter("lang = 'en'").select("doc_id", F.col("text").alias("chunk")), 4)
+    return qa.rule_qa_both(docs_of(spark, sf).select("doc_id", F.col("text").alias("chunk")), 4)
+
 
+_RULE_PAIRS = _RULE + "SELECT doc_id, qa_idx, question, md5(answer) AS answer, type FROM kept"
+_RULE_TYPES = _RULE + "SELECT type, count(*) AS n FROM kept GROUP BY type"
+_RULE_FIRST = _RULE + "SELECT doc_id, qa_idx, question FROM (SELECT *, row_number() OVER (PARTITION BY substr(question, 1, 30) ORDER BY doc_id, qa_idx) AS k FROM kept) WHERE k = 1"
 
-@query(_RULE + "SELECT doc_id, qa_idx, question, md5(answer) AS answer, type FROM kept")
+
+@query(_RULE_PAIRS)
 def rule_qa(spark, sf):
     return _rules(spark, sf).select("doc_id", "qa_idx", "question", F.md5("answer").alias("answer"), "type")
 
 
-@query(_RULE + "SELECT type, count(*) AS n FROM kept GROUP BY type")
+@query(_RULE_TYPES)
 def rule_qa_types(spark, sf):
     return _rules(spark, sf).groupBy("type").agg(F.count("*").alias("n"))
 
 
-@query(_RULE + "SELECT doc_id, qa_idx, question FROM (SELECT *, row_number() OVER (PARTITION BY substr(question, 1, 30) ORDER BY doc_id, qa_idx) AS k FROM kept) WHERE k = 1")
+@query(_RULE_FIRST)
 def qa_prefix_dedup(spark, sf):
     return qa.first_of_prefix(_rules(spark, sf), ["doc_id", "qa_idx"]).select("doc_id", "qa_idx", "question")
 
 
-def _rules_all(spark, sf):
-    return qa.rule_qa_both(docs_of(spark, sf).select("doc_id", F.col("text").alias("chunk")), 4)
-
-
-@query()
+@query(_RULE_PAIRS)
 def rule_qa_all(spark, sf):
-    return _rules_all(spark, sf).select("doc_id", "qa_idx", "question", F.md5("answer").alias("answer"), "type")
+    return rule_qa(spark, sf)
 
 
-@query()
+@query(_RULE_TYPES)
 def rule_qa_types_all(spark, sf):
-    return _rules_all(spark, sf).groupBy("type").agg(F.count("*").alias("n"))
+    return rule_qa_types(spark, sf)
 
 
-@query()
+@query(_RULE_FIRST)
 def qa_prefix_dedup_all(spark, sf):
-    return qa.first_of_prefix(_rules_all(spark, sf), ["doc_id", "qa_idx"]).select("doc_id", "qa_idx", "question")
+    return qa_prefix_dedup(spark, sf)
 
 
 @query("WITH n AS (SELECT greatest(1, count(*) // 300) AS step, count(*) AS c FROM documents) SELECT doc_id FROM documents, n WHERE c <= 300 OR (doc_id % step = 0 AND doc_id < step * 300)")
@@ -451,9 +504,20 @@ def qa_hybrid_count(spark, sf):
     return docs_of(spark, sf).select("doc_id", qa.hybrid_count(F.col("text"), F.lit(3), True).alias("n"))
 
 
-@query()
+def _template_sql(k: int) -> str:
+    """A word's k-th template question; the particle words never make a core concept."""
+    of = {(d, c): q for d, c, *q in qa.TEMPLATES}
+    return f"CASE WHEN difficulty = 'basic' THEN '{of['basic', None][k]}' WHEN difficulty = 'intermediate' THEN '{of['intermediate', None][k]}' WHEN category = 'technical_term' THEN '{of['advanced', 'technical_term'][k]}' ELSE '{of['advanced', None][k]}' END"
+
+
+@query(_details_sql(5).replace("WITH ", f"WITH {_particles_sql()}, ", 1).replace("md5(b.best_context)", "b.best_context") + f""", kw AS (SELECT t.doc_id, t.word, w.first FROM t JOIN w USING (doc_id, word)), {_RELATIONS},
+ends AS (SELECT doc_id, source AS word, target AS other, pos, relation_type FROM relations UNION ALL SELECT doc_id, target, source, pos, relation_type FROM relations),
+near AS (SELECT doc_id, word, list(other ORDER BY pos, relation_type)[1:2] AS related FROM ends GROUP BY doc_id, word),
+asked AS (SELECT d.doc_id, d.word, difficulty, category, best_context AS hint, related, unnest([1, 2]) AS k FROM details d LEFT JOIN near USING (doc_id, word))
+SELECT doc_id, word, word || CASE k WHEN 1 THEN {_template_sql(0)} ELSE {_template_sql(1)} END AS question, difficulty,
+ md5(CASE WHEN len(coalesce(related, [])) > 0 AND hint <> '' THEN hint || ' ' || CASE WHEN difficulty <> 'basic' THEN '関連する概念として、' || array_to_string(related, '、') || 'があります。' ELSE '' END WHEN hint <> '' THEN hint ELSE word || 'に関する説明' END) AS answer FROM asked""")
 def qa_template_pairs(spark, sf):
-    d = docs_of(spark, sf)
+    d = _with_particles(spark, sf)
     top = keywords.top_by_frequency(d, 5)
     asked = qa.template_questions(keywords.details(top.select("doc_id", "word"), d))
     return qa.template_pairs(asked, keywords.relations(top.select("doc_id", "word", "first"), d)).select("doc_id", "word", "question", F.md5("answer").alias("answer"), "difficulty")

@@ -55,7 +55,7 @@ def test_keywords_ties_and_redundancy(spark):
 def test_keyword_relations_and_coverage(spark):
     docs = spark.createDataFrame([(1, "猫は動物である。犬と猫")], "doc_id int, text string")
     words = spark.createDataFrame([(1, "猫", 0), (1, "動物", 1), (1, "犬", 2)], "doc_id int, word string, first int")
-    assert {(r["source"], r["target"], r["relation_type"]) for r in keywords.relations(words, docs).collect()} == {("猫", "動物", "is_a"), ("猫", "犬", "co_occurrence")}
+    assert {(r["source"], r["target"], r["relation_type"]) for r in keywords.relations(words, docs).collect()} == {("猫", "動物", "is_a"), ("猫", "犬", "co_occurs")}
     overlap = spark.createDataFrame([(1, "aaab")], "doc_id int, text string")
     assert keywords.char_coverage(spark.createDataFrame([(1, "aa"), (1, "ab")], "doc_id int, word string"), overlap).first()["coverage"] == 1.0
 
@@ -207,9 +207,6 @@ def test_whole_table_queries(spark):
     got = {r["doc_id"]: r["covered"] for r in QUERIES["keyword_char_coverage_all"](spark, sf).collect()}
     want = {i: len({c for w in top.get(i, []) for a in range(len(t)) if t.startswith(w, a) for c in range(a, a + len(w))}) for i, t in texts.items()}
     assert got == want
-    profile = {r["bucket"]: r["n"] for r in QUERIES["chunk_length_profile_all"](spark, sf).collect()}
-    assert sum(profile.values()) > sum(r["n"] for r in QUERIES["chunk_length_profile"](spark, sf).collect())
-    assert {r["doc_id"] for r in QUERIES["rule_qa_all"](spark, sf).collect()} > {r["doc_id"] for r in QUERIES["rule_qa"](spark, sf).collect()}
 
 
 PATTERNS = (
@@ -223,7 +220,7 @@ def test_relation_names_follow_the_patterns(spark):
     parts = ["は", "である", "を", "する", "により", "が", "のため", "を用いて", "から", "へ", "における", "による", "a", "b", "\n"]
     texts = ["".join(r.choices(parts, k=r.randint(1, 9))) for _ in range(800)]
     named = spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", keywords._relation(F.col("s")).alias("k")).collect()
-    assert {x["i"]: x["k"] for x in named} == {i: next((k for p, k in PATTERNS if re.search(p, t)), "co_occurrence") for i, t in enumerate(texts)}
+    assert {x["i"]: x["k"] for x in named} == {i: next((k for p, k in PATTERNS if re.search(p, t)), "co_occurs") for i, t in enumerate(texts)}
 
 
 def test_definitions_follow_the_patterns(spark):
