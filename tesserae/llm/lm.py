@@ -14,7 +14,7 @@ probability. The weights start from common values and are refined online while a
 Each text starts anew and is worked on in widths that follow from its own length, so that scores do not depend
 on order, neighbours or partitions. Before each byte, and at the end, the model also says whether the text ends.
 
-A training text does not foretell itself: the fifth predictor leaves one occurrence, its own, out of the count.
+A training text does not foretell itself: the fifth predictor tells it only how other texts went on.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import cut, id_crc, small_batches
@@ -311,9 +311,14 @@ def _all_places(docs: DataFrame, with_next: bool) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, tag bigint, held_out boolean, place int, h bigint, c bigint" + ", next binary" * with_next)
 
 
+def _name() -> Column:
+    """Names a text, to tell which occurrences are its own; rows that repeat whole are one text."""
+    return F.xxhash64("doc_id", "tag")
+
+
 def _hot_table(docs: DataFrame, places: DataFrame, hot: DataFrame) -> DataFrame:
     """h, k, lo, hi as in ``foretold`` for the few hot places: what follows is read from one text for each end."""
-    at = F.struct("c", "doc_id", "tag")
+    at = F.struct(_name().alias("o"), "c", "doc_id", "tag")
     ends = places.join(F.broadcast(hot), "h", "left_semi").filter(~F.col("held_out")).groupBy("h").agg(F.count("*").alias("k"), F.min(at).alias("lo"), F.max(at).alias("hi"))
     ends = cut(ends, "lm-hot-ends")
     told = ends.select("h", F.explode(F.array("lo", "hi")).alias("at")).select("h", "at.*")
@@ -324,30 +329,31 @@ def _hot_table(docs: DataFrame, places: DataFrame, hot: DataFrame) -> DataFrame:
     for end in ("lo", "hi"):
         one = follows.select("h", F.col("c").alias(f"c_{end}"), F.col("next").alias(f"next_{end}"))
         ends = ends.withColumn(f"c_{end}", F.col(f"{end}.c")).join(F.broadcast(one), ["h", f"c_{end}"])
-    pair = lambda end: F.struct(F.col(f"c_{end}").alias("c"), F.col(f"next_{end}").alias("next")).alias(end)
+    pair = lambda end: F.struct(F.col(f"{end}.o").alias("o"), F.col(f"c_{end}").alias("c"), F.col(f"next_{end}").alias("next")).alias(end)
     return ends.select("h", "k", pair("lo"), pair("hi"))
 
 
 def foretold(docs: DataFrame) -> DataFrame:
     """docs: doc_id, tag, held_out, text. Per doc_id and tag a list of (place, agreed, bytes) that the training fold foretells.
 
-    Of all occurrences of a place's hash in the training fold two continuations are kept, those with the smallest
-    and the largest hash. A text is told the first; a training text whose own is the first is told the second, and
-    nothing if there is no other occurrence. They agree where two or more other occurrences go on alike.
+    Of all occurrences of a place's hash in the training fold two are kept, those of the texts with the smallest and
+    the largest name hash. A text is told the first's continuation, a training text whose own the first is the
+    second's, and nothing where both are its own: which one it is told follows from names alone, never from how it
+    goes on itself. Two continuations of other texts that go on alike agree.
     """
     places = cut(_all_places(docs, False), "lm-places")
     hot = places.groupBy("h").agg(F.count("*").alias("k")).filter(F.col("k") > places.count() / HOT).select("h")
     hot = cut(hot, "lm-hot")
     trained = _all_places(docs.filter(~F.col("held_out")), True)
-    table = trained.groupBy("h").agg(F.count("*").alias("k"), F.min(F.struct("c", "next")).alias("lo"), F.max(F.struct("c", "next")).alias("hi"))
+    at = F.struct(_name().alias("o"), "c", "next")
+    table = trained.groupBy("h").agg(F.count("*").alias("k"), F.min(at).alias("lo"), F.max(at).alias("hi"))
     # few keys with very many rows: their table is broadcast; of the others both sides are dealt by h once
     rest = places.join(F.broadcast(hot), "h", "left_anti").join(table, "h")
     met = rest.unionByName(places.join(F.broadcast(cut(_hot_table(docs, places, hot), "lm-hot-table")), "h"))
-    own = ~F.col("held_out")
-    k = F.col("k") - own.cast("int")
-    told = F.when(own & (F.col("c") == F.col("lo.c")), F.col("hi.next")).otherwise(F.col("lo.next"))
-    agreed = (k > 1) & (F.col("lo.c") == F.col("hi.c"))
-    return met.filter(k > 0).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("place", agreed.alias("agreed"), told.alias("next"))).alias("told"))
+    own = lambda end: ~F.col("held_out") & (_name() == F.col(f"{end}.o"))
+    told = F.when(~own("lo"), F.col("lo.next")).when(~own("hi"), F.col("hi.next"))
+    agreed = (F.col("k") > 1) & ~own("lo") & ~own("hi") & (F.col("lo.c") == F.col("hi.c"))
+    return met.filter(told.isNotNull()).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("place", agreed.alias("agreed"), told.alias("next"))).alias("told"))
 
 
 def guess_of(data: bytes, told: list[tuple[int, bool, bytes]], out: np.ndarray) -> None:
