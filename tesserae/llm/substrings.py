@@ -330,9 +330,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = cut(_search_shards(rows), "repeat-found")
     runs = found.filter(~F.col("digest")).select("a", "c", "lo", "hi")
     runs = runs.unionAll(_merge_shards(found.filter("digest")))
-    spans = met.join(runs, ["a", "c"]).select("doc_id", "tag", (F.col("s") + F.col("lo")).alias("start"), (F.col("s") + F.col("hi") + SPAN - 1).alias("end"))
+    # of a context all runs in one array (it has at most _W windows), met by its copies once each
+    per_context = runs.groupBy("a", "c").agg(F.collect_set(F.struct("lo", "hi")).alias("runs")).join(distinct.select("a", "c", "m"), ["a", "c"])
+    told = join_skewed(met.select("doc_id", "tag", "s", "a", "c"), per_context, ["a", "c"], "m", met.count(), "doc_id").filter("runs IS NOT NULL")
     # a set, so that rows that repeat whole, which share their name, do not multiply it
-    per_doc = spans.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    per_doc = told.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("s", "runs")).alias("spans"))
     final = narrow.join(per_doc, [narrow["doc_id"].eqNullSafe(per_doc["doc_id"]), narrow["tag"] == per_doc["tag"]], "left").select(narrow["doc_id"], "text", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,8 +344,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for t, sl in zip(b.column(1), b.column(2)):
                 data, cuts = t.as_py().encode(), []
                 if sl.is_valid:
-                    s, e = sl.values.flatten()
-                    cuts = _joined(np.stack((s.to_numpy(), e.to_numpy()), 1)).tolist()
+                    s, runs = sl.values.flatten()
+                    lo, hi = (v.to_numpy() for v in runs.flatten().flatten())
+                    at = np.repeat(s.to_numpy(), runs.value_lengths().to_numpy())
+                    cuts = _joined(np.stack((at + lo, at + hi + SPAN - 1), 1)).tolist()
                 edges = [0, *(x for c in cuts for x in c), len(data)]
                 kept = b"".join(data[i:j] for i, j in zip(edges[::2], edges[1::2]))
                 out.append((len(data), len(data) - len(kept), len(cuts), hashlib.sha256(kept).hexdigest(), kept, [x for c in cuts for x in c]))
