@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tesserae.functions.vectors import score_band
+from tesserae.staging import discard, file_system, staged
 
 POINT_MASK = (1 << 63) - 1
 
@@ -29,61 +31,128 @@ def upserted(old: DataFrame, new: DataFrame, key: str = "point_id") -> DataFrame
 
 
 class Collections:
-    """A folder of collections: <root>/<collection>/<version>/domain=…, a version file telling which one counts.
+    """A folder of collections of points. Points lie in parts: a domain, and in it a bucket of their ids.
 
-    Every change writes a whole new version first and then points to it, so readers never see a half-written one.
+    <root>/<collection>/points/domain=…/bucket=…/version=… holds a part as one change wrote it, and
+    <root>/<collection>/versions/<n> lists the parts that count after the n-th change. A change writes the parts that
+    it touches and a new list; all other parts keep their files, and so do the ones it replaces until ``vacuum``,
+    so that a read begun before a change ends as it began. Two changes at once: the later one fails.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 16):
+        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
-    def _fs(self):
-        hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
-        path = hadoop.Path(self.root)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), hadoop.Path
+    def _listed(self, path: str) -> list[str]:
+        fs, make = file_system(self.spark, self.root)
+        return sorted(s.getPath().getName() for s in fs.listStatus(make(path))) if fs.exists(make(path)) else []
 
     def names(self) -> list[str]:
-        fs, path = self._fs()
-        return sorted(s.getPath().getName() for s in fs.listStatus(path(self.root)) if s.isDirectory()) if fs.exists(path(self.root)) else []
+        return self._listed(self.root)
 
     def _versions(self, name: str) -> list[int]:
-        fs, path = self._fs()
-        top = path(f"{self.root}/{name}")
-        return sorted(int(s.getPath().getName()) for s in fs.listStatus(top) if fs.exists(path(s.getPath(), "_SUCCESS"))) if fs.exists(top) else []
-
-    def read(self, name: str) -> DataFrame:
-        path = f"{self.root}/{name}/{self._versions(name)[-1]}"
-        schema = StructType.fromJson(json.loads(self.spark.read.text(f"{path}/_schema").first()[0]))
-        return self.spark.read.schema(schema).parquet(path)
+        return sorted(int(v) for v in self._listed(f"{self.root}/{name}/versions") if v.isdigit())
+
+    def _state(self, name: str, version: int | None = None) -> dict:
+        """schema, buckets and parts ({"domain=…/bucket=…": version}) after the last change, or after another one."""
+        at = (version or self._versions(name)[-1]) if self._versions(name) else None
+        if at is None:
+            return {"version": 0, "schema": None, "parts": {}, "buckets": self.buckets}
+        return json.loads(self.spark.read.text(f"{self.root}/{name}/versions/{at}", wholetext=True).first()[0])
+
+    def _commit(self, name: str, state: dict) -> None:
+        """Writes the next version's list under its name, which must be free."""
+        fs, make = file_system(self.spark, self.root)
+        folder, n = f"{self.root}/{name}/versions", state["version"] + 1
+        fs.mkdirs(make(folder))
+        out = fs.create(make(f"{folder}/{n}"), False)
+        out.write(bytearray(json.dumps(state | {"version": n}, ensure_ascii=True).encode()))
+        out.close()
+
+    def _read(self, name: str, state: dict, only: list[str] | None = None) -> DataFrame:
+        """The points with their ``bucket``; of the named parts only, if asked."""
+        schema = StructType.fromJson(json.loads(state["schema"]))
+        parts = [f"{p}/version={v}" for p, v in state["parts"].items() if only is None or p in only]
+        full = StructType([*schema.fields, StructField("bucket", IntegerType()), StructField("version", IntegerType())])
+        if not parts:
+            return self.spark.createDataFrame([], full).drop("version")
+        top = f"{self.root}/{name}/points"
+        rows = self.spark.read.schema(full).option("basePath", top).parquet(*[f"{top}/{p}" for p in parts])
+        return rows.select(*schema.names, "bucket")
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        return self._read(name, self._state(name, version)).drop("bucket")
 
     def write(self, name: str, rows: DataFrame) -> None:
-        old = self._versions(name)
-        path_new = f"{self.root}/{name}/{(old or [0])[-1] + 1}"
-        rows.write.partitionBy("domain").parquet(path_new)
-        self.spark.createDataFrame([(rows.schema.json(),)], "value string").coalesce(1).write.text(f"{path_new}/_schema")
-        fs, path = self._fs()
-        for v in old:
-            fs.delete(path(f"{self.root}/{name}/{v}"), True)
+        """Replaces all points."""
+        state = self._state(name)
+        self._put(name, rows, state | {"schema": rows.schema.json(), "parts": {}, "buckets": self.buckets}, state["version"] + 1)
+
+    def _put(self, name: str, rows: DataFrame, state: dict, version: int) -> None:
+        top = f"{self.root}/{name}/points"
+        bucket = F.pmod(F.hash("point_id"), F.lit(state["buckets"]))
+        keyed = rows.withColumn("bucket", bucket).withColumn("version", F.lit(version))
+        keyed.repartition("domain", "bucket").write.mode("append").partitionBy("domain", "bucket", "version").parquet(top)
+        fs, make = file_system(self.spark, self.root)
+        found = fs.globStatus(make(f"{top}/*/*/version={version}")) or []
+        made = {"/".join(str(s.getPath()).split("/")[-3:-1]): version for s in found}
+        self._commit(name, state | {"parts": state["parts"] | made, "version": version - 1})
 
     def upsert(self, name: str, rows: DataFrame) -> None:
-        self.write(name, upserted(self.read(name), rows) if self._versions(name) else rows)
+        """Adds points, in place of those with the same ids, in whatever domain. Ids are to be unique among ``rows``."""
+        state = self._state(name)
+        if state["schema"] is None:
+            return self.write(name, rows)
+        new = staged(rows, "points")
+        ids = new.select("point_id").distinct()
+        bucket = F.pmod(F.hash("point_id"), F.lit(state["buckets"]))
+        # an id has the same bucket in every domain, so other buckets' parts are not even read
+        near = {r[0] for r in ids.select(bucket).distinct().collect()}
+        maybe = [p for p in state["parts"] if int(p.rsplit("=", 1)[1]) in near]
+        hit = self._read(name, state, maybe).join(ids, "point_id", "left_semi").select("domain", "bucket").unionAll(new.select("domain", bucket)).distinct().collect()  # parts, not points
+        keys = {(r[0], r[1]) for r in hit}
+        touched = [p for p in maybe if (self._domain(p), int(p.rsplit("=", 1)[1])) in keys]
+        merged = upserted(self._read(name, state, touched).drop("bucket"), new.select(*StructType.fromJson(json.loads(state["schema"])).names))
+        parts = {p: v for p, v in state["parts"].items() if p not in touched}
+        self._put(name, merged, state | {"parts": parts}, state["version"] + 1)
+        discard(new)
+
+    @staticmethod
+    def _domain(part: str) -> str | None:
+        value = unquote(part.split("/")[0].removeprefix("domain="))
+        return None if value == "__HIVE_DEFAULT_PARTITION__" else value
 
     def delete_domain(self, name: str, domain: str, dry_run: bool = False) -> int:
-        rows = self.read(name)
-        n = rows.filter(F.col("domain") == domain).count()
+        """Forgets a domain's parts; no other part is touched."""
+        state = self._state(name)
+        gone = [p for p in state["parts"] if self._domain(p) == domain]
+        n = self._read(name, state, gone).count() if gone else 0
         if n and not dry_run:
-            self.write(name, rows.filter(~F.col("domain").eqNullSafe(F.lit(domain))))
+            self._commit(name, state | {"parts": {p: v for p, v in state["parts"].items() if p not in gone}})
         return n
 
     def truncate(self, name: str) -> int:
-        rows = self.read(name)
-        n = rows.count()
-        self.write(name, rows.limit(0))
+        state = self._state(name)
+        n = self.read(name).count()
+        self._commit(name, state | {"parts": {}})
         return n
 
+    def vacuum(self, name: str, keep: int = 1) -> int:
+        """Deletes the files that none of the last ``keep`` versions lists, and the older lists; how many parts that were."""
+        versions = self._versions(name)
+        used = {(p, v) for n in versions[-keep:] for p, v in self._state(name, n)["parts"].items()}
+        fs, make = file_system(self.spark, self.root)
+        gone = 0
+        for s in fs.globStatus(make(f"{self.root}/{name}/points/*/*/version=*")) or []:
+            *_, domain, bucket, version = str(s.getPath()).split("/")
+            if (f"{domain}/{bucket}", int(version.removeprefix("version="))) not in used:
+                gone += fs.delete(s.getPath(), True)
+        for n in versions[:-keep]:
+            fs.delete(make(f"{self.root}/{name}/versions/{n}"), False)
+        return gone
+
     def drop(self, name: str) -> None:
-        fs, path = self._fs()
-        fs.delete(path(f"{self.root}/{name}"), True)
+        fs, make = file_system(self.spark, self.root)
+        fs.delete(make(f"{self.root}/{name}"), True)
 
     def drop_all(self, keep: list[str] | None = None) -> list[str]:
         gone = [n for n in self.names() if n not in (keep or [])]

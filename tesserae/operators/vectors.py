@@ -100,6 +100,19 @@ def position_bucket(place: Column, total: Column) -> Column:
     return F.when(place < total * 0.33, "beginning").when(place < total * 0.67, "middle").otherwise("end")
 
 
+def coverage_profile(best: DataFrame, length: str = "length", position: str = "position", threshold: float = 0.7, low: float = 0.7) -> DataFrame:
+    """kind (length, position, all), bucket, n, covered, avg_max_sim, rate, insight: both breakdowns and the whole in one pass.
+
+    ``insight`` says so where a length or a position is covered below ``low``; it is null elsewhere.
+    """
+    covered = F.count_if(F.col("max_sim") >= threshold)
+    sums = best.groupingSets([[length], [position], []], length, position).agg(F.grouping_id().alias("g"), F.count("*").alias("n"), covered.alias("covered"), F.round(F.avg("max_sim"), 6).alias("avg_max_sim"), F.coalesce(F.try_divide(covered.cast("double"), F.count("*")), F.lit(0.0)).alias("rate"))
+    kind = F.when(F.col("g") == 1, "length").when(F.col("g") == 2, "position").otherwise("all")
+    told = F.concat("bucket", F.when(F.col("kind") == "length", " chunks").otherwise(" of the document"), F.lit(": low coverage"))
+    out = sums.withColumn("kind", kind).withColumn("bucket", F.coalesce(length, position, F.lit("all")))
+    return out.select("kind", "bucket", "n", "covered", "avg_max_sim", F.round("rate", 6).alias("rate"), F.when((F.col("rate") < low) & (F.col("kind") != "all"), told).alias("insight"))
+
+
 def match_bands(best: DataFrame) -> DataFrame:
     """avg, min, max of the best similarities and how many are high, medium and low."""
     m = F.col("max_sim")

@@ -7,11 +7,13 @@ from pyspark.sql import Window
 
 from tesserae.functions import keywords as K
 from tesserae.functions import text as T
-from tesserae.operators import chunking, keywords, qa, replies, tables
+from tesserae.operators import chunking, duplicates, generation, keywords, qa, replies, tables
 from tesserae.operators.vectors import length_bucket
 from tesserae.plans import pipelines
 from tesserae.plans.queries_tables import _QA, docs_of, qa_pairs
 from tesserae.plans.registry import CANDIDATE_SQL, TECH_SQL, TERMS_SQL, WS, query, sql_clean, sql_sentences, sql_tokens, table
+from tesserae.plans.sql_chunks import MERGE_SMALL, PARAGRAPH_CHUNKS, SEMANTIC, TRANSLATION_SEGMENTS, packed_paragraph_sql
+from tesserae.providers import DigestWriter
 
 _S = f"SELECT doc_id, unnest({sql_sentences('text')}) AS s, generate_subscripts({sql_sentences('text')}, 1) - 1 AS i FROM documents"
 
@@ -68,27 +70,27 @@ def _chunks(spark, sf):
     return pipelines.chunks_of(docs_of(spark, sf))
 
 
-@query()
+@query(PARAGRAPH_CHUNKS)
 def paragraph_chunks(spark, sf):
     return chunking.chunk_table(docs_of(spark, sf), chunking.paragraph_chunks)
 
 
-@query()
+@query("WITH RECURSIVE " + SEMANTIC + " SELECT doc_id, chunk_idx, kind, tokens FROM semantic")
 def semantic_chunks(spark, sf):
     return _chunks(spark, sf).select("doc_id", "chunk_idx", "kind", "tokens")
 
 
-@query()
+@query(MERGE_SMALL)
 def merge_small(spark, sf):
     return chunking.merge_small(chunking.chunk_table(docs_of(spark, sf), chunking.sentence_groups)).select("doc_id", "chunk_idx", "chunk_span", "tokens", "n_original")
 
 
-@query()
+@query(packed_paragraph_sql("en"))
 def packed_paragraphs(spark, sf):
     return chunking.chunk_table(docs_of(spark, sf), chunking.as_chunks(chunking.packed_paragraphs, "en", 500)).select("doc_id", "chunk_idx", "tokens")
 
 
-@query()
+@query(packed_paragraph_sql("ja"))
 def packed_paragraphs_ja(spark, sf):
     return chunking.chunk_table(docs_of(spark, sf), chunking.as_chunks(chunking.packed_paragraphs, "ja", 500)).select("doc_id", "chunk_idx", "tokens")
 
@@ -101,7 +103,7 @@ def sliding_window(spark, sf):
     return chunking.chunk_table(docs_of(spark, sf), chunking.as_chunks(chunking.sliding, 1000, 100)).select("doc_id", "chunk_idx", F.length("chunk").alias("n"))
 
 
-@query()
+@query(TRANSLATION_SEGMENTS)
 def translation_segments(spark, sf):
     return chunking.chunk_table(docs_of(spark, sf), chunking.as_chunks(chunking.translation_segments, 400)).select("doc_id", "chunk_idx", "tokens")
 
@@ -187,18 +189,26 @@ def keyword_methods_compared(spark, sf):
 _WEIGHT = "greatest(CASE WHEN regexp_full_match(word, '[ァ-ヴー]{3,}') THEN 1.0 ELSE 0 END::DOUBLE, CASE WHEN regexp_full_match(word, '[A-Z]{2,}[A-Z0-9]*') THEN 1.2 ELSE 0 END::DOUBLE, CASE WHEN regexp_full_match(word, '[一-龥]{4,}') THEN 0.9 ELSE 0 END::DOUBLE, CASE WHEN regexp_full_match(word, '[A-Za-z]+[A-Za-z0-9]*') THEN 0.8 ELSE 0 END::DOUBLE)"
 
 
-@query(f"""WITH {_words_sql()}, t AS ({_top_sql(_SCORE, 10)}),
-x AS (SELECT t.doc_id, t.word, t.rank, contains(d.text, t.word)::INT::DOUBLE AS inside, {_WEIGHT} AS weight, list_distinct(list_transform(range(1, length(t.word)), lambda i: substr(t.word, i, 2))) AS grams FROM t JOIN documents d USING (doc_id)),
-l AS (SELECT a.doc_id, count(*) FILTER (list_has_any(a.grams, b.grams)) AS linked FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.rank < b.rank GROUP BY a.doc_id),
-g AS (SELECT doc_id, count(*) AS n, avg(inside) AS coverage, stddev_samp(length(word)) AS sd, least(1, avg(weight)) AS technicality, avg((length(word) BETWEEN 2 AND 8)::INT::DOUBLE) AS length_balance FROM x GROUP BY doc_id),
-f AS (SELECT g.*, CASE WHEN n > 1 THEN least(1, CASE WHEN sd < 3 THEN sd / 3 ELSE (6 - sd) / 3 END) ELSE 0.5::DOUBLE END AS diversity, CASE WHEN n > 1 THEN coalesce(linked, 0) / (n * (n - 1) / 2.0::DOUBLE) ELSE 0 END AS coherence FROM g LEFT JOIN l USING (doc_id))
-SELECT doc_id, round(coverage, 6) AS coverage, round(diversity, 6) AS diversity, round(technicality, 6) AS technicality, round(coherence, 6) AS coherence, round(length_balance, 6) AS length_balance,
- round(least(1, coverage * 0.25::DOUBLE + diversity * 0.15::DOUBLE + technicality * 0.25::DOUBLE + coherence * 0.2::DOUBLE + length_balance * 0.15::DOUBLE), 6) AS total FROM f""")
+def _quality_sql(t: str) -> str:
+    """The quality figures f of keyword sets t (doc_id, word, rank, and what else is told of the set) by document and method."""
+    return f"""t AS ({t}), x AS (SELECT t.doc_id, method, t.word, t.rank, contains(d.text, t.word)::INT::DOUBLE AS inside, {_WEIGHT} AS weight, list_distinct(list_transform(range(1, length(t.word)), lambda i: substr(t.word, i, 2))) AS grams FROM t JOIN documents d USING (doc_id)),
+l AS (SELECT a.doc_id, a.method, count(*) FILTER (list_has_any(a.grams, b.grams)) AS linked FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.method = b.method AND a.rank < b.rank GROUP BY a.doc_id, a.method),
+g AS (SELECT doc_id, method, count(*) AS n, avg(inside) AS coverage, stddev_samp(length(word)) AS sd, least(1, avg(weight)) AS technicality, avg((length(word) BETWEEN 2 AND 8)::INT::DOUBLE) AS length_balance FROM x GROUP BY doc_id, method),
+f AS (SELECT *, round(least(1, coverage * 0.25::DOUBLE + diversity * 0.15::DOUBLE + technicality * 0.25::DOUBLE + coherence * 0.2::DOUBLE + length_balance * 0.15::DOUBLE), 6) AS total FROM (
+ SELECT g.*, CASE WHEN n > 1 THEN least(1, CASE WHEN sd < 3 THEN sd / 3 ELSE (6 - sd) / 3 END) ELSE 0.5::DOUBLE END AS diversity, CASE WHEN n > 1 THEN coalesce(linked, 0) / (n * (n - 1) / 2.0::DOUBLE) ELSE 0 END AS coherence FROM g LEFT JOIN l USING (doc_id, method)))"""
+
+
+@query(f"""WITH {_words_sql()}, {_quality_sql(_top_sql(_SCORE, 10).replace("SELECT doc_id", "SELECT 0 AS method, doc_id", 1))}
+SELECT doc_id, round(coverage, 6) AS coverage, round(diversity, 6) AS diversity, round(technicality, 6) AS technicality, round(coherence, 6) AS coherence, round(length_balance, 6) AS length_balance, total FROM f""")
 def keyword_quality(spark, sf):
     return keywords.set_quality(keywords.top_by_score(docs_of(spark, sf), 10), docs_of(spark, sf))
 
 
-@query()
+_METHODS = " UNION ALL ".join(_top_sql(score, 10, rows).replace("SELECT doc_id", f"SELECT {i} AS method, doc_id", 1) for i, (score, rows) in enumerate((("n", "w"), (_SCORE, "w"), ("s", "weighed"))))
+
+
+@query(f"""WITH {_words_sql()}, matched AS ({_W30}), weighed AS (SELECT doc_id, word, sum(weight) AS s, min(pos) AS first FROM matched WHERE length(word) > 1 GROUP BY doc_id, word), {_quality_sql(_METHODS)}
+SELECT doc_id, CASE method WHEN 0 THEN 'frequency' WHEN 1 THEN 'score' ELSE 'weighted' END AS method, total FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY total DESC, method) AS k FROM f) WHERE k = 1""")
 def keyword_best_method(spark, sf):
     d = docs_of(spark, sf)
     methods = (("frequency", keywords.top_by_frequency(d, 10)), ("score", keywords.top_by_score(d, 10)), ("weighted", keywords.weighted_patterns(d, 10)))
@@ -325,7 +335,13 @@ def keyword_coverage_potential(spark, sf):
     return keywords.coverage_potential(keywords.top_by_frequency(d, 5).select("doc_id", "word"), d.select((F.col("doc_id") - 1).alias("doc_id"), "text"))
 
 
-@query()
+_WIDE = r"[ァ-ヴー]+|[一-龥]{2,}|[A-Za-z]+[A-Za-z0-9]*"
+
+
+@query(f"""WITH {_words_sql(_WIDE)}, top AS ({_top_sql('n')}), best AS (SELECT doc_id, list(word ORDER BY rank) AS best FROM top GROUP BY doc_id),
+more AS (SELECT d.doc_id, coalesce(best, []) AS best, list_filter(regexp_extract_all(d.text, '{_WIDE}'), lambda x: NOT list_contains(coalesce(best, []), x)) AS rest FROM documents d LEFT JOIN best USING (doc_id)),
+every AS (SELECT doc_id, list_concat(best, rest[1 : greatest(3 - len(best), 0)]) AS l FROM more)
+SELECT doc_id, generate_subscripts(l, 1) - 1 AS place, unnest(l) AS word FROM every""")
 def keyword_frequent_or_first(spark, sf):
     return keywords.frequent_or_first(docs_of(spark, sf))
 
@@ -388,8 +404,9 @@ def _held(words: tuple[str, ...]) -> str:
 
 
 _EN = f"(({_held(T.EN_MARKERS)}) > ({_held(T.JA_MARKERS)}))"
-_RULE = rf"""
-WITH c AS (SELECT doc_id, text AS t, list_filter(list_transform(string_split(text, '. '), lambda s: trim(s, {WS})), lambda s: length(s) > 20) AS p FROM documents WHERE {_EN}),
+def _rule_sql(source: str) -> str:
+    """every: the pairs that the rules make of source (doc_id, text), English and others, each with its place o."""
+    return rf"""c AS (SELECT doc_id, text AS t, list_filter(list_transform(string_split(text, '. '), lambda s: trim(s, {WS})), lambda s: length(s) > 20) AS p FROM {source} WHERE {_EN}),
 s AS (SELECT doc_id, t, p, unnest(range(1, least(len(p), 3) + 1)) AS i FROM c WHERE len(p) > 0),
 q AS (
   SELECT doc_id, 0 AS o, 'What information is discussed in this section?' AS question, substr(t, 1, 500) AS answer, 'comprehensive' AS type FROM c WHERE len(p) > 0 AND length(t) > 50
@@ -397,7 +414,7 @@ q AS (
   UNION ALL SELECT doc_id, i * 10 + 2, CASE WHEN {_con('substr(p[i], 1, 30)')} <> '' AND {_con('substr(p[i - 1], 1, 30)')} <> '' THEN 'How does ' || {_con('substr(p[i], 1, 30)')} || ' relate to ' || {_con('substr(p[i - 1], 1, 30)')} || '?' ELSE 'How does the information ''' || substr(p[i], 1, 30) || '...'' connect to the previous context?' END, p[i - 1] || ' ' || p[i], 'contextual' FROM s WHERE i > 1
   UNION ALL SELECT doc_id, i * 10 + 3, 'What is mentioned about ' || {_con('p[i]')} || '?', p[i], 'keyword_based' FROM s WHERE {_con('p[i]')} <> ''
   UNION ALL SELECT doc_id, 1000, CASE WHEN {_con('substr(p[1], 1, 50)')} <> '' THEN 'What is the main theme related to ' || {_con('substr(p[1], 1, 50)')} || '?' ELSE 'What is the main theme discussed in this content?' END, substr(t, 1, 400), 'thematic' FROM c WHERE len(p) > 0 AND length(t) > 100),
-cj AS (SELECT doc_id, text AS t, list_filter(list_transform(string_split(text, '。'), lambda s: trim(s, {WS})), lambda s: length(s) > 20) AS p FROM documents WHERE NOT {_EN}),
+cj AS (SELECT doc_id, text AS t, list_filter(list_transform(string_split(text, '。'), lambda s: trim(s, {WS})), lambda s: length(s) > 20) AS p FROM {source} WHERE NOT {_EN}),
 sj AS (SELECT doc_id, p, unnest(range(1, least(len(p), 3) + 1)) AS i FROM cj WHERE len(p) > 0),
 found AS (SELECT doc_id, i, p[i] AS x, p[i] AS said FROM sj UNION ALL SELECT doc_id, 0, substr(t, 1, 200), '' FROM cj WHERE len(p) > 0),
 words AS (SELECT doc_id, i, said, unnest(regexp_extract_all(x, '{CANDIDATE_SQL}')) AS word, generate_subscripts(regexp_extract_all(x, '{CANDIDATE_SQL}'), 1) AS pos FROM found),
@@ -408,8 +425,10 @@ j AS (
   UNION ALL SELECT doc_id, i * 10 + 1 + k, '「' || word || '」について何が述べられていますか？', said, 'keyword_based' FROM best WHERE i > 0 AND k <= 2
   UNION ALL SELECT cj.doc_id, 1000, CASE WHEN b.word IS NOT NULL THEN '「' || b.word || '」に関する主要テーマは何ですか？' ELSE 'この内容の主要テーマは何ですか？' END, substr(t, 1, 400), 'thematic'
     FROM cj LEFT JOIN best b ON b.doc_id = cj.doc_id AND b.i = 0 AND b.k = 1 WHERE len(p) > 0 AND length(t) > 100),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS qa_idx FROM (SELECT * FROM q UNION ALL SELECT * FROM j)), kept AS (SELECT * FROM r WHERE qa_idx < 4)
-"""
+every AS (SELECT * FROM q UNION ALL SELECT * FROM j)"""
+
+
+_RULE = f"WITH {_rule_sql('documents')}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY o) - 1 AS qa_idx FROM every), kept AS (SELECT * FROM r WHERE qa_idx < 4) "
 
 
 def _rules(spark, sf):
@@ -456,7 +475,13 @@ def stride_sample(spark, sf):
     return qa.strided(docs_of(spark, sf), "doc_id", 300).select("doc_id")
 
 
-@query()
+@query(f"""WITH RECURSIVE {SEMANTIC}, num AS (SELECT row_number() OVER (ORDER BY doc_id, chunk_idx) - 1 AS g, chunk, count(*) OVER () AS total FROM semantic),
+size AS (SELECT any_value(total) AS total, CASE WHEN any_value(total) > 300 THEN any_value(total) // 300 ELSE 1 END AS step FROM num), n AS (SELECT *, least(CASE WHEN total > 300 THEN 300 ELSE total END, (total + step - 1) // step) AS n_taken FROM size),
+chosen AS (SELECT g AS doc_id, chunk AS text FROM num, n WHERE (g % step = 0 AND g < step * n_taken) OR (n_taken < n.total AND g BETWEEN n_taken AND n_taken + 49)), {_rule_sql('chosen')},
+taken AS (SELECT every.*, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS k FROM every, n WHERE doc_id % step = 0 AND doc_id < step * n_taken),
+firsts AS (SELECT type FROM (SELECT *, row_number() OVER (PARTITION BY substr(question, 1, 30) ORDER BY doc_id, k) AS p FROM taken WHERE k <= 4) WHERE p = 1),
+further AS (SELECT type FROM (SELECT every.*, row_number() OVER (PARTITION BY doc_id ORDER BY o) AS k FROM every, n WHERE n_taken < total AND doc_id BETWEEN n_taken AND n_taken + 49 AND (o < 20 OR o = 1000)) WHERE k <= 2 AND (SELECT count(*) FROM firsts) < 2 * (SELECT total FROM n))
+SELECT type, count(*) AS n FROM (SELECT * FROM firsts UNION ALL SELECT * FROM further) GROUP BY type""")
 def rule_pipeline_types(spark, sf):
     return pipelines.rule_pipeline(docs_of(spark, sf)).groupBy("type").agg(F.count("*").alias("n"))
 
@@ -469,6 +494,33 @@ def qa_redistribution(spark, sf):
     return qa.redistribute(d, made).select("batch", "ordinal", "place")
 
 
+#: Documents as chunks of their own, three to a request.
+_BATCHES = f"""WITH c AS (SELECT doc_id, text, {sql_tokens('text')} AS tokens, row_number() OVER (ORDER BY doc_id) - 1 AS place FROM documents),
+q AS (SELECT *, place // 3 AS batch, least(8, CASE WHEN tokens < 50 THEN 2 WHEN tokens < 100 THEN 3 WHEN tokens < 200 THEN 6 WHEN tokens < 300 THEN 7 ELSE 8 END) AS quota, row_number() OVER (PARTITION BY place // 3 ORDER BY place) AS k FROM c),
+r AS (SELECT batch, count(*) AS n_chunks, sum(quota)::BIGINT AS wanted, 'Write ' || sum(quota)::BIGINT || ' question and answer pairs about the numbered texts below, as JSON with qa_pairs of question, answer, question_type (fact, reason, comparison or application).'
+ || string_agg(chr(10) || chr(10) || '[' || k || ']' || chr(10) || CASE WHEN length(text) > CASE WHEN n = 1 THEN 2000 ELSE 1000 END THEN substr(text, 1, CASE WHEN n = 1 THEN 2000 ELSE 1000 END) || '...' ELSE text END, '' ORDER BY place) AS prompt
+ FROM (SELECT *, count(*) OVER (PARTITION BY batch) AS n FROM q) GROUP BY batch)"""
+
+
+def _document_chunks(spark, sf):
+    return docs_of(spark, sf).select("doc_id", F.lit(0).cast("bigint").alias("chunk_idx"), F.col("text").alias("chunk"), T.token_estimate(F.col("text")).alias("tokens"))
+
+
+@query(_BATCHES + " SELECT batch, n_chunks, wanted, md5(prompt) AS prompt FROM r WHERE n_chunks > 1")
+def batch_requests(spark, sf):
+    asked = generation.requests_of(generation.batches(_document_chunks(spark, sf), 3))
+    return asked.filter("n_chunks > 1").select("batch", F.col("n_chunks").cast("bigint").alias("n_chunks"), "wanted", F.md5("prompt").alias("prompt"))
+
+
+@query(_BATCHES + """, u AS (SELECT q.*, r.n_chunks, r.prompt, sum(q.quota) OVER (PARTITION BY q.batch ORDER BY q.place) AS until FROM q JOIN r USING (batch)),
+m AS (SELECT *, unnest(range((until - quota)::BIGINT, until::BIGINT)) AS ordinal FROM u)
+SELECT doc_id, place, ordinal::BIGINT AS ordinal, 'question ' || ordinal || ' of ' || md5(prompt) AS question, 'answer ' || ordinal AS answer, CASE WHEN n_chunks > 1 THEN 'batch' ELSE 'single' END AS how FROM m""")
+def batch_pairs(spark, sf):
+    """Pairs of all documents from a stand-in writer, three documents to a request, dealt back by quota."""
+    made = generation.generate(_document_chunks(spark, sf), DigestWriter(), generation.Ledger(spark), 3)
+    return made.select("doc_id", "place", "ordinal", "question", "answer", "how")
+
+
 _SENT = "list_filter(list_transform(string_split_regex(text, '[。！？.!?]+'), lambda s: trim(s, " + WS + ")), lambda s: s <> '')"
 _METRICS = f"""
 WITH b AS (SELECT doc_id, text, {_SENT} AS s, regexp_extract_all(text, '{TECH_SQL}') AS terms FROM documents),
@@ -544,7 +596,7 @@ def hierarchical_qa(spark, sf):
     return qa.hierarchical(docs_of(spark, sf)).select("doc_id", "qa_idx", "question", "type", "layer")
 
 
-@query()
+@query("WITH RECURSIVE " + SEMANTIC + f", c AS (SELECT doc_id, chunk_idx, regexp_extract(chunk, '{_CON}') AS concept, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_idx) AS k FROM semantic) SELECT doc_id, chunk_idx, 'What does the text say about ' || concept || '?' AS question FROM c WHERE k <= 5 AND concept <> ''")
 def qa_targeted(spark, sf):
     return qa.targeted(_chunks(spark, sf)).select("doc_id", "chunk_idx", "question")
 
@@ -622,6 +674,17 @@ def qa_question_groups(spark, sf):
     return tables.qa_table(pairs, "ordinal").select("question").distinct().join(pairs.groupBy("question").agg(F.min("ordinal").alias("first"), F.count("*").alias("n")), "question").select("first", "n")
 
 
+@query(_QA + f""", v AS (SELECT ordinal, question FROM qa UNION ALL SELECT ordinal + 500000, question || ' please' FROM qa WHERE conv_id % 2 = 0), s AS (SELECT ordinal, question, {_SET} AS s FROM v),
+l AS (SELECT a.ordinal AS a, b.ordinal AS b FROM s a JOIN s b ON a.ordinal <> b.ordinal AND (a.question = b.question OR len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))) > 0.7::DOUBLE)),
+c AS (WITH RECURSIVE r AS (SELECT ordinal AS a, ordinal AS b FROM s UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a) SELECT a, min(b) AS class_id FROM r GROUP BY a)
+SELECT s.ordinal, c.class_id, (SELECT count(*) FROM l WHERE l.a = s.ordinal) AS n_links FROM s JOIN c ON c.a = s.ordinal""")
+def qa_duplicate_classes(spark, sf):
+    """Near copies made for the purpose, as in qa_jaccard_variants."""
+    asked = qa_pairs(spark, sf)
+    again = asked.filter("conv_id % 2 = 0").select((F.col("ordinal") + 500000).alias("ordinal"), F.concat("question", F.lit(" please")).alias("question"))
+    return duplicates.duplicate_classes(asked.select("ordinal", "question").unionByName(again))
+
+
 @query(_QA + f""", v AS (SELECT ordinal, question FROM qa UNION ALL SELECT ordinal + 500000, question || ' please' FROM qa WHERE conv_id % 2 = 0), t AS (SELECT min(ordinal) AS id, question, {_SET} AS s FROM v GROUP BY question)
 SELECT a.id AS a, b.id AS b, round(len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))), 6) AS jaccard FROM t a JOIN t b ON a.id < b.id WHERE len(list_intersect(a.s, b.s))::DOUBLE / len(list_distinct(list_concat(a.s, b.s))) > 0.7::DOUBLE""")
 def qa_jaccard_variants(spark, sf):
@@ -665,3 +728,21 @@ def reply_fields(spark, sf):
     cited, calls = replies.citations(stored).select("id", "file_id"), replies.tool_calls(stored).select("id", F.col("type").alias("call_type"))
     every = stored.select("conv_id", "turn", "id").join(replies.fields(stored), "id").join(cited, "id", "left").join(calls, "id", "left")
     return every.select("conv_id", "turn", "reply_id", "model", "texts", "prompt_tokens", "completion_tokens", "file_id", "call_type")
+
+
+@query(f"""WITH {_words_sql()}, t AS ({_top_sql(_SCORE, 30)}), k AS (SELECT doc_id, CASE WHEN length(text) < 100 THEN 3 WHEN length(text) < 300 THEN 5 WHEN length(text) < 500 THEN 7 + {_N100} WHEN length(text) < 1000 THEN 10 + CASE WHEN len(string_split_regex(text, '[。！？.!?]+')) > 10 THEN 2 ELSE 0 END
+ WHEN length(text) < 2000 THEN 15 ELSE least(30, 20 + floor(log2(length(text) / 2000.0::DOUBLE))) END::BIGINT AS most FROM documents) SELECT t.doc_id, word, rank FROM t JOIN k USING (doc_id) WHERE rank <= most""")
+def keyword_extracted(spark, sf):
+    return keywords.extract(docs_of(spark, sf), "auto").select("doc_id", "word", "rank")
+
+
+#: Stand-ins for what a tagger finds: each text's two most frequent words, a person and something else.
+_ENTITY_TYPES = ("PERSON", "PLACE")
+
+
+@query(f"""WITH {_words_sql()}, t AS ({_top_sql('n', 2)}), s AS (SELECT t.*, list_filter(list_transform(string_split_regex(text, '[。！？.!?]'), lambda x: trim(x, {WS})), lambda x: x <> '' AND contains(x, t.word)) AS held FROM t JOIN documents USING (doc_id))
+SELECT doc_id, word AS entity, word || unnest(CASE rank WHEN 1 THEN {list(qa.ENTITY_QUESTIONS['PERSON'])} ELSE {list(qa.OTHER_QUESTIONS)} END) AS question, md5(held[1]) AS answer, 'entity_based' AS type FROM s WHERE len(held) > 0""")
+def qa_entity_pairs(spark, sf):
+    d = docs_of(spark, sf)
+    found = keywords.top_by_frequency(d, 2).select("doc_id", F.col("word").alias("entity"), F.when(F.col("rank") == 1, _ENTITY_TYPES[0]).otherwise(_ENTITY_TYPES[1]).alias("entity_type"))
+    return qa.entity_pairs(found, d).withColumn("answer", F.md5("answer"))

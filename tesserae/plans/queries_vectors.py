@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import vectors as V
-from tesserae.operators import store, vectors
+from tesserae.operators import generation, store, vectors
+from tesserae.operators.ordering import numbered_rows
+from tesserae.operators.vector_index import VectorIndex
 from tesserae.plans.registry import query, sql_cosine, table
+from tesserae.providers import DigestWriter
+from tesserae.staging import shared_dir
 
 _BEST = f"""
 WITH c AS (SELECT vec_id, label, embedding AS e FROM embeddings WHERE label < 5), q AS (SELECT vec_id, label, embedding AS e FROM embeddings WHERE label >= 5),
@@ -71,6 +77,41 @@ def coverage_by_position(spark, sf):
     return vectors.coverage_by(ranked, vectors.position_bucket(F.col("i"), F.lit(total)))
 
 
+@query(_BEST + """, r AS (SELECT max_sim, CASE WHEN label < 2 THEN 'short' WHEN label < 4 THEN 'medium' ELSE 'long' END AS length, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM best),
+b AS (SELECT *, CASE WHEN i < n * 0.33::DOUBLE THEN 'beginning' WHEN i < n * 0.67::DOUBLE THEN 'middle' ELSE 'end' END AS position FROM r),
+s AS (SELECT CASE WHEN grouping(length) = 0 THEN 'length' WHEN grouping(position) = 0 THEN 'position' ELSE 'all' END AS kind, coalesce(length, position, 'all') AS bucket, count(*) AS n, count(*) FILTER (max_sim >= 0.35) AS covered, round(avg(max_sim), 6) AS avg_max_sim, round(count(*) FILTER (max_sim >= 0.35)::DOUBLE / count(*), 6) AS rate
+ FROM b GROUP BY GROUPING SETS ((length), (position), ()))
+SELECT *, CASE WHEN rate < 0.7 AND kind = 'length' THEN bucket || ' chunks: low coverage' WHEN rate < 0.7 AND kind = 'position' THEN bucket || ' of the document: low coverage' END AS insight FROM s""")
+def coverage_profile(spark, sf):
+    """A smaller threshold than the default, so that the given vectors are covered in part."""
+    b = numbered_rows(_best(spark, sf).join(_split(spark, sf)[0].select(F.col("vec_id").alias("id"), "label"), "id"), ["id"], "i")
+    rows = b.withColumns({"length": vectors.length_bucket(F.col("label") * 50), "position": vectors.position_bucket(F.col("i"), F.lit(b.count()))})
+    return vectors.coverage_profile(rows, threshold=0.35)
+
+
+@query()
+def vector_index_search(spark, sf):
+    """The ten nearest of all vectors for each vector whose id 20 divides, through the index."""
+    e = table(spark, sf, "embeddings")
+    index = VectorIndex.build(e, f"{shared_dir(spark)}/vector-index-{uuid.uuid4().hex}")
+    return index.search(e.filter("vec_id % 20 = 0"), 10).withColumn("score", F.round("score", 6))
+
+
+@query(f"""WITH h AS (SELECT a.vec_id AS id, b.vec_id AS other, round({sql_cosine('a.embedding', 'b.embedding')}, 9) AS score FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND b.vec_id % 20 <> 0 AND b.label < 5),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS rank FROM h),
+p AS (SELECT r.id, string_agg(chr(10) || chr(10) || 'Score: ' || printf('%.4f', score) || chr(10) || 'Question: ' || d.source || chr(10) || 'Answer: ' || d.text, '' ORDER BY rank) AS hits, list(d.lang ORDER BY rank) AS langs FROM r JOIN documents d ON d.doc_id = r.other WHERE rank <= 3 GROUP BY r.id),
+q AS (SELECT id, 'Answer the question from the search results below, briefly and correctly.' || chr(10) || chr(10) || 'Question: ' || d.text || hits AS prompt, langs FROM p JOIN documents d ON d.doc_id = p.id)
+SELECT id, 'reply ' || md5(prompt) AS reply, array_to_string(list_filter(langs, lambda x, i: list_position(langs, x) = i), ',') AS sources FROM q""")
+def answers_from_hits(spark, sf):
+    """Every document whose id 20 divides is a question, answered from the three nearest of the others; the writer is a stand-in."""
+    e, d = table(spark, sf, "embeddings"), table(spark, sf, "documents")
+    hits = vectors.nearest(e.filter("vec_id % 20 = 0"), e.filter("vec_id % 20 <> 0 AND label < 5"), 3)
+    told = hits.join(d.select(F.col("doc_id").alias("other"), F.col("source").alias("question"), F.col("text").alias("answer"), F.col("lang").alias("source")), "other")
+    asked = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("id")).join(d.select(F.col("doc_id").alias("id"), F.col("text").alias("query")), "id")
+    out = generation.answers(told, asked, DigestWriter(), generation.Ledger(spark))
+    return out.filter("reply IS NOT NULL").select("id", "reply", F.array_join("sources", ",").alias("sources"))
+
+
 @query(_BEST + ", g AS (SELECT greatest(max_sim, 0) AS m FROM best) SELECT round(avg(m), 6) AS avg_max, min(m) AS min_max, max(m) AS max_max, count(*) FILTER (m >= 0.7) AS high, count(*) FILTER (m >= 0.5 AND m < 0.7) AS medium, count(*) FILTER (m < 0.5) AS low FROM g")
 def coverage_bands(spark, sf):
     return vectors.match_bands(_best(spark, sf, True))

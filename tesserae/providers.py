@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -41,6 +43,16 @@ class Writer(Protocol):
     def write(self, prompt: str) -> str: ...
 
 
+class DigestWriter:
+    """A stand-in writer: a request for pairs gets as many as it asks for, any other a reply that names its digest."""
+
+    def write(self, prompt: str) -> str:
+        key = hashlib.md5(prompt.encode()).hexdigest()
+        if wanted := re.match(r"Write (\d+) question and answer pairs", prompt):
+            return json.dumps({"qa_pairs": [{"question": f"question {i} of {key}", "answer": f"answer {i}", "question_type": "fact"} for i in range(int(wanted[1]))]})
+        return f"reply {key}"
+
+
 def budgeted(texts: list[str], most_tokens: int = 8000, most_texts: int = 20) -> Iterator[list[int]]:
     """Places of texts in requests under both limits. Blank texts are in none; one over the budget is an error."""
     batch: list[int] = []
