@@ -22,6 +22,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -287,28 +288,27 @@ def places_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _all_places(docs: DataFrame, with_next: bool) -> DataFrame:
-    """docs: doc_id, tag, held_out, text. One row for each place: doc_id, tag, held_out, place, h, c (hash of what follows), and that if asked."""
+    """docs: doc_id, tag, held_out, text. One row for each place: doc_id, tag, held_out, place, h, and if asked what follows and its hash c."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            which, at, hashes, own, tails = [], [], [], [], []
+            which, at, hashes, tails = [], [], [], []
             for i, t in enumerate(b.column(3)):
                 data = (t.as_py() or "").encode()
                 places, h = places_of(data)
-                ends = np.minimum(np.append(places[1:], len(data)), places + AHEAD)
                 which.append(np.full(len(places), i))
                 at.append(places)
                 hashes.append(h)
-                parts = [data[p:q] for p, q in zip(places.tolist(), ends.tolist())]
-                own += map(xxhash.xxh64_intdigest, parts)
                 if with_next:
-                    tails += parts
+                    ends = np.minimum(np.append(places[1:], len(data)), places + AHEAD)
+                    tails += [data[p:q] for p, q in zip(places.tolist(), ends.tolist())]
             row = pa.array(np.concatenate(which) if which else np.empty(0, np.int64))
-            cols = [*(b.column(k).take(row) for k in range(3)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(hashes)), pa.array(np.array(own, np.uint64).view(np.int64))]
-            names = ["doc_id", "tag", "held_out", "place", "h", "c", "next"]
-            yield pa.record_batch([*cols, pa.array(tails, pa.binary())] if with_next else cols, names=names[: 6 + with_next])
+            cols = [*(b.column(k).take(row) for k in range(3)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(hashes))]
+            if with_next:
+                cols += [pa.array(np.array([*map(xxhash.xxh64_intdigest, tails)], np.uint64).view(np.int64)), pa.array(tails, pa.binary())]
+            yield pa.record_batch(cols, names=["doc_id", "tag", "held_out", "place", "h", "c", "next"][: len(cols)])
 
-    return docs.mapInArrow(run, "doc_id bigint, tag bigint, held_out boolean, place int, h bigint, c bigint" + ", next binary" * with_next)
+    return docs.mapInArrow(run, "doc_id bigint, tag bigint, held_out boolean, place int, h bigint" + ", c bigint, next binary" * with_next)
 
 
 def _name() -> Column:
@@ -316,21 +316,25 @@ def _name() -> Column:
     return F.xxhash64("doc_id", "tag")
 
 
+def _ends(table: DataFrame) -> DataFrame:
+    """h, k, and of both ends the text's name, the continuation's hash and the continuation."""
+    return table.select("h", "k", *[F.col(f"{end}.{c}").alias(f"{end}_{c}") for end in ("lo", "hi") for c in ("o", "c", "next")])
+
+
 def _hot_table(docs: DataFrame, places: DataFrame, hot: DataFrame) -> DataFrame:
-    """h, k, lo, hi as in ``foretold`` for the few hot places: what follows is read from one text for each end."""
-    at = F.struct(_name().alias("o"), "c", "doc_id", "tag")
+    """As ``_ends`` for the few hot places: what follows is read from one text for each end."""
+    at = F.struct(_name().alias("o"), "place", "doc_id", "tag")
     ends = places.join(F.broadcast(hot), "h", "left_semi").filter(~F.col("held_out")).groupBy("h").agg(F.count("*").alias("k"), F.min(at).alias("lo"), F.max(at).alias("hi"))
     ends = cut(ends, "lm-hot-ends")
     told = ends.select("h", F.explode(F.array("lo", "hi")).alias("at")).select("h", "at.*")
     named = F.broadcast(told.select(F.col("doc_id").alias("told_id"), F.col("tag").alias("told_tag")).distinct())
     texts = docs.join(named, docs["doc_id"].eqNullSafe(named["told_id"]) & (docs["tag"] == named["told_tag"]), "left_semi")
-    follows = _all_places(texts, True).join(F.broadcast(told.select("h", "c").distinct()), ["h", "c"], "left_semi").groupBy("h", "c").agg(F.min("next").alias("next"))
-    follows = cut(follows, "lm-hot-next")
+    follows = _all_places(texts, True).withColumn("o", _name()).join(F.broadcast(told.select("h", "o", "place").distinct()), ["h", "o", "place"], "left_semi")
+    follows = cut(follows.groupBy("h", "o", "place").agg(F.min(F.struct("c", "next")).alias("told")), "lm-hot-next")
     for end in ("lo", "hi"):
-        one = follows.select("h", F.col("c").alias(f"c_{end}"), F.col("next").alias(f"next_{end}"))
-        ends = ends.withColumn(f"c_{end}", F.col(f"{end}.c")).join(F.broadcast(one), ["h", f"c_{end}"])
-    pair = lambda end: F.struct(F.col(f"{end}.o").alias("o"), F.col(f"c_{end}").alias("c"), F.col(f"next_{end}").alias("next")).alias(end)
-    return ends.select("h", "k", pair("lo"), pair("hi"))
+        one = follows.select("h", F.struct("o", "place").alias(f"at_{end}"), F.struct("o", "place", "told.c", "told.next").alias(f"told_{end}"))
+        ends = ends.withColumn(f"at_{end}", F.struct(F.col(f"{end}.o").alias("o"), F.col(f"{end}.place").alias("place"))).join(F.broadcast(one), ["h", f"at_{end}"])
+    return _ends(ends.select("h", "k", F.col("told_lo").alias("lo"), F.col("told_hi").alias("hi")))
 
 
 def foretold(docs: DataFrame) -> DataFrame:
@@ -345,14 +349,14 @@ def foretold(docs: DataFrame) -> DataFrame:
     hot = places.groupBy("h").agg(F.count("*").alias("k")).filter(F.col("k") > places.count() / HOT).select("h")
     hot = cut(hot, "lm-hot")
     trained = _all_places(docs.filter(~F.col("held_out")), True)
-    at = F.struct(_name().alias("o"), "c", "next")
-    table = trained.groupBy("h").agg(F.count("*").alias("k"), F.min(at).alias("lo"), F.max(at).alias("hi"))
+    at = F.struct(_name().alias("o"), "place", "c", "next")
+    table = _ends(trained.groupBy("h").agg(F.count("*").alias("k"), F.min(at).alias("lo"), F.max(at).alias("hi")))
     # few keys with very many rows: their table is broadcast; of the others both sides are dealt by h once
     rest = places.join(F.broadcast(hot), "h", "left_anti").join(table, "h")
     met = rest.unionByName(places.join(F.broadcast(cut(_hot_table(docs, places, hot), "lm-hot-table")), "h"))
-    own = lambda end: ~F.col("held_out") & (_name() == F.col(f"{end}.o"))
-    told = F.when(~own("lo"), F.col("lo.next")).when(~own("hi"), F.col("hi.next"))
-    agreed = (F.col("k") > 1) & ~own("lo") & ~own("hi") & (F.col("lo.c") == F.col("hi.c"))
+    own = lambda end: ~F.col("held_out") & (_name() == F.col(f"{end}_o"))
+    told = F.when(~own("lo"), F.col("lo_next")).when(~own("hi"), F.col("hi_next"))
+    agreed = (F.col("k") > 1) & ~own("lo") & ~own("hi") & (F.col("lo_c") == F.col("hi_c"))
     return met.filter(told.isNotNull()).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("place", agreed.alias("agreed"), told.alias("next"))).alias("told"))
 
 
@@ -499,7 +503,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         words = _paths_once(key, table)
         for b in batches:
             texts = [t.as_py().encode() for t in b.column(2)]
-            guesses = [[(g["place"], g["agreed"], g["next"]) for g in v.as_py() or ()] for v in b.column(3)]
+            each = zip(*(v.to_pylist() for v in b.column(3).flatten().flatten()))
+            guesses = [[*islice(each, n or 0)] for n in b.column(3).value_lengths().to_pylist()]
             bits = total_bits(texts, guesses, words, go, end)
             n_tokens, n_known, logs, names, times, ends = [], [], [], [], [], [0]
             for t in texts:

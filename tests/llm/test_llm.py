@@ -360,8 +360,8 @@ def plain_told(rows, names):
     """For each (text, held out) the continuations it is told; names: a number for each text."""
     seen = {}
     for (t, held), name in zip(rows, names):
-        for _, h, tail in plain_places(t) if not held else ():
-            seen.setdefault(h, []).append((name, (d := xxhash.xxh64_intdigest(tail)) - (d >> 63 << 64), tail))
+        for i, h, tail in plain_places(t) if not held else ():
+            seen.setdefault(h, []).append((name, i, tail))
     out = []
     for (t, held), name in zip(rows, names):
         told = []
