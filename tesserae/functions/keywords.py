@@ -27,6 +27,7 @@ GAP_WORDS = (
 SYNONYMS = (("AI", "人工知能"), ("ML", "機械学習"), ("DL", "深層学習"), ("NLP", "自然言語処理"), ("DX", "デジタルトランスフォーメーション"))
 SPECIFIC, CORE, GENERAL = ("BERT", "GPT", "CNN", "RNN", "LSTM"), ("技術", "手法", "方式", "理論", "モデル"), ("データ", "システム", "処理", "分析")
 EXPLAINING = ("とは", "である", "という", "により", "ため")
+# The forms of technical words.
 KATAKANA, ACRONYM, HAN = r"^[ァ-ヴー]{3,}$", r"^[A-Z]{2,}$", r"^[一-龥]{4,}$"
 
 
@@ -58,12 +59,14 @@ def fit_for_qa(w: Column) -> Column:
 def difficulty(w: Column, text: Column) -> Column:
     n = occurrences(text, w)
     told = F.contains(text, F.concat(w, F.lit("とは"))) | (F.contains(text, F.concat(w, F.lit("は"))) & F.contains(text, F.lit("である"))) | F.contains(text, F.concat(w, F.lit("（")))
+    # fixed values: the form of an acronym, and the limits of length and number
     acronym = w.rlike(r"^[A-Z]{2,}[A-Z0-9]*$")
     return F.when(told & (n >= 3), "basic").when(acronym & ~told, "advanced").when((F.length(w) >= 8) | (n == 1), "advanced").when(n >= 5, "basic").otherwise("intermediate")
 
 
 def category(w: Column) -> Column:
     return (
+        # fixed value: the forms of a technical term
         F.when(w.isin(*SPECIFIC), "specific_name").when(w.rlike(r"^[A-Z]{2,}[A-Z0-9]*$|^[ァ-ヴー]{4,}$"), "technical_term")
         .when(any_of(w, CORE), "core_concept").when(any_of(w, GENERAL), "general_term").otherwise("other")
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 JAPANESE = "\\u3040-\\u309F\\u30A0-\\u30FF\\u4E00-\\u9FFF"
+# What counts as a word, a technical word and a named concept.
 CANDIDATE = r"[ァ-ヴー]{2,}|[一-龥]{2,}|[A-Za-z]{2,}[A-Za-z0-9]*"
 TECHNICAL = r"[ァ-ヴー]{3,}|[A-Z]{2,}[A-Z0-9]*|[一-龥]{4,}"
 CONCEPT = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"

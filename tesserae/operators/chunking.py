@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import clean_text, domain_of, token_estimate
+from tesserae.operators.ordering import numbered_rows
 
 Chunk = tuple[str, str]  # text, kind
 CHUNKS = "array<struct<text:string,kind:string,first:int,last:int>>"
@@ -233,6 +234,29 @@ def store_entries(lines: DataFrame, dataset: str, size: int = 2000, overlap: int
     return running_cut(out, [id_col, "chunk_idx"], "entry_size", max_chunks, int(max_mb * (1 << 20)))
 
 
+def unified_entries(sets: dict[str, DataFrame], size: int = 2000, overlap: int = 100, max_mb: float = 100.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Entries of several sets for one store: place, source_dataset, entry_id, text, metadata, entry_size.
+
+    sets: name -> id, text, in the order in which they go in. If all entries together are over ``max_mb``, as many of the
+    first ones stay as make up 90 % of it by the entries' average size.
+    """
+    every = None
+    for no, (name, lines) in enumerate(sets.items()):
+        cleaned = lines.select(id_col, clean_text(F.col(text_col), False).alias("text")).filter("text <> ''")
+        parts = chunk_table(cleaned, as_chunks(sliding, size, overlap), id_col, "text")
+        total = F.count("*").over(Window.partitionBy(id_col))  # the chunks of one line
+        one = parts.withColumn("total_chunks", total).select(F.lit(no).alias("set_no"), F.lit(name).alias("source_dataset"), id_col, "chunk_idx", F.col("chunk").alias("text"), "total_chunks")
+        every = one if every is None else every.unionByName(one)
+    meta = F.struct(F.col("source_dataset").alias("dataset"), F.col(id_col).alias("original_line"), F.col("chunk_idx").alias("chunk_index"), "total_chunks")
+    entries = every.select("set_no", "source_dataset", id_col, "chunk_idx", F.concat_ws("_", F.lit("unified_all"), "source_dataset", F.col(id_col), "chunk_idx").alias("entry_id"), "text", meta.alias("metadata"))
+    entries = entries.withColumn("entry_size", F.length(F.to_json(F.struct(F.col("entry_id").alias("id"), "text", "metadata"))))
+    placed = numbered_rows(entries, ["set_no", id_col, "chunk_idx"], "place")
+    n, bytes_ = placed.agg(F.count("*"), F.coalesce(F.sum("entry_size"), F.lit(0))).first()
+    limit = max_mb * (1 << 20)
+    kept = placed.filter(F.col("place") < int(n * 0.9 * limit / bytes_)) if bytes_ > limit else placed
+    return kept.select("place", "source_dataset", "entry_id", "text", "metadata", "entry_size")
+
+
 def running_cut(rows: DataFrame, order: list[str], size_col: str, max_rows: int, max_size: int, block: int = 1000) -> DataFrame:
     """The first rows in order until max_rows are kept or their sizes pass max_size. order[0] is a whole number."""
     blocked = rows.withColumn("block", F.floor(F.col(order[0]) / block))

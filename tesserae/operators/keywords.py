@@ -112,6 +112,14 @@ def without_redundant(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return x.join(y, inside, "left_anti").select(*[f"x.{c}" for c in rows.columns])
 
 
+def new_words(rows: DataFrame, known: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """rows and known: id, word. The rows whose word, and whose synonyms, their id does not know yet."""
+    both = [p for a, b in SYNONYMS for p in ((a, b), (b, a))]
+    pairs = rows.sparkSession.createDataFrame(both, "word string, other string")
+    every = known.select(id_col, "word").unionAll(known.join(F.broadcast(pairs), "word").select(id_col, F.col("other").alias("word")))
+    return rows.join(every, [id_col, "word"], "left_anti").select(rows.columns)
+
+
 def qa_keywords(rows: DataFrame) -> DataFrame:
     return rows.filter(fit_for_qa(F.col("word")))
 

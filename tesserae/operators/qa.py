@@ -25,6 +25,9 @@ def _named(concept: Column, named: str, plain: Column) -> Column:
     return F.when(concept != "", F.concat(*[F.lit(p) if p else F.lit("") for p in named.split("{}")[:1]], concept, F.lit(named.split("{}")[1]))).otherwise(plain)
 
 
+# The question strings of the two functions below are fixed values.
+
+
 def rule_qa(chunks: DataFrame, per_chunk: int = 4, chunk_col: str = "chunk") -> DataFrame:
     """Adds question, answer, type, qa_idx to English chunks: up to per_chunk rule-made pairs of each, in a fixed order.
 
@@ -170,7 +173,8 @@ def hybrid_count(text: Column, n_chunks: Column, quality: bool = False) -> Colum
     return F.least(F.floor(base + n_chunks * 0.5), F.lit(15)).cast("bigint")
 
 
-#: Two questions for each difficulty and category; categories not named take the difficulty's plain pair.
+# Two questions for each difficulty and category (categories not named take the difficulty's plain pair),
+# and the length asked for.
 TEMPLATES = (
     ("basic", None, "とは何ですか？", "について説明してください。"), ("intermediate", "core_concept", "の仕組みを説明してください。", "の特徴は何ですか？"),
     ("intermediate", None, "はどのように使われますか？", "の利点は何ですか？"), ("advanced", "technical_term", "の技術的な詳細を説明してください。", "と他の手法との違いは何ですか？"),
@@ -252,6 +256,7 @@ def enumerations(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.select(id_col, F.concat("a", F.lit("には何がありますか？")).alias("question"), F.concat("a", F.lit("には、"), F.array_join("items", "、"), F.lit("があります。")).alias("answer"), "items")
 
 
+# What is asked about entities of a type, and of all others.
 ENTITY_QUESTIONS = {
     "PERSON": ("は誰ですか？", "は何をしましたか？", "の役割は何ですか？"), "ORG": ("はどのような組織ですか？", "の使命は何ですか？", "は何を提供していますか？"),
     "PRODUCT": ("の特徴は何ですか？", "はどのように使われますか？", "の利点は何ですか？"), "WORK_OF_ART": ("の特徴は何ですか？", "はどのように使われますか？", "の利点は何ですか？"),
@@ -299,6 +304,7 @@ def budget_plan(spark, budget: float) -> DataFrame:
     return spark.createDataFrame(rows, "phase string, method string, target string, part double, expected_qa int").withColumn("cost", F.round(F.col("part") * budget, 6)).drop("part")
 
 
+# Fixed value: words that make a question.
 QUESTION_WORDS = ("何", "なぜ", "どのように", "いつ", "どこ", "だれ", "どちら")
 
 
@@ -332,6 +338,7 @@ def similar_questions(qa: DataFrame, id_col: str, least: float = 0.7) -> DataFra
     return full.withColumn("jaccard", score).filter(F.col("jaccard") > least).select(F.col("ra").alias("a"), F.col("rb").alias("b"), F.round("jaccard", 6).alias("jaccard"))
 
 
+# Fixed value: how example questions end.
 EXAMPLES = ("とは何ですか？", "の特徴を教えてください", "のメリットは何ですか？")
 
 

@@ -61,6 +61,40 @@ def combine(df: DataFrame, columns: Sequence[str], name: str = "combined_text")
     return df.withColumn(name, F.concat_ws(" ", parts))
 
 
+# Fixed value: columns that stand in for a missing text field, in order of preference.
+TEXT_FIELDS = ("text", "content", "body", "document", "abstract", "description")
+
+
+def text_content(df: DataFrame, text_field: str, title_field: str | None = None, name: str = "combined_text") -> DataFrame:
+    """The rows with a text: title and text cleaned and joined, where the table has both; the text alone; without a text
+    field the first of TEXT_FIELDS that it has; without any of these all columns as they are. Blank results are dropped."""
+    if text_field in df.columns:
+        made = combine(df, [title_field, text_field] if title_field in df.columns else [text_field], name)
+    elif field := next((c for c in TEXT_FIELDS if c in df.columns), None):
+        made = combine(df, [field], name)
+    else:
+        made = df.withColumn(name, F.concat_ws(" ", *[F.col(f"`{c}`").cast("string") for c in df.columns]))
+    return nonblank(made, name)
+
+
+# Fixed value: what the columns of a medical set are told by, case aside; the first that fits a column counts.
+MEDICAL = ("question", "cot", "response")
+
+
+def combine_medical(df: DataFrame, columns: Sequence[str], name: str = "combined_text") -> DataFrame:
+    """Question, reasoning and response, found by their names and joined in the order of their columns; of several alike
+    the last has the first one's place. Rows where all are blank take the given columns."""
+    found: dict[str, str] = {}
+    for c in df.columns:
+        if kind := next((k for k in MEDICAL if k in c.lower()), None):
+            found[kind] = c
+    plain = combine(df, [c for c in columns if c in df.columns], name)
+    if not found:
+        return plain
+    parts = F.concat_ws(" ", F.filter(F.array(*[clean_text(F.col(f"`{c}`")) for c in found.values()]), lambda s: s != ""))
+    return plain.withColumn(name, F.when(parts != "", parts).otherwise(F.col(name)))
+
+
 def process(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct rows that are not all null, the columns cleaned and combined, blank results dropped."""
     rows = df.distinct().na.drop("all")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -58,6 +60,24 @@ def combine_columns(spark, sf):
     return tables.combine(docs_of(spark, sf), ["lang", "text"]).select("doc_id", F.md5("combined_text").alias("combined"))
 
 
+@query(f"""SELECT 'both' AS kind, doc_id, md5({sql_clean('source')} || ' ' || {sql_clean('text')}) AS combined FROM documents WHERE {sql_clean('text')} || {sql_clean('source')} <> ''
+UNION ALL SELECT 'text', doc_id, md5({sql_clean('text')}) FROM documents WHERE {sql_clean('text')} <> '' UNION ALL SELECT 'found', doc_id, md5({sql_clean('text')}) FROM documents WHERE {sql_clean('text')} <> ''
+UNION ALL SELECT 'all', doc_id, md5(doc_id || ' ' || lang) FROM documents""")
+def text_content(spark, sf):
+    """Title and text, text alone, a stand-in column, and all columns."""
+    d = docs_of(spark, sf).select("doc_id", "text", "lang", "source")
+    forms = {"both": tables.text_content(d, "text", "source"), "text": tables.text_content(d, "text", "headline"), "found": tables.text_content(d.withColumnRenamed("text", "body"), "text"), "all": tables.text_content(d.select("doc_id", "lang"), "text")}
+    parts = [rows.select(F.lit(kind).alias("kind"), "doc_id", F.md5("combined_text").alias("combined")) for kind, rows in forms.items()]
+    return reduce(DataFrame.unionAll, parts)
+
+
+@query(_QA + f"SELECT ordinal, md5(trim({sql_clean('question')} || ' ' || {sql_clean('answer')}, {WS})) AS combined FROM qa")
+def combine_medical(spark, sf):
+    """The response's column stands after the question's; the required columns would be other ones."""
+    d = qa_pairs(spark, sf).withColumnsRenamed({"question": "My_Question", "answer": "A Response"})
+    return tables.combine_medical(d, ["conv_id"]).select("ordinal", F.md5("combined_text").alias("combined"))
+
+
 @query(f"""
 WITH c AS (SELECT doc_id, {sql_clean('text')} AS t FROM documents), k AS (SELECT min(doc_id) AS doc_id, t FROM c WHERE length(t) >= 100 GROUP BY t)
 SELECT doc_id, length(t) AS n FROM k""")

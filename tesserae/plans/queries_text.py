@@ -62,8 +62,14 @@ def greedy_pack(spark, sf):
     return out.select("doc_id", "chunk_idx", F.md5("chunk").alias("chunk"), F.col("first").cast("bigint").alias("first"), F.col("last").cast("bigint").alias("last"))
 
 
-#: Where a window of 1000 characters from ``pos`` ends: after the first kind of mark that stands in its second half.
-_END = "CASE WHEN pos + 1000 < length(text) THEN coalesce(" + ", ".join(f"CASE WHEN instr(reverse(substr(text, pos + 1, 1000)), '{m}') BETWEEN 1 AND 499 THEN pos + 1001 - instr(reverse(substr(text, pos + 1, 1000)), '{m}') END" for m in "。！？.!?") + ", pos + 1000) ELSE pos + 1000 END"
+def _end(size: int) -> str:
+    """Where a window of ``size`` characters from ``pos`` ends: after the first kind of mark that stands in its second half."""
+    at = f"instr(reverse(substr(text, pos + 1, {size})), '{{m}}')"
+    ends = ", ".join(f"CASE WHEN {at.format(m=m)} BETWEEN 1 AND {size // 2 - 1} THEN pos + {size + 1} - {at.format(m=m)} END" for m in "。！？.!?")
+    return f"CASE WHEN pos + {size} < length(text) THEN coalesce({ends}, pos + {size}) ELSE pos + {size} END"
+
+
+_END = _end(1000)
 
 
 def _chunks(spark, sf):
@@ -108,9 +114,32 @@ def translation_segments(spark, sf):
     return chunking.chunk_table(docs_of(spark, sf), chunking.as_chunks(chunking.translation_segments, 400)).select("doc_id", "chunk_idx", "tokens")
 
 
-@query()
+def _sliding_sql(size: int) -> str:
+    """pieces (doc_id, chunk_idx, piece) of documents (doc_id, text)."""
+    return f"""w AS (SELECT doc_id, text, 0 AS pos FROM documents WHERE length(text) > {size} UNION ALL
+ SELECT doc_id, text, greatest(pos + 1, e - 100) FROM (SELECT doc_id, text, pos, {_end(size)} AS e FROM w) WHERE greatest(pos + 1, e - 100) < length(text)),
+p AS (SELECT doc_id, pos, trim(substr(text, pos + 1, {_end(size)} - pos), {WS}) AS piece FROM w),
+pieces AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS chunk_idx, piece FROM p WHERE piece <> '' UNION ALL SELECT doc_id, 0, text FROM documents WHERE length(text) <= {size})"""
+
+
+@query(f"""WITH RECURSIVE documents AS (SELECT doc_id, t AS text FROM (SELECT doc_id, {sql_clean('text')} AS t FROM main.documents) WHERE t <> ''), {_sliding_sql(2000)},
+e AS (SELECT doc_id, chunk_idx, piece, 'customer_support_faq_' || doc_id || '_' || chunk_idx AS entry_id, count(*) OVER (PARTITION BY doc_id) AS total FROM pieces),
+j AS (SELECT doc_id, chunk_idx, entry_id, length(to_json({{'id': entry_id, 'text': piece, 'metadata': {{'dataset': 'customer_support_faq', 'original_line': doc_id, 'chunk_index': chunk_idx, 'total_chunks': total, 'domain': 'customer_support'}}}})::VARCHAR)::BIGINT AS entry_size FROM e),
+r AS (SELECT *, row_number() OVER (ORDER BY doc_id, chunk_idx) AS place, sum(entry_size) OVER (ORDER BY doc_id, chunk_idx) AS upto FROM j)
+SELECT entry_id, entry_size FROM r WHERE place <= 3000 AND upto - entry_size <= 30 * 1048576""")
 def store_entries(spark, sf):
-    return chunking.store_entries(docs_of(spark, sf), "customer_support_faq", max_chunks=3000).select("entry_id", "entry_size")
+    return chunking.store_entries(docs_of(spark, sf), "customer_support_faq", max_chunks=3000).select("entry_id", F.col("entry_size").cast("bigint").alias("entry_size"))
+
+
+@query(f"""WITH RECURSIVE documents AS (SELECT doc_id, lang, t AS text FROM (SELECT doc_id, lang, {sql_clean('text')} AS t FROM main.documents) WHERE t <> ''), {_sliding_sql(1000)},
+e AS (SELECT lang, doc_id, chunk_idx, piece, 'unified_all_' || lang || '_' || doc_id || '_' || chunk_idx AS entry_id, count(*) OVER (PARTITION BY doc_id) AS total FROM pieces JOIN documents USING (doc_id)),
+j AS (SELECT *, length(to_json({{'id': entry_id, 'text': piece, 'metadata': {{'dataset': lang, 'original_line': doc_id, 'chunk_index': chunk_idx, 'total_chunks': total}}}})::VARCHAR) AS entry_size, row_number() OVER (ORDER BY lang DESC, doc_id, chunk_idx) - 1 AS place FROM e)
+SELECT entry_id, entry_size::BIGINT AS entry_size, place FROM j WHERE place < (SELECT CASE WHEN sum(entry_size) > 0.3::DOUBLE * 1048576 THEN floor(count(*) * 0.9::DOUBLE * (0.3::DOUBLE * 1048576) / sum(entry_size)) ELSE count(*) END FROM j)""")
+def unified_store_entries(spark, sf):
+    """One store of four sets, the documents of each language, cut at a limit that the smallest table passes."""
+    d = docs_of(spark, sf)
+    out = chunking.unified_entries({k: d.filter(F.col("lang") == k) for k in ("fr", "es", "en", "de")}, 1000, 100, 0.3)
+    return out.select("entry_id", F.col("entry_size").cast("bigint").alias("entry_size"), "place")
 
 
 @query("""WITH r AS (SELECT doc_id, length(text) AS size, sum(length(text)) OVER (ORDER BY doc_id) AS sum_size, row_number() OVER (ORDER BY doc_id) AS k FROM documents)
@@ -378,10 +407,12 @@ def coverage_levels_named(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", K.coverage_level(F.col("label") / 10.0).alias("level"))
 
 
-@query(f"WITH {_words_sql()}, t AS ({_top_sql('n', 3)}), k AS (SELECT word FROM w WHERE doc_id < 50) SELECT doc_id, word FROM t WHERE word NOT IN (SELECT word FROM k)")
+@query(f"""WITH {_words_sql()}, t AS ({_top_sql('n', 3)}), y(a, b) AS (VALUES {', '.join(f"('{a}', '{b}'), ('{b}', '{a}')" for a, b in K.SYNONYMS)}),
+k AS (SELECT doc_id + 1 AS doc_id, word FROM w UNION SELECT doc_id + 1, b FROM w JOIN y ON y.a = w.word) SELECT doc_id, word FROM t ANTI JOIN k USING (doc_id, word)""")
 def new_keywords(spark, sf):
+    """What a document's keywords add to the words of the document before it."""
     d = docs_of(spark, sf)
-    return keywords.top_by_frequency(d, 3).join(keywords.words(d.filter("doc_id < 50")).select("word"), "word", "left_anti").select("doc_id", "word")
+    return keywords.new_words(keywords.top_by_frequency(d, 3).select("doc_id", "word"), keywords.words(d).select((F.col("doc_id") + 1).alias("doc_id"), "word"))
 
 
 # questions and answers
@@ -596,7 +627,11 @@ def hierarchical_qa(spark, sf):
     return qa.hierarchical(docs_of(spark, sf)).select("doc_id", "qa_idx", "question", "type", "layer")
 
 
-@query("WITH RECURSIVE " + SEMANTIC + f", c AS (SELECT doc_id, chunk_idx, regexp_extract(chunk, '{_CON}') AS concept, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_idx) AS k FROM semantic) SELECT doc_id, chunk_idx, 'What does the text say about ' || concept || '?' AS question FROM c WHERE k <= 5 AND concept <> ''")
+#: What words are made of, accented letters too, and the space between them.
+_LETTER, _SPACE = r"\p{L}\p{N}_", r"\s+"
+
+
+@query("WITH RECURSIVE " + SEMANTIC + f", c AS (SELECT doc_id, chunk_idx, regexp_extract(chunk, '(^|[^{_LETTER}])([A-Z][a-z]+(?:{_SPACE}[A-Z][a-z]+)*)($|[^{_LETTER}])', 2) AS concept, row_number() OVER (PARTITION BY doc_id ORDER BY chunk_idx) AS k FROM semantic) SELECT doc_id, chunk_idx, 'What does the text say about ' || concept || '?' AS question FROM c WHERE k <= 5 AND concept <> ''")
 def qa_targeted(spark, sf):
     return qa.targeted(_chunks(spark, sf)).select("doc_id", "chunk_idx", "question")
 
