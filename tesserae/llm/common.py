@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.staging import discard, shared_dir
+from tesserae.operators.skew import HOT_SHARE, join_skewed  # noqa: F401
+from tesserae.staging import discard, staged, tables_dropped  # noqa: F401
 
 #: One word of the contracts: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -19,26 +16,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-@contextmanager
-def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
-    """Inside, a query's shuffle files go when it ends: its result is a written table, so nothing reads them again."""
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(_CLEANUP, before)
-
-
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that lost executors cost no upstream work."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    with _shuffles_dropped(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return staged(df, name)
 
 
 def drop_table(df: DataFrame) -> None:
@@ -65,24 +45,3 @@ def row_tag(id_col: str = "doc_id", text_col: str = "text") -> Column:
 def pick(df: DataFrame, *cols: str) -> DataFrame:
     """Only the named columns, whatever else the table has."""
     return df.select(*[F.col(f"`{c}`") for c in cols])
-
-
-#: A key over 1/HOT_SHARE of the rows is joined by broadcast; by arithmetic there are fewer than HOT_SHARE such keys.
-HOT_SHARE = 1000
-
-
-def join_skewed(rows: DataFrame, table: DataFrame, keys: list[str], n_col: str, total: int, spread: str) -> DataFrame:
-    """Left join of ``rows`` to a ``table`` unique in ``keys``, where ``n_col`` tells how many rows a key has.
-
-    Rows of heavy keys get their values by broadcast (see HOT_SHARE); for the shuffle they take a random-like
-    key from ``spread`` that meets nothing, so that no partition holds a heavy key.
-    """
-    cols = [c for c in table.columns if c not in keys]
-    hot = table.filter(F.col(n_col) > total / HOT_SHARE).select(*keys, *[F.col(c).alias(f"hot_{c}") for c in cols])
-    marked = rows.join(F.broadcast(hot), keys, "left")
-    is_hot = F.col(f"hot_{n_col}").isNotNull()
-    marked = marked.withColumn("join_key", F.when(is_hot, F.xxhash64(F.lit("hot"), F.col(spread))).otherwise(F.xxhash64(*keys)))
-    cold = table.filter(F.col(n_col) <= total / HOT_SHARE).select(F.xxhash64(*keys).alias("join_key"), *[F.col(k).alias(f"cold_{k}") for k in keys], *[F.col(c).alias(f"cold_{c}") for c in cols])
-    same = [marked["join_key"] == cold["join_key"], *[marked[k].eqNullSafe(cold[f"cold_{k}"]) for k in keys]]
-    both = marked.join(cold.drop("x"), same, "left").drop(cold["join_key"])
-    return both.select(*rows.columns, *[F.coalesce(f"hot_{c}", f"cold_{c}").alias(c) for c in cols], "join_key")

@@ -26,6 +26,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -140,25 +141,44 @@ def _windows(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield (x := np.frombuffer(t, np.uint8, min(GROUP, len(t) - a) + a - b, b)), np.arange(len(x)) < a - b
 
 
-def corpus_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """token, slot, c over the training fold: token rows (slot null) and byte counts (token null).
+#: How often a byte was seen in a context, as a task notes it.
+_SEEN = np.dtype([("byte", np.uint8), ("n", "<u4")])
 
-    A document's tokens are its lower-cased words and one end, written as the empty string. A slot is a row of the
-    common table times 256 plus the byte; after all of these come the ends of texts, by the last byte.
+
+def corpus_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Of the training fold (token, c), and what each task saw: row, seen (bytes and their counts, as _SEEN).
+
+    A document's tokens are its lower-cased words and one end, written as the empty string. A row is one of the common
+    table; after all of these comes one with the ends of texts, by the last byte.
     """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[bytes] = Counter()
         counts, one = np.zeros((ROWS + 1) * 256, np.uint32), np.uint32(1)
-        ends = np.zeros(256, np.int64)
+        ends, new = np.zeros(256, np.int64), 0
+        names = ["token", "c", "row", "seen"]
 
         def tokens() -> pa.RecordBatch:
             k = [w.decode("utf-8", "replace") for w in words]
-            b = pa.record_batch([pa.array(k, pa.string()), pa.nulls(len(k), pa.int64()), pa.array(words.values(), pa.int64())], names=["token", "slot", "c"])
+            b = pa.record_batch([pa.array(k, pa.string()), pa.array(words.values(), pa.int64()), pa.nulls(len(k), pa.int32()), pa.nulls(len(k), pa.binary())], names=names)
             words.clear()
             return b
 
+        def seen() -> Iterator[pa.RecordBatch]:
+            counts[ROWS * 256 :] = ends
+            for a in range(0, ROWS + 1, 1 << 14):
+                part = counts[a * 256 : (a + (1 << 14)) * 256]
+                hit = np.flatnonzero(part)
+                told = np.empty(len(hit), _SEEN)
+                told["byte"], told["n"] = hit & 255, part[hit]
+                rows, first = np.unique(hit >> 8, return_index=True)
+                offsets = pa.py_buffer((np.append(first, len(hit)) * _SEEN.itemsize).astype(np.int32))
+                cells = pa.BinaryArray.from_buffers(pa.binary(), len(rows), [None, offsets, pa.py_buffer(told.tobytes())])
+                yield pa.record_batch([pa.nulls(len(rows), pa.string()), pa.nulls(len(rows), pa.int64()), pa.array((rows + a).astype(np.int32)), cells], names=names)
+            counts[:] = 0
+            ends[:] = 0
+
         for b in batches:
             texts = [(t.as_py() or "").encode() for t in b.column(0)]
             for t in texts:
@@ -168,17 +188,19 @@ def corpus_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     yield tokens()
             words[b""] += len(texts)
             for x, skip in _windows(texts):
+                new += len(x)
                 for rows in Contexts(x).rows:
                     rows[skip] = ROWS
                     np.add.at(counts, (rows << 8) | x, one)
+            if new >= 1 << 31:  # so that no count outgrows its four bytes
+                new = 0
+                yield from seen()
         yield tokens()
-        counts[ROWS * 256 :] = ends
-        for a in range(0, len(counts), 1 << 20):
-            hit = np.flatnonzero(counts[a : a + (1 << 20)])
-            yield pa.record_batch([pa.nulls(len(hit), pa.string()), pa.array(hit + a, pa.int64()), pa.array(counts[a + hit], pa.int64())], names=["token", "slot", "c"])
+        yield from seen()
 
-    parts = docs.filter(id_crc(id_col) % 7 != 2).select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "token string, slot bigint, c bigint")
-    return cut(parts.groupBy("token", "slot").agg(F.sum("c").alias("c")), "lm-counts")
+    parts = docs.filter(id_crc(id_col) % 7 != 2).select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "token string, c bigint, row int, seen binary")
+    parts = cut(parts, "lm-parts")
+    return cut(parts.filter("token IS NOT NULL").groupBy("token").agg(F.sum("c").alias("c")), "lm-tokens"), parts.filter("row IS NOT NULL").select("row", "seen")
 
 
 def log_odds(counts: np.ndarray) -> np.ndarray:
@@ -192,31 +214,45 @@ def log_odds(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def common_table(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(log-odds by row and node, cost of going on and cost of ending in bits by last byte) from corpus_counts.
+def common_table(seen: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(log-odds by row and node, cost of going on and cost of ending in bits by last byte) from what the tasks saw.
 
-    The log-odds are made in Spark; the driver gets ROWS rows of 256 bytes, whatever the corpus.
+    The counts of a row come to its task one after the other, are summed as they come, and made into log-odds; the
+    driver gets ROWS rows of 256 bytes, whatever the corpus.
     """
-    slots = counts.filter(F.col("slot").isNotNull()).select(F.shiftright("slot", 8).alias("row"), F.col("slot").bitwiseAND(255).cast("int").alias("byte"), "c")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(rows: np.ndarray, table: np.ndarray) -> pa.RecordBatch:
+            own = table * (rows[:, None] < ROWS)
+            told = [(o if r < ROWS else n).tobytes() for r, o, n in zip(rows, log_odds(own), table)]
+            return pa.record_batch([pa.array(rows.astype(np.int32)), pa.array(told, pa.binary()), pa.array(own.sum(axis=1))], names=["row", "odds", "n"])
+
+        held_row, held = np.empty(0, np.int64), np.zeros((0, 256), np.int64)
         for b in batches:
-            at = b.column(1)
-            seen, n = at.flatten().flatten()
-            table = np.zeros((len(at), 256))
-            table[np.repeat(np.arange(len(at)), at.value_lengths().to_numpy()), seen.to_numpy()] = n.to_numpy()
-            odds = log_odds(table)
-            yield pa.record_batch([b.column(0), pa.array([r.tobytes() for r in odds], pa.binary()), pa.array(table.sum(axis=1).astype(np.int64))], names=["row", "odds", "n"])
-
-    made = slots.filter(F.col("row") < ROWS).groupBy("row").agg(F.collect_list(F.struct("byte", "c")).alias("seen"))
-    got = made.mapInArrow(run, "row bigint, odds binary, n bigint").toArrow()
-    table, rows = np.zeros((ROWS + 1, 256), np.int8), got.column("row").to_numpy()
+            if not b.num_rows:
+                continue
+            rows, at = np.unique(np.concatenate((held_row, b.column(0).to_numpy())), return_inverse=True)
+            size = pa.compute.binary_length(b.column(1)).to_numpy() // _SEEN.itemsize
+            told = np.frombuffer(b"".join(b.column(1).to_pylist()), _SEEN)
+            table = np.zeros((len(rows), 256), np.int64)
+            table[at[: len(held)]] = held
+            np.add.at(table.reshape(-1), np.repeat(at[len(held) :], size) * 256 + told["byte"], told["n"])
+            if len(rows) > 1:
+                yield made(rows[:-1], table[:-1])
+            held_row, held = rows[-1:], table[-1:]  # the next batch may go on with it
+        if len(held):
+            yield made(held_row, held)
+
+    got = seen.repartition("row").sortWithinPartitions("row").mapInArrow(run, "row int, odds binary, n bigint").toArrow()
+    table, rows, told = np.zeros((ROWS + 1, 256), np.int8), got.column("row").to_numpy(), got.column("odds").to_pylist()
     went, ended = np.zeros(256), np.zeros(256)
-    if len(rows):
-        table[rows] = np.frombuffer(b"".join(got.column("odds").to_pylist()), np.int8).reshape(-1, 256)
-        went[rows[rows < 256]] = got.column("n").to_numpy()[rows < 256]
-    for r in slots.filter(F.col("row") == ROWS).collect():
-        ended[r["byte"]] = r["c"]
+    for r, o, n in zip(rows.tolist(), told, got.column("n").to_pylist()):
+        if r < ROWS:
+            table[r] = np.frombuffer(o, np.int8)
+            if r < 256:
+                went[r] = n
+        else:
+            ended[:] = np.frombuffer(o, np.int64)
     p = (ended + 0.01) / (went + ended + 1)
     return table, -np.log2(1 - p), -np.log2(p)
 
@@ -485,11 +521,10 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """
     spark = docs.sparkSession
     small_batches(spark)
-    counts = corpus_counts(docs, id_col, text_col)
-    tokens = counts.filter(F.col("token").isNotNull()).select("token", "c")
+    tokens, seen = corpus_counts(docs, id_col, text_col)
     train, distinct = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     heavy = {r["token"].encode(): r["c"] for r in tokens.filter(F.col("c") > train / HEAVY).toLocalIterator()}
-    shipped = spark.sparkContext.broadcast((heavy, *common_table(counts), uuid.uuid4().hex))
+    shipped = spark.sparkContext.broadcast((heavy, *common_table(seen), uuid.uuid4().hex))
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     narrow = docs.select(
         F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.xxhash64(F.lit(7), F.col(f"`{id_col}`"), text).alias("tag"), (id_crc(id_col) % 7 == 2).alias("held_out"), text.alias("text")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import WORD
+from tesserae.llm.common import WORD, cut
 
 WHOLE = "decimal(38,0)"
 
@@ -66,12 +66,15 @@ def mix_sources(
     rows = docs.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"),
-        F.md5(id_text).alias("id_hash"), F.md5(text).alias("text_hash"),
+        id_text.alias("id_text"), F.md5(text).alias("text_hash"),
     )
+    # texts are read once; what follows works on these narrow rows. The order's hash holds the text's too, so that rows
+    # that share an id (or have none) spread over cells like any others
+    rows = cut(rows.withColumn("order_hash", F.md5(F.concat("id_text", F.lit("|"), "text_hash"))).drop("id_text"), "mix-rows")
     bits = F.length(F.bin("size"))
     rows = rows.withColumns({
         "class": bits * 8 + F.conv(F.substring(F.bin("size"), 1, 3), 2, 10).cast("int"),
-        "cell": F.substring("id_hash", 1, 2), "src": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")),
+        "cell": F.substring("order_hash", 1, 2), "src": F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")),
     })
     cells = rows.groupBy("src", "source", "class", "cell").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
     targets = source_targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), cap)
@@ -80,13 +83,13 @@ def mix_sources(
     starts = cells.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("src", "class", "cell", "start")
     targets = targets.withColumn("src", F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null"))).withColumn("offset", offset).drop("source", "weight")
     plan = starts.join(targets, "src")
-    place = F.col("start") + F.row_number().over(Window.partitionBy("src", "class", "cell").orderBy("id_hash", "text_hash"))
+    place = F.col("start") + F.row_number().over(Window.partitionBy("src", "class", "cell").orderBy("order_hash"))
     crossed = F.floor(F.col("rate") * F.col("place") + F.col("offset")) - F.floor(F.col("rate") * (F.col("place") - 1) + F.col("offset"))
     return (
         rows.join(plan.hint("shuffle_hash"), ["src", "class", "cell"])
         .withColumn("place", place)
         .withColumn("copies", F.least(crossed, F.lit(cap)).cast("bigint"))
-        .select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "id_hash", "text_hash")
+        .select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "order_hash", "text_hash")
     )
 
 
@@ -94,7 +97,7 @@ def mix_sources(
 ORACLE = r"""
 WITH rows AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS id_hash, md5(coalesce(text, '')) AS text_hash
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, ''))) AS order_hash
   FROM {docs}
 ), keyed AS (
   SELECT *, length(bin(size)) * 8 + CASE WHEN length(bin(size)) > 3 THEN size >> (length(bin(size)) - 3) ELSE size END AS class,
@@ -115,8 +118,8 @@ WITH rows AS (
          CAST(('0x' || substr(md5(src || '|mix'), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS offs
   FROM marked
 ), placed AS (
-  SELECT k.doc_id, k.source, k.size, t.source_size, t.target, k.id_hash, k.text_hash, t.offs, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-         row_number() OVER (PARTITION BY k.src ORDER BY k.class, k.id_hash, k.text_hash) AS place
+  SELECT k.doc_id, k.source, k.size, t.source_size, t.target, t.offs, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
+         row_number() OVER (PARTITION BY k.src ORDER BY k.class, k.order_hash) AS place
   FROM keyed k JOIN targets t USING (src)
 ), mixed AS (
   SELECT *, CAST(least(floor(rate * place + offs) - floor(rate * (place - 1) + offs), 3) AS BIGINT) AS copies FROM placed

@@ -13,6 +13,7 @@ segment, or equal but for one bit), which bounds a group by 2**17 fingerprints a
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,20 +34,20 @@ PIECE = 4 << 20
 _LANES = np.uint64(0x0101010101010101)
 
 
+_GAP = re.compile(rb"[\x20\x09-\x0d]")
+
+
 def _word_blocks(data: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, a bounded piece of it at a time."""
-    if len(data) <= PIECE:
-        yield data.split()
-        return
-    at, rest = 0, b""
-    while at < len(data):
-        part = rest + data[at : at + PIECE]
-        at += PIECE
-        end = len(part) if at >= len(data) else max(part.rfind(c) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c")) + 1
-        rest = part[end:]
-        yield part[:end].split()
-    if rest:
-        yield rest.split()
+    """The words of a text, a bounded piece of it at a time; a piece ends at white space, the first after it if it has none."""
+    at = 0
+    while len(data) - at > PIECE:
+        last = max(data.rfind(c, at, at + PIECE) for c in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
+        if last < 0:
+            gap = _GAP.search(data, at + PIECE)
+            last = gap.start() if gap else len(data)
+        yield data[at:last].split()
+        at = last + 1
+    yield data[at:].split()
 
 
 def _bit_counts(hashes: np.ndarray) -> np.ndarray:
