@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import langid, mixing, pieces, simhash
-from tesserae.llm.common import cut, documents, row_tag
+from tesserae.llm.common import cut, documents, drop_table, row_tag, tables_dropped
 from tesserae.llm.exact_dedup import exact_dedup
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -36,14 +36,16 @@ def _key(digest: Column) -> Column:
 
 def _keep_tagged(docs: DataFrame, tags: DataFrame) -> DataFrame:
     """The rows whose tag (id and text) is among ``tags``."""
-    tag = _free(docs, "row_tag")
-    return docs.withColumn(tag, row_tag()).join(tags.select(F.col("tag").alias(tag)), tag, "left_semi").select(_own(docs))
+    tag, name = _free(docs, "row_tag"), _free(docs, "row_id")
+    kept = tags.select(F.col("tag").alias(tag), F.col("doc_id").alias(name))
+    tagged = docs.withColumn(tag, row_tag())
+    return tagged.join(kept, (tagged[tag] == kept[tag]) & F.col("doc_id").eqNullSafe(F.col(name)), "left_semi").select(_own(docs))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and those whose language no dictionary tells from the next one."""
     found = langid.identify(docs, langid.fit(langid.train_fold(docs)))
-    return _keep_tagged(docs, cut(found.filter(~F.col("rejected")).select("tag"), "language-kept"))
+    return _keep_tagged(docs, cut(found.filter(~F.col("rejected")).select("tag", "doc_id"), "language-kept"))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -63,7 +65,7 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     group = F.coalesce(F.col("component_id").cast("string"), F.col("fingerprint"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag"))
     found = simhash.near_duplicates(docs, with_tag=True)
-    return _keep_tagged(docs, found.groupBy(group.alias("group")).agg(first.alias("first")).select("first.tag"))
+    return _keep_tagged(docs, found.groupBy(group.alias("group")).agg(first.alias("first")).select("first.tag", "first.doc_id"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -95,5 +97,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in order, over the whole documents table."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before = docs
+        with tables_dropped() as keep:  # what the stage wrote on its way
+            docs = keep(cut(stage(spark, before, sf_dir), f"pipeline-{name}"))
+        if name != STAGES[0][0]:
+            drop_table(before)
     return STAGES[-1][1](spark, docs, sf_dir)
