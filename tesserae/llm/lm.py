@@ -22,7 +22,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
+from itertools import compress, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut, id_crc, small_batches
+from tesserae.llm.common import cut, drop_table, id_crc, small_batches
 
 #: Contexts of a hashed predictor of fixed size; of the last byte there are 256.
 BITS = 15
@@ -70,7 +70,7 @@ HEAVY = 1_000_000
 #: A place over 1/HOT of all places is looked up by broadcast, in a table of fewer than HOT rows.
 HOT = 1000
 #: Tokens a worker counts before it passes the counts on.
-FLUSH = 300_000
+FLUSH = 1_000_000
 #: End costs are summed as whole numbers of 1/EXACT bits.
 EXACT = 1 << 32
 _APART = b"\0" * 5
@@ -146,7 +146,7 @@ _SEEN = np.dtype([("byte", np.uint8), ("n", "<u4")])
 
 
 def corpus_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Of the training fold (token, c), and what each task saw: row, seen (bytes and their counts, as _SEEN).
+    """Of the training fold (token, c), and a written table of what each task saw: row, seen (bytes and their counts, as _SEEN).
 
     A document's tokens are its lower-cased words and one end, written as the empty string. A row is one of the common
     table; after all of these comes one with the ends of texts, by the last byte.
@@ -180,7 +180,7 @@ def corpus_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             ends[:] = 0
 
         for b in batches:
-            texts = [(t.as_py() or "").encode() for t in b.column(0)]
+            texts = b.column(0).cast(pa.binary()).fill_null(b"").to_pylist()
             for t in texts:
                 words.update(t.lower().split())
                 ends[t[-1] if t else 0] += 1
@@ -200,7 +200,7 @@ def corpus_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     parts = docs.filter(id_crc(id_col) % 7 != 2).select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "token string, c bigint, row int, seen binary")
     parts = cut(parts, "lm-parts")
-    return cut(parts.filter("token IS NOT NULL").groupBy("token").agg(F.sum("c").alias("c")), "lm-tokens"), parts.filter("row IS NOT NULL").select("row", "seen")
+    return cut(parts.filter("token IS NOT NULL").groupBy("token").agg(F.sum("c").alias("c")), "lm-tokens"), parts
 
 
 def log_odds(counts: np.ndarray) -> np.ndarray:
@@ -243,7 +243,7 @@ def common_table(seen: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len(held):
             yield made(held_row, held)
 
-    got = seen.repartition("row").sortWithinPartitions("row").mapInArrow(run, "row int, odds binary, n bigint").toArrow()
+    got = seen.filter("row IS NOT NULL").select("row", "seen").repartition("row").sortWithinPartitions("row").mapInArrow(run, "row int, odds binary, n bigint").toArrow()
     table, rows, told = np.zeros((ROWS + 1, 256), np.int8), got.column("row").to_numpy(), got.column("odds").to_pylist()
     went, ended = np.zeros(256), np.zeros(256)
     for r, o, n in zip(rows.tolist(), told, got.column("n").to_pylist()):
@@ -525,6 +525,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     train, distinct = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     heavy = {r["token"].encode(): r["c"] for r in tokens.filter(F.col("c") > train / HEAVY).toLocalIterator()}
     shipped = spark.sparkContext.broadcast((heavy, *common_table(seen), uuid.uuid4().hex))
+    drop_table(seen)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     narrow = docs.select(
         F.col(f"`{id_col}`").cast("bigint").alias("doc_id"), F.xxhash64(F.lit(7), F.col(f"`{id_col}`"), text).alias("tag"), (id_crc(id_col) % 7 == 2).alias("held_out"), text.alias("text")
@@ -537,7 +538,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
         known, table, go, end, key = shipped.value
         words = _paths_once(key, table)
         for b in batches:
-            texts = [t.as_py().encode() for t in b.column(2)]
+            texts = b.column(2).cast(pa.binary()).to_pylist()
             each = zip(*(v.to_pylist() for v in b.column(3).flatten().flatten()))
             guesses = [[*islice(each, n or 0)] for n in b.column(3).value_lengths().to_pylist()]
             bits = total_bits(texts, guesses, words, go, end)
@@ -545,19 +546,15 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             for t in texts:
                 c = Counter(t.lower().split())
                 c[b""] = 1
-                hit, n_hit = [], []
-                for w, n in c.items():
-                    k = known.get(w)
-                    if k is None:
-                        names.append(w)
-                        times.append(n)
-                    else:
-                        hit.append(k)
-                        n_hit.append(n)
-                n_known.append(sum(n_hit))
-                logs.append(float(np.dot(n_hit, np.log10(np.array(hit) + 1.0))) if hit else 0.0)
+                n = np.fromiter(c.values(), np.int64, len(c))
+                k = np.fromiter(map(known.get, c, repeat(0)), np.int64, len(c))
+                hit = k > 0
+                n_known.append(int(n[hit].sum()))
+                logs.append(float(np.dot(n[hit], np.log10(k[hit] + 1.0))))
+                names += compress(c, (~hit).tolist())
+                times += n[~hit].tolist()
                 ends.append(len(names))
-                n_tokens.append(c.total())
+                n_tokens.append(int(n.sum()))
             rare = pa.StructArray.from_arrays([pa.array(names, pa.binary()).cast(pa.string()), pa.array(times, pa.int32())], names=["token", "n"])
             yield pa.record_batch(
                 [
