@@ -68,6 +68,14 @@ def methods_compared(docs: DataFrame, k: int = 10, id_col: str = "doc_id") -> Da
     return both.select(id_col, n("a").alias("n_frequency"), n("b").alias("n_score"), n(F.array_intersect("a", "b")).alias("n_common"), n(F.array_except("a", "b")).alias("n_only_frequency"), n(F.array_except("b", "a")).alias("n_only_score"))
 
 
+def methods_integrated(docs: DataFrame, k: int = 10, id_col: str = "doc_id") -> DataFrame:
+    """id, word, methods: the union of the frequency, score and weighted-pattern sets, each word with the methods that found it, in this order."""
+    sets = [top_by_frequency(docs, k), top_by_score(docs, k), weighted_patterns(docs, k)]
+    tagged = [rows.select(id_col, "word", F.struct(F.lit(i).alias("i"), F.lit(name).alias("name")).alias("m")) for i, (name, rows) in enumerate(zip(("frequency", "score", "weighted"), sets))]
+    met = reduce(DataFrame.unionAll, tagged).groupBy(id_col, "word").agg(F.array_sort(F.collect_set("m")).alias("m"))
+    return met.select(id_col, "word", F.transform("m", lambda m: m["name"]).alias("methods"))
+
+
 def set_quality(rows: DataFrame, texts: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """rows: id, word. Coverage, diversity, technicality, coherence and length balance of each keyword set, and their total."""
     weight = (
@@ -215,10 +223,14 @@ def diminishing(rows: DataFrame, least_gain: float = 0.05, id_col: str = "doc_id
     return gains.groupBy(id_col).agg(F.coalesce(F.min(F.when(F.col("gain") < least_gain, F.col("rank"))) - 1, F.max("rank")).alias("stop"))
 
 
-def by_difficulty(rows: DataFrame, target: int, quota: dict[str, float], id_col: str = "doc_id") -> DataFrame:
-    """rows: id, word, difficulty, first_importance. Quotas per difficulty by importance, then the best of the rest up to the target."""
+def by_difficulty(rows: DataFrame, target: int | Column, quota: dict[str, float], id_col: str = "doc_id") -> DataFrame:
+    """rows: id, word, difficulty, first_importance. Quotas per difficulty by importance, then the best of the rest up to the target.
+
+    The target is a number or a column of the rows.
+    """
     order = [F.desc("first_importance"), F.asc("word")]
-    limit = F.coalesce(*[F.when(F.col("difficulty") == k, F.lit(int(target * v))) for k, v in quota.items()], F.lit(0))
+    target = target if isinstance(target, Column) else F.lit(target)
+    limit = F.coalesce(*[F.when(F.col("difficulty") == k, F.floor(target * F.lit(v))) for k, v in quota.items()], F.lit(0))
     ranked = rows.withColumn("own", F.row_number().over(Window.partitionBy(id_col, "difficulty").orderBy(*order))).withColumn("in_quota", F.col("own") <= limit)
     place = F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc("in_quota"), *order))
     return ranked.withColumn("place", place.cast("bigint")).filter(F.col("place") <= target).drop("own")

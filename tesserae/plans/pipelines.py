@@ -97,6 +97,39 @@ def feedback(docs: DataFrame, embedder: Embedder | None = None, threshold: float
     return feedback_state(docs, embedder, threshold, rounds)[0]
 
 
+#: Shares of keywords of each difficulty that pairs are made for.
+DIFFICULTIES = {"basic": 0.3, "intermediate": 0.5, "advanced": 0.2}
+
+
+def qa_extraction(docs: DataFrame, mode: str = "auto", n_pairs: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """What pairs are made from: keywords with their template questions, and the relations of all candidates.
+
+    A document's candidates are its best words by score, as many as suit the text but at least as many as pairs are
+    planned and at most three times that; those unfit for questions and those that another says already are left
+    out. Of twice the planned number the details are looked up, and of these the planned number is chosen by difficulty.
+    """
+    planned = qa.planned_count(qa.document_metrics(docs), mode).select("doc_id", (F.lit(n_pairs).cast("bigint") if n_pairs else F.col("optimal_count")).alias("planned"))
+    most = docs.select("doc_id", keyword_functions.best_count(F.col("text")).alias("suits")).join(planned, "doc_id")
+    most = staged(most.select("doc_id", "planned", F.least(F.col("planned") * 3, F.greatest("planned", "suits")).alias("most")), "planned")
+    ranked = keywords.top_by_score(docs, 150).select("doc_id", "word", "first", "rank").join(most, "doc_id").filter(F.col("rank") <= F.col("most"))  # at most 50 pairs are planned
+    fit = staged(keywords.without_redundant(keywords.qa_keywords(ranked)), "qa-candidates")
+    relations = keywords.relations(fit.select("doc_id", "word", F.col("rank").alias("first")), docs)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("rank"))
+    looked_up = fit.withColumn("place", place).filter(F.col("place") <= F.col("planned") * 2)
+    details = keywords.details(looked_up.select("doc_id", "word"), docs).join(most.select("doc_id", "planned"), "doc_id")
+    return qa.template_questions(keywords.by_difficulty(details, F.col("planned"), DIFFICULTIES)).drop("planned"), relations
+
+
+def corpus_chunks(docs: DataFrame, dataset: str, title_col: str | None = None) -> DataFrame:
+    """doc_id (set, number, beginning of the title), doc_idx, chunk_idx, chunk, tokens, dataset_type of a known data set."""
+    limit, _, title = DATASETS[dataset]
+    title = title_col or title
+    rows = numbered_rows(docs, ["doc_id"], "doc_idx").withColumnRenamed("doc_id", "original_id")
+    named = F.concat_ws("_", F.lit(dataset), F.col("doc_idx"), F.nullif(F.substring(title, 1, 30), F.lit("")) if title in docs.columns else F.lit(None).cast("string"))
+    made = chunking.chunk_table(rows.withColumn("doc_id", named), lambda t: chunking.sentence_groups(t, limit)).join(rows.select(named.alias("doc_id"), "doc_idx"), "doc_id")
+    return made.select("doc_id", "doc_idx", "chunk_idx", "chunk", "tokens", F.lit(dataset).alias("dataset_type"))
+
+
 def hybrid_summary(pairs: DataFrame, coverage: DataFrame) -> DataFrame:
     """Documents, pairs, pairs per document, and average, lowest and highest coverage."""
     n = pairs.groupBy("doc_id").agg(F.count("*").alias("n"))

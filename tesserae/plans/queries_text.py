@@ -781,3 +781,24 @@ def qa_entity_pairs(spark, sf):
     d = docs_of(spark, sf)
     found = keywords.top_by_frequency(d, 2).select("doc_id", F.col("word").alias("entity"), F.when(F.col("rank") == 1, _ENTITY_TYPES[0]).otherwise(_ENTITY_TYPES[1]).alias("entity_type"))
     return qa.entity_pairs(found, d).withColumn("answer", F.md5("answer"))
+
+
+@query(f"""WITH {_words_sql()}, matched AS ({_W30}), weighed AS (SELECT doc_id, word, sum(weight) AS s, min(pos) AS first FROM matched WHERE length(word) > 1 GROUP BY doc_id, word), t AS ({_METHODS})
+SELECT doc_id, word, string_agg(CASE method WHEN 0 THEN 'frequency' WHEN 1 THEN 'score' ELSE 'weighted' END, ',' ORDER BY method) AS methods FROM t GROUP BY doc_id, word""")
+def keyword_methods_integrated(spark, sf):
+    return keywords.methods_integrated(docs_of(spark, sf)).withColumn("methods", F.array_join("methods", ","))
+
+
+@query(_PACK + f""", c AS (SELECT p.doc_id, p.grp AS chunk_idx, string_agg(k.s, ' ' ORDER BY k.i) AS chunk FROM p JOIN k USING (doc_id, i) GROUP BY p.doc_id, p.grp), d AS (SELECT doc_id, source, row_number() OVER (ORDER BY doc_id) - 1 AS doc_idx FROM documents)
+SELECT 'livedoor_' || doc_idx || CASE WHEN coalesce(source, '') = '' THEN '' ELSE '_' || substr(source, 1, 30) END AS doc_id, doc_idx, chunk_idx, md5(chunk) AS chunk, {sql_tokens('chunk')} AS tokens FROM c JOIN d USING (doc_id)""")
+def corpus_chunk_ids(spark, sf):
+    """The source stands in for a title."""
+    return pipelines.corpus_chunks(docs_of(spark, sf), "livedoor", "source").withColumn("chunk", F.md5("chunk")).drop("dataset_type")
+
+
+@query(f"""WITH {_words_sql()}, t AS ({_top_sql('n', 4)}), n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id), c AS (SELECT doc_id, (doc_id % 5) / 4.0::DOUBLE AS rate FROM documents)
+SELECT count(*) AS n_docs, sum(coalesce(n, 0))::BIGINT AS n_pairs, round(avg(coalesce(n, 0)), 6) AS avg_pairs, round(avg(rate), 6) AS avg_coverage, min(rate) AS min_coverage, max(rate) AS max_coverage FROM c LEFT JOIN n USING (doc_id)""")
+def hybrid_figures(spark, sf):
+    """The summary of a hybrid run, with keywords in place of pairs and a rate that follows from the id."""
+    d = docs_of(spark, sf)
+    return pipelines.hybrid_summary(keywords.top_by_frequency(d, 4), d.select("doc_id", (F.col("doc_id") % 5 / 4.0).alias("rate")))

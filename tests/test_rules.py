@@ -103,3 +103,21 @@ def test_rule_pipeline_tops_up_by_number(spark):
     assert sorted((x["global_idx"], x["question"], x["answer"]) for x in got.collect()) == sorted(want)
     every = pipelines.rule_pipeline(df, 4, 10_000)
     assert every.groupBy(F.substring("question", 1, 30)).count().filter("count > 1").count() == 0
+
+
+def test_qa_extraction_plans_filters_and_chooses(spark):
+    said = "機械学習はデータから規則を見つける技術である。深層学習は機械学習の一つである。BERTとGPTは言語モデルと呼ばれる。データは重要。問題が多い。" * 3
+    docs = spark.createDataFrame([(1, said), (2, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (3, ""), (4, None)], "doc_id bigint, text string")
+    chosen, relations = pipelines.qa_extraction(docs)
+    got = chosen.collect()
+    planned = {r["doc_id"]: r["optimal_count"] for r in qa.planned_count(qa.document_metrics(docs)).collect()}
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append(r)
+    assert set(by) == {1, 2} and all(0 < len(v) <= planned[i] for i, v in by.items())
+    words = {r["word"] for r in by[1]}
+    assert not words & {"問題", "重要", "技術"}  # unfit for questions
+    assert all(r["question_1"].startswith(r["word"]) and r["difficulty"] in pipelines.DIFFICULTIES for r in got)
+    assert {r["doc_id"] for r in relations.collect()} <= {1, 2} and relations.filter("relation_type <> 'co_occurs'").count() > 0
+    few, _ = pipelines.qa_extraction(docs, n_pairs=1)
+    assert few.groupBy("doc_id").count().filter("count > 1").count() == 0
