@@ -30,20 +30,24 @@ SCHEMA = "doc_id bigint, tag bigint, lang_pred string, score double, margin doub
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Dictionaries from a bounded sample: of each language the TEXTS rows with the smallest hash of the id.
+    """Dictionaries from a bounded sample: of each language the TEXTS rows with the smallest tag (a hash of id and text).
 
-    Rows are chosen by id, language and tag; texts travel for the chosen rows only. Rows without
-    text or language, and languages beyond the MAX_LANGS most frequent, teach nothing.
+    Few more than these are ranked at all: of a frequent language only the rows under a tag that four times as many are
+    expected under. Texts travel for the chosen rows only. Rows without text or language, and languages beyond
+    the MAX_LANGS most frequent, teach nothing; of rows that repeat whole one teaches.
     """
     named = docs.filter(F.col(f"`{lang_col}`").isNotNull() & F.col(f"`{text_col}`").isNotNull()).select(
-        F.col(f"`{id_col}`").alias("id"), F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), row_tag(id_col, text_col).alias("tag")
+        F.col(f"`{lang_col}`").alias("lang"), F.col(f"`{text_col}`").alias("text"), row_tag(id_col, text_col).alias("tag")
     )
-    langs = [r["lang"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()]
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", "tag"))
-    ids = named.select("lang", "tag", "id").filter(F.col("lang").isin(langs)).withColumn("rank", rank).filter(F.col("rank") <= TEXTS)
-    # rows, not ids, are chosen, and of rows that repeat whole one teaches: at most TEXTS of each language reach the driver
-    rows = named.join(F.broadcast(ids.select("lang", "tag").distinct()), ["lang", "tag"], "left_semi").dropDuplicates(["lang", "tag"])
-    sample = rows.select("lang", F.substring("text", 1, CHARS).alias("text"), F.xxhash64("id").alias("h"))
+    langs = {r["lang"]: r["count"] for r in named.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    if not langs:
+        return {}
+    low = F.create_map(*[x for k, n in langs.items() for x in (F.lit(k), F.lit(min(1.0, 4 * TEXTS / n)))])
+    place = (F.col("tag").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)  # of the tag among all numbers, 0 to 1
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("tag"))
+    ids = named.select("lang", "tag").filter(place <= F.try_element_at(low, F.col("lang"))).distinct().withColumn("rank", rank).filter(F.col("rank") <= TEXTS)
+    rows = named.join(F.broadcast(ids.select("lang", "tag")), ["lang", "tag"], "left_semi").dropDuplicates(["lang", "tag"])
+    sample = rows.select("lang", F.substring("text", 1, CHARS).alias("text"), F.col("tag").alias("h"))
     texts: dict[str, list[tuple[int, str]]] = {}
     for r in sample.toLocalIterator():
         texts.setdefault(r["lang"], []).append((r["h"], r["text"]))
