@@ -72,10 +72,10 @@ def category(w: Column) -> Column:
     )
 
 
-def importance(sentence: str, word: str) -> Column:
-    """As an expression over two column names: place .2, company .3, explanation .3, length .2; at most 1."""
-    s, size = F.col(sentence), F.length(sentence)
-    at = F.when(F.contains(s, F.col(word)), F.expr(f"instr({sentence}, {word}) - 1")).otherwise(size)
+def importance(s: Column, word: Column) -> Column:
+    """Of a sentence for a word: place .2, company .3, explanation .3, length .2; at most 1."""
+    size = F.length(s)
+    at = F.when(F.contains(s, word), F.position(word, s) - 1).otherwise(size)
     place = F.when(size > 0, 1.0 - at / F.greatest(size, F.lit(1))).otherwise(0.0)
     others = F.size(F.regexp_extract_all(s, F.lit(r"([ァ-ヴー]{3,}|[A-Z]{2,}|[一-龥]{4,})"), F.lit(1)))
     told = sum((F.contains(s, F.lit(p)).cast("int") for p in EXPLAINING), F.lit(0)) / len(EXPLAINING)

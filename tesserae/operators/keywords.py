@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,19 +34,31 @@ def top_by_score(docs: DataFrame, k: int = 5, **kw: object) -> DataFrame:
     return top(words(docs, **kw), F.round(rank_score(F.col("word"), F.col("n")), 9), k)
 
 
+def with_text(rows: DataFrame, docs: DataFrame, id_col: str, text_col: str, **told: Callable[[Column, Column], Column]) -> DataFrame:
+    """rows: id, word, ... with a further column for each function of (row, text). A document's words meet its text as one
+    array, so that the text travels once, not once a word."""
+    others = [c for c in rows.columns if c != id_col]
+    sets = rows.groupBy(id_col).agg(F.collect_list(F.struct(*others)).alias("sets"))
+    met = sets.join(docs.select(id_col, F.col(text_col).alias("full")), id_col)
+    each = F.transform("sets", lambda w: F.struct(*[w[c].alias(c) for c in others], *[f(w, F.col("full")).alias(k) for k, f in told.items()]))
+    return met.select(id_col, F.inline(each))
+
+
 def text_scores(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Words ranked by their score within the text, which counts every occurrence, inside other words too."""
-    rows = words(docs, id_col=id_col, text_col=text_col).join(docs.select(id_col, F.col(text_col).alias("full")), id_col)
-    return top(rows.withColumn("s", F.round(text_score(F.col("word"), F.col("full")), 9)).drop("full"), F.col("s"), k, id_col).drop("s")
+    rows = with_text(words(docs, id_col=id_col, text_col=text_col), docs, id_col, text_col, s=lambda w, full: F.round(text_score(w["word"], full), 9))
+    return top(rows, F.col("s"), k, id_col).drop("s")
 
 
 def qa_scores(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Frequency times 1 + length + early place + form, over the wider pattern of question keywords."""
-    rows = words(docs, r"[ァ-ヴー]+|[一-龥]{2,}|[A-Za-z]+[A-Za-z0-9]*", id_col, text_col).join(docs.select(id_col, F.col(text_col).alias("full")), id_col)
-    at = F.expr("instr(full, word)") - 1
-    form = F.when(F.col("word").rlike("[A-Za-z]"), 0.5).otherwise(0.0) + F.when(F.col("word").rlike("[ァ-ヴー]"), 0.3).otherwise(0.0)
-    score = F.col("n") * (1 + F.least(F.length("word") / 10.0, F.lit(1.0)) + (1.0 - at / F.length("full") * 0.3) + form)
-    return top(rows.withColumn("s", F.round(score, 9)).drop("full"), F.col("s"), k, id_col).drop("s")
+
+    def score(w: Column, full: Column) -> Column:
+        form = F.when(w["word"].rlike("[A-Za-z]"), 0.5).otherwise(0.0) + F.when(w["word"].rlike("[ァ-ヴー]"), 0.3).otherwise(0.0)
+        return F.round(w["n"] * (1 + F.least(F.length(w["word"]) / 10.0, F.lit(1.0)) + (1.0 - (F.position(w["word"], full) - 1) / F.length(full) * 0.3) + form), 9)
+
+    rows = with_text(words(docs, r"[ァ-ヴー]+|[一-龥]{2,}|[A-Za-z]+[A-Za-z0-9]*", id_col, text_col), docs, id_col, text_col, s=score)
+    return top(rows, F.col("s"), k, id_col).drop("s")
 
 
 def weighted_patterns(docs: DataFrame, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,14 +146,23 @@ def qa_keywords(rows: DataFrame) -> DataFrame:
 
 
 def details(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, word, difficulty, category, frequency, best_context, context_importance: the sentence that says most about each word."""
-    full = rows.join(docs.select(id_col, F.col(text_col).alias("full")), id_col)
-    told = full.withColumns({"difficulty": difficulty(F.col("word"), F.col("full")), "category": category(F.col("word")), "frequency": ((F.length("full") - F.length(F.replace("full", "word", F.lit("")))) / F.length("word")).cast("bigint")})
-    places = docs.select(id_col, F.posexplode(F.split(text_col, "[。！？.!?]")).alias("at", "sentence"))
-    met = rows.select(id_col, "word").join(places, id_col).filter(F.contains("sentence", "word")).withColumn("importance", F.round(importance("sentence", "word"), 9))
-    best = met.groupBy(id_col, "word").agg(F.max_by(F.struct("sentence", "importance"), F.struct("importance", -F.col("at"))).alias("b"), F.min_by("importance", "at").alias("first_importance"))
-    out = told.drop("full").join(best, [id_col, "word"], "left")
-    return out.select(id_col, "word", "difficulty", "category", "frequency", F.coalesce(F.trim("b.sentence"), F.lit("")).alias("best_context"), F.coalesce("b.importance", F.lit(0.0)).alias("context_importance"), F.coalesce("first_importance", F.lit(0.0)).alias("first_importance"))
+    """id, word, difficulty, category, frequency, best_context, context_importance, first_importance: the sentence that says most about each word.
+
+    Of equal sentences the first counts; first_importance is that of the first sentence that holds the word.
+    """
+
+    def sentences(w: Column, full: Column) -> Column:
+        held = F.filter(F.transform(F.split(full, "[。！？.!?]"), lambda s, i: F.struct((-i).alias("before"), s.alias("said"))), lambda x: F.contains(x["said"], w["word"]))
+        return F.transform(held, lambda x: F.struct(F.round(importance(x["said"], w["word"]), 9).alias("importance"), x["before"].alias("before"), x["said"].alias("said")))
+
+    told = with_text(
+        rows.select(id_col, "word"), docs, id_col, text_col, difficulty=lambda w, full: difficulty(w["word"], full), category=lambda w, _: category(w["word"]),
+        frequency=lambda w, full: ((F.length(full) - F.length(F.replace(full, w["word"], F.lit("")))) / F.length(w["word"])).cast("bigint"),
+        # the sentence that says most, and the first one's importance, from one pass over the sentences
+        best=lambda w, full: F.element_at(F.transform(F.array(sentences(w, full)), lambda s: F.struct(F.array_max(s).alias("most"), F.get(s, F.lit(0))["importance"].alias("first"))), 1),
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return told.select(id_col, "word", "difficulty", "category", "frequency", F.coalesce(F.trim("best.most.said"), F.lit("")).alias("best_context"), zero("best.most.importance").alias("context_importance"), zero("best.first").alias("first_importance"))
 
 
 # What a line of a sentence must hold in this order, with other characters before, between and (last
@@ -209,10 +231,8 @@ def char_coverage(rows: DataFrame, docs: DataFrame, id_col: str = "doc_id", text
 
 def enough(rows: DataFrame, docs: DataFrame, target: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """rows: id, word, rank. The smallest number of leading words whose characters reach the target share of the text."""
-    full = rows.join(docs.select(id_col, F.col(text_col).alias("full")), id_col)
-    part = (F.length("full") - F.length(F.replace("full", "word", F.lit("")))) / F.greatest(F.length("full"), F.lit(1))
-    share = F.sum("part").over(Window.partitionBy(id_col).orderBy("rank"))
-    summed = full.withColumn("part", part).withColumn("share", share)
+    part = lambda w, full: (F.length(full) - F.length(F.replace(full, w["word"], F.lit("")))) / F.greatest(F.length(full), F.lit(1))
+    summed = with_text(rows, docs, id_col, text_col, part=part).withColumn("share", F.sum("part").over(Window.partitionBy(id_col).orderBy("rank")))
     return summed.groupBy(id_col).agg(F.coalesce(F.min(F.when(F.col("share") >= target, F.col("rank"))), F.max("rank")).alias("enough"), F.round(F.max("share"), 6).alias("reach"))
 
 
@@ -250,7 +270,7 @@ def extract(docs: DataFrame, mode: str = "auto", id_col: str = "doc_id", text_co
     elif mode == "coverage":
         most = enough(ranked, docs, target, id_col, text_col).select(id_col, F.col("enough").alias("most"))
     elif mode == "diminishing":
-        part = ranked.join(docs.select(id_col, F.col(text_col).alias("full")), id_col).withColumn("part", F.length("full") - F.length(F.replace("full", "word", F.lit(""))))
+        part = with_text(ranked, docs, id_col, text_col, part=lambda w, full: F.length(full) - F.length(F.replace(full, w["word"], F.lit(""))))
         shares = part.withColumn("share", F.sum("part").over(Window.partitionBy(id_col).orderBy("rank")).cast("double"))
         most = diminishing(shares, id_col=id_col).select(id_col, F.col("stop").alias("most"))
     else:
@@ -280,8 +300,8 @@ def coverage_potential(rows: DataFrame, uncovered: DataFrame, id_col: str = "doc
 
     How near the set is to the text in meaning is ``vectors.cosine`` of their embeddings, joined by the same id.
     """
-    met = rows.join(uncovered.select(id_col, F.col(text_col).alias("full")), id_col)
+    met = with_text(rows, uncovered, id_col, text_col, held=lambda w, full: F.contains(full, w["word"]))
     share = lambda c: F.round(F.avg(c.cast("double")), 6)
     return met.groupBy(id_col).agg(
-        share(F.coalesce(F.contains("full", "word"), F.lit(False))).alias("coverage"), share(F.length("word") >= 4).alias("compound"), share(F.col("word").rlike(TECHNICAL_WORD)).alias("technical")
+        share(F.coalesce("held", F.lit(False))).alias("coverage"), share(F.length("word") >= 4).alias("compound"), share(F.col("word").rlike(TECHNICAL_WORD)).alias("technical")
     )
