@@ -64,13 +64,13 @@ ORDER, APART, AHEAD = 24, 128, 1024
 #: occurrences add.
 TRUST = (1.5, 3.0, 4.5)
 AGREED = 1.5
-#: A token over 1/HEAVY of all training tokens is looked up in a broadcast table, which so has fewer than HEAVY
-#: rows (about 150 MB at the very most); the others meet their counts in a shuffle.
-HEAVY = 1_000_000
+#: The most frequent training tokens, HEAVY different ones at most (about 50 MB), are looked up in a broadcast table;
+#: the others meet their counts in a shuffle.
+HEAVY = 300_000
 #: A place over 1/HOT of all places is looked up by broadcast, in a table of fewer than HOT rows.
 HOT = 1000
 #: Tokens a worker counts before it passes the counts on.
-FLUSH = 1_000_000
+FLUSH = 300_000
 #: End costs are summed as whole numbers of 1/EXACT bits.
 EXACT = 1 << 32
 _APART = b"\0" * 5
@@ -323,28 +323,28 @@ def places_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(places), np.concatenate(hashes)) if places else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
-def _all_places(docs: DataFrame, with_next: bool) -> DataFrame:
-    """docs: doc_id, tag, held_out, text. One row for each place: doc_id, tag, held_out, place, h, and if asked what follows and its hash c."""
+def _all_places(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, tag, held_out, text. One row for each place: doc_id, tag, held_out, place, h; of training texts what follows and its hash c."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            which, at, hashes, tails = [], [], [], []
-            for i, t in enumerate(b.column(3)):
-                data = (t.as_py() or "").encode()
-                places, h = places_of(data)
+            which, at, hashes, own, tails = [], [], [], [], []
+            for i, (t, held) in enumerate(zip(b.column(3).cast(pa.binary()).fill_null(b"").to_pylist(), b.column(2).to_pylist())):
+                places, h = places_of(t)
                 which.append(np.full(len(places), i))
                 at.append(places)
                 hashes.append(h)
-                if with_next:
-                    ends = np.minimum(np.append(places[1:], len(data)), places + AHEAD)
-                    tails += [data[p:q] for p, q in zip(places.tolist(), ends.tolist())]
+                if held:
+                    tails += [None] * len(places)
+                else:
+                    ends = np.minimum(np.append(places[1:], len(t)), places + AHEAD)
+                    tails += [t[p:q] for p, q in zip(places.tolist(), ends.tolist())]
+            own = np.fromiter((0 if x is None else xxhash.xxh64_intdigest(x) for x in tails), np.uint64, len(tails))
             row = pa.array(np.concatenate(which) if which else np.empty(0, np.int64))
-            cols = [*(b.column(k).take(row) for k in range(3)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(hashes))]
-            if with_next:
-                cols += [pa.array(np.array([*map(xxhash.xxh64_intdigest, tails)], np.uint64).view(np.int64)), pa.array(tails, pa.binary())]
-            yield pa.record_batch(cols, names=["doc_id", "tag", "held_out", "place", "h", "c", "next"][: len(cols)])
+            cols = [*(b.column(k).take(row) for k in range(3)), pa.array(np.concatenate(at).astype(np.int32)), pa.array(np.concatenate(hashes)), pa.array(own.view(np.int64)), pa.array(tails, pa.binary())]
+            yield pa.record_batch(cols, names=["doc_id", "tag", "held_out", "place", "h", "c", "next"])
 
-    return docs.mapInArrow(run, "doc_id bigint, tag bigint, held_out boolean, place int, h bigint" + ", c bigint, next binary" * with_next)
+    return docs.mapInArrow(run, "doc_id bigint, tag bigint, held_out boolean, place int, h bigint, c bigint, next binary")
 
 
 def _name() -> Column:
@@ -357,22 +357,6 @@ def _ends(table: DataFrame) -> DataFrame:
     return table.select("h", "k", *[F.col(f"{end}.{c}").alias(f"{end}_{c}") for end in ("lo", "hi") for c in ("o", "c", "next")])
 
 
-def _hot_table(docs: DataFrame, places: DataFrame, hot: DataFrame) -> DataFrame:
-    """As ``_ends`` for the few hot places: what follows is read from one text for each end."""
-    at = F.struct(_name().alias("o"), "place", "doc_id", "tag")
-    ends = places.join(F.broadcast(hot), "h", "left_semi").filter(~F.col("held_out")).groupBy("h").agg(F.count("*").alias("k"), F.min(at).alias("lo"), F.max(at).alias("hi"))
-    ends = cut(ends, "lm-hot-ends")
-    told = ends.select("h", F.explode(F.array("lo", "hi")).alias("at")).select("h", "at.*")
-    named = F.broadcast(told.select(F.col("doc_id").alias("told_id"), F.col("tag").alias("told_tag")).distinct())
-    texts = docs.join(named, docs["doc_id"].eqNullSafe(named["told_id"]) & (docs["tag"] == named["told_tag"]), "left_semi")
-    follows = _all_places(texts, True).withColumn("o", _name()).join(F.broadcast(told.select("h", "o", "place").distinct()), ["h", "o", "place"], "left_semi")
-    follows = cut(follows.groupBy("h", "o", "place").agg(F.min(F.struct("c", "next")).alias("told")), "lm-hot-next")
-    for end in ("lo", "hi"):
-        one = follows.select("h", F.struct("o", "place").alias(f"at_{end}"), F.struct("o", "place", "told.c", "told.next").alias(f"told_{end}"))
-        ends = ends.withColumn(f"at_{end}", F.struct(F.col(f"{end}.o").alias("o"), F.col(f"{end}.place").alias("place"))).join(F.broadcast(one), ["h", f"at_{end}"])
-    return _ends(ends.select("h", "k", F.col("told_lo").alias("lo"), F.col("told_hi").alias("hi")))
-
-
 def foretold(docs: DataFrame) -> DataFrame:
     """docs: doc_id, tag, held_out, text. Per doc_id and tag a list of (place, agreed, bytes) that the training fold foretells.
 
@@ -381,19 +365,21 @@ def foretold(docs: DataFrame) -> DataFrame:
     second's, and nothing where both are its own: which one it is told follows from names alone, never from how it
     goes on itself. Two continuations of other texts that go on alike agree.
     """
-    places = cut(_all_places(docs, False), "lm-places")
+    every = cut(_all_places(docs), "lm-places")
+    places, trained = every.select("doc_id", "tag", "held_out", "place", "h"), every.filter(~F.col("held_out"))
     hot = places.groupBy("h").agg(F.count("*").alias("k")).filter(F.col("k") > places.count() / HOT).select("h")
     hot = cut(hot, "lm-hot")
-    trained = _all_places(docs.filter(~F.col("held_out")), True)
     at = F.struct(_name().alias("o"), "place", "c", "next")
-    table = _ends(trained.groupBy("h").agg(F.count("*").alias("k"), F.min(at).alias("lo"), F.max(at).alias("hi")))
+    table = lambda rows: _ends(rows.groupBy("h").agg(F.count("*").alias("k"), F.min(at).alias("lo"), F.max(at).alias("hi")))
     # few keys with very many rows: their table is broadcast; of the others both sides are dealt by h once
-    rest = places.join(F.broadcast(hot), "h", "left_anti").join(table, "h")
-    met = rest.unionByName(places.join(F.broadcast(cut(_hot_table(docs, places, hot), "lm-hot-table")), "h"))
+    rest = places.join(F.broadcast(hot), "h", "left_anti").join(table(trained.join(F.broadcast(hot), "h", "left_anti")), "h")
+    met = rest.unionByName(places.join(F.broadcast(cut(table(trained.join(F.broadcast(hot), "h", "left_semi")), "lm-hot-table")), "h"))
     own = lambda end: ~F.col("held_out") & (_name() == F.col(f"{end}_o"))
     told = F.when(~own("lo"), F.col("lo_next")).when(~own("hi"), F.col("hi_next"))
     agreed = (F.col("k") > 1) & ~own("lo") & ~own("hi") & (F.col("lo_c") == F.col("hi_c"))
-    return met.filter(told.isNotNull()).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("place", agreed.alias("agreed"), told.alias("next"))).alias("told"))
+    out = cut(met.filter(told.isNotNull()).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("place", agreed.alias("agreed"), told.alias("next"))).alias("told")), "lm-told")
+    drop_table(every)
+    return out
 
 
 def guess_of(data: bytes, told: list[tuple[int, bool, bytes]], out: np.ndarray) -> None:
@@ -523,7 +509,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     small_batches(spark)
     tokens, seen = corpus_counts(docs, id_col, text_col)
     train, distinct = tokens.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    heavy = {r["token"].encode(): r["c"] for r in tokens.filter(F.col("c") > train / HEAVY).toLocalIterator()}
+    # counts in steps of an eighth of their logarithm: the lowest step from which on there are HEAVY tokens at most
+    step = F.floor(F.log2("c") * 8)
+    n_above, least = 0, 1 << 30
+    for r in tokens.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        if (n_above := n_above + r["n"]) > HEAVY:
+            break
+        least = r["step"]
+    heavy = {r["token"].encode(): r["c"] for r in tokens.filter(step >= least).toLocalIterator()}
     shipped = spark.sparkContext.broadcast((heavy, *common_table(seen), uuid.uuid4().hex))
     drop_table(seen)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
@@ -568,7 +561,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     # written before it is numbered: the number then follows from the files, not from a run
     scored = cut(ready.mapInArrow(run, schema), "lm-scored").withColumn("row", F.monotonically_increasing_id())
     # rare tokens meet their counts in a shuffle by token; only their sums come back to the rows
-    light = tokens.filter(F.col("c") <= train / HEAVY)
+    light = tokens.filter(step < least)
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.token", "r.n").join(light, "token")
     rare = rare.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("more_logs"))
     n_known = F.col("known") + F.coalesce("more", F.lit(0))

@@ -313,7 +313,7 @@ def test_media(docs, empty):
     assert got(media.media_columns(empty)) == []
 
 
-def test_lm_base_and_counts(docs, empty):
+def test_lm_base_and_counts(docs, empty, monkeypatch):
     train = [t or "" for i, t, *_ in ROWS if zlib.crc32(("" if i is None else str(i)).encode()) % 7 != 2]
     toks = lambda t: [w.decode() for w in re.findall(rb"[^\x20\x09-\x0D]+", t.encode().lower())] + [""]
     c = Counter(x for t in train for x in toks(t))
@@ -325,6 +325,9 @@ def test_lm_base_and_counts(docs, empty):
         want.append((i, len(k), sum(c[x] > 0 for x in k), total, round(sum(np.log10((c[x] + 1) / (total + distinct + 1)) for x in k), 4)))
     assert sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in out), key=repr) == sorted(want, key=repr)
     assert all(r["score"] < 0 for r in out)
+    for heavy in (0, 5):  # so far every token was looked up by broadcast
+        monkeypatch.setattr(lm, "HEAVY", heavy)
+        assert sorted(((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in got(lm.lm_scores(docs))), key=repr) == sorted(want, key=repr)
     assert got(lm.lm_scores(empty)) == []
 
 
