@@ -221,7 +221,7 @@ def merge_small(chunks: DataFrame, least: int = 150, most: int = 400, id_col: st
 def store_entries(lines: DataFrame, dataset: str, size: int = 2000, overlap: int = 100, max_chunks: int = 4000, max_mb: float = 30.0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Entries for a vector store, cut where the number or the running size of entries reaches its limit.
 
-    The running size is summed in two steps, within blocks of ids and over the blocks, so that no task sees all
+    The running size is summed in two steps, within ranges and over the ranges, so that no task sees all
     rows. The entry that crosses the size limit is the last one kept.
     """
     cleaned = lines.select(id_col, clean_text(F.col(text_col), False).alias("text")).filter("text <> ''")
@@ -257,13 +257,7 @@ def unified_entries(sets: dict[str, DataFrame], size: int = 2000, overlap: int =
     return kept.select("place", "source_dataset", "entry_id", "text", "metadata", "entry_size")
 
 
-def running_cut(rows: DataFrame, order: list[str], size_col: str, max_rows: int, max_size: int, block: int = 1000) -> DataFrame:
-    """The first rows in order until max_rows are kept or their sizes pass max_size. order[0] is a whole number."""
-    blocked = rows.withColumn("block", F.floor(F.col(order[0]) / block))
-    sums = blocked.groupBy("block").agg(F.count("*").alias("n"), F.sum(size_col).alias("size"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("size0"))
-    inside = Window.partitionBy("block").orderBy(*order)
-    placed = blocked.join(sums.filter((F.col("n0") < max_rows) & (F.col("size0") <= max_size)), "block")
-    placed = placed.withColumn("place", F.col("n0") + F.row_number().over(inside)).withColumn("sum_size", F.col("size0") + F.sum(size_col).over(inside))
-    return placed.filter((F.col("place") <= max_rows) & (F.col("sum_size") - F.col(size_col) <= max_size)).drop("block", "n0", "size0", "place")
+def running_cut(rows: DataFrame, order: list[str], size_col: str, max_rows: int, max_size: int) -> DataFrame:
+    """The first rows in order until max_rows are kept or their sizes pass max_size; the row that passes it is the last one."""
+    placed = numbered_rows(rows, order, "place", size_col=size_col)
+    return placed.filter((F.col("place") < max_rows) & (F.col("sum_size") - F.col(size_col) <= max_size)).drop("place")

@@ -145,7 +145,7 @@ def unified_store_entries(spark, sf):
 @query("""WITH r AS (SELECT doc_id, length(text) AS size, sum(length(text)) OVER (ORDER BY doc_id) AS sum_size, row_number() OVER (ORDER BY doc_id) AS k FROM documents)
 SELECT doc_id, size::BIGINT AS size FROM r WHERE k <= 5000 AND sum_size - size <= 1000000""")
 def size_limited_prefix(spark, sf):
-    return chunking.running_cut(docs_of(spark, sf).select("doc_id", F.length("text").cast("bigint").alias("size")), ["doc_id"], "size", 5000, 1_000_000, 100).select("doc_id", "size")
+    return chunking.running_cut(docs_of(spark, sf).select("doc_id", F.length("text").cast("bigint").alias("size")), ["doc_id"], "size", 5000, 1_000_000).select("doc_id", "size")
 
 
 @query("""WITH w AS (SELECT doc_id, text, unnest(range(0, length(text), 400)) AS a FROM documents WHERE length(text) > 0) SELECT doc_id, count(*) AS n, sum(length(substr(text, a + 1, 500)))::BIGINT AS total FROM w GROUP BY doc_id""")

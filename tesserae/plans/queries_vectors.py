@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesserae.functions import vectors as V
@@ -67,14 +66,8 @@ def coverage_by_length(spark, sf):
 
 @query(_BEST + ", r AS (SELECT max_sim, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM best), b AS (SELECT max_sim, CASE WHEN i < n * 0.33::DOUBLE THEN 'beginning' WHEN i < n * 0.67::DOUBLE THEN 'middle' ELSE 'end' END AS bucket FROM r) SELECT bucket, count(*) AS n, count(*) FILTER (max_sim >= 0.7) AS covered, round(avg(max_sim), 6) AS avg_max_sim, round(count(*) FILTER (max_sim >= 0.7)::DOUBLE / count(*), 6) AS rate FROM b GROUP BY bucket")
 def coverage_by_position(spark, sf):
-    b = _best(spark, sf)
-    total = b.count()
-    # numbered in two steps: rows within blocks of ids, and blocks by a sum over their sizes alone
-    blocks = b.groupBy(F.floor(F.col("id") / 1000).alias("block")).agg(F.count("*").alias("size"))
-    before = blocks.withColumn("before", F.sum("size").over(Window.orderBy("block")) - F.col("size")).select("block", "before")
-    within = F.row_number().over(Window.partitionBy("block").orderBy("id")) - 1
-    ranked = b.withColumn("block", F.floor(F.col("id") / 1000)).withColumn("within", within).join(before, "block").withColumn("i", F.col("before") + F.col("within"))
-    return vectors.coverage_by(ranked, vectors.position_bucket(F.col("i"), F.lit(total)))
+    ranked = numbered_rows(_best(spark, sf), ["id"], "i")
+    return vectors.coverage_by(ranked, vectors.position_bucket(F.col("i"), F.lit(ranked.count())))
 
 
 @query(_BEST + """, r AS (SELECT max_sim, CASE WHEN label < 2 THEN 'short' WHEN label < 4 THEN 'medium' ELSE 'long' END AS length, row_number() OVER (ORDER BY id) - 1 AS i, count(*) OVER () AS n FROM best),

@@ -78,5 +78,5 @@ def test_merge_small_branches(spark):
 
 def test_running_cut(spark):
     df = spark.createDataFrame([(i, 10) for i in range(100)], "id bigint, size bigint")
-    assert sorted(r["id"] for r in C.running_cut(df, ["id"], "size", 1000, 55, 7).collect()) == list(range(6))
-    assert C.running_cut(df, ["id"], "size", 9, 10**6, 7).count() == 9
+    assert sorted(r["id"] for r in C.running_cut(df, ["id"], "size", 1000, 55).collect()) == list(range(6))
+    assert C.running_cut(df, ["id"], "size", 9, 10**6).count() == 9
