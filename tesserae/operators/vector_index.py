@@ -181,6 +181,12 @@ class VectorIndex:
         return asked.select("id", "h1", "h2").join(lists, ["h1", "h2"]).select("id", F.inline("top")).select("id", "other", "score", "rank")
 
 
+    def best_match(self, chunks: DataFrame, clamp: bool = False, **kw: str) -> DataFrame:
+        """As ``vectors.best_match`` of the chunks with what is indexed: id, other, max_sim."""
+        sim = F.greatest(F.col("score"), F.lit(0.0)) if clamp else F.col("score")
+        return self.search(chunks, 1, **kw).select("id", "other", F.round(sim, 6).alias("max_sim"))
+
+
 def recall(found: DataFrame, exact: DataFrame) -> float:
     """The share of exact neighbours that a search found; of equal scores any neighbour counts."""
     goal = exact.groupBy("id").agg(F.min("score").alias("least"), F.count("*").alias("n"))

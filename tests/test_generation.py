@@ -149,6 +149,9 @@ def test_index_of_clusters_probes_few_cells_and_keeps_copies(spark, tmp_path):
     exact = vectors.nearest(asked.filter("size(embedding) > 0"), df.filter("size(embedding) > 0"), 5)
     found = index.search(asked, 5)
     assert recall(found, exact) >= 0.9
+    near, far = index.best_match(asked, True), vectors.best_match(asked.filter("size(embedding) > 0"), df.filter("size(embedding) > 0"), True)
+    same = near.join(far.withColumnRenamed("max_sim", "exact"), "id").filter(F.col("max_sim") >= F.col("exact") - 1e-6).count()
+    assert same >= 0.9 * far.count() and near.columns == far.columns
     copy = [x for x in rows_of(found) if x[0] == 1800]
     assert [x[2] for x in copy] == [1800, 1801, 1802, 1803, 1804]
     assert spark.read.parquet(f"{tmp_path}/ix/entries").agg(F.sum("n")).first()[0] == len(m)
