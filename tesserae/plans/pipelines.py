@@ -29,7 +29,9 @@ def rule_pipeline(docs: DataFrame, per_chunk: int = 4, max_chunks: int = 300, li
     Where chunks were left out and there are fewer pairs than twice all chunks, ``further`` chunks give two pairs more
     each: those whose number follows the number of sampled ones. Chunks are cut and numbered once, and written.
     """
-    chunks = staged(numbered_rows(chunks_of(docs, limit), ["doc_id", "chunk_idx"], "global_idx"), "numbered-chunks")
+    cut_once = staged(chunks_of(docs, limit), "chunks")
+    chunks = staged(numbered_rows(cut_once, ["doc_id", "chunk_idx"], "global_idx"), "numbered-chunks")
+    discard(cut_once)
     total = chunks.count()
     step = max(1, total // max_chunks) if total > max_chunks else 1
     n_taken = min(max_chunks, -(-total // step)) if total > max_chunks else total
