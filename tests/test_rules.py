@@ -121,3 +121,10 @@ def test_qa_extraction_plans_filters_and_chooses(spark):
     assert {r["doc_id"] for r in relations.collect()} <= {1, 2} and relations.filter("relation_type <> 'co_occurs'").count() > 0
     few, _ = pipelines.qa_extraction(docs, n_pairs=1)
     assert few.groupBy("doc_id").count().filter("count > 1").count() == 0
+
+
+def test_metrics_and_plan_of_a_sentence_longer_than_an_int_squared(spark):
+    docs = spark.createDataFrame([(1, "x" * 50_000 + ". " + "y" * 50_000)], "doc_id bigint, text string")
+    metrics = qa.document_metrics(docs)
+    assert metrics.first()["complexity"] == 0.0 and metrics.first()["sentence_count"] == 2
+    assert qa.planned_count(metrics).first()["optimal_count"] == 32
