@@ -128,3 +128,8 @@ def test_metrics_and_plan_of_a_sentence_longer_than_an_int_squared(spark):
     metrics = qa.document_metrics(docs)
     assert metrics.first()["complexity"] == 0.0 and metrics.first()["sentence_count"] == 2
     assert qa.planned_count(metrics).first()["optimal_count"] == 32
+
+
+def test_definitions_are_trimmed_and_filled_as_in_the_sql(spark):
+    docs = spark.createDataFrame([(1, "\u3000{b}とは\u00a0猫\u2003である。x{a}は{b}と呼ばれ")], "doc_id bigint, text string")
+    assert {(r["question"], r["answer"]) for r in qa.definitions(docs).collect()} == {("{b}とは何ですか？", "{b}とは猫です。"), ("x{a}は何と呼ばれますか？", "{b}と呼ばれます。")}
