@@ -60,7 +60,7 @@ def preprocessed_outputs(spark, sf):
 
 
 def _one_file_each(docs: DataFrame, value, path: str) -> None:
-    docs.select(value.alias("value"), F.col("lang").alias("category")).write.option("maxRecordsPerFile", 1).partitionBy("category").text(path)
+    docs.select(value.alias("value"), F.col("lang").alias("category")).write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("category").text(path)
 
 
 @query(f"SELECT 'doc/' || doc_id AS url, 'day ' || doc_id AS date, source AS title, md5(trim(text, {WS})) AS content, 'category=' || lang AS category FROM documents")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.functions.text import is_japanese, strip
-from tesserae.operators.chunking import as_chunks, chunk_table, packed_paragraphs
+from tesserae.functions.text import strip
+from tesserae.operators.chunking import as_chunks, chunk_table, in_japanese, packed_paragraphs
 from tesserae.operators.tables import nonblank, qa_table, require, text_column
+from tesserae.staging import file_system
 
 
 def csv(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -49,12 +52,23 @@ def lines(spark: SparkSession, path: str, column: str, least: int = 10) -> DataF
     return csv(spark, path).select(strip(F.col(column)).alias("line")).filter(F.length("line") > least)
 
 
+def whole_files(spark: SparkSession, pattern: str) -> DataFrame:
+    """value, file: the whole text of each file that a pattern of names in folders matches.
+
+    Folders are listed, not files one by one, and many small files share a task; the session setting stays so.
+    """
+    folder, name = pattern.rsplit("/", 1)
+    spark.conf.set("spark.sql.files.openCostInBytes", str(64 << 10))
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name).text(folder, wholetext=True).withColumn("file", F.input_file_name())
+    fs, path = file_system(spark, folder)
+    steps = len(re.sub(r"^[A-Za-z0-9+.-]+:/*", "", fs.makeQualified(path(folder)).toString()).split("/"))  # files in deeper folders do not match
+    return rows.filter(F.size(F.split(F.regexp_replace("file", "^[A-Za-z0-9+.-]+:/*", ""), "/")) == steps + 1)
+
+
 def text_chunks(spark: SparkSession, path: str, limit: int = 500) -> DataFrame:
     """Chunks of whole text files, by the packing of the language that their first 1000 characters are in."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("text"))
-    ja = files.filter(is_japanese(F.col("text"), 1000))
-    en = files.filter(~is_japanese(F.col("text"), 1000))
-    return chunk_table(ja, as_chunks(packed_paragraphs, "ja", limit), "file").unionByName(chunk_table(en, as_chunks(packed_paragraphs, "en", limit), "file"))
+    packed = lambda t: packed_paragraphs(t, "ja" if in_japanese(t[:1000]) else "en", limit)
+    return chunk_table(whole_files(spark, path), as_chunks(packed), "file", "value")
 
 
 def news_folder(spark: SparkSession, root: str, with_date: bool = True) -> DataFrame:
@@ -63,7 +77,7 @@ def news_folder(spark: SparkSession, root: str, with_date: bool = True) -> DataF
     The first lines are the address, the date (where the set has one) and the title. Licence and read-me files
     and files with too few lines are left out.
     """
-    files = spark.read.text(f"{root.rstrip('/')}/*/*.txt", wholetext=True).withColumn("file", F.input_file_name())
+    files = whole_files(spark, f"{root.rstrip('/')}/*/*.txt")
     files = files.filter(~F.lower(F.element_at(F.split("file", "/"), -1)).rlike("license|readme"))
     skip = 3 if with_date else 2
     rows = files.withColumn("l", F.split("value", "\n")).filter(F.size("l") >= 3)
