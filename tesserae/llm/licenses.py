@@ -1,10 +1,11 @@
 """Licence scans: a trained paragraph classifier over sparse word n-grams. No Python runs on the executors.
 
-Sentences of paragraphs (lines) become counts of hashed words and word pairs; a multinomial logistic regression
-gives each licence family and the class "none" a probability. It is trained on sentences of the families' notices below
-and on a bounded sample of the corpus's own paragraphs as "none". The decision level is calibrated on a second
-such sample, not trained on: it is the probability that at most one in CALIBRATION of its sentences exceed.
-A prediction above it counts once a template confirms it: enough of the sentence's word pairs stand in notices of
+The classifier is asked about sentences of paragraphs (lines) with licence-like wording or a word pair of any notice;
+no other sentence can be told as a licence, whatever its probability. Their counts of hashed words and word pairs go to
+a multinomial logistic regression, which gives each licence family and the class "none" a probability. It is trained on
+sentences of the families' notices below and, as "none", on half of all such sentences of the corpus that hold no two
+pairs of notices. The decision level is calibrated on the other half: it is the probability that at most one in
+CALIBRATION of its sentences reach. Which half a sentence is in follows from its words. A prediction above it counts once a template confirms it: enough of the sentence's word pairs stand in notices of
 that family, or enough of one notice sentence's pairs stand in the sentence, whatever else it says. A notice
 sentence that stands whole in the text, or an SPDX line, counts whatever the classifier says of the words around it.
 """
@@ -19,13 +20,15 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import cut
+from tesserae.llm.common import cut, drop_table
 
 NONE = "none"
 FEATURES = 1 << 13
-#: Paragraphs sampled as "none" for training and for calibration, and their largest number of characters.
-SAMPLE, SAMPLE_CHARS = 4000, 2000
 CALIBRATION = 500
+#: The level is a multiple of one in LEVELS.
+LEVELS = 10_000
+#: Weight of a notice in training at least, and of all notices together as a share of the corpus's sentences.
+NOTICE, NOTICES_SHARE = 20.0, 0.3
 FLOOR, CONFIRMED = 0.5, 0.5
 #: Share of a notice sentence's word pairs that a sentence must hold: too many for a sentence that names another licence.
 COVERED = 0.8
@@ -103,17 +106,6 @@ def _words(text: Column) -> Column:
     return F.when(plain != "", F.split(plain, "[^a-z0-9]+"))
 
 
-def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, row, at, part, text, words: the sentences of each row's lines (at, any kind of line end) that have any word.
-
-    row tells rows of one id apart.
-    """
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("all")).withColumn("row", F.monotonically_increasing_id())
-    rows = rows.select("doc_id", "row", F.posexplode(F.split(F.coalesce("all", F.lit("")), LINE)).alias("at", "line"))
-    worded = F.filter(F.split("line", SENTENCE), lambda s: F.lower(s).rlike("[a-z0-9]"))
-    return rows.select("doc_id", "row", "at", F.posexplode(worded).alias("part", "text")).withColumn("words", _words(F.col("text")))
-
-
 def _vectors(df: DataFrame) -> DataFrame:
     return HashingTF(numFeatures=FEATURES, inputCol="grams", outputCol="features").transform(df.withColumn("grams", _grams("words")))
 
@@ -136,36 +128,73 @@ def notice_sentences() -> dict[str, list[str]]:
     return {f: sorted({p for n in notices for p in parts(n) if len(p.split()) > 3}) for f, notices in NOTICES.items()}
 
 
+def _any_of(strings: set[str]) -> str:
+    """A pattern of the strings, which share the patterns of their common beginnings."""
+    heads: dict[str, set[str]] = {}
+    for x in strings:
+        heads.setdefault(x[:1], set()).add(x[1:])
+    return "(?:" + "|".join(h + _any_of(heads[h]) if h else "" for h in sorted(heads, reverse=True)) + ")"
+
+
+#: What a lower-cased sentence must hold to be told as a licence: licence-like wording or a word pair of a notice.
+ASKED = f"{LICENCE_LIKE}|(?<![a-z0-9]){_any_of({g for v in template_grams().values() for g in v}).replace(' ', '[^a-z0-9]+')}(?![a-z0-9])"
+
+
+def asked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row, at, text, words: the sentences of each row's lines (at, any kind of line end) that the classifier is asked about.
+
+    row tells rows of one id apart. The table is written, as training and scan read it.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("all")).withColumn("row", F.monotonically_increasing_id())
+    rows = rows.select("doc_id", "row", F.posexplode(F.split(F.coalesce("all", F.lit("")), LINE)).alias("at", "line")).filter(F.lower("line").rlike(ASKED))
+    rows = rows.select("doc_id", "row", "at", F.explode(F.split("line", SENTENCE)).alias("text")).filter(F.lower("text").rlike(ASKED))
+    return cut(rows.withColumn("words", _words(F.col("text"))), "licence-asked")
+
+
+def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """One row per id: doc_id, n_paragraphs, the number of lines that have any word."""
+    worded = F.filter(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), LINE), lambda x: F.lower(x).rlike("[a-z0-9]"))
+    return docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.size(worded).alias("n")).groupBy("doc_id").agg(F.sum("n").alias("n_paragraphs"))
+
+
+def others(found: DataFrame) -> DataFrame:
+    """words, half: each sentence of ``asked`` that holds no two word pairs of notices, once.
+
+    Those that hold two are left out, so that the corpus's own notices do not train the class "none".
+    """
+    pairs = F.array(*map(F.lit, sorted({g for v in template_grams().values() for g in v})))
+    own = found.select("words").distinct().filter(F.size(F.array_intersect(_grams("words"), pairs)) < 2)
+    return own.withColumn("half", F.pmod(F.xxhash64("words"), F.lit(2)))
+
+
 def _naming(sentences: dict[str, list[str]]) -> dict[str, list[str]]:
     """The notice sentences that belong to one family alone."""
     every = [p for v in sentences.values() for p in v]
     return {f: [p for p in v if every.count(p) == 1] for f, v in sentences.items()}
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[LogisticRegressionModel, float]:
-    """The classifier and its decision level, from a bounded sample (SAMPLE paragraphs each) of the corpus.
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> tuple[LogisticRegressionModel, float]:
+    """The classifier and its decision level, from all sentences of ``others``: half of them train, half calibrate.
 
-    Sampled documents are those with the smallest hash of their id; paragraphs that hold two word pairs of
-    any notice in a row are left out, so that the corpus's own notices do not train the class "none".
+    found is the result of ``asked``, where it is there already.
     """
     spark: SparkSession = docs.sparkSession
-    docs = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    ids = docs.select(F.col("doc_id").alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(2 * SAMPLE)
-    chosen = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id"), "left_semi")
-    first = paragraphs(chosen, "doc_id", "text").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    every = sorted({g for v in template_grams().values() for g in v})
-    known_grams = docs.sparkSession.createDataFrame([(g,) for g in every], "gram string")
-    cut_text = first.select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text")).withColumn("words", _words(F.col("text")))
-    met = cut_text.select("doc_id", F.explode(_grams("words")).alias("gram")).join(F.broadcast(known_grams), "gram").groupBy("doc_id").agg(F.count_distinct("gram").alias("n")).filter("n > 1")
-    sample = cut(cut_text.join(met, "doc_id", "left_anti").withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))), "licence-sample")
-    known = [(float(FAMILIES.index(f)), part, 20.0) for f, notices in NOTICES.items() for n in notices for part in sorted({n, *re.split(r"(?<=[.:;]) ", n)}) if len(part.split()) > 2]
-    labelled = spark.createDataFrame(known, "label double, text string, weight double").withColumn("words", _words(F.col("text")))
-    negative = sample.filter("half = 0").select(F.lit(0.0).alias("label"), "text", F.lit(1.0).alias("weight"), "words")
-    data = cut(_vectors(labelled.unionAll(negative)).select("label", "weight", "features"), "licence-training").coalesce(4)
-    model = LogisticRegression(family="multinomial", weightCol="weight", regParam=1e-4, maxIter=40, standardization=False).fit(data)
-    scored = model.transform(_vectors(sample.filter("half = 1"))).select((1 - vector_to_array("probability")[0]).alias("p"))
-    level = scored.agg(F.percentile("p", 1 - 1 / CALIBRATION)).first()[0]
-    return model, max(FLOOR, min(0.99, level or 0.0))
+    told = cut(others(found or asked(docs, id_col, text_col)), "licence-others")
+    negative = told.filter("half = 0")
+    known = [(float(FAMILIES.index(f)), part) for f, notices in NOTICES.items() for n in notices for part in sorted({n, *re.split(r"(?<=[.:;]) ", n)}) if len(part.split()) > 2]
+    weight = max(NOTICE, NOTICES_SHARE * negative.count() / len(known))  # the balance does not follow the corpus's size
+    labelled = spark.createDataFrame(known, "label double, text string").select("label", F.lit(weight).alias("weight"), _words(F.col("text")).alias("words"))
+    data = labelled.unionAll(negative.select(F.lit(0.0), F.lit(1.0), "words"))
+    model = LogisticRegression(family="multinomial", weightCol="weight", regParam=1e-4, maxIter=40, standardization=False).fit(_vectors(data).select("label", "weight", "features"))
+    step = F.floor((1 - vector_to_array("probability")[0]) * LEVELS)
+    steps = model.transform(_vectors(told.filter("half = 1"))).groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect()
+    level, reach, most = 0, 0, sum(r["n"] for r in steps) / CALIBRATION
+    for r in steps:
+        if (reach := reach + r["n"]) > most:
+            level = (r["step"] + 1) / LEVELS
+            break
+    drop_table(told)
+    return model, max(FLOOR, min(0.99, level))
 
 
 #: Beginnings of rare words, one of which every notice sentence has.
@@ -186,21 +215,22 @@ def _covered(pairs: Column, sentences: list[str]) -> Column:
     return out
 
 
-def license_scan(docs: DataFrame, model: LogisticRegressionModel, level: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def license_scan(docs: DataFrame, model: LogisticRegressionModel, level: float, id_col: str = "doc_id", text_col: str = "text", found: DataFrame | None = None) -> DataFrame:
     """One row per input row id: doc_id, n_paragraphs, n_licences, families, license, score, unconfirmed.
 
     n_paragraphs counts lines with a word, n_licences those with a confirmed sentence. license is the family of the
     strongest confirmed sentence (ties: by name), without one "unknown" where the text has an unconfirmed line, else
     "none"; families holds all confirmed ones, sorted; unconfirmed counts lines without a confirmed sentence that have
     a licence-like one above the level. A null or empty text has no paragraphs. Rows that share an id are one document.
+    found is the result of ``asked``, where it is there already.
     """
     names = F.array(*map(F.lit, FAMILIES))
     templates = F.create_map(*[x for f, g in template_grams().items() for x in (F.lit(f), F.array(*map(F.lit, g)))])
     sentences = notice_sentences()
-    lines = _vectors(paragraphs(docs, id_col, text_col))
+    lines = _vectors(found or asked(docs, id_col, text_col))
     p = F.col("p")
-    scored = model.transform(lines).select("doc_id", F.struct("row", "at").alias("at"), "part", "text", "words", vector_to_array("probability").alias("p"))
-    scored = scored.select("doc_id", "at", "part", "text", "words", "p", p[0].alias("none"), F.array_max(F.slice(p, 2, len(FAMILIES) - 1)).alias("best"))
+    scored = model.transform(lines).select("doc_id", F.struct("row", "at").alias("at"), "text", "words", vector_to_array("probability").alias("p"))
+    scored = scored.select("doc_id", "at", "text", "words", "p", p[0].alias("none"), F.array_max(F.slice(p, 2, len(FAMILIES) - 1)).alias("best"))
     scored = scored.withColumn("family", F.element_at(names, (F.array_position(F.slice(p, 2, len(FAMILIES) - 1), F.col("best")) + 1).cast("int")))
     sure = (1 - F.col("none") >= level) & (F.col("best") > F.col("none"))
     pairs = F.filter(_grams("words"), lambda g: F.contains(g, F.lit(" ")))
@@ -220,20 +250,19 @@ def license_scan(docs: DataFrame, model: LogisticRegressionModel, level: float,
     empty = F.array().cast("array<string>")
     telling = F.arrays_overlap("words", F.array(*map(F.lit, _telling(naming))))
     judged = scored.withColumn("sure", sure).withColumn("plain", F.when(telling, plain)).select(
-        "doc_id", "at", "part", "best", "p", (F.col("sure") & F.lower("text").rlike(LICENCE_LIKE)).alias("sure"),
+        "doc_id", "at", "best", "p", (F.col("sure") & F.lower("text").rlike(LICENCE_LIKE)).alias("sure"),
         F.array_union(F.when(F.col("plain").isNotNull(), F.array_compact(F.array(*whole))).otherwise(empty), F.when(F.col("sure") & ((held >= CONFIRMED) | covers), F.array("family")).otherwise(empty)).alias("said"),
     )
     of = lambda f: F.element_at(F.col("p"), F.array_position(names, f).cast("int"))
     confirmed = F.size("said") > 0
     hit = F.when(confirmed, F.array_min(F.transform("said", lambda f: F.struct((-of(f)).alias("p"), f.alias("family")))))
     found = judged.groupBy("doc_id").agg(
-        F.sum((F.col("part") == 0).cast("bigint")).alias("n_paragraphs"), F.collect_set(F.when(confirmed, F.col("at"))).alias("confirmed"),
+        F.collect_set(F.when(confirmed, F.col("at"))).alias("confirmed"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("said")))).alias("families"), F.min(hit).alias("hit"),
         F.collect_set(F.when(F.col("sure"), F.col("at"))).alias("sure"),
     )
     found = found.withColumn("n_licences", F.size("confirmed")).withColumn("unconfirmed", F.size(F.array_except("sure", "confirmed")))
-    ids = docs.select(F.col(f"`{id_col}`").alias("doc_id")).distinct()
-    out = ids.join(found.withColumnRenamed("doc_id", "found_id"), F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
+    out = paragraphs(docs, id_col, text_col).join(found.withColumnRenamed("doc_id", "found_id"), F.col("doc_id").eqNullSafe(F.col("found_id")), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return out.select(
         F.col("doc_id").alias(id_col), zero("n_paragraphs"), zero("n_licences"), F.concat_ws(",", "families").alias("families"),

@@ -34,3 +34,23 @@ def test_precision_and_recall_on_other_wording(spark):
     right = sum(i < len(NOTICES) and out[i] == NOTICES[i][0] for i in named)
     print(f"licences in other words: precision {right}/{len(named)}, recall {right}/{len(NOTICES)}, unknown {sum(out[i] == 'unknown' for i in range(len(NOTICES)))}, missed {[t for i, (_, t) in enumerate(NOTICES) if out[i] == 'none']}, wrong {[(rows[i][1], out[i]) for i in named if i >= len(NOTICES) or out[i] != NOTICES[i][0]]}")
     assert right >= 0.9 * len(named) and right >= 0.5 * len(NOTICES)
+
+
+def test_every_sentence_trains_or_calibrates(spark):
+    """Also of one document, and also those beyond 2000 characters of a paragraph."""
+    text = " ".join(f"The license of driver number {k} was shown." for k in range(900))
+    told = licenses.others(licenses.asked(table(spark, [(1, text, "en", "s"), (2, text + " Released under the MIT License.", "en", "s")])))
+    by = {r["half"]: r["count"] for r in told.groupBy("half").count().collect()}
+    assert sum(by.values()) == 900 and min(by.values()) > 400
+
+
+def test_sentences_that_are_not_asked_about_change_nothing(spark, monkeypatch):
+    """Held against a scan that asks the classifier about every sentence that has a word."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    cuts = [" ".join(n.split()[a : a + 7]) for v in licenses.NOTICES.values() for n in v for a in range(0, len(n.split()), 5)]
+    rows = [(-1 - i, t) for i, t in enumerate([t for _, t in NOTICES] + OTHERS + cuts)]
+    docs = docs.unionByName(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    model, level = licenses.train(docs)
+    out = sorted(licenses.license_scan(docs, model, level).collect())
+    monkeypatch.setattr(licenses, "ASKED", "[a-z0-9]")
+    assert sorted(licenses.license_scan(docs, model, level).collect()) == out and sum(r["n_licences"] for r in out) > 40
