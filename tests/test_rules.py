@@ -130,6 +130,14 @@ def test_metrics_and_plan_of_a_sentence_longer_than_an_int_squared(spark):
     assert qa.planned_count(metrics).first()["optimal_count"] == 32
 
 
+def test_metrics_and_plan_of_a_text_with_a_long_gap_take_linear_time(spark):
+    docs = spark.createDataFrame([(1, " a" + " " * 200_000 + "b \u3000. \n\u2003\u0085c\n. \n\u2028 ")], "doc_id bigint, text string")
+    began = time.time()
+    plan = qa.planned_count(qa.document_metrics(docs)).first()
+    assert (plan["sentence_count"], plan["base_count"], plan["adjusted_count"], plan["optimal_count"]) == (2, 30, 21, 50)  # both lengths differ as much as can be: complexity just under 0.3
+    assert time.time() - began < 60
+
+
 def test_definitions_are_trimmed_and_filled_as_in_the_sql(spark):
     docs = spark.createDataFrame([(1, "\u3000{b}とは\u00a0猫\u2003である。x{a}は{b}と呼ばれ")], "doc_id bigint, text string")
     assert {(r["question"], r["answer"]) for r in qa.definitions(docs).collect()} == {("{b}とは何ですか？", "{b}とは猫です。"), ("x{a}は何と呼ばれますか？", "{b}と呼ばれます。")}
