@@ -18,7 +18,7 @@ def odd(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["combine_columns", "text_content", "process_rows"])
+@pytest.mark.parametrize("name", ["combine_columns", "text_content", "process_rows", "keyword_char_coverage"])
 def test_odd_rows(spark, odd, name):
     df, con = QUERIES[name](spark, odd), duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{odd}/documents.parquet/*.parquet'")
