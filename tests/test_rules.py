@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from tesserae.functions import text as T
 from tesserae.operators import keywords, qa
 from tesserae.plans import pipelines
 from tests.test_operators import PATTERNS
@@ -141,3 +142,16 @@ def test_metrics_and_plan_of_a_text_with_a_long_gap_take_linear_time(spark):
 def test_definitions_are_trimmed_and_filled_as_in_the_sql(spark):
     docs = spark.createDataFrame([(1, "\u3000{b}とは\u00a0猫\u2003である。x{a}は{b}と呼ばれ")], "doc_id bigint, text string")
     assert {(r["question"], r["answer"]) for r in qa.definitions(docs).collect()} == {("{b}とは何ですか？", "{b}とは猫です。"), ("x{a}は何と呼ばれますか？", "{b}と呼ばれます。")}
+
+
+def test_concepts_of_any_length(spark):
+    """A long run of capitalised words took the stack of the task, and with it the executor."""
+    r = random.Random(9)
+    parts = ["Abc", "De", "A", "B", "ab", "c", " ", "  ", "\n", "1", "_", ".", "か", "ö"]
+    texts = ["".join(r.choices(parts, k=r.randint(1, 30))) for _ in range(3000)]
+    plain = re.compile(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b", re.ASCII)
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.candidates(F.col("t"), T.CONCEPT).alias("got")).collect()
+    assert all(x["got"] == plain.findall(x["t"]) for x in rows) and sum(len(x["got"]) for x in rows) > 300
+    long = "the cat is here and " + "Abc " * 50_000
+    got = qa.rule_qa(spark.createDataFrame([(1, long)], "doc_id int, chunk string")).collect()
+    assert "What is mentioned about " + ("Abc " * 50_000).strip() + "?" in [x["question"] for x in got]
