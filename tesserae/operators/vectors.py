@@ -10,9 +10,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.functions.vectors import cosine
+from tesserae.session import small_batches
 
 #: Vectors of a block; two blocks are multiplied at a time.
 BLOCK = 1024
+#: Left blocks that a task of ``nearest`` holds at most, with their k best so far, where there are more than cores keep busy.
+HELD = 64
 
 
 def top_k(points: DataFrame, query: list[float], k: int = 5, where: Column | None = None, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -22,41 +25,74 @@ def top_k(points: DataFrame, query: list[float], k: int = 5, where: Column | Non
     return rows.withColumn("score", F.round(cosine(F.col(vec_col), target), 6)).orderBy(F.desc("score"), id_col).limit(k)
 
 
-def _blocks(vectors: DataFrame, id_col: str, vec_col: str, prefix: str) -> DataFrame:
-    """Vectors gathered into blocks of about BLOCK: block number, ids, one flat array each."""
+def _blocks(vectors: DataFrame, id_col: str, vec_col: str, prefix: str) -> tuple[DataFrame, int]:
+    """Vectors gathered into blocks of about BLOCK (block number, ids, one flat array each), and how many blocks."""
     n = max(1, -(-vectors.count() // BLOCK))
-    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n)).alias("block"))
-    return rows.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("rows")).select(F.col("block").alias(f"{prefix}_block"), F.col("rows").alias(f"{prefix}_rows"))
+    v = F.col(vec_col) if dict(vectors.dtypes)[vec_col] == "array<float>" else F.col(vec_col).cast("array<double>")
+    rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), v.alias("v"), F.pmod(F.xxhash64(id_col), F.lit(n)).cast("int").alias("block"))
+    return rows.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("rows")).select(F.col("block").alias(f"{prefix}_block"), F.col("rows").alias(f"{prefix}_rows")), n
+
+
+def _merged(scores: np.ndarray, others: np.ndarray, s: np.ndarray, ids: np.ndarray) -> None:
+    """The k best of each row, kept in ``scores`` (descending) and ``others``, after one more block of similarities."""
+    k, least = scores.shape[1], scores[:, -1]
+    if s.shape[1] > k and np.isinf(least).any():
+        least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, -k])
+    row, col = np.nonzero(s >= (least - 1.5e-9)[:, None])  # all that can count after rounding
+    if not len(row):
+        return
+    again = np.unique(row)
+    at = np.concatenate((row, np.repeat(again, k)))
+    score = np.concatenate((np.round(s[row, col], 9), scores[again].reshape(-1)))
+    other = np.concatenate((ids[col], others[again].reshape(-1)))
+    order = np.lexsort((other, -score, at))
+    first = np.searchsorted(at[order], again)
+    top = order[first[:, None] + np.arange(k)]  # a row has k at least, as those that it had are among them
+    scores[again], others[again] = score[top], other[top]
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int = 1, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """For each left vector its k most similar right ones, exactly: id, other, score, rank; ties by the smaller id.
 
-    Both sides are cut into blocks, pairs of blocks are multiplied as matrices, and each pair answers with k rows
-    for each left vector only, so the number of pairs never shows as rows. Zero vectors score 0.
+    Both sides are cut into blocks. A task holds a few left blocks (HELD at most, where there are many) and all right
+    blocks stream past them, multiplied as matrices; it keeps the k best of each left vector. So no pair of vectors is
+    ever a row, no pair of blocks is ever written, and what is written grows with the vectors, though the work grows
+    with their pairs. Only where there are too few left blocks for all cores the right side is divided too. Zero
+    vectors score 0. Two session settings (``small_batches``) are set and stay so.
     """
-    a, b = _blocks(left, id_col, vec_col, "a"), _blocks(right, id_col, vec_col, "b")
-    spread = a.crossJoin(b).repartition(F.col("a_block"), F.col("b_block"))
+    spark = left.sparkSession
+    small_batches(spark)
+    (a, n_a), (b, n_b) = _blocks(left, id_col, vec_col, "a"), _blocks(right, id_col, vec_col, "b")
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    a_parts = min(n_a, max(tasks, -(-n_a // HELD)))
+    b_parts = min(n_b, max(1, tasks // a_parts))
+    dealt = lambda df, n, c: df.repartitionById(n, F.pmod(F.col(c), F.lit(n)))
+    # a cartesian product reads the parts' shuffle files again and again and writes nothing
+    met = dealt(b, b_parts, "b_block").hint("shuffle_replicate_nl").crossJoin(dealt(a, a_parts, "a_block"))
 
     def matrix(rows: pa.StructScalar) -> tuple[np.ndarray, np.ndarray]:
         s = rows.values
         ids, v = s.field("id").to_numpy(), s.field("v")
-        m = v.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        m = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
         norm = np.linalg.norm(m, axis=1, keepdims=True)
         return ids, np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, now = {}, None
         for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1)):
-                (ia, ma), (ib, mb) = matrix(x), matrix(y)
-                order = np.argsort(ib)
-                ib, mb = ib[order], mb[order]
-                s = np.round(ma @ mb.T, 9)
-                best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-                flat = np.repeat(np.arange(len(ia)), best.shape[1])
-                yield pa.record_batch([pa.array(ia[flat]), pa.array(ib[best.reshape(-1)]), pa.array(s[flat, best.reshape(-1)])], names=["id", "other", "score"])
-
-    rows = spread.select("a_rows", "b_rows").mapInArrow(run, "id bigint, other bigint, score double")
+            for i, (x, y) in enumerate(zip(batch.column("a_block").to_pylist(), batch.column("b_block").to_pylist())):
+                if x not in held:
+                    ids, m = matrix(batch.column("a_rows")[i])
+                    held[x] = ids, m, np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+                if now is None or now[0] != y:
+                    now = y, *matrix(batch.column("b_rows")[i])
+                _, m, scores, others = held[x]
+                _merged(scores, others, m @ now[2].T, now[1])
+        for ids, _, scores, others in held.values():
+            there = scores > -np.inf
+            yield pa.record_batch([pa.array(np.broadcast_to(ids[:, None], there.shape)[there]), pa.array(others[there]), pa.array(scores[there])], names=["id", "other", "score"])
+
+    rows = met.mapInArrow(run, "id bigint, other bigint, score double")
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "other"))
     return rows.withColumn("rank", place.cast("bigint")).filter(F.col("rank") <= k)
 
