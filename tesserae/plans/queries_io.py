@@ -59,22 +59,21 @@ def preprocessed_outputs(spark, sf):
     return lines.groupBy("value").agg(F.count("*").alias("n")).select(F.md5("value").alias("line"), "n", F.lit(str(meta["processed_rows"])).alias("processed_rows"))
 
 
-def _one_file_each(docs: DataFrame, value, path: str) -> None:
-    docs.select(value.alias("value"), F.col("lang").alias("category")).write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("category").text(path)
-
-
 @query(f"SELECT 'doc/' || doc_id AS url, 'day ' || doc_id AS date, source AS title, md5(trim(text, {WS})) AS content, 'category=' || lang AS category FROM documents")
 def news_folder_articles(spark, sf):
-    """Each document as an article file of its own, in its language's folder."""
-    path, key = _folder(spark, "news"), F.col("doc_id").cast("string")
-    _one_file_each(docs_of(spark, sf), F.concat_ws("\n", F.concat(F.lit("doc/"), key), F.concat(F.lit("day "), key), "source", "text"), path)
-    return readers.news_folder(spark, path).withColumn("content", F.md5("content"))
+    """Each document as an article file of its own, in its language's folder. Nulls are written as \\N."""
+    path, key, null = _folder(spark, "news"), F.col("doc_id").cast("string"), F.lit("\\N")
+    lines = [F.concat(F.lit("doc/"), key), F.concat(F.lit("day "), key), F.col("source"), F.col("text")]
+    writers.text_files(docs_of(spark, sf), F.concat_ws("\n", *[F.coalesce(x, null) for x in lines]), "lang", path)
+    rows = readers.news_folder(spark, path)
+    told = rows.select(*[F.nullif(F.col(c), null).alias(c) for c in ("url", "date", "title", "content")], F.nullif("category", F.lit(f"category={writers.NO_CATEGORY}")).alias("category"))
+    return told.withColumn("content", F.md5("content"))
 
 
 @query(packed_paragraph_sql("en").replace(f"SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY grp, j) - 1 AS chunk_idx, {sql_tokens('chunk')} AS tokens FROM made", f"SELECT md5(chunk) AS chunk, {sql_tokens('chunk')} AS tokens, count(*) AS n FROM made GROUP BY chunk"))
 def text_file_chunks(spark, sf):
     path = _folder(spark, "texts")
-    _one_file_each(docs_of(spark, sf), F.col("text"), path)
+    writers.text_files(docs_of(spark, sf), F.col("text"), "lang", path)
     return readers.text_chunks(spark, f"{path}/*/*.txt").groupBy("chunk", "tokens").agg(F.count("*").alias("n")).select(F.md5("chunk").alias("chunk"), "tokens", "n")
 
 

@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 import json
+import os
+from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.text import is_blank
+from tesserae.session import small_batches
+from tesserae.staging import file_system
 
 
 def csv(df: DataFrame, path: str) -> None:
@@ -53,3 +60,41 @@ def flattened(docs: DataFrame, pairs: str = "qa_pairs") -> DataFrame:
 
 def unified(qa: DataFrame, path: str) -> None:
     csv(qa.select("question", "answer"), path)
+
+
+#: The folder of rows without a category, named as Spark names it.
+NO_CATEGORY = "__HIVE_DEFAULT_PARTITION__"
+
+
+def text_files(df: DataFrame, value: Column, category: str, path: str) -> None:
+    """Each row as a text file of its own, with a line end, in its category's folder ``category=...``.
+
+    Hadoop's local file system starts two processes for every file that it makes (permissions of the file and of its
+    checksum), so on it, which the executors share, tasks write the files themselves: under names that a repeated task
+    gives again, and renamed when whole. Other file systems take Spark's writer.
+    """
+    spark = df.sparkSession
+    fs, cls = file_system(spark, path)
+    if fs.getScheme() != "file":
+        df.select(value.alias("value"), F.col(category).alias("category")).write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("category").text(path)
+        return
+    small_batches(spark)
+    root = unquote(urlparse(fs.makeQualified(cls(path)).toUri().toString()).path)
+    os.makedirs(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, made, n = TaskContext.get(), set(), 0
+        for batch in batches:
+            for text, kind in zip(batch.column(0), batch.column(1).to_pylist()):
+                folder = f"{root}/category={NO_CATEGORY if kind is None else kind.replace('/', '%2F')}"
+                if folder not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
+                name = f"part-{task.partitionId():05d}-{n}"
+                with open(part := f"{folder}/.{name}.{task.taskAttemptId()}", "wb") as f:
+                    f.write((text.as_py() or b"") + b"\n")
+                os.replace(part, f"{folder}/{name}.txt")
+                n += 1
+        yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
+
+    df.select(value.cast("binary").alias("value"), F.col(category).cast("string").alias("category")).mapInArrow(run, "n bigint").agg(F.sum("n")).first()

@@ -83,7 +83,8 @@ def news_folder(spark: SparkSession, root: str, with_date: bool = True) -> DataF
     rows = files.withColumn("l", F.split("value", "\n")).filter(F.size("l") >= 3)
     text = lambda i: strip(F.get("l", F.lit(i)))
     content = strip(F.array_join(F.slice("l", skip + 1, F.size("l")), "\n"))
-    return rows.select(text(0).alias("url"), (text(1) if with_date else F.lit(None).cast("string")).alias("date"), text(skip - 1).alias("title"), content.alias("content"), F.element_at(F.split("file", "/"), -2).alias("category"))
+    category = F.url_decode(F.replace(F.element_at(F.split("file", "/"), -2), F.lit("+"), F.lit("%2B")))  # the path is told as an address
+    return rows.select(text(0).alias("url"), (text(1) if with_date else F.lit(None).cast("string")).alias("date"), text(skip - 1).alias("title"), content.alias("content"), category.alias("category"))
 
 
 def newest_file(spark: SparkSession, pattern: str) -> DataFrame:

@@ -1,9 +1,15 @@
 """Queries against their SQL on documents with null, empty and blank cells, which the given tables lack."""
 
+import os
+import time
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from __spark_entry__ import QUERIES, SQL
+from tesserae.sinks import writers
+from tesserae.sources import readers
 
 CELLS = (None, "", " \t\n ", "AI AI 機械学習 ananana")
 
@@ -18,7 +24,7 @@ def odd(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["combine_columns", "text_content", "process_rows", "keyword_char_coverage"])
+@pytest.mark.parametrize("name", ["combine_columns", "text_content", "process_rows", "keyword_char_coverage", "news_folder_articles"])
 def test_odd_rows(spark, odd, name):
     df, con = QUERIES[name](spark, odd), duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{odd}/documents.parquet/*.parquet'")
@@ -26,3 +32,14 @@ def test_odd_rows(spark, odd, name):
     of = lambda rows, names: sorted(repr([r[names.index(c)] for c in sorted(df.columns)]) for r in rows)
     want = [[int(v) if type(v).__name__ == "Decimal" else v for v in r] for r in rel.fetchall()]
     assert of(df.collect(), df.columns) == of(want, rel.columns)
+
+
+def test_one_file_a_row_takes_no_process_a_file(spark, tmp_path):
+    """Spark's writer started two processes for each file: 5,000 files took over a minute."""
+    began = time.time()
+    rows = spark.range(5000).select(F.concat(F.lit("text "), "id").alias("t"), F.when(F.col("id") % 3 > 0, F.concat(F.lit("a b+"), F.col("id") % 3)).alias("kind"))
+    writers.text_files(rows, F.col("t"), "kind", str(tmp_path / "files"))
+    assert time.time() - began < 30
+    back = readers.whole_files(spark, f"{tmp_path}/files/*/*.txt").select("value").collect()
+    assert sorted(r["value"] for r in back) == sorted(f"text {i}\n" for i in range(5000))
+    assert sorted(os.listdir(tmp_path / "files")) == ["category=" + k for k in (writers.NO_CATEGORY, "a b+1", "a b+2")]
